@@ -12,3 +12,110 @@ SELECT r.doc_id, f.keep_id, CAST(f.group_size AS BIGINT) AS group_size,
        r.doc_id IS NOT DISTINCT FROM f.keep_id AS kept, sha256(r.norm) AS text_sha256
 FROM rows r JOIN found f ON r.norm = f.norm
 """
+
+
+def _positions(kind: str, pattern: str, extra: str = "") -> str:
+    """SQL for the matches of one pattern with code-point positions: doc_id, kind, m, s, e."""
+    pattern = pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, '{kind}' AS kind, h[i] AS m,
+         CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS s,
+         CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(h[1:i], lambda x: length(x))) AS BIGINT) AS e
+  FROM (SELECT doc_id, h, g, unnest(generate_series(1, len(h))) AS i
+        FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS h, string_split_regex(text, '{pattern}') AS g FROM docs) WHERE len(h) > 0)
+  {extra}"""
+
+
+_LUHN = """list_sum(list_transform(generate_series(1, length(d)), lambda i:
+    CASE WHEN (length(d) - i) % 2 = 0 THEN CAST(d[i] AS INT)
+         WHEN CAST(d[i] AS INT) > 4 THEN 2 * CAST(d[i] AS INT) - 9 ELSE 2 * CAST(d[i] AS INT) END)) % 10 = 0"""
+_MOD97 = """list_reduce(list_prepend(0, list_transform(string_split(m[5:] || m[1:4], ''), lambda c: CASE WHEN ascii(c) < 58 THEN ascii(c) - 48 ELSE ascii(c) - 55 END)),
+    lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1"""
+
+ORACLES["op2_pii"] = rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+email AS ({_positions("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")}),
+ip AS ({_positions("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")}),
+card AS ({_positions("card", r"[0-9](?:[\x20-]?[0-9])+")}),
+phone AS ({_positions("phone", r"\+[0-9][\x20().0-9-]+[0-9]")}),
+iban AS ({_positions("iban", r"[A-Z][A-Z][0-9][0-9][A-Z0-9]+")}),
+ssn AS ({_positions("ssn", r"[0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9][0-9][0-9]")}),
+spans AS (
+  SELECT doc_id, kind, s, e, 1 AS rank FROM email
+  UNION ALL SELECT doc_id, kind, s, e, 2 FROM ip WHERE list_max(list_transform(string_split(m, '.'), lambda p: CAST(p AS HUGEINT))) <= 255
+  UNION ALL SELECT doc_id, kind, s, e, 3 FROM (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS d FROM card) WHERE length(d) BETWEEN 12 AND 19 AND {_LUHN}
+  UNION ALL SELECT doc_id, kind, s, e, 4 FROM phone WHERE length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 9 AND 15
+  UNION ALL SELECT doc_id, kind, s, e, 5 FROM iban WHERE length(m) BETWEEN 15 AND 34 AND {_MOD97}
+  UNION ALL SELECT doc_id, kind, s, e, 6 FROM ssn JOIN docs USING (doc_id)
+    WHERE m[1:3] NOT IN ('000', '666') AND m[1:3] < '900' AND m[5:6] <> '00' AND m[8:11] <> '0000'
+      AND regexp_matches(lower(substr(text, greatest(s - 40, 0) + 1, least(s, 40))), 'ssn|social|security')
+),
+lists AS (
+  SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card,
+         count(*) FILTER (kind = 'phone') AS n_phone,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank <= 4) AS base,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans
+  FROM spans GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN lists USING (doc_id)
+"""
+
+
+def _cased(names: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in names)
+
+
+_SCOPE = "len(string_split(substr(text, 1, CAST(s AS BIGINT)), chr(10) || chr(10)))"
+_ASSIGNED = r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
+_ASSIGNED_ID = r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=@-]+"""
+_NAMES, _IDS = _cased("password|passwd|secret|token|api_?key"), _cased("client_id|access_id|key_id|username|login")
+
+
+def _value(names: str, value: str) -> str:
+    return ("regexp_extract(m, '^(?:" + names + r""")["'']?\x20*[:=]\x20*["'']?(""" + value + ")$', 1)")
+
+
+ORACLES["op3_secrets"] = rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+assign AS ({_positions("assign", "(?:" + _NAMES + ")" + _ASSIGNED)}),
+access AS ({_positions("access", "AKIA[A-Z0-9]+")}),
+hex AS ({_positions("hex", "[0-9a-f]+")}),
+ids AS ({_positions("id", "(?:" + _IDS + ")" + _ASSIGNED_ID)}),
+keys AS ({_positions("key", "[A-Za-z0-9+/_=-]+")}),
+ends AS ({_positions("endpoint", "https?://[A-Za-z0-9./_:?&=%#@-]+")}),
+strong AS (
+  SELECT doc_id, kind, s, e, 'secret' AS role, 1 AS rank FROM assign WHERE length({_value(_NAMES, "[A-Za-z0-9+/_.=-]+")}) >= 12
+  UNION ALL SELECT doc_id, kind, s, e, 'access', 2 FROM access WHERE length(m) >= 18
+  UNION ALL SELECT doc_id, kind, s, e, 'secret', 3 FROM hex WHERE length(m) >= 16
+),
+named AS (
+  SELECT * FROM (SELECT doc_id, kind, s, e, 'access' AS role, 4 AS rank FROM ids WHERE length({_value(_IDS, "[A-Za-z0-9+/_.=@-]+")}) >= 4
+                 UNION ALL SELECT doc_id, kind, s, e, 'endpoint', 6 FROM ends) w
+  WHERE NOT EXISTS (SELECT 1 FROM strong b WHERE b.doc_id = w.doc_id AND b.s < w.e AND b.e > w.s)
+),
+loose AS (
+  SELECT doc_id, kind, s, e, 'secret' AS role, 5 AS rank FROM keys w
+  WHERE length(m) >= 20 AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[0-9]')
+    AND NOT EXISTS (SELECT 1 FROM (SELECT doc_id, s, e FROM strong UNION ALL SELECT doc_id, s, e FROM named) b WHERE b.doc_id = w.doc_id AND b.s < w.e AND b.e > w.s)
+),
+parts AS (
+  SELECT p.*, {_SCOPE} AS scope FROM (SELECT * FROM strong UNION ALL SELECT * FROM named UNION ALL SELECT * FROM loose) p JOIN docs USING (doc_id)
+),
+spans AS (
+  SELECT doc_id, kind, s, e, rank FROM parts p
+  WHERE rank <= 3 OR EXISTS (
+    SELECT 1 FROM parts o WHERE o.doc_id = p.doc_id AND o.scope = p.scope AND o.s - p.e <= 200 AND p.s - o.e <= 200
+      AND CASE WHEN p.kind = 'key' THEN o.role <> 'secret' ELSE o.role = 'secret' END)
+),
+lists AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank <= 3) AS base,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans
+  FROM spans GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN lists USING (doc_id)
+"""
