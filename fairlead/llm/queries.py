@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fairlead.llm import exact_dedup, packing, pii, secrets, token_store
+from fairlead.llm import exact_dedup, ngram_join, packing, pii, secrets, token_store
 from fairlead.llm.common import scratch_path, table
 
 
@@ -22,6 +22,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(table(spark, sf_dir, "documents")))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_pii": op2_pii,
     "op3_secrets": op3_secrets,
+    "op5_ngram_join": op5_ngram_join,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_ids": op10_token_ids,
 }
