@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairlead.llm.common import materialize, release, sized_slices
+from fairlead.llm.common import materialize, release, sized_slices, text_buffers
 from fairlead.llm.tokens import END_ID, default_tokenizer, encoder
 
 CAPACITY = 1024
@@ -52,18 +52,17 @@ def cut_points(n: int, capacity: int) -> list[int]:
 
 
 def _pieces(tokenizer: str, capacity: int):
-    end = np.array([END_ID], "<u4").tobytes()
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(tokenizer)
         for batch in batches:
             for part in sized_slices(batch, "text"):
-                rows = []
-                for doc, ids in zip(part.column(0).to_pylist(), model.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids += end
-                    cuts = cut_points(len(ids) // 4, capacity)
-                    rows += [(doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                ids, edge = model.encode_buffers(*text_buffers(part.column(1)), end=END_ID)
+                raw, rows = ids.view(np.uint8), []
+                for doc, first, last in zip(part.column(0).to_pylist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                    cuts = cut_points(last - first, capacity)
+                    rows += [(doc, k, a, b - a, zlib.crc32(raw[4 * (first + a) : 4 * (first + b)])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
                 yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fairlead.llm.common import sized_slices
+from fairlead.llm.common import sized_slices, text_buffers
 from fairlead.llm.tokens import END_ID, default_tokenizer, encoder
 
 FILE_SCHEMA = "doc_id long, row long, ids array<int>"
@@ -35,18 +35,14 @@ ORC_OPTIONS = {
 
 
 def _encode(tokenizer: str):
-    end = np.array([END_ID], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, row = encoder(tokenizer), 0
         for batch in batches:
             for part in sized_slices(batch, "text"):
-                packed = [x + end for x in model.encode([t or "" for t in part.column(1).to_pylist()])]
-                sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
-                yield pa.record_batch([part.column(0), pa.array(np.arange(row, row + len(packed))), ids], names=["doc_id", "row", "ids"])
-                row += len(packed)
+                ids, edge = model.encode_buffers(*text_buffers(part.column(1)), end=END_ID)
+                lists = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(ids.view("<i4")))
+                yield pa.record_batch([part.column(0), pa.array(np.arange(row, row + part.num_rows)), lists], names=["doc_id", "row", "ids"])
+                row += part.num_rows
 
     return run
 
