@@ -119,3 +119,51 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM docs LEFT JOIN lists USING (doc_id)
 """
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES["op4_decontaminate"] = rf"""
+WITH docs AS (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE {_WORDS} END AS w FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS k
+  FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - least(len(w), 13) + 1)) AS i FROM items WHERE len(w) > 0)
+),
+places AS (
+  SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS k
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+),
+found AS (SELECT doc_id, item_id, n, i FROM places JOIN windows USING (n, k)),
+hits AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM found) GROUP BY doc_id
+),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+ORACLES["op7_url_filter"] = r"""
+WITH raw AS (
+  SELECT page_id, CAST(page_id * 37 % 365 AS INTEGER) AS day,
+         regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.$', ''), '^www\.', '') AS h
+  FROM pages
+),
+captures AS (SELECT page_id, day, CASE WHEN h <> '' THEN h END AS host FROM raw),
+hosts AS (SELECT DISTINCT host AS name, CAST('0x' || substr(md5(host), 1, 4) AS INTEGER) AS n FROM captures WHERE host IS NOT NULL),
+intervals AS (
+  SELECT name, 'hosts' AS list, 'block' AS action, n % 150 AS valid_from, n % 150 + 90 AS valid_to FROM hosts WHERE n % 3 = 0
+  UNION ALL SELECT name, 'hosts', 'block', n % 150 + 180, NULL FROM hosts WHERE n % 3 = 0
+  UNION ALL SELECT name, 'spam', 'block', 0, NULL FROM hosts WHERE contains(name, 'spam')
+  UNION ALL SELECT 'example.org', 'domains', 'allow', 100, 250
+  UNION ALL SELECT 'example.net', 'domains', 'block', 300, NULL
+),
+found AS (
+  SELECT c.page_id, i.*, row_number() OVER (PARTITION BY c.page_id ORDER BY length(i.name) DESC, CASE WHEN i.action = 'allow' THEN 0 ELSE 1 END, i.valid_from DESC, i.list) AS r
+  FROM captures c JOIN intervals i ON (c.host = i.name OR ends_with(c.host, '.' || i.name)) AND i.valid_from <= c.day AND (i.valid_to IS NULL OR i.valid_to > c.day)
+)
+SELECT c.page_id, c.host, c.day, coalesce(f.action, 'none') AS verdict, f.name AS matched, f.list, CAST(f.valid_from AS INTEGER) AS listed_on
+FROM captures c LEFT JOIN found f ON f.page_id = c.page_id AND f.r = 1
+"""
