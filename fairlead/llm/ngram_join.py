@@ -303,3 +303,10 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds: in
     out = sizes.join(materialize(named, "named"), ["n", "s1", "s2"], "left")
     own = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` less every document that is not its component's smallest id; rows that stay are unchanged."""
+    found = join(docs, text, doc_id)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    return docs.join(gone, doc_id, "left_anti").select(*docs.columns)
