@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: Text bytes that the numpy kernels handle at once; one longer text is one slice.
 SLICE_BYTES = 2 << 20
 
-_MASK = (1 << 64) - 1
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,10 +44,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` below the shared folder and read it back, which cuts its lineage."""
+    """Write ``df`` below the shared folder and read it back, which cuts its lineage.
+
+    The write's shuffle files go when it ends: nothing reads them again.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._fairlead_path = path
     return back

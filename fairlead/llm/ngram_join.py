@@ -45,7 +45,7 @@ from fairlead.llm.components import components
 
 K = 5
 PERCENT = 75
-ELL = 3
+ELL = 12
 BUCKETS = 1 << 22
 _SLICES = 64
 _FLUSH = 4 << 20
@@ -234,6 +234,22 @@ def _fits(x: Column, y: Column) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * PERCENT
 
 
+def _core(cells: DataFrame) -> DataFrame:
+    """Cells of nodes that share enough shingles to link with anything, less shingles that one such node alone has."""
+    able = cells.groupBy("rid", "n").agg(F.count(F.lit(1)).alias("cells")).where(F.col("cells") >= _reach(F.col("n"))).select("rid")
+    left = cells.join(able, "rid", "left_semi")
+    shared = left.groupBy("token").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo <> hi").select("token")
+    return left.join(shared, "token", "left_semi")
+
+
+def _bounded(pairs: DataFrame, cells: DataFrame) -> DataFrame:
+    """Pairs whose common cells reach the bound."""
+    one = cells.select(F.col("rid").alias("a"), "token", F.col("n").alias("na"))
+    two = cells.select(F.col("rid").alias("b"), "token", F.col("n").alias("nb"))
+    both = pairs.join(one, "a").join(two, ["b", "token"]).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("cells"))
+    return both.where(F.col("cells") >= F.least(_reach(F.col("na")), _reach(F.col("nb")))).select("a", "b")
+
+
 def _star_pairs(cells: DataFrame) -> DataFrame:
     """cells(token, rid, n, component): each node with the centre of its group, where they are not yet together."""
     shared = cells.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
@@ -281,6 +297,10 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds: in
     shared = materialize(spread.where("lo <> hi").select("token", "s1", "n").distinct(), "shared")
     cells = materialize(shared.join(reps.select("s1", "n", "rid"), ["s1", "n"]).select("token", "rid", "n").distinct(), "cells")
     release(shared)
+    for _ in range(2):
+        core = materialize(_core(cells), "cells")
+        release(cells)
+        cells = core
 
     count = max(1, cells.select("rid").distinct().count())
     bits = min(28, max(20, (16 * count - 1).bit_length()))
@@ -288,10 +308,10 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds: in
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits).alias("at")
     sets = materialize(rows.where("doc_id is not null").select("doc_id", "text", place).mapInArrow(_whole_sets(wanted), "rid long, tokens binary"), "tokens")
 
-    links = materialize(_links(_star_pairs(cells.withColumn("component", F.col("rid"))), sets), "pairs")
+    links = materialize(_links(_bounded(_star_pairs(cells.withColumn("component", F.col("rid"))), cells), sets), "pairs")
     groups = materialize(components(links), "groups")
     for _ in range(rounds - 1):
-        more = materialize(_links(_star_pairs(_grouped(cells, groups)), sets), "pairs")
+        more = materialize(_links(_bounded(_star_pairs(_grouped(cells, groups)), cells), sets), "pairs")
         links = links.union(more)
         groups = materialize(components(links), "groups")
     contested = materialize(_grouped(cells, groups), "cells")
