@@ -5,8 +5,9 @@ space) is hashed to 128 bits.  Rows are grouped by (hash, text): the aggregate's
 key equality *is* the byte comparison, so two texts that share a hash form two
 groups.  Copies meet first inside each map task, so a group that holds a third
 of all rows crosses the shuffle as one row for each map task and never gathers.
-Members then find their group by (hash, SHA-256), fixed-width keys; a pair of
-different texts agreeing on both would raise, never merge.
+Members then find their group by (hash, SHA-256), fixed-width keys, in a join of
+two plain exchanges, so that Spark splits a group with very many members; a pair
+of different texts agreeing on both would show as a second row, never merge.
 
 Defined results: a null text is an empty text; null ids come last, and a group
 with only null ids keeps the null id; rows repeating the kept id are all marked
@@ -48,14 +49,10 @@ def mark(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hash_fn: C
     norm = normalized(F.col(text))
     rows = docs.select(F.col(doc_id), norm.alias("__fl_norm"))
     rows = rows.select(doc_id, hash_fn(F.col("__fl_norm")).alias("__fl_hash"), F.sha2(F.col("__fl_norm").cast("binary"), 256).alias("__fl_sha"))
-    found = groups(docs, text, doc_id, hash_fn).groupBy("__fl_hash", "__fl_sha").agg(
-        F.min("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.count(F.lit(1)).alias("__fl_texts")
-    )
-    single = F.when(F.col("__fl_texts") > 1, F.raise_error(F.lit("two texts share MD5 and SHA-256"))).otherwise(F.col("keep_id"))
-    out = rows.join(found, ["__fl_hash", "__fl_sha"])
+    out = rows.join(groups(docs, text, doc_id, hash_fn), ["__fl_hash", "__fl_sha"])
     return out.select(
         doc_id,
-        single.cast("long").alias("keep_id"),
+        F.col("keep_id").cast("long").alias("keep_id"),
         F.col("group_size").cast("long").alias("group_size"),
         F.col(doc_id).eqNullSafe(F.col("keep_id")).alias("kept"),
         F.col("__fl_sha").alias("text_sha256"),
