@@ -10,9 +10,9 @@ Documents with equal sets become one node at once.
 2. *Prefixes.*  Two sets of similarity t share at least ``ELL`` of their first
    n - ceil(t n) + ELL shingles in that order.  Those are dealt by shingle, and
    shingles that only one node has are dropped: what is left is small.
-3. *Groups.*  Similar nodes are partitioned into groups: by their most shared
-   shingle, around the node that shares most; members are held against that
-   node and linked ones form one group (a component so far).  Two rounds.
+3. *Groups.*  Similar nodes are partitioned into groups: by their most and by
+   their least common shared shingle, around the node that shares most; members
+   are held against that node and linked ones form one group (a component so far).
 4. *Matrix.*  Each group's union of prefix shingles is stored as (shingle,
    group).  A query node's overlap with a group is bounded by the count of
    common cells; only groups that reach ``ELL`` are opened, and only members
@@ -37,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairlead.llm.common import Words, char_class, materialize, mix64, release, sized_slices, text_buffers
@@ -234,45 +234,47 @@ def _fits(x: Column, y: Column) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * PERCENT
 
 
-def _core(cells: DataFrame) -> DataFrame:
-    """Cells of nodes that share enough shingles to link with anything, less shingles that one such node alone has."""
-    able = cells.groupBy("rid", "n").agg(F.count(F.lit(1)).alias("cells")).where(F.col("cells") >= _reach(F.col("n"))).select("rid")
-    left = cells.join(able, "rid", "left_semi")
-    shared = left.groupBy("token").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo <> hi").select("token")
-    return left.join(shared, "token", "left_semi")
+def _nodes(posts: DataFrame, reps: DataFrame) -> DataFrame:
+    """Nodes that share enough prefix shingles with others to link at all: rid, n and those shingles.
 
-
-def _bounded(pairs: DataFrame, cells: DataFrame) -> DataFrame:
-    """Pairs whose common cells reach the bound."""
-    one = cells.select(F.col("rid").alias("a"), "token", F.col("n").alias("na"))
-    two = cells.select(F.col("rid").alias("b"), "token", F.col("n").alias("nb"))
-    both = pairs.join(one, "a").join(two, ["b", "token"]).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("cells"))
-    return both.where(F.col("cells") >= F.least(_reach(F.col("na")), _reach(F.col("nb")))).select("a", "b")
-
-
-def _star_pairs(cells: DataFrame) -> DataFrame:
-    """cells(token, rid, n, component): each node with the centre of its group, where they are not yet together."""
-    shared = cells.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    nodes = cells.join(shared, "token").groupBy("rid", "n", "component").agg(F.max(F.struct("df", "token")).alias("most"), F.sum(F.log1p("df")).alias("sum"))
-    weight = F.col("sum") / F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + ELL)
-    nodes = nodes.select("rid", "n", "component", F.col("most.token").alias("token"), F.round(weight, 6).alias("weight"))
-    centres = nodes.groupBy("token").agg(F.max(F.struct(F.col("weight"), (-F.col("rid")).alias("r"), F.col("n").alias("n"), F.col("component").alias("c"))).alias("c"))
-    pairs = nodes.join(centres, "token").where((F.col("component") != F.col("c.c")) & _fits(F.col("n"), F.col("c.n")))
-    return pairs.select((-F.col("c.r")).alias("a"), F.col("rid").alias("b")).distinct()
-
-
-def _grouped(cells: DataFrame, links: DataFrame) -> DataFrame:
-    """Cells with their nodes' groups so far, less shingles that one group alone has."""
-    found = cells.join(links, cells["rid"] == links["node"], "left").select("token", "rid", "n", F.coalesce("component", "rid").alias("component"))
-    contested = found.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    return found.join(contested, "token", "left_semi")
-
-
-def _opened_pairs(cells: DataFrame) -> DataFrame:
+    ``most`` and ``least`` name a node's most and least common shared shingle; ``weight`` is high for a
+    node whose whole prefix is shared, such as the text that many near copies were made from.
+    """
+    by_token = Window.partitionBy("token")
+    spread = posts.select("*", F.min("s1").over(by_token).alias("lo"), F.max("s1").over(by_token).alias("hi"), F.count(F.lit(1)).over(by_token).alias("df"))
+    common = F.struct("df", "token")
+    found = spread.where("lo <> hi").groupBy("s1", "n").agg(
+        F.collect_set("token").alias("tokens"), F.max(common)["token"].alias("most"), F.min(common)["token"].alias("least"), F.sum(F.log1p("df")).alias("sum")
+    )
+    length = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + ELL)
+    able = found.where(F.size("tokens") >= _reach(F.col("n"))).withColumn("weight", F.round(F.col("sum") / length, 6))
+    return able.join(reps.select("s1", "n", "rid"), ["s1", "n"]).select("rid", "n", "tokens", "most", "least", "weight")
+
+
+def _star_pairs(nodes: DataFrame) -> DataFrame:
+    """Each node with the centres of its two groups, where common cells and sizes allow a link."""
+    pairs = None
+    for token in ("most", "least"):
+        rows = nodes.select("rid", "n", F.col(token).alias("token"), "weight")
+        centres = rows.groupBy("token").agg(F.max(F.struct("weight", (-F.col("rid")).alias("r"), "n")).alias("c"))
+        some = rows.join(centres, "token").where((F.col("rid") != -F.col("c.r")) & _fits(F.col("n"), F.col("c.n"))).select((-F.col("c.r")).alias("a"), F.col("rid").alias("b"))
+        pairs = some if pairs is None else pairs.union(some)
+    one = nodes.select(F.col("rid").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na"))
+    two = nodes.select(F.col("rid").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb"))
+    both = pairs.distinct().join(one, "a").join(two, "b")
+    return both.where(F.size(F.array_intersect("ta", "tb")) >= F.least(_reach(F.col("na")), _reach(F.col("nb")))).select("a", "b")
+
+
+def _opened_pairs(nodes: DataFrame, groups: DataFrame) -> DataFrame:
     """The matrix step: query nodes against groups of a smaller name, then members of the opened groups."""
-    matrix = cells.select("token", F.col("component").alias("group")).distinct()
-    asked = cells.join(matrix, "token").where("group < component").groupBy("rid", "n", "group").agg(F.count(F.lit(1)).alias("cells"))
-    opened = asked.where(F.col("cells") >= _reach(F.col("n"))).select("rid", "group")
+    named = nodes.join(groups, nodes["rid"] == groups["node"], "left").select("rid", "n", F.coalesce("component", "rid").alias("component"), F.explode("tokens").alias("token"))
+    by_token = Window.partitionBy("token")
+    cells = named.select("*", F.min("component").over(by_token).alias("lo"), F.max("component").over(by_token).alias("hi")).where("lo <> hi").drop("lo", "hi")
+    cells = materialize(cells, "cells")
+    matrix = cells.groupBy("token", F.col("component").alias("group")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    sized = (F.col("high") * 100 >= F.col("n") * PERCENT) & (F.col("low") * PERCENT <= F.col("n") * 100)
+    asked = cells.join(matrix, "token").where((F.col("group") < F.col("component")) & sized).groupBy("rid", "n", "group").agg(F.count(F.lit(1)).alias("cells"))
+    opened = materialize(asked.where(F.col("cells") >= _reach(F.col("n"))).select("rid", "group"), "opened")
     asks = cells.select("token", "rid", "n").join(opened, "rid").select("token", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("group").alias("component"))
     members = cells.select("token", "component", F.col("rid").alias("b"), F.col("n").alias("nb"))
     pairs = asks.join(members, ["token", "component"]).where(_fits(F.col("na"), F.col("nb")))
@@ -280,7 +282,20 @@ def _opened_pairs(cells: DataFrame) -> DataFrame:
     return counted.where(F.col("cells") >= F.least(_reach(F.col("na")), _reach(F.col("nb")))).select("a", "b")
 
 
-def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds: int = 2) -> DataFrame:
+def _decide(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links among candidate pairs; only the sets of documents in a pair leave the scan."""
+    pairs = materialize(pairs, "candidates")
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    bits = min(28, max(20, (16 * wanted.count() - 1).bit_length()))
+    marked = rows.sparkSession.sparkContext.broadcast(_bitmap(wanted, bits))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits).alias("at")
+    sets = materialize(rows.select("doc_id", "text", place).mapInArrow(_whole_sets(marked), "rid long, tokens binary"), "tokens")
+    links = materialize(_links(pairs, sets), "pairs")
+    release(pairs, sets)
+    return links
+
+
+def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id that links reach) of every row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -288,36 +303,14 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rounds: in
     sizes = survey.where("n is not null").select("doc_id", "n", "s1", "s2")
     reps = materialize(sizes.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rid")), "sets")
     common = spark.sparkContext.broadcast(common_buckets(survey, sizes.agg(F.sum("n")).first()[0] or 0))
+    rows = rows.where("doc_id is not null")
+    nodes = materialize(_nodes(rows.mapInArrow(_prefixes(common), "token long, s1 long, n int"), reps), "nodes")
 
-    from pyspark.sql import Window
-
-    by_token = Window.partitionBy("token")
-    posts = rows.where("doc_id is not null").mapInArrow(_prefixes(common), "token long, s1 long, n int")
-    spread = posts.select("*", F.min("s1").over(by_token).alias("lo"), F.max("s1").over(by_token).alias("hi"))
-    shared = materialize(spread.where("lo <> hi").select("token", "s1", "n").distinct(), "shared")
-    cells = materialize(shared.join(reps.select("s1", "n", "rid"), ["s1", "n"]).select("token", "rid", "n").distinct(), "cells")
-    release(shared)
-    for _ in range(2):
-        core = materialize(_core(cells), "cells")
-        release(cells)
-        cells = core
-
-    count = max(1, cells.select("rid").distinct().count())
-    bits = min(28, max(20, (16 * count - 1).bit_length()))
-    wanted = spark.sparkContext.broadcast(_bitmap(cells.select(F.col("rid").alias("id")), bits))
-    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits).alias("at")
-    sets = materialize(rows.where("doc_id is not null").select("doc_id", "text", place).mapInArrow(_whole_sets(wanted), "rid long, tokens binary"), "tokens")
-
-    links = materialize(_links(_bounded(_star_pairs(cells.withColumn("component", F.col("rid"))), cells), sets), "pairs")
+    links = _decide(rows, _star_pairs(nodes))
+    groups = materialize(components(links), "groups")
+    links = links.union(_decide(rows, _opened_pairs(nodes, groups)))
     groups = materialize(components(links), "groups")
-    for _ in range(rounds - 1):
-        more = materialize(_links(_bounded(_star_pairs(_grouped(cells, groups)), cells), sets), "pairs")
-        links = links.union(more)
-        groups = materialize(components(links), "groups")
-    contested = materialize(_grouped(cells, groups), "cells")
-    opened = materialize(_links(_opened_pairs(contested), sets), "pairs")
-    groups = materialize(components(links.union(opened)), "groups")
-    release(sets, cells, contested)
+    release(nodes)
 
     named = reps.join(groups, reps["rid"] == groups["node"], "left").select("n", "s1", "s2", F.coalesce("component", "rid").alias("component_id"))
     out = sizes.join(materialize(named, "named"), ["n", "s1", "s2"], "left")
