@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that the numpy kernels handle at once; one longer text is one slice.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -48,7 +48,9 @@ PERCENT = 75
 ELL = 12
 BUCKETS = 1 << 22
 _SLICES = 64
-_FLUSH = 4 << 20
+_FLUSH = 2 << 20
+#: Signatures of sets that a task remembers so as not to deal copies again; beyond them copies are dealt, and meet later.
+SEEN = 50_000
 _Q = mix64(np.arange(101, 101 + K, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -154,7 +156,7 @@ def _prefixes(common):
                 sign = signature(tokens)
                 if (*sign, len(tokens)) in seen:
                     continue
-                if len(seen) < 500_000:
+                if len(seen) < SEEN:
                     seen.add((*sign, len(tokens)))
                 order = (tokens >> np.uint64(1)) | (heavy[tokens >> np.uint64(64 - 22)].astype(np.uint64) << np.uint64(63))
                 first = int(prefix_length(len(tokens)))
