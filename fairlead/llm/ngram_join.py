@@ -187,6 +187,11 @@ def _bitmap(ids: DataFrame, bits: int):
     return out.ravel()
 
 
+def _listed(sets: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
+
+
 def _whole_sets(wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
@@ -196,42 +201,39 @@ def _whole_sets(wanted):
             if not kept.num_rows:
                 continue
             for part, sets in _sets(iter([kept])):
-                yield pa.record_batch([part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rid", "tokens"])
+                yield pa.record_batch([part.column(0), _listed(sets)], names=["rid", "tokens"])
 
     return run
 
 
-def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose whole sets reach the threshold."""
-    last, known = None, None
-    for batch in batches:
-        good = np.zeros(batch.num_rows, bool)
-        for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-            one = x.as_buffer()
-            if last is None or not one.equals(last):
-                last, known = one, np.frombuffer(one, np.uint64)
-            other = np.frombuffer(y.as_buffer(), np.uint64)
-            small, large = (known, other) if len(known) < len(other) else (other, known)
-            if 100 * len(small) < PERCENT * len(large) or not len(small):
-                continue
-            at = np.searchsorted(large, small)
-            both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-            good[i] = 100 * both >= PERCENT * (len(small) + len(large) - both)
-        yield batch.select(["a", "b"]).filter(pa.array(good))
-
-
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Decide (a, b) pairs; b's sets travel to a's, and a hub's side can be split."""
+    """Pairs whose whole sets reach the threshold; a row holds one pair's sets, and a hub's side can be split."""
     one = sets.select(F.col("rid").alias("b"), F.col("tokens").alias("tb"))
     two = sets.select(F.col("rid").alias("a"), F.col("tokens").alias("ta"))
     hubs = two.join(pairs.select("a").distinct(), "a", "left_semi")
-    return pairs.join(one, "b").join(hubs, "a").select("a", "b", "ta", "tb").mapInArrow(_decided, "a long, b long")
+    rows = pairs.join(one, "b").join(hubs, "a")
+    both = F.size(F.array_intersect("ta", "tb"))
+    return rows.where(100 * both >= PERCENT * (F.size("ta") + F.size("tb") - both)).select("a", "b")
 
 
 def _reach(n: Column) -> Column:
     return F.least(F.lit(ELL), F.ceil(n * PERCENT / 100))
 
 
+def _length(n: Column) -> Column:
+    return F.least(n, n - F.ceil(n * PERCENT / 100) + ELL)
+
+
+def _needed(x: Column, y: Column) -> Column:
+    """Common prefix shingles that two linked sets of these sizes have at least.
+
+    They share ``both`` shingles; the first k of those in the order lie in either prefix as long as
+    n - both + k is within that prefix.
+    """
+    both = F.ceil((x + y) * PERCENT / (100.0 + PERCENT))
+    return F.least(_length(x) - x + both, _length(y) - y + both)
+
+
 def _fits(x: Column, y: Column) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * PERCENT
 
@@ -248,8 +250,7 @@ def _nodes(posts: DataFrame, reps: DataFrame) -> DataFrame:
     found = spread.where("lo <> hi").groupBy("s1", "n").agg(
         F.collect_set("token").alias("tokens"), F.max(common)["token"].alias("most"), F.min(common)["token"].alias("least"), F.sum(F.log1p("df")).alias("sum")
     )
-    length = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + ELL)
-    able = found.where(F.size("tokens") >= _reach(F.col("n"))).withColumn("weight", F.round(F.col("sum") / length, 6))
+    able = found.where(F.size("tokens") >= _reach(F.col("n"))).withColumn("weight", F.round(F.col("sum") / _length(F.col("n")), 6))
     return able.join(reps.select("s1", "n", "rid"), ["s1", "n"]).select("rid", "n", "tokens", "most", "least", "weight")
 
 
@@ -264,7 +265,7 @@ def _star_pairs(nodes: DataFrame) -> DataFrame:
     one = nodes.select(F.col("rid").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na"))
     two = nodes.select(F.col("rid").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb"))
     both = pairs.distinct().join(one, "a").join(two, "b")
-    return both.where(F.size(F.array_intersect("ta", "tb")) >= F.least(_reach(F.col("na")), _reach(F.col("nb")))).select("a", "b")
+    return both.where(F.size(F.array_intersect("ta", "tb")) >= _needed(F.col("na"), F.col("nb"))).select("a", "b")
 
 
 def _opened_pairs(nodes: DataFrame, groups: DataFrame) -> DataFrame:
@@ -281,7 +282,7 @@ def _opened_pairs(nodes: DataFrame, groups: DataFrame) -> DataFrame:
     members = cells.select("token", "component", F.col("rid").alias("b"), F.col("n").alias("nb"))
     pairs = asks.join(members, ["token", "component"]).where(_fits(F.col("na"), F.col("nb")))
     counted = pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("cells"))
-    return counted.where(F.col("cells") >= F.least(_reach(F.col("na")), _reach(F.col("nb")))).select("a", "b")
+    return counted.where(F.col("cells") >= _needed(F.col("na"), F.col("nb"))).select("a", "b")
 
 
 def _decide(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -291,7 +292,7 @@ def _decide(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     bits = min(28, max(20, (16 * wanted.count() - 1).bit_length()))
     marked = rows.sparkSession.sparkContext.broadcast(_bitmap(wanted, bits))
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits).alias("at")
-    sets = materialize(rows.select("doc_id", "text", place).mapInArrow(_whole_sets(marked), "rid long, tokens binary"), "tokens")
+    sets = materialize(rows.select("doc_id", "text", place).mapInArrow(_whole_sets(marked), "rid long, tokens array<long>"), "tokens")
     links = materialize(_links(pairs, sets), "pairs")
     release(pairs, sets)
     return links
