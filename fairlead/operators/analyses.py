@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairlead.config import CloseEncounter, Drift, FreeFlow, Statistical, SuddenSpeedChange
@@ -26,25 +26,25 @@ def _ordinary(df: DataFrame, minutes: int) -> Column:
     return ~(out | vessel.predicted_too_long(F.col("ts_ms"), _last_real(df), minutes))
 
 
-def analysed(changes: DataFrame, statistic: str, params: Statistical) -> DataFrame:
-    """The cell changes that a statistical analysis looks at, with buckets."""
-    rows = statistics.with_buckets(changes)
+def _analysed(rows: DataFrame, statistic: str, params: Statistical) -> Column:
+    """Which cell changes (with buckets) a statistical analysis looks at."""
     t = F.col("ship_type")
-    keep = _ordinary(changes, params.prediction_minutes) & ~vessel.is_fishing(t) & ~vessel.is_engaged_in_fishing(t) & ~vessel.is_small(_length())
+    keep = _ordinary(rows, params.prediction_minutes) & ~vessel.is_fishing(t) & ~vessel.is_engaged_in_fishing(t) & ~vessel.is_small(_length())
     keep = keep & F.col("cell_id").isNotNull() & F.col("type_bucket").isNotNull() & F.col("size_bucket").isNotNull() & F.coalesce(_length() >= params.least_length, F.lit(False))
     if statistic == COURSE:
         keep = keep & ~vessel.is_slow(F.col("sog")) & F.col("course_bucket").isNotNull()
     if statistic == SPEED:
         keep = keep & F.col("speed_bucket").isNotNull()
-    return rows.where(keep)
+    return keep
 
 
-def verdicts(changes: DataFrame, stats: DataFrame, statistic: str, params: Statistical) -> DataFrame:
-    """Each analysed cell change with the cell's total, the count of its own buckets and ``abnormal``.
+def judged(rows: DataFrame, stats: DataFrame, statistic: str, params: Statistical) -> DataFrame:
+    """Every row with ``analysed``, its cell's total, the count of its own buckets and ``abnormal``.
 
     One equi-join by cell: a cell's statistic is one row, its counts a map of at most 480 entries.
     """
-    rows = analysed(changes, statistic, params)
+    rows = statistics.with_buckets(rows)
+    rows = rows.withColumn("analysed", _analysed(rows, statistic, params))
     cells = statistics.by_cell(stats.where(F.col("statistic") == statistic))
     third = {TYPE_SIZE: F.lit(1), COURSE: F.col("course_bucket"), SPEED: F.col("speed_bucket")}[statistic] - 1
     key = lambda k1: (k1 * 5 + F.col("size_bucket") - 1) * 12 + third
@@ -59,6 +59,11 @@ def verdicts(changes: DataFrame, stats: DataFrame, statistic: str, params: Stati
     return out.withColumn("abnormal", F.col("pd") < F.lit(params.pd).cast("float"))
 
 
+def verdicts(changes: DataFrame, stats: DataFrame, statistic: str, params: Statistical) -> DataFrame:
+    """The analysed cell changes with their verdicts."""
+    return judged(changes, stats, statistic, params).where("analysed").drop("analysed")
+
+
 def drift(reports: DataFrame, params: Drift) -> DataFrame:
     """Analysed reports with the parts of a drift, ``sustained`` and ``transition``.
 
@@ -72,8 +77,6 @@ def drift(reports: DataFrame, params: Drift) -> DataFrame:
     w = tracks.track_window()
     # an event lasts from the first sustained row of a drifting run to the first row that drifts no more
     rows = rows.withColumn("_run", F.sum((~F.col("drifting")).cast("int")).over(w))
-    from pyspark.sql import Window
-
     run = Window.partitionBy("mmsi", "epoch", "_run").orderBy("ts_ms", "seq").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("raised", F.col("drifting") & F.max("sustained_drift").over(run))
     before = F.coalesce(F.lag("raised").over(w), F.lit(False))
@@ -88,8 +91,6 @@ def sudden_speed_changes(reports: DataFrame, params: SuddenSpeedChange) -> DataF
     An observation starts at a vessel's first low report that is sudden after its last report above
     the low mark; the event fires at the first later low report with sustained low speed.
     """
-    from pyspark.sql import Window
-
     rows = tracks.with_speed_drops(reports, params.high, params.low, params.decay_seconds, params.sustain_seconds)
     t = F.col("ship_type")
     keep = ~F.coalesce(_length() < params.least_length, F.lit(False)) & vessel.sog_available(F.col("sog")) & _ordinary(reports, params.prediction_minutes)
