@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,7 +67,7 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, Metadata]:
                 raise ValueError(f"version {number} has no metadata of format {FORMAT_VERSION}")
             stats = spark.read.schema(SCHEMA).parquet(f"{path}/v{number}/statistics")
             return stats.select("statistic", "cell_id", "k1", "k2", "k3", "ship_count"), Metadata(m["grid_resolution"], m["downsampling"], m["format_version"])
-        except (PySparkException, ValueError):
+        except (PySparkException, Py4JError, ValueError):
             fs.rename(make(f"{path}/v{number}"), make(f"{path}/v{number}.corrupt"))
     raise FileNotFoundError(f"no statistics in {path}")
 
