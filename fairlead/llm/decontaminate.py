@@ -67,6 +67,8 @@ class Phrases:
             return none, none
         at = np.minimum(np.searchsorted(self.vocabulary, words.hash), len(self.vocabulary) - 1)
         known = self.vocabulary[at] == words.hash
+        if not known.any():
+            return none, none
         starts = np.zeros(len(known), bool)
         starts[words.offsets[:-1][words.offsets[:-1] < len(known)]] = True
         edge = known.copy()

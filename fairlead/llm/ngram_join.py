@@ -268,19 +268,46 @@ def _star_pairs(nodes: DataFrame) -> DataFrame:
     return both.where(F.size(F.array_intersect("ta", "tb")) >= _needed(F.col("na"), F.col("nb"))).select("a", "b")
 
 
+def _between(n: Column, low: Column, high: Column) -> tuple[Column, Column]:
+    """The sizes in [low, high] that fit a set of size n."""
+    return F.greatest(low, F.ceil(n * PERCENT / 100)), F.least(high, F.floor(n * 100 / PERCENT))
+
+
+def _least_needed(n: Column, low: Column, high: Column) -> Column:
+    """The least that ``_needed`` asks of a partner with a size in [low, high]: it is concave but for
+    rounding (2 at most), so at an end.
+    """
+    first, last = _between(n, low, high)
+    return F.least(_needed(n, first), _needed(n, last)) - 2
+
+
 def _opened_pairs(nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """The matrix step: query nodes against groups of a smaller name, then members of the opened groups."""
-    named = nodes.join(groups, nodes["rid"] == groups["node"], "left").select("rid", "n", F.coalesce("component", "rid").alias("component"), F.explode("tokens").alias("token"))
+    """The matrix step: query nodes against larger groups (by name if equal), then members of the opened ones.
+
+    A group's union is kept by bands of set sizes, ten per cent wide, which sharpens the bound.
+    """
+    sized = groups.join(groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component")
+    named = nodes.join(sized, nodes["rid"] == sized["node"], "left").select(
+        "rid", "n", F.size("tokens").alias("total"), F.floor(F.log("n") / F.log(F.lit(1.1))).cast("int").alias("band"),
+        F.coalesce("component", "rid").alias("component"), F.coalesce("size", F.lit(1)).alias("size"), F.explode("tokens").alias("token"),
+    )
     by_token = Window.partitionBy("token")
     cells = named.select("*", F.min("component").over(by_token).alias("lo"), F.max("component").over(by_token).alias("hi")).where("lo <> hi").drop("lo", "hi")
     cells = materialize(cells, "cells")
-    matrix = cells.groupBy("token", F.col("component").alias("group")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    sized = (F.col("high") * 100 >= F.col("n") * PERCENT) & (F.col("low") * PERCENT <= F.col("n") * 100)
-    asked = cells.join(matrix, "token").where((F.col("group") < F.col("component")) & sized).groupBy("rid", "n", "group").agg(F.count(F.lit(1)).alias("cells"))
-    opened = materialize(asked.where(F.col("cells") >= _reach(F.col("n"))).select("rid", "group"), "opened")
-    asks = cells.select("token", "rid", "n").join(opened, "rid").select("token", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("group").alias("component"))
-    members = cells.select("token", "component", F.col("rid").alias("b"), F.col("n").alias("nb"))
-    pairs = asks.join(members, ["token", "component"]).where(_fits(F.col("na"), F.col("nb")))
+    matrix = cells.groupBy("token", F.col("component").alias("group"), F.col("size").alias("group_size"), F.col("band").alias("group_band"))
+    matrix = matrix.agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("total").alias("most"))
+    larger = (F.col("group_size") > F.col("size")) | ((F.col("group_size") == F.col("size")) & (F.col("group") < F.col("component")))
+    first, last = _between(F.col("n"), F.col("low"), F.col("high"))
+    able = (first <= last) & (_least_needed(F.col("n"), F.col("low"), F.col("high")) <= F.least("total", "most"))
+    asked = cells.join(matrix, "token").where(larger & able).groupBy("rid", "n", "group", "group_band")
+    asked = asked.agg(F.count(F.lit(1)).alias("cells"), F.min("low").alias("low"), F.max("high").alias("high"))
+    opened = materialize(asked.where(F.col("cells") >= _least_needed(F.col("n"), F.col("low"), F.col("high"))).select("rid", "group", "group_band"), "opened")
+    asks = cells.select("token", "rid", "n", "total").join(opened, "rid").select(
+        "token", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("total").alias("ta"), F.col("group").alias("component"), F.col("group_band").alias("band")
+    )
+    members = cells.select("token", "component", "band", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("total").alias("tb"))
+    able = _fits(F.col("na"), F.col("nb")) & (_needed(F.col("na"), F.col("nb")) <= F.least("ta", "tb"))
+    pairs = asks.join(members, ["token", "component", "band"]).where(able)
     counted = pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("cells"))
     return counted.where(F.col("cells") >= _needed(F.col("na"), F.col("nb"))).select("a", "b")
 
