@@ -169,6 +169,13 @@ def intersects(a: Column, b: Column, points: int = 256) -> Column:
     return contains(b, a["x"], a["y"]) | contains(a, b["x"], b["y"]) | F.exists(angles, rim)
 
 
+def ellipse_position(e: Column, ref_lat: Column, ref_lon: Column) -> Column:
+    """Where an ellipse lies: centre, compass heading of the long axis and the half axes."""
+    return F.struct(
+        local_lat(e["y"], ref_lat).alias("lat"), local_lon(e["x"], ref_lat, ref_lon).alias("lon"), cartesian_to_compass(e["theta"]).alias("heading"), e["alpha"].alias("major"), e["beta"].alias("minor")
+    )
+
+
 def degree_lengths(lat: Column) -> tuple[Column, Column]:
     """Metres to a degree of latitude and of longitude, by the usual cosine series."""
     r = F.radians(lat)

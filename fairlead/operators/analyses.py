@@ -152,6 +152,30 @@ def close_encounters(reports: DataFrame, params: CloseEncounter) -> DataFrame:
     return rows.withColumn("meets", geo.intersects(F.col("zone"), F.col("extent")))
 
 
+def encounter_runs(reports: DataFrame, params: CloseEncounter) -> DataFrame:
+    """Each vessel and run with a candidate: whether any neighbour meets its zone, and of those that do the nearest."""
+    rows = close_encounters(reports, params)
+    zone = geo.ellipse_position(F.col("zone"), F.col("pa_lat"), F.col("pa_lon"))
+    extent = geo.ellipse_position(F.col("extent"), F.col("pa_lat"), F.col("pa_lon"))
+    pair = F.struct("near_metres", "b_mmsi", "a_name", "a_ship_type", "b_name", "b_ship_type", "a_ts_ms", zone.alias("zone"), extent.alias("extent"))
+    nearest = F.min(F.when(F.col("meets"), pair))
+    return rows.groupBy("run_ms", F.col("a_mmsi").alias("mmsi")).agg(F.max("meets").alias("abnormal"), nearest.alias("with"))
+
+
+def reason_counters(changes: DataFrame, statistic: str, params: Statistical) -> DataFrame:
+    """How many cell changes an analysis looks at, and the first reason why it leaves out the others."""
+    t = F.col("ship_type")
+    rows = statistics.with_buckets(changes)
+    reason = F.when(vessel.is_class_b(t), "class b").when(vessel.is_unknown_type_or_size(t, _length()), "unknown type or size")
+    reason = reason.when(vessel.is_fishing(t) | vessel.is_engaged_in_fishing(t), "fishing")
+    if statistic == COURSE:
+        reason = reason.when(vessel.is_slow(F.col("sog")), "slow")
+    reason = reason.when(vessel.is_small(_length()), "small").when(vessel.is_special_craft(t), "special craft").when(vessel.is_engaged_in_towing(t), "towing")
+    reason = reason.when(vessel.predicted_too_long(F.col("ts_ms"), _last_real(changes), params.prediction_minutes), "predicted too long")
+    reason = reason.when(_analysed(rows, statistic, params), "analysed").otherwise("other")
+    return rows.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def free_flow(reports: DataFrame, params: FreeFlow) -> DataFrame:
     """Pairs of large tankers and cargo vessels that sail the same way, the second in the first's ellipse, before throttling."""
     t = F.col("ship_type")

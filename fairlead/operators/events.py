@@ -118,6 +118,25 @@ def described_speed_changes(events: DataFrame) -> DataFrame:
     return events.withColumn("title", F.lit("Sudden speed change")).withColumn("description", text)
 
 
+def encounters(runs: DataFrame) -> DataFrame:
+    """Close encounters from runs: raised by the first run that meets, lowered by the first later one that does not."""
+    from fairlead.functions.categories import ship_type_bucket
+    from fairlead.operators.hysteresis import with_state
+
+    rows = runs.select("mmsi", F.lit(0).alias("epoch"), F.col("run_ms").alias("ts_ms"), F.lit(0).alias("seq"), "abnormal", "with")
+    found = intervals(with_state(rows, 1, 1), ENCOUNTER)
+    pair = F.col("at.with")
+    kind = lambda c: F.coalesce(label("type", ship_type_bucket(c)), F.lit("?"))
+    text = F.concat(
+        F.lit("Close encounter between "), vessel.name_or_mmsi(pair["a_name"], F.col("mmsi")), F.lit(" ("), kind(pair["a_ship_type"]), F.lit(") and "), vessel.name_or_mmsi(pair["b_name"], pair["b_mmsi"]),
+        F.lit(" ("), kind(pair["b_ship_type"]), F.lit(") on "), formats.stamp(formats.from_millis(pair["a_ts_ms"])), F.lit("."),
+    )
+    return found.select(
+        "event_type", "mmsi", pair["b_mmsi"].alias("other"), "start_ms", "end_ms", "state", "n_points", pair["zone"].alias("safety_zone"), pair["extent"].alias("secondary_extent"),
+        F.lit("Close encounter").alias("title"), text.alias("description"),
+    )
+
+
 def set_suppressed(events: DataFrame, ids: list[int], suppressed: bool = True) -> DataFrame:
     return events.withColumn("suppressed", F.when(F.col("event_id").isin(ids), suppressed).otherwise(F.col("suppressed")))
 

@@ -469,6 +469,22 @@ def ana_close_encounter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("run_ms", "a_mmsi").agg(F.max("meets").alias("meets"), F.count(F.lit(1)).alias("near"))
 
 
+@query
+def encounter_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events.encounters(analyses.encounter_runs(sample.fleet_reports(spark, sf_dir), ENCOUNTER))
+    zone = F.col("safety_zone")
+    return rows.select("mmsi", "other", "start_ms", "end_ms", "state", "n_points", F.round(zone["lat"], 6).alias("zone_lat"), F.round(zone["lon"], 6).alias("zone_lon"), F.round(zone["heading"], 3).alias("heading"), "description")
+
+
+@query
+def ana_reason_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for name in (COURSE, SPEED):
+        rows = analyses.reason_counters(changes(spark, sf_dir), name, LEARNED).select(F.lit(name).alias("statistic"), "reason", "n")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
 @query
 def free_flow_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = analyses.free_flow(sample.fleet_reports(spark, sf_dir), FLOW)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from fairlead.config import Settings
 from fairlead.functions.geo import Grid
@@ -44,7 +43,7 @@ def add_statistics(reports: DataFrame, path: str, settings: Settings) -> int:
 
 @dataclass
 class Detected:
-    """Raised intervals, sudden speed changes, close encounters by run and free-flow pairs; a switched-off part is None."""
+    """Raised intervals, sudden speed changes, close encounters and free-flow pairs; a switched-off part is None."""
 
     intervals: DataFrame | None
     speed_changes: DataFrame | None
@@ -71,13 +70,6 @@ def detect(reports: DataFrame, stats: DataFrame, settings: Settings) -> Detected
     return Detected(
         None if raised is None else events.with_ids(raised),
         events.described_speed_changes(analyses.sudden_speed_changes(reports, settings.speed_change)) if settings.speed_change.enabled else None,
-        encounter_runs(reports, settings) if settings.encounter.enabled else None,
+        events.encounters(analyses.encounter_runs(reports, settings.encounter)) if settings.encounter.enabled else None,
         pairs.throttled(analyses.free_flow(reports, settings.free_flow), settings.free_flow.report_minutes * 60_000) if settings.free_flow.enabled else None,
     )
-
-
-def encounter_runs(reports: DataFrame, settings: Settings) -> DataFrame:
-    """For each vessel and run with a candidate: whether any neighbour meets its safety zone, and the nearest that does."""
-    rows = analyses.close_encounters(reports, settings.encounter)
-    nearest = F.min_by(F.when(F.col("meets"), F.col("b_mmsi")), F.when(F.col("meets"), F.col("near_metres")))
-    return rows.groupBy("run_ms", F.col("a_mmsi").alias("mmsi")).agg(F.max("meets").alias("abnormal"), nearest.alias("other"))

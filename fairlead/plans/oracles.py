@@ -425,6 +425,26 @@ met AS (
   FROM shapes
 )""", "SELECT run_ms, a_mmsi, bool_or(meets) AS meets, count(*) AS near FROM met GROUP BY run_ms, a_mmsi")
 
+_MET = ORACLES["ana_close_encounter"].removeprefix("WITH ").rpartition("\nSELECT")[0]
+_add("encounter_events", _MET + """,
+runs AS (
+  SELECT run_ms, a_mmsi AS mmsi, bool_or(meets) AS abnormal, min((near_metres, b_mmsi)) FILTER (meets) AS w FROM met GROUP BY run_ms, a_mmsi
+),
+was AS (SELECT *, coalesce(lag(abnormal) OVER (PARTITION BY mmsi ORDER BY run_ms), false) AS before FROM runs),
+numbered AS (SELECT *, sum(CASE WHEN abnormal AND NOT before THEN 1 ELSE 0 END) OVER (PARTITION BY mmsi ORDER BY run_ms ROWS UNBOUNDED PRECEDING) AS k FROM was),
+found AS (
+  SELECT mmsi, k, min(run_ms) FILTER (abnormal) AS start_ms, min(run_ms) FILTER (before AND NOT abnormal) AS end_ms, count(*) FILTER (abnormal) AS n_points, arg_min(w, run_ms) FILTER (abnormal) AS w
+  FROM numbered WHERE k > 0 AND (abnormal OR before) GROUP BY mmsi, k
+)""", f"""
+SELECT f.mmsi, m.b_mmsi AS other, f.start_ms, f.end_ms, CASE WHEN f.end_ms IS NULL THEN 'ONGOING' ELSE 'PAST' END AS state, f.n_points,
+  round(m.pa_lat + m.z_y / {_M}, 6) AS zone_lat, round(m.pa_lon + m.z_x / ({_M} * cos(radians(m.pa_lat))), 6) AS zone_lon, round(CAST(m.a_cog AS DOUBLE) % 360, 3) AS heading,
+  'Close encounter between ' || trim(replace(m.a_name, '@', ' ')) || ' (' || {_label('type', '(' + _A + ')')} || ') and ' || trim(replace(m.b_name, '@', ' ')) || ' (' || {_label('type', '(' + _B + ')')} || ') on '
+  || {_WHEN.format('m.a_ts_ms')} || '.' AS description
+FROM found f JOIN met m ON m.run_ms = f.start_ms AND m.a_mmsi = f.mmsi AND m.b_mmsi = f.w[2]""")
+_add("ana_reason_counters", _STATS, " UNION ALL ".join(f"""
+SELECT '{s}' AS statistic, CASE WHEN type_bucket = 6 THEN 'class b' WHEN type_bucket = 5 THEN 'fishing'{" WHEN sog < 3 THEN 'slow'" if s == _C else ''} WHEN to_bow + to_stern < 30 THEN 'small' WHEN ship_type BETWEEN 50 AND 55 THEN 'special craft'
+  WHEN ship_type IN (31, 32) THEN 'towing' WHEN to_bow + to_stern >= 50 AND size_bucket IS NOT NULL THEN 'analysed' ELSE 'other' END AS reason, count(*) AS n FROM bucketed GROUP BY ALL""" for s in (_C, _S)))
+
 _U = "(({0}_to_bow + {0}_to_stern) // 2 - {0}_to_stern)"
 _V = "(({0}_to_port + {0}_to_starboard) // 2 - {0}_to_starboard)"
 _H = "radians((450 - CAST({0}_hdg AS DOUBLE)) % 360)"
