@@ -15,8 +15,10 @@ Documents with equal sets become one node at once.
    are held against that node and linked ones form one group (a component so far).
 4. *Matrix.*  Each group's union of prefix shingles is stored as (shingle,
    group).  A query node's overlap with a group is bounded by the count of
-   common cells; only groups that reach ``ELL`` are opened, and only members
-   that reach it themselves are compared.  Pairs inside one group are never made.
+   common cells; only groups that reach what a link needs are opened.  An opened
+   group first sends a few delegates; where none links, the query's whole set
+   meets the group's whole union, and only what still can link meets all members.
+   Pairs inside one group are never made.
 5. Compared pairs are decided on their whole sets, 100 * both >= 75 * either.
 
 Copies are never expanded, a cluster of near copies costs one comparison a
@@ -47,6 +49,8 @@ K = 5
 PERCENT = 75
 ELL = 12
 BUCKETS = 1 << 22
+#: Members of an opened group that a query is held against first.
+DELEGATES = 4
 _SLICES = 64
 _FLUSH = 2 << 20
 #: Signatures of sets that a task remembers so as not to deal copies again; beyond them copies are dealt, and meet later.
@@ -224,13 +228,18 @@ def _length(n: Column) -> Column:
     return F.least(n, n - F.ceil(n * PERCENT / 100) + ELL)
 
 
+def _shared(x: Column, y: Column) -> Column:
+    """Shingles that two linked sets of these sizes share at least."""
+    return F.ceil((x + y) * PERCENT / (100.0 + PERCENT))
+
+
 def _needed(x: Column, y: Column) -> Column:
     """Common prefix shingles that two linked sets of these sizes have at least.
 
     They share ``both`` shingles; the first k of those in the order lie in either prefix as long as
     n - both + k is within that prefix.
     """
-    both = F.ceil((x + y) * PERCENT / (100.0 + PERCENT))
+    both = _shared(x, y)
     return F.least(_length(x) - x + both, _length(y) - y + both)
 
 
@@ -281,14 +290,18 @@ def _least_needed(n: Column, low: Column, high: Column) -> Column:
     return F.least(_needed(n, first), _needed(n, last)) - 2
 
 
-def _opened_pairs(nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """The matrix step: query nodes against larger groups (by name if equal), then members of the opened ones.
+def _band() -> Column:
+    return F.floor(F.log("n") / F.log(F.lit(1.1))).cast("int")
+
+
+def _opened(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """The matrix step: query nodes against larger groups (by name if equal); what the bound leaves is opened.
 
     A group's union is kept by bands of set sizes, ten per cent wide, which sharpens the bound.
     """
     sized = groups.join(groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component")
     named = nodes.join(sized, nodes["rid"] == sized["node"], "left").select(
-        "rid", "n", F.size("tokens").alias("total"), F.floor(F.log("n") / F.log(F.lit(1.1))).cast("int").alias("band"),
+        "rid", "n", F.size("tokens").alias("total"), _band().alias("band"),
         F.coalesce("component", "rid").alias("component"), F.coalesce("size", F.lit(1)).alias("size"), F.explode("tokens").alias("token"),
     )
     by_token = Window.partitionBy("token")
@@ -301,25 +314,72 @@ def _opened_pairs(nodes: DataFrame, groups: DataFrame) -> DataFrame:
     able = (first <= last) & (_least_needed(F.col("n"), F.col("low"), F.col("high")) <= F.least("total", "most"))
     asked = cells.join(matrix, "token").where(larger & able).groupBy("rid", "n", "group", "group_band")
     asked = asked.agg(F.count(F.lit(1)).alias("cells"), F.min("low").alias("low"), F.max("high").alias("high"))
-    opened = materialize(asked.where(F.col("cells") >= _least_needed(F.col("n"), F.col("low"), F.col("high"))).select("rid", "group", "group_band"), "opened")
-    asks = cells.select("token", "rid", "n", "total").join(opened, "rid").select(
-        "token", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("total").alias("ta"), F.col("group").alias("component"), F.col("group_band").alias("band")
-    )
-    members = cells.select("token", "component", "band", F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("total").alias("tb"))
-    able = _fits(F.col("na"), F.col("nb")) & (_needed(F.col("na"), F.col("nb")) <= F.least("ta", "tb"))
-    pairs = asks.join(members, ["token", "component", "band"]).where(able)
-    counted = pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("cells"))
-    return counted.where(F.col("cells") >= _needed(F.col("na"), F.col("nb"))).select("a", "b")
+    opened = materialize(asked.where(F.col("cells") >= _least_needed(F.col("n"), F.col("low"), F.col("high"))).select("rid", "n", "group", "group_band"), "opened")
+    release(cells)
+    return opened
 
 
-def _decide(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Links among candidate pairs; only the sets of documents in a pair leave the scan."""
-    pairs = materialize(pairs, "candidates")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+def _banded(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members of groups: b, nb, prefix shingles, weight and the group and band they belong to."""
+    named = nodes.join(groups, nodes["rid"] == groups["node"], "left")
+    return named.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"), "weight", F.coalesce("component", "rid").alias("group"), _band().alias("group_band"))
+
+
+def _delegate_pairs(opened: DataFrame, members: DataFrame) -> DataFrame:
+    """Each query with at most ``DELEGATES`` members of an opened group: the one that shares most and some by hash.
+
+    One link joins the query to the whole group, so most queries need no more.
+    """
+    one = F.struct("b", "nb")
+    picks = [F.max_by(one, F.struct("weight", (-F.col("b")).alias("r")))] + [F.min_by(one, F.xxhash64("b", F.lit(k))) for k in range(1, DELEGATES)]
+    chosen = members.groupBy("group", "group_band").agg(F.array_distinct(F.array(*picks)).alias("m")).select("group", "group_band", F.explode("m").alias("m"))
+    pairs = opened.join(chosen, ["group", "group_band"]).where(_fits(F.col("n"), F.col("m.nb")))
+    return pairs.select(F.col("rid").alias("a"), F.col("m.b").alias("b")).distinct()
+
+
+def _unresolved(opened: DataFrame, groups: DataFrame) -> DataFrame:
+    """Opened groups that their query is still apart from."""
+    named = groups.select(F.col("node").alias("rid"), F.col("component").alias("own"))
+    of = groups.select(F.col("node").alias("group"), F.col("component").alias("its"))
+    rows = opened.join(named, "rid", "left").join(of, "group", "left")
+    return rows.where(F.coalesce("own", "rid") != F.coalesce("its", "group")).select("rid", "n", "group", "group_band")
+
+
+def _remaining_links(rows: DataFrame, nodes: DataFrame, opened: DataFrame, members: DataFrame) -> DataFrame:
+    """Queries against groups by whole sets: the overlap with the group's whole union, then every member of what is left."""
+    unit = ["group", "group_band"]
+    asked = members.select("b", "nb", *unit).join(opened.select(*unit).distinct(), unit)
+    sets = _sets_of(rows, opened.select(F.col("rid").alias("id")).union(asked.select("b")).distinct())
+    inside = asked.join(sets.select(F.col("rid").alias("b"), F.explode("tokens").alias("token")), "b")
+    union = inside.groupBy(*unit, "token").agg(F.min("nb").alias("low"))
+    cells = opened.join(sets, "rid").select("rid", "n", *unit, F.explode("tokens").alias("token"))
+    met = cells.join(union, [*unit, "token"]).groupBy("rid", "n", *unit).agg(F.count(F.lit(1)).alias("both"), F.min("low").alias("low"))
+    smallest = F.greatest(F.col("low"), F.ceil(F.col("n") * PERCENT / 100))
+    left = met.where(F.col("both") >= _shared(F.col("n"), smallest)).select("rid", "n", "both", *unit)
+    left = left.join(nodes.select("rid", F.col("tokens").alias("ta")), "rid")
+    able = _fits(F.col("n"), F.col("nb")) & (F.col("both") >= _shared(F.col("n"), F.col("nb")))
+    able = able & (F.size(F.array_intersect("ta", "tb")) >= _needed(F.col("n"), F.col("nb")))
+    pairs = left.join(members, unit).where(able).select(F.col("rid").alias("a"), "b").distinct()
+    links = materialize(_links(materialize(pairs, "candidates"), sets), "pairs")
+    release(sets)
+    return links
+
+
+def _sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Whole sets (rid, tokens) of the wanted ids and of few others; only these leave the scan."""
+    wanted = materialize(wanted, "wanted")
     bits = min(28, max(20, (16 * wanted.count() - 1).bit_length()))
     marked = rows.sparkSession.sparkContext.broadcast(_bitmap(wanted, bits))
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits).alias("at")
     sets = materialize(rows.select("doc_id", "text", place).mapInArrow(_whole_sets(marked), "rid long, tokens array<long>"), "tokens")
+    release(wanted)
+    return sets
+
+
+def _decide(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links among candidate pairs."""
+    pairs = materialize(pairs, "candidates")
+    sets = _sets_of(rows, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     links = materialize(_links(pairs, sets), "pairs")
     release(pairs, sets)
     return links
@@ -338,9 +398,12 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
 
     links = _decide(rows, _star_pairs(nodes))
     groups = materialize(components(links), "groups")
-    links = links.union(_decide(rows, _opened_pairs(nodes, groups)))
+    opened, members = _opened(nodes, groups), _banded(nodes, groups)
+    links = links.union(_decide(rows, _delegate_pairs(opened, members)))
+    groups = materialize(components(links), "groups")
+    links = links.union(_remaining_links(rows, nodes, materialize(_unresolved(opened, groups), "opened"), members))
     groups = materialize(components(links), "groups")
-    release(nodes)
+    release(nodes, opened)
 
     named = reps.join(groups, reps["rid"] == groups["node"], "left").select("n", "s1", "s2", F.coalesce("component", "rid").alias("component_id"))
     out = sizes.join(materialize(named, "named"), ["n", "s1", "s2"], "left")
