@@ -22,9 +22,9 @@ import pyarrow as pa
 from fairlead.llm.common import _byte_codes, _powers, mix64, text_buffers
 
 END_ID = 2
-MEMORY = 2_000_000
-POOL = 64 << 20
-_SLOT_BITS = 22
+MEMORY = 700_000
+POOL = 32 << 20
+_SLOT_BITS = 21
 
 _SPACE, _LINE = 0x20, 0x0A
 _LETTER = np.zeros(256, bool)
