@@ -12,7 +12,7 @@ from fairlead.functions import categories, formats, geo, vessel
 from fairlead.functions.geo import Grid
 from fairlead.operators import analyses, events, filters, hysteresis, pairs, search, statistics, tracks
 from fairlead.operators.statistics import COURSE, SPEED, TYPE_SIZE
-from fairlead.sources import event_files, sample
+from fairlead.sources import event_files, sample, statistics_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -574,6 +574,14 @@ def qry_missing_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.missing_statistics(stats(spark, sf_dir), (TYPE_SIZE, "HeadingStatistic"))
 
 
+@query
+def qry_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    meta = statistics_store.Metadata(Grid().resolution, 10)
+    row = spark.createDataFrame([(meta.grid_resolution, meta.downsampling, meta.format_version)], statistics_store.METADATA)
+    names = search.statistic_names(stats(spark, sf_dir)).agg(F.array_join(F.sort_array(F.collect_list("statistic")), ",").alias("statistics"))
+    return row.join(F.broadcast(names))  # one row each
+
+
 @query
 def qry_types_with_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.types_with_counts(search.events_between(sample.event_store(spark, sf_dir)[0], *SPAN))

@@ -505,6 +505,7 @@ _add("qry_cell_statistic", _STATS, f"SELECT * FROM stats WHERE statistic = '{_S}
 _add("qry_statistic_counts", _STATS, "SELECT statistic, count(DISTINCT cell_id) AS cells FROM stats GROUP BY statistic")
 _add("qry_first_cell", _STATS, f"SELECT min(cell_id) AS cell_id FROM stats WHERE statistic = '{_T}'")
 ORACLES["qry_missing_statistics"] = "SELECT 'HeadingStatistic' AS statistic"
+_add("qry_metadata", _STATS, f"SELECT CAST({_RES} AS DOUBLE) AS grid_resolution, CAST(10 AS INTEGER) AS downsampling, CAST(1 AS SMALLINT) AS format_version, string_agg(DISTINCT statistic, ',' ORDER BY statistic) AS statistics FROM stats")
 _add("qry_types_with_counts", _STORE, f"SELECT event_type, count(*) AS n FROM stored WHERE {_BETWEEN} GROUP BY event_type")
 _add("qry_report", _STORE, f"""
 SELECT s.event_type, s.event_id, printf('%8d %16s %16s %9d %-20s %3d %-9s %7.4f %7.4f %4.1f %5.1f %3.0f', s.event_id, strftime(start_time, '%d/%m/%Y %H:%M'),
