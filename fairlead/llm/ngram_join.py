@@ -16,8 +16,9 @@ Documents with equal sets become one node at once.
 4. *Matrix.*  Each group's union of prefix shingles is stored as (shingle,
    group).  A query node's overlap with a group is bounded by the count of
    common cells; only groups that reach what a link needs are opened.  An opened
-   group first sends a few delegates; where none links, the query's whole set
-   meets the group's whole union, and only what still can link meets all members.
+   group first sends a few delegates; where none links, the query meets all members
+   of a small group, and of a large one if its whole set can link by the bound
+   with the group's whole union.
    Pairs inside one group are never made.
 5. Compared pairs are decided on their whole sets, 100 * both >= 75 * either.
 
@@ -51,6 +52,8 @@ ELL = 12
 BUCKETS = 1 << 22
 #: Members of an opened group that a query is held against first.
 DELEGATES = 4
+#: Opened groups of up to so many members meet a query member by member; larger ones first by their union.
+SMALL = 64
 _SLICES = 64
 _FLUSH = 2 << 20
 #: Signatures of sets that a task remembers so as not to deal copies again; beyond them copies are dealt, and meet later.
@@ -271,9 +274,14 @@ def _star_pairs(nodes: DataFrame) -> DataFrame:
         centres = rows.groupBy("token").agg(F.max(F.struct("weight", (-F.col("rid")).alias("r"), "n")).alias("c"))
         some = rows.join(centres, "token").where((F.col("rid") != -F.col("c.r")) & _fits(F.col("n"), F.col("c.n"))).select((-F.col("c.r")).alias("a"), F.col("rid").alias("b"))
         pairs = some if pairs is None else pairs.union(some)
+    return _bounded(pairs.distinct(), nodes)
+
+
+def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose prefixes share enough."""
     one = nodes.select(F.col("rid").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na"))
     two = nodes.select(F.col("rid").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb"))
-    both = pairs.distinct().join(one, "a").join(two, "b")
+    both = pairs.join(one, "a").join(two, "b")
     return both.where(F.size(F.array_intersect("ta", "tb")) >= _needed(F.col("na"), F.col("nb"))).select("a", "b")
 
 
@@ -345,7 +353,14 @@ def _unresolved(opened: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.where(F.coalesce("own", "rid") != F.coalesce("its", "group")).select("rid", "n", "group", "group_band")
 
 
-def _remaining_links(rows: DataFrame, nodes: DataFrame, opened: DataFrame, members: DataFrame) -> DataFrame:
+def _small_group_pairs(nodes: DataFrame, opened: DataFrame, members: DataFrame) -> DataFrame:
+    """Queries and all members of opened groups of at most ``SMALL``, where their prefixes share enough."""
+    asks = opened.join(nodes.select("rid", F.col("tokens").alias("ta")), "rid")
+    able = _fits(F.col("n"), F.col("nb")) & (F.size(F.array_intersect("ta", "tb")) >= _needed(F.col("n"), F.col("nb")))
+    return asks.join(members, ["group", "group_band"]).where(able).select(F.col("rid").alias("a"), "b").distinct()
+
+
+def _large_group_links(rows: DataFrame, nodes: DataFrame, opened: DataFrame, members: DataFrame) -> DataFrame:
     """Queries against groups by whole sets: the overlap with the group's whole union, then every member of what is left."""
     unit = ["group", "group_band"]
     asked = members.select("b", "nb", *unit).join(opened.select(*unit).distinct(), unit)
@@ -399,9 +414,13 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     links = _decide(rows, _star_pairs(nodes))
     groups = materialize(components(links), "groups")
     opened, members = _opened(nodes, groups), _banded(nodes, groups)
-    links = links.union(_decide(rows, _delegate_pairs(opened, members)))
+    delegates = materialize(_delegate_pairs(opened, members), "delegates")
+    links = links.union(_decide(rows, _bounded(delegates, nodes)))
     groups = materialize(components(links), "groups")
-    links = links.union(_remaining_links(rows, nodes, materialize(_unresolved(opened, groups), "opened"), members))
+    sizes_of = members.groupBy("group", "group_band").agg(F.count(F.lit(1)).alias("members"))
+    apart = materialize(_unresolved(opened, groups).join(sizes_of, ["group", "group_band"]), "opened")
+    links = links.union(_decide(rows, _small_group_pairs(nodes, apart.where(F.col("members") <= SMALL), members)))
+    links = links.union(_large_group_links(rows, nodes, apart.where(F.col("members") > SMALL), members))
     groups = materialize(components(links), "groups")
     release(nodes, opened)
 
