@@ -3,8 +3,9 @@
 Byte-level BPE splits text into pieces before it merges, and some points always
 end a piece: before a space that a visible character follows, between a letter
 and a punctuation mark, and around a lone line feed between a mark or letter and
-a letter.  A text's ids are the ids of its segments cut there, one after the
-other.  A worker encodes each distinct segment once by the library and keeps it
+a letter.  An added token such as ``<|endoftext|>`` is a segment of its own, and
+what lies beside it is cut like the begin and end of a text.  A text's ids are
+the ids of its segments cut there, one after the other.  A worker encodes each distinct segment once by the library and keeps it
 in a hash table of numpy arrays; a hit counts only when the segment's bytes are
 equal, so the memory changes nothing but the speed.  It is emptied at
 ``MEMORY`` segments or ``POOL`` bytes.  Tests hold the ids against encoding whole
@@ -14,6 +15,7 @@ texts at once.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable
 
 import numpy as np
@@ -45,12 +47,27 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def segments(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where segments begin; every non-empty text begins one."""
+def occurrences(tokens: re.Pattern[bytes], data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(begin, end) of the added tokens inside texts, from left to right."""
+    raw, found, at = data.tobytes(), [], 0
+    while hit := tokens.search(raw, at):
+        text = np.searchsorted(offsets, hit.start(), side="right")
+        if hit.end() <= offsets[text]:
+            found.append(hit.span())
+            at = hit.end()
+        else:  # the end of one text and the begin of the next
+            at = hit.start() + 1
+    return np.array(found, np.int64).reshape(-1, 2)
+
+
+def segments(data: np.ndarray, offsets: np.ndarray, whole: np.ndarray | None = None) -> np.ndarray:
+    """Where segments begin; every non-empty text begins one, and each range of ``whole`` is one."""
     n = len(data)
     cut = np.zeros(n + 1, bool)
-    inner = np.ones(n + 1, bool)  # false where a text begins: no rule looks over that point
+    inner = np.ones(n + 1, bool)  # false where a text or a whole range begins or ends: no rule looks over that point
     inner[offsets] = False
+    if whole is not None:
+        inner[whole] = False
     if n > 1:
         here, then = data[:-1], data[1:]
         cut[:-2] |= (here == _SPACE) & _BEGINS[then] & inner[1:-1]
@@ -59,19 +76,27 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         alone = _VISIBLE[data[:-2]] & (data[1:-1] == _LINE) & _LETTER[data[2:]] & inner[1:-2] & inner[2:-1]
         cut[1:-2] |= alone
         cut[2:-1] |= alone
+    if whole is not None:
+        for begin, end in whole.tolist():
+            cut[begin:end] = False
+        cut[whole] = True
     cut[offsets[:-1]] = True
     return np.flatnonzero(cut[:n])
 
 
 class Encoder:
-    """Ids of texts, without special tokens."""
+    """Ids of texts by the library's defaults, with no special tokens put around them."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._model = Tokenizer.from_file(path)
-        self._model.encode_special_tokens = True
+        added = self._model.get_added_tokens_decoder().values()
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized or " " in t.content for t in added):
+            raise ValueError("an added token depends on the text beside it")
+        contents = sorted((t.content.encode() for t in added), key=len, reverse=True)  # the longest wins, as in the library
+        self._added = re.compile(b"|".join(map(re.escape, contents))) if contents else None
         vocabulary = self._model.get_vocab(with_added_tokens=True)
         self._spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self._spaced[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
@@ -161,7 +186,7 @@ class Encoder:
         """Ids of all texts in one array and each text's range; ``end`` is appended to each text."""
         if self._count > MEMORY or max(self._ids_end, self._bytes_end) > POOL:
             self._clear()
-        start = segments(data, offsets)
+        start = segments(data, offsets, None if self._added is None else occurrences(self._added, data, offsets))
         n = len(data)
         size = np.diff(np.append(start, n))
         if len(start):

@@ -270,6 +270,21 @@ def test_segments_give_the_whole_texts_ids():
         assert model.encode(texts) == want
 
 
+def test_added_tokens_inside_beside_and_between_words():
+    from tokenizers import Tokenizer
+
+    end = "<|endoftext|>"
+    rng = random.Random(2)
+    parts = [end, "<|", "endoftext", "|>", "a", "b", " ", ".", ",", "\n", "'s", "é", "1", "<|endo", "ftext|>", "  "]
+    texts = [f"end of one{end}start of two", f"in{end}side", f"beside {end} a", f"{end}", f"{end}{end}", f"<{end}>", f"a  {end}  b", f"a\n{end}\nb", f"x.{end}.y", f"{end} a", "one <|endo", "ftext|> two", f"{end[:-1]} >"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(600)]
+    want = [e.ids for e in Tokenizer.from_file(default_tokenizer()).encode_batch(texts, add_special_tokens=False)]
+    assert want[0].count(50256) == 1 and len(want[0]) == 7
+    model = Encoder(default_tokenizer())
+    for _ in range(2):
+        assert model.encode(texts) == want
+
+
 def test_packing_awkward(awkward, empty):
     rows = packing.pack(awkward, block=6).collect()
     assert {r["doc_id"] for r in rows} == {i for i, _ in AWKWARD} and sum(r["doc_id"] == 5 for r in rows) == 2
