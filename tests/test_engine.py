@@ -260,6 +260,24 @@ def test_pair_limits(spark):
     assert {r["b_mmsi"] for r in found.where("a_mmsi = 1 and run_ms = 120000").collect()} == {2, 3, 4}
 
 
+@pytest.mark.parametrize("metres", [1852.0, 200.0, 20_000.0])
+def test_pairs_at_all_latitudes(spark, metres):
+    from math import cos, hypot, radians
+
+    from fairlead.functions.geo import METRES
+    from fairlead.operators import pairs
+
+    rng, places = random.Random(8), [(78.0, 15.004), (78.0, 15.064), (-78.0, 15.004), (-78.0, 15.064), (89.999, 0.0), (89.999, 170.0), (-90.0, 3.0)]
+    for lat in (0.0, 55.0, -55.0, 70.0, 78.0, -78.0, 85.0, 89.5, -89.9, 89.99):
+        east = min(180.0, 2 * metres / METRES / cos(radians(lat)))
+        places += [(max(-90.0, min(90.0, lat + rng.uniform(-2, 2) * metres / METRES)), rng.uniform(-east, east)) for _ in range(25)]
+    frame = spark.createDataFrame([(m, 120_000, 0, *p) for m, p in enumerate(places)], "mmsi int, ts_ms long, seq long, lat double, lon double")
+    got = sorted((r["a_mmsi"], r["b_mmsi"]) for r in pairs.nearby(frame, 60_000, metres).where("run_ms = 120000").select("a_mmsi", "b_mmsi").collect())
+    far = lambda a, b: hypot((b[1] - a[1]) * METRES * cos(radians(a[0])), (b[0] - a[0]) * METRES)
+    assert got == [(i, j) for i, a in enumerate(places) for j, b in enumerate(places) if i != j and far(a, b) < metres]
+    assert metres < 1852 or {(0, 1), (1, 0), (2, 3), (3, 2)} <= set(got)
+
+
 def test_store_event_ids_are_stable(spark, sf_dir):
     rows = events.intervals(catalog.states(spark, "/root/testdata/sf0.01"), events.SPEED)
     one, two = (events.with_ids(rows).select("event_id", "mmsi", "start_ms").orderBy("event_id").collect() for _ in range(2))
