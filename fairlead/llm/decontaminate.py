@@ -22,7 +22,7 @@ nothing; repeated rows give repeated results; extra columns stay untouched in
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -126,25 +126,47 @@ def _judge(part: pa.RecordBatch, blocks: Iterator[Phrases]) -> pa.RecordBatch:
     return pa.record_batch([part.column(0), pa.array(np.diff(words.offsets)), pa.array(n_hit), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(spans, pa.list_(_SPAN))], schema=_OUT)
 
 
+def _blocks(blocks: list) -> Callable[[], Iterator[Phrases]]:
+    """All blocks' phrases, one after the other, as often as asked for."""
+    held = [Phrases(b.value) for b in blocks] if len(blocks) == 1 else None
+
+    def each() -> Iterator[Phrases]:
+        if held is not None:
+            yield from held
+            return
+        for b in blocks:
+            yield Phrases(b.value)
+            b.__dict__.pop("_value", None)  # the next block takes its room
+
+    return each
+
+
 def _search(blocks: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [Phrases(b.value) for b in blocks] if len(blocks) == 1 else None
+        each = _blocks(blocks)
+        for batch in batches:
+            for part in sized_slices(batch, "text"):
+                yield _judge(part, each())
+
+    return run
 
-        def each() -> Iterator[Phrases]:
-            for b in blocks:
-                yield Phrases(b.value)
-                b.__dict__.pop("_value", None)  # the next block takes its room
 
+def _kept(blocks: list, column: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = _blocks(blocks)
         for batch in batches:
-            for part in sized_slices(batch, "text"):
-                yield _judge(part, iter(held) if held is not None else each())
+            for part in sized_slices(batch, column):
+                text = part.column(part.schema.get_field_index(column))
+                found = _judge(pa.record_batch([pa.nulls(part.num_rows, pa.int64()), text], names=["doc_id", "text"]), each())
+                n_hit, n_words = found.column(2).to_numpy(), found.column(1).to_numpy()
+                yield part.filter(pa.array((n_hit == 0) | (SHARE * n_hit < n_words)))
 
     return run
 
 
-def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit, the items (as text, sorted) with occurring windows, and spans to remove."""
-    spark = docs.sparkSession
+def _sent(benchmark: DataFrame, block_bytes: int) -> list:
+    """The benchmark's items in blocks, each a broadcast."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, -(-size // block_bytes))
@@ -152,8 +174,13 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
     for k in range(count):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k) if count > 1 else items
         blocks.append(spark.sparkContext.broadcast(sorted((r["item_id"], r["text"]) for r in block.collect())))
+    return blocks
+
+
+def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_words, n_hit, the items (as text, sorted) with occurring windows, and spans to remove."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_search(blocks), SCHEMA)
+    return rows.mapInArrow(_search(_sent(benchmark, block_bytes)), SCHEMA)
 
 
 def contaminated():
@@ -165,13 +192,12 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), names, contaminated().alias("contaminated"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the contaminated rows; what stays is unchanged.
 
-    The verdict is joined by doc_id, so rows that repeat an id go together.
+    No join, since the verdict is made on the row: ids may be null or repeat.
     """
-    bad = find(docs, benchmark, text, doc_id).where(contaminated() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(bad, doc_id, "left_anti").select(*docs.columns)
+    return docs.mapInArrow(_kept(_sent(benchmark, block_bytes), text), docs.schema)
 
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:

@@ -147,6 +147,16 @@ def test_decontamination_spans(spark):
     assert blocks == {i: (r["n_hit"], r["items"]) for i, r in rows.items()}
 
 
+def test_decontamination_judges_rows_without_id(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    benchmark = spark.createDataFrame([("q", item), ("r", "tiny item")], "item_id string, text string")
+    frame = docs(spark, [(None, f"start {item} end"), (None, "tiny item"), (None, "nothing of it"), (None, None), (1, item), (1, "clean"), (2, "")])
+    for size in (decontaminate.BLOCK_BYTES, 20):
+        kept = decontaminate.clean(frame, benchmark, block_bytes=size)
+        assert kept.schema == frame.schema
+        assert sorted(map(str, kept.collect())) == sorted(str(r) for r in frame.collect() if r["text"] in ("nothing of it", None, "clean", ""))
+
+
 def test_decontamination_awkward(spark, awkward, empty):
     benchmark = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     assert decontaminate.find(awkward, benchmark).where("n_hit > 0").count() == 5
