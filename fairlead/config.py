@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
 
@@ -72,6 +72,8 @@ class Settings:
     skip_names: tuple[str, ...] = ()
     expression: str = ""
     stale_minutes: int = 30
+    mask: tuple[tuple[float, float, float, float], ...] = ()  # boxes (south, north, west, east) whose reports are left out
+    interpolation_seconds: int = 10  # step of dead-reckoned reports in gaps; 0 makes none
     course: Statistical = field(default_factory=Statistical)
     speed: Statistical = field(default_factory=Statistical)
     type_size: Statistical = field(default_factory=Statistical)
@@ -162,8 +164,8 @@ def _floats(text: str) -> list[float]:
         return []
 
 
-def settings(values: Mapping[str, str]) -> Settings:
-    """Settings of a file that has no problems; else ValueError names them."""
+def settings(values: Mapping[str, str], mask: Iterable[tuple[float, float, float, float]] = ()) -> Settings:
+    """Settings of a file that has no problems, else ValueError names them; ``mask`` as ``filters.mask_boxes`` reads it."""
     wrong = problems(values)
     if wrong:
         raise ValueError("; ".join(wrong))
@@ -186,6 +188,7 @@ def settings(values: Mapping[str, str]) -> Settings:
         bounds=tuple(map(float, bounds)) if all(x.strip() for x in bounds) else None,
         skip_names=tuple(x.strip() for x in v["filter.shipname.skip"].split(",") if x.strip()),
         expression=v["filter.custom.expression"],
+        mask=tuple(mask),
         course=learned("cog"),
         speed=learned("sog"),
         type_size=learned("typesize"),

@@ -14,8 +14,14 @@ from fairlead.sources import nmea, statistics_store
 
 
 def tracked(positions: DataFrame, statics: DataFrame, settings: Settings) -> DataFrame:
-    """Reports with static data, epochs and cells, after all filters in their order."""
+    """Reports with static data, epochs and cells, after all filters in their order.
+
+    The reference masks detection only: to learn as it does, use settings without a mask.
+    """
     rows = filters.within_box(positions, *(settings.bounds or (None,) * 4))
+    if settings.mask:
+        boxes = positions.sparkSession.createDataFrame(list(settings.mask), "south double, north double, west double, east double")
+        rows = filters.outside_mask(rows, boxes)
     rows = filters.without_vessels(rows, settings.black_list)
     rows = filters.down_sample(rows, settings.down_sample_seconds)
     rows = tracks.as_of_static(rows, statics)
@@ -51,11 +57,24 @@ class Detected:
     flow: DataFrame | None
 
 
+def filled(reports: DataFrame, settings: Settings) -> DataFrame:
+    """Reports and dead-reckoned ones in the gaps of their tracks, each with the cell where it lies."""
+    if settings.interpolation_seconds <= 0:
+        return reports
+    return tracks.with_cells(tracks.interpolated(reports, settings.interpolation_seconds, settings.stale_minutes * 60), Grid(settings.grid_metres))
+
+
 def detect(reports: DataFrame, stats: DataFrame, settings: Settings) -> Detected:
-    """All enabled analyses over one history of reports."""
+    """All enabled analyses over one history of reports.
+
+    Statistical analyses and drift also see dead-reckoned reports.  Sudden speed changes see only what was
+    reported, as a speed kept up through a gap would turn a slow change into a sudden one; so do pairs,
+    which predict positions on their own.
+    """
     if search.missing_statistics(stats).take(1):
         raise ValueError(f"the statistics lack {TYPE_SIZE}")
-    changes = tracks.cell_changes(reports)
+    dense = filled(reports, settings)
+    changes = tracks.cell_changes(dense)
     found = []
     common = ("event_type", "mmsi", "epoch", "interval", "start_ms", "end_ms", "state", "n_points", "title", "description")
     for statistic, params, kind in ((COURSE, settings.course, events.COURSE), (SPEED, settings.speed, events.SPEED), (TYPE_SIZE, settings.type_size, events.TYPE_SIZE)):
@@ -63,7 +82,7 @@ def detect(reports: DataFrame, stats: DataFrame, settings: Settings) -> Detected
             states = hysteresis.with_state(analyses.verdicts(changes, stats, statistic, params))
             found.append(events.described(events.intervals(states, kind)).select(*common))
     if settings.drift.enabled:
-        found.append(events.described(events.intervals(analyses.drift(reports, settings.drift), events.DRIFT)).select(*common))
+        found.append(events.described(events.intervals(analyses.drift(dense, settings.drift), events.DRIFT)).select(*common))
     raised = None
     for rows in found:
         raised = rows if raised is None else raised.unionByName(rows)

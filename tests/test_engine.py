@@ -188,6 +188,38 @@ def test_jobs(spark, sf_dir, tmp_path):
     assert found.encounters.count() >= 0 and found.flow.count() >= 0
 
 
+def test_detection_masks_boxes_and_fills_gaps(spark):
+    from dataclasses import replace
+
+    # north at 20 knots: reports each 10 s, then 5 minutes of silence, then more of them
+    times = [*range(0, 60_000, 10_000), *range(360_000, 420_000, 10_000)]
+    rows = vessel_track(spark, [(t, 56.0 + t * 10.2889 / 1000 / 111319.49, 12.0, 20.0, 0.0, 0.0) for t in times], bow=150, stern=50)
+    statics = rows.select("mmsi", F.lit(-1).cast("long").alias("ts_ms"), "seq", *tracks.STATIC).limit(1)
+    off = Statistical(enabled=False)
+    plain = config.Settings(
+        bounds=None, down_sample_seconds=0, course=off, type_size=off, speed=Statistical(True, 4, 0.25), speed_change=SuddenSpeedChange(enabled=False), drift=Drift(enabled=False),
+        encounter=config.CloseEncounter(enabled=False), free_flow=config.FreeFlow(enabled=False),
+    )
+
+    def points(settings):
+        reports = jobs.tracked(rows.drop("epoch"), statics, settings)
+        seen = tracks.with_cells(tracks.interpolated(jobs.tracked(rows.drop("epoch"), statics, plain), 10))
+        cells = [r["cell_id"] for r in seen.select("cell_id").distinct().collect()]
+        stats = spark.createDataFrame([(s, c, 7, 5, 1, 100) for s in (statistics.SPEED, TYPE_SIZE) for c in cells], "statistic string, cell_id long, k1 int, k2 int, k3 int, ship_count long")
+        return [(r["start_ms"], r["n_points"]) for r in jobs.detect(reports, stats, settings).intervals.collect()], len(cells)
+
+    found, cells = points(plain)
+    assert cells >= 0.9 * (times[-1] * 10.2889 / 1000 / 200)
+    bare, _ = points(replace(plain, interpolation_seconds=0))
+    ((start, n),) = found
+    assert n > sum(k for _, k in bare) and 0 < start < 360_000
+    limited, _ = points(replace(plain, speed=Statistical(True, 4, 0.25, prediction_minutes=1)))
+    assert sum(k for _, k in limited) < n
+    masked, _ = points(replace(plain, mask=((55.9, 57.0, 11.0, 13.0),)))
+    assert masked == []
+    assert config.settings(config.parse_properties(TEMPLATE), [(1.0, 2.0, 3.0, 4.0)]).mask == ((1.0, 2.0, 3.0, 4.0),)
+
+
 def test_report_golden_csv(spark):
     stored = spark.sql("select 0L event_id, 'SuddenSpeedChangeEvent' event_type, 'PAST' state, timestamp_ntz'2017-01-22 10:00:00' start_time, cast(null as timestamp_ntz) end_time, false suppressed, 'title' title, 'description' description")
     behaviours = spark.sql("select 0L event_id, 123456789 mmsi, true is_primary, 123456 imo, 'name' name, 'callsign' callsign, 1 ship_type, 30 length")
