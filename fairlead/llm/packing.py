@@ -10,8 +10,9 @@ displaced pieces; mutation empties the least-filled bins.  After each epoch an
 island's elite migrates to the next island of its block, through a table in the
 shared folder.  The best island's bins become sequences.
 
-Memory follows ``BLOCK``, not the table; a block wastes less than one bin, so
-the loss over one global packing is at most one bin for each ``BLOCK`` pieces.
+Memory follows ``BLOCK``, not the table.  The search is short: ``EPOCHS`` x
+``GENERATIONS`` rounds with two children for each island.  A block can stop above
+its lower bound of total ids / ``capacity`` bins; README has measured figures.
 
 Defined results: a null text is empty and becomes one piece, the end id; null
 and repeated ids are packed like any others; an empty table gives no rows; extra
