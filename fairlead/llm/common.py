@@ -1,16 +1,18 @@
 """What the operators share: shared scratch tables, Arrow slicing and word hashing.
 
 Scratch tables live below ``spark.checkpoint.dir``, the folder that driver and
-executors share; where the session has none (tests on one machine) a temporary
-folder is set once.  They are plain Parquet, so a lost executor costs a task
-retry and never a result.
+executors share; where a local session has none (tests on one machine) a temporary
+folder is set once, and a session on a cluster is refused.  They are plain
+Parquet, so a lost executor costs a task retry and never a result.
 """
 
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -29,11 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; one of our own only where none is set."""
+    """The session's shared folder; one of our own only where none is set and all work is on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.conf.get("fairlead.scratch.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="fairlead-")
         spark.conf.set("fairlead.scratch.dir", path)
     return path.rstrip("/")
@@ -43,6 +47,28 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/fairlead-{label}-{uuid.uuid4().hex}"
 
 
+_CLEANING = threading.Lock()
+_cleaners: dict[str, list] = {}  # by session: threads inside, the setting before
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go with the query that wrote them; the setting returns when the last thread inside leaves."""
+    session = str(spark._jsparkSession.hashCode())
+    with _CLEANING:
+        held = _cleaners.setdefault(session, [0, spark.conf.get(CLEANUP, None)])
+        held[0] += 1
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _CLEANING:
+            held[0] -= 1
+            if not held[0]:
+                del _cleaners[session]
+                spark.conf.unset(CLEANUP) if held[1] is None else spark.conf.set(CLEANUP, held[1])
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back, which cuts its lineage.
 
@@ -50,12 +76,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _shuffles_removed(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._fairlead_path = path
     return back

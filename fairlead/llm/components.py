@@ -29,7 +29,7 @@ def _star(links: DataFrame, keep_larger: bool) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``links(a, b)``; the component is its smallest node."""
+    """(node, component) for every node of ``links(a, b)``, as a table; the component is its smallest node."""
     sign = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
     now = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     seen = now.agg(F.count(F.lit(1)), sign).first()
@@ -40,5 +40,7 @@ def components(links: DataFrame) -> DataFrame:
         seen = now.agg(F.count(F.lit(1)), sign).first()
         if seen == last:
             break
-    out = now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
-    return out.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    found = now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
+    out = materialize(found.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), "groups")
+    release(now)
+    return out

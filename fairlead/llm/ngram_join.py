@@ -4,32 +4,39 @@ Method.  A document's set is its distinct 5-word shingles (64-bit hashes).
 Documents with equal sets become one node at once.
 
 1. *Order.*  One pass counts shingles in ``BUCKETS`` hashed counters, a bounded
-   table summed over all documents; shingles in heavy counters are "common".
-   The order (rare before common, then by hash) decides only how fast the join
-   is, never its result.
+   table summed over all documents; a shingle's class is its counter's size on a
+   scale of eights.  The order (rare classes first, then by hash) decides only
+   how fast the join is, never its result.
 2. *Prefixes.*  Two sets of similarity t share at least ``ELL`` of their first
    n - ceil(t n) + ELL shingles in that order.  Those are dealt by shingle, and
-   shingles that only one node has are dropped: what is left is small.
+   shingles that only one node has are dropped: what is left is small.  A common
+   shingle is dealt in ``SALTS`` parts by its class, so none fills a task.
 3. *Groups.*  Similar nodes are partitioned into groups: by their most and by
    their least common shared shingle, around the node that shares most; members
    are held against that node and linked ones form one group (a component so far).
-4. *Matrix.*  Each group's union of prefix shingles is stored as (shingle,
-   group).  A query node's overlap with a group is bounded by the count of
-   common cells; only groups that reach what a link needs are opened.  An opened
-   group first sends a few delegates; where none links, the query meets all members
-   of a small group, and of a large one if its whole set can link by the bound
-   with the group's whole union.
-   Pairs inside one group are never made.
-5. Compared pairs are decided on their whole sets, 100 * both >= 75 * either.
-
-Copies are never expanded, a cluster of near copies costs one comparison a
-member and not all pairs, and no step gathers a group in one task.
+4. *Matrix.*  Each group's union of prefix shingles is stored by shingle, group
+   and band of set sizes.  The first shingle, in the order, that two linked sets
+   share leaves each of them enough shingles behind it to reach the overlap that
+   both sizes ask for.  A query looks a shingle up only in the bands for which
+   enough is left behind it, so the shingles of a passage that very many texts
+   share bring those texts together only where the passage can make a link.  A
+   met group with several members is bounded by the count of the query's prefix
+   shingles in its union, and opened if that reaches what a link needs.
+5. An opened group first sends a few delegates; where none links, the query meets
+   all members of a small group, and of a large one if its whole set can link by
+   the bound with the group's whole union.  Pairs inside one group are never made.
+6. Compared pairs are decided on their whole sets, 100 * both >= 75 * either.
+
+Copies are never expanded, and a cluster of near copies costs one comparison a
+member and not all pairs.  Keys other than shingles (groups, hubs) are keys of
+plain joins, whose large sides Spark splits.
 
 Defined results: a text without words, or null, has an empty set, links with
 nothing and is its own component; with fewer than five words the whole sequence
-is one shingle; rows that repeat a doc_id are one document; a null doc_id gets
-its n_shingles and a null component and links with nothing; an empty table gives
-no rows; extra columns are left out.
+is one shingle; a very long text is read whole and its set held by one task;
+rows that repeat a doc_id are one document; a null doc_id gets its n_shingles and
+a null component and links with nothing; ids are cast to long; an empty table
+gives no rows; extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -54,7 +61,12 @@ BUCKETS = 1 << 22
 DELEGATES = 4
 #: Opened groups of up to so many members meet a query member by member; larger ones first by their union.
 SMALL = 64
+#: Into how many parts a shingle of each class is dealt.
+SALTS = (1, 1, 4, 32, 256, 2048, 16384, 131072)
+_CLASS_BITS = 3
 _SLICES = 64
+#: Packed counters that one task adds up; more are added in two steps.
+_FAN_IN = 512
 _FLUSH = 2 << 20
 #: Signatures of sets that a task remembers so as not to deal copies again; beyond them copies are dealt, and meet later.
 SEEN = 50_000
@@ -125,35 +137,63 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if held:
         flush()
     if counts is not None:
-        cut = np.minimum(counts, 255).astype(np.uint8).reshape(_SLICES, -1)
-        some = [(k, zlib.compress(c.tobytes(), 1)) for k, c in enumerate(cut) if c.any()]
+        some = [(k, _packed(c.astype("<u2"))) for k, c in enumerate(np.minimum(counts, 65535).reshape(_SLICES, -1)) if c.any()]
         none = pa.nulls(len(some), pa.int64())
         yield pa.record_batch([none, none, none, none, pa.array([k for k, _ in some], pa.int32()), pa.array([c for _, c in some], pa.binary())], schema=schema)
 
 
-def _common(level: float):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(BUCKETS // _SLICES, np.uint32)
-        for packed in rows["counts"]:
-            total += np.frombuffer(zlib.decompress(packed), np.uint8)
-        return pd.DataFrame({"slice": [key[0]], "bits": [np.packbits(total > level).tobytes()]})
+def _packed(counts: np.ndarray) -> bytes:
+    """Compressed counters, low bytes first: the high ones are nearly all zero."""
+    return zlib.compress(np.ascontiguousarray(counts.view(np.uint8).reshape(len(counts), -1).T).tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(-1, BUCKETS // _SLICES)
+    return np.ascontiguousarray(planes.T).view(f"<u{len(planes)}").ravel()
+
+
+def _added(level: float | None):
+    """Sums of packed counters by slice, read as a stream; with a level their classes, two to a byte."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                add = _unpacked(packed.as_py())
+                total[k] = total[k] + add if k in total else add.astype("<u8")
+        for k, counts in total.items():
+            if level is None:
+                out = _packed(counts)
+            else:
+                steps = [level * 8**j for j in range((1 << _CLASS_BITS) - 1)]
+                kinds = np.searchsorted(steps, counts, side="left").astype(np.uint8)
+                out = (kinds[0::2] << 4 | kinds[1::2]).tobytes()
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([out], pa.binary())], names=["slice", "counts"])
 
     return run
 
 
-def common_buckets(survey: DataFrame, shingles: int) -> np.ndarray:
-    """Bits of the counters that stand out from the mean; ``BUCKETS`` bits, whatever the input."""
+def shingle_classes(survey: DataFrame, shingles: int, blobs: int) -> np.ndarray:
+    """Classes of the counters by how far they stand out from the mean; ``BUCKETS`` / 2 bytes, whatever the input."""
     mean = shingles / BUCKETS
-    found = survey.where("slice is not null").select("slice", "counts").groupBy("slice").applyInPandas(_common(mean + 8 * mean**0.5 + 32), "slice int, bits binary")
-    out = np.zeros((_SLICES, BUCKETS // _SLICES // 8), np.uint8)
+    level = mean + 8 * mean**0.5 + 32
+    parts = survey.where("slice is not null").select("slice", "counts")
+    fan = -(-blobs // (_SLICES * _FAN_IN))
+    if fan > 1:
+        parts = parts.repartition(_SLICES * fan, F.col("slice"), F.pmod(F.xxhash64("counts"), F.lit(fan))).mapInArrow(_added(None), "slice int, counts binary")
+    found = parts.repartition(_SLICES, F.col("slice")).mapInArrow(_added(level), "slice int, counts binary")
+    out = np.zeros((_SLICES, BUCKETS // _SLICES // 2), np.uint8)
     for row in found.collect():  # one row for each of the 64 slices
-        out[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
+        out[row["slice"]] = np.frombuffer(row["counts"], np.uint8)
     return out.ravel()
 
 
-def _prefixes(common):
+def _prefixes(packed):
+    """The first shingles of each set in the order: key (class, then hash), node, set size and place from 1."""
+    shift = np.uint64(63 - _CLASS_BITS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy = np.unpackbits(common.value).astype(bool)
+        classes = np.stack([packed.value >> 4, packed.value & 15], 1).ravel()
         seen: set[tuple[int, int, int]] = set()
         for _, sets in _sets(batches):
             keys, signs, sizes = [], [], []
@@ -165,18 +205,34 @@ def _prefixes(common):
                     continue
                 if len(seen) < SEEN:
                     seen.add((*sign, len(tokens)))
-                order = (tokens >> np.uint64(1)) | (heavy[tokens >> np.uint64(64 - 22)].astype(np.uint64) << np.uint64(63))
+                order = (tokens >> np.uint64(_CLASS_BITS + 1)) | (classes[tokens >> np.uint64(64 - 22)].astype(np.uint64) << shift)
                 first = int(prefix_length(len(tokens)))
-                keys.append(np.partition(order, first - 1)[:first] if first < len(order) else order)
+                keys.append(np.sort(np.partition(order, first - 1)[:first] if first < len(order) else order))
                 signs.append(sign[0])
                 sizes.append(len(tokens))
             if keys:
                 runs = np.fromiter(map(len, keys), np.int64, len(keys))
-                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(signs, np.int64), runs)), pa.array(np.repeat(np.array(sizes, np.int32), runs))], names=["token", "s1", "n"])
+                place = np.arange(1, int(runs.sum()) + 1) - np.repeat(np.cumsum(runs) - runs, runs)
+                columns = [np.concatenate(keys).view(np.int64), np.repeat(np.array(signs, np.int64), runs), np.repeat(np.array(sizes, np.int32), runs), place.astype(np.int32)]
+                yield pa.record_batch([pa.array(c) for c in columns], names=["token", "s1", "n", "place"])
 
     return run
 
 
+def _salts(token: Column) -> Column:
+    """Into how many parts a shingle is dealt, by its class."""
+    return F.element_at(F.array(*[F.lit(k) for k in SALTS]), F.shiftright(token, 63 - _CLASS_BITS).cast("int") + 1)
+
+
+def _salt(token: Column, by: Column) -> Column:
+    return F.pmod(F.xxhash64(by), _salts(token)).cast("int")
+
+
+def _in_all_parts(rows: DataFrame) -> DataFrame:
+    """Rows repeated to every part of their shingle."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), _salts(F.col("token")) - 1)))
+
+
 def _bitmap(ids: DataFrame, bits: int):
     """A set of ids as ``2**bits`` hashed bits (false positives only), built in slices."""
     width = 16
@@ -251,28 +307,34 @@ def _fits(x: Column, y: Column) -> Column:
 
 
 def _nodes(posts: DataFrame, reps: DataFrame) -> DataFrame:
-    """Nodes that share enough prefix shingles with others to link at all: rid, n and those shingles.
+    """Nodes that share enough prefix shingles with others to link at all: rid, n, those shingles and their places.
 
     ``most`` and ``least`` name a node's most and least common shared shingle; ``weight`` is high for a
-    node whose whole prefix is shared, such as the text that many near copies were made from.
+    node whose whole prefix is shared, such as the text that many near copies were made from.  A shingle
+    dealt in parts counts as shared, and as common as its class says.
     """
-    by_token = Window.partitionBy("token")
-    spread = posts.select("*", F.min("s1").over(by_token).alias("lo"), F.max("s1").over(by_token).alias("hi"), F.count(F.lit(1)).over(by_token).alias("df"))
+    token = F.col("token")
+    part = Window.partitionBy("token", "salt")
+    dealt = posts.withColumn("salt", _salt(token, F.col("s1")))
+    spread = dealt.select("*", F.min("s1").over(part).alias("lo"), F.max("s1").over(part).alias("hi"), F.count(F.lit(1)).over(part).alias("found"))
+    split = _salts(token) > 1
+    shared = spread.where(split | (F.col("lo") != F.col("hi"))).withColumn("df", F.when(split, F.pow(F.lit(8.0), F.shiftright(token, 63 - _CLASS_BITS)) * 32).otherwise(F.col("found")).cast("long"))
     common = F.struct("df", "token")
-    found = spread.where("lo <> hi").groupBy("s1", "n").agg(
-        F.collect_set("token").alias("tokens"), F.max(common)["token"].alias("most"), F.min(common)["token"].alias("least"), F.sum(F.log1p("df")).alias("sum")
+    found = shared.groupBy("s1", "n").agg(
+        F.sort_array(F.collect_set(F.struct("token", "place"))).alias("cells"), F.max(common)["token"].alias("most"), F.min(common)["token"].alias("least"), F.sum(F.log1p("df")).alias("sum")
     )
-    able = found.where(F.size("tokens") >= _reach(F.col("n"))).withColumn("weight", F.round(F.col("sum") / _length(F.col("n")), 6))
-    return able.join(reps.select("s1", "n", "rid"), ["s1", "n"]).select("rid", "n", "tokens", "most", "least", "weight")
+    able = found.where(F.size("cells") >= _reach(F.col("n"))).withColumn("weight", F.round(F.col("sum") / _length(F.col("n")), 6))
+    return able.join(reps.select("s1", "n", "rid"), ["s1", "n"]).select("rid", "n", F.col("cells.token").alias("tokens"), F.col("cells.place").alias("places"), "most", "least", "weight")
 
 
 def _star_pairs(nodes: DataFrame) -> DataFrame:
     """Each node with the centres of its two groups, where common cells and sizes allow a link."""
     pairs = None
-    for token in ("most", "least"):
-        rows = nodes.select("rid", "n", F.col(token).alias("token"), "weight")
-        centres = rows.groupBy("token").agg(F.max(F.struct("weight", (-F.col("rid")).alias("r"), "n")).alias("c"))
-        some = rows.join(centres, "token").where((F.col("rid") != -F.col("c.r")) & _fits(F.col("n"), F.col("c.n"))).select((-F.col("c.r")).alias("a"), F.col("rid").alias("b"))
+    for name in ("most", "least"):
+        rows = nodes.select("rid", "n", F.col(name).alias("token"), "weight")
+        centres = _in_all_parts(rows.groupBy("token").agg(F.max(F.struct("weight", (-F.col("rid")).alias("r"), "n")).alias("c")))
+        rows = rows.withColumn("salt", _salt(F.col("token"), F.col("rid")))
+        some = rows.join(centres, ["token", "salt"]).where((F.col("rid") != -F.col("c.r")) & _fits(F.col("n"), F.col("c.n"))).select((-F.col("c.r")).alias("a"), F.col("rid").alias("b"))
         pairs = some if pairs is None else pairs.union(some)
     return _bounded(pairs.distinct(), nodes)
 
@@ -298,39 +360,58 @@ def _least_needed(n: Column, low: Column, high: Column) -> Column:
     return F.least(_needed(n, first), _needed(n, last)) - 2
 
 
-def _band() -> Column:
-    return F.floor(F.log("n") / F.log(F.lit(1.1))).cast("int")
+def _band(n: Column | None = None) -> Column:
+    return F.floor(F.log(F.col("n") if n is None else n) / F.log(F.lit(1.1))).cast("int")
+
+
+def _grouped(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """Nodes with their group, itself where it has no other, and the group's size."""
+    sized = groups.join(groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component")
+    named = nodes.join(sized, nodes["rid"] == sized["node"], "left")
+    return named.select(*nodes.columns, _band().alias("band"), F.coalesce("component", "rid").alias("group"), F.coalesce("size", F.lit(1)).alias("size"))
 
 
-def _opened(nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """The matrix step: query nodes against larger groups (by name if equal); what the bound leaves is opened.
+def _met(grouped: DataFrame) -> DataFrame:
+    """Query nodes and larger groups (by name if equal) that share a shingle early enough for a link.
 
-    A group's union is kept by bands of set sizes, ten per cent wide, which sharpens the bound.
+    Behind its place a shingle leaves ``tail`` shingles of a set, itself included.  The first shared one of
+    two linked sets has a tail of at least ``_shared`` in both, so it is looked up for the sizes that this
+    allows and no others.
     """
-    sized = groups.join(groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component")
-    named = nodes.join(sized, nodes["rid"] == sized["node"], "left").select(
-        "rid", "n", F.size("tokens").alias("total"), _band().alias("band"),
-        F.coalesce("component", "rid").alias("component"), F.coalesce("size", F.lit(1)).alias("size"), F.explode("tokens").alias("token"),
-    )
-    by_token = Window.partitionBy("token")
-    cells = named.select("*", F.min("component").over(by_token).alias("lo"), F.max("component").over(by_token).alias("hi")).where("lo <> hi").drop("lo", "hi")
-    cells = materialize(cells, "cells")
-    matrix = cells.groupBy("token", F.col("component").alias("group"), F.col("size").alias("group_size"), F.col("band").alias("group_band"))
-    matrix = matrix.agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("total").alias("most"))
-    larger = (F.col("group_size") > F.col("size")) | ((F.col("group_size") == F.col("size")) & (F.col("group") < F.col("component")))
-    first, last = _between(F.col("n"), F.col("low"), F.col("high"))
-    able = (first <= last) & (_least_needed(F.col("n"), F.col("low"), F.col("high")) <= F.least("total", "most"))
-    asked = cells.join(matrix, "token").where(larger & able).groupBy("rid", "n", "group", "group_band")
-    asked = asked.agg(F.count(F.lit(1)).alias("cells"), F.min("low").alias("low"), F.max("high").alias("high"))
-    opened = materialize(asked.where(F.col("cells") >= _least_needed(F.col("n"), F.col("low"), F.col("high"))).select("rid", "n", "group", "group_band"), "opened")
-    release(cells)
-    return opened
-
-
-def _banded(nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """Members of groups: b, nb, prefix shingles, weight and the group and band they belong to."""
-    named = nodes.join(groups, nodes["rid"] == groups["node"], "left")
-    return named.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"), "weight", F.coalesce("component", "rid").alias("group"), _band().alias("group_band"))
+    cells = grouped.select("rid", "n", "band", "group", "size", F.explode(F.arrays_zip("tokens", "places")).alias("c"))
+    cells = cells.select("rid", "n", "band", "group", "size", F.col("c.tokens").alias("token"), (F.col("n") - F.col("c.places") + 1).alias("tail"))
+    smallest = F.ceil(F.col("n") * PERCENT / 100)
+    largest = F.least(F.floor(F.col("n") * 100 / PERCENT), F.floor(F.col("tail") * (100 + PERCENT) / PERCENT) - F.col("n"))
+    cells = cells.withColumn("smallest", smallest).withColumn("largest", largest).where("smallest <= largest")
+    unit = ["token", F.col("group").alias("g"), F.col("size").alias("g_size"), F.col("band").alias("g_band")]
+    matrix = _in_all_parts(cells.groupBy(*unit).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("tail").alias("g_tail")))
+    asked = cells.withColumn("g_band", F.explode(F.sequence(_band(F.col("smallest")), _band(F.col("largest"))))).withColumn("salt", _salt(F.col("token"), F.col("rid")))
+    larger = (F.col("g_size") > F.col("size")) | ((F.col("g_size") == F.col("size")) & (F.col("g") < F.col("group")))
+    first, last = F.greatest("low", "smallest"), F.least("high", "largest")
+    able = larger & (first <= last) & (_shared(F.col("n"), first) <= F.least("tail", "g_tail"))
+    found = asked.join(matrix, ["token", "salt", "g_band"]).where(able)
+    return found.select("rid", "n", F.col("g").alias("group"), F.col("g_size").alias("size"), F.col("g_band").alias("band")).distinct()
+
+
+def _opened(grouped: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the matrix leaves: pairs (a, b) with single nodes, and (rid, n, group, band) of opened groups."""
+    met = materialize(_met(grouped), "met")
+    single = met.where("size = 1").select(F.col("rid").alias("a"), F.col("group").alias("b"))
+    many = met.where("size > 1").select("rid", "n", "group", "band")
+    inside = grouped.where("size > 1").join(many.select("group", "band").distinct(), ["group", "band"], "left_semi")
+    union = inside.select("group", "band", "n", F.size("tokens").alias("total"), F.explode("tokens").alias("token"))
+    union = union.groupBy("group", "band", "token").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    asked = many.join(grouped.select("rid", F.explode("tokens").alias("token")), "rid").join(union, ["group", "band", "token"])
+    asked = asked.groupBy("rid", "n", "group", "band").agg(F.count(F.lit(1)).alias("cells"), F.min("low").alias("low"), F.max("high").alias("high"))
+    opened = materialize(asked.where(F.col("cells") >= _least_needed(F.col("n"), F.col("low"), F.col("high"))).select("rid", "n", "group", "band"), "opened")
+    pairs = materialize(single, "singles")
+    release(met)
+    return pairs, opened
+
+
+def _members(grouped: DataFrame) -> DataFrame:
+    """Members of groups of several: b, nb, prefix shingles, weight and the group and band they belong to."""
+    return grouped.where("size > 1").select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"), "weight", "group", "band")
 
 
 def _delegate_pairs(opened: DataFrame, members: DataFrame) -> DataFrame:
@@ -340,9 +421,9 @@ def _delegate_pairs(opened: DataFrame, members: DataFrame) -> DataFrame:
     """
     one = F.struct("b", "nb")
     picks = [F.max_by(one, F.struct("weight", (-F.col("b")).alias("r")))] + [F.min_by(one, F.xxhash64("b", F.lit(k))) for k in range(1, DELEGATES)]
-    chosen = members.groupBy("group", "group_band").agg(F.array_distinct(F.array(*picks)).alias("m")).select("group", "group_band", F.explode("m").alias("m"))
-    pairs = opened.join(chosen, ["group", "group_band"]).where(_fits(F.col("n"), F.col("m.nb")))
-    return pairs.select(F.col("rid").alias("a"), F.col("m.b").alias("b")).distinct()
+    chosen = members.groupBy("group", "band").agg(F.array_distinct(F.array(*picks)).alias("m"))
+    pairs = opened.join(chosen, ["group", "band"]).select("rid", "n", F.explode("m").alias("m")).where(_fits(F.col("n"), F.col("m.nb")))
+    return pairs.select(F.col("rid").alias("a"), F.col("m.b").alias("b"))
 
 
 def _unresolved(opened: DataFrame, groups: DataFrame) -> DataFrame:
@@ -350,19 +431,19 @@ def _unresolved(opened: DataFrame, groups: DataFrame) -> DataFrame:
     named = groups.select(F.col("node").alias("rid"), F.col("component").alias("own"))
     of = groups.select(F.col("node").alias("group"), F.col("component").alias("its"))
     rows = opened.join(named, "rid", "left").join(of, "group", "left")
-    return rows.where(F.coalesce("own", "rid") != F.coalesce("its", "group")).select("rid", "n", "group", "group_band")
+    return rows.where(F.coalesce("own", "rid") != F.coalesce("its", "group")).select("rid", "n", "group", "band")
 
 
 def _small_group_pairs(nodes: DataFrame, opened: DataFrame, members: DataFrame) -> DataFrame:
     """Queries and all members of opened groups of at most ``SMALL``, where their prefixes share enough."""
     asks = opened.join(nodes.select("rid", F.col("tokens").alias("ta")), "rid")
     able = _fits(F.col("n"), F.col("nb")) & (F.size(F.array_intersect("ta", "tb")) >= _needed(F.col("n"), F.col("nb")))
-    return asks.join(members, ["group", "group_band"]).where(able).select(F.col("rid").alias("a"), "b").distinct()
+    return asks.join(members, ["group", "band"]).where(able).select(F.col("rid").alias("a"), "b").distinct()
 
 
 def _large_group_links(rows: DataFrame, nodes: DataFrame, opened: DataFrame, members: DataFrame) -> DataFrame:
     """Queries against groups by whole sets: the overlap with the group's whole union, then every member of what is left."""
-    unit = ["group", "group_band"]
+    unit = ["group", "band"]
     asked = members.select("b", "nb", *unit).join(opened.select(*unit).distinct(), unit)
     sets = _sets_of(rows, opened.select(F.col("rid").alias("id")).union(asked.select("b")).distinct())
     inside = asked.join(sets.select(F.col("rid").alias("b"), F.explode("tokens").alias("token")), "b")
@@ -374,9 +455,9 @@ def _large_group_links(rows: DataFrame, nodes: DataFrame, opened: DataFrame, mem
     left = left.join(nodes.select("rid", F.col("tokens").alias("ta")), "rid")
     able = _fits(F.col("n"), F.col("nb")) & (F.col("both") >= _shared(F.col("n"), F.col("nb")))
     able = able & (F.size(F.array_intersect("ta", "tb")) >= _needed(F.col("n"), F.col("nb")))
-    pairs = left.join(members, unit).where(able).select(F.col("rid").alias("a"), "b").distinct()
-    links = materialize(_links(materialize(pairs, "candidates"), sets), "pairs")
-    release(sets)
+    pairs = materialize(left.join(members, unit).where(able).select(F.col("rid").alias("a"), "b").distinct(), "candidates")
+    links = materialize(_links(pairs, sets), "pairs")
+    release(sets, pairs)
     return links
 
 
@@ -392,8 +473,10 @@ def _sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _decide(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Links among candidate pairs."""
+    """Links among candidate pairs, as a table."""
     pairs = materialize(pairs, "candidates")
+    if pairs.isEmpty():
+        return pairs
     sets = _sets_of(rows, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     links = materialize(_links(pairs, sets), "pairs")
     release(pairs, sets)
@@ -401,33 +484,53 @@ def _decide(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest id that links reach) of every row."""
+    """doc_id, n_shingles and component_id (the smallest id that links reach) of every row.
+
+    The rows are in a table in the shared folder; all other scratch tables are gone when this returns.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     survey = materialize(rows.mapInArrow(_survey, _SURVEY), "survey")
-    sizes = survey.where("n is not null").select("doc_id", "n", "s1", "s2")
+    sizes = survey.where("slice is null").select("doc_id", "n", "s1", "s2")
     reps = materialize(sizes.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rid")), "sets")
-    common = spark.sparkContext.broadcast(common_buckets(survey, sizes.agg(F.sum("n")).first()[0] or 0))
+    shingles, blobs = survey.agg(F.sum("n"), F.count("slice")).first()
+    classes = spark.sparkContext.broadcast(shingle_classes(survey, shingles or 0, blobs))
     rows = rows.where("doc_id is not null")
-    nodes = materialize(_nodes(rows.mapInArrow(_prefixes(common), "token long, s1 long, n int"), reps), "nodes")
+    nodes = materialize(_nodes(rows.mapInArrow(_prefixes(classes), "token long, s1 long, n int, place int"), reps), "nodes")
 
     links = _decide(rows, _star_pairs(nodes))
-    groups = materialize(components(links), "groups")
-    opened, members = _opened(nodes, groups), _banded(nodes, groups)
-    delegates = materialize(_delegate_pairs(opened, members), "delegates")
-    links = links.union(_decide(rows, _bounded(delegates, nodes)))
-    groups = materialize(components(links), "groups")
-    sizes_of = members.groupBy("group", "group_band").agg(F.count(F.lit(1)).alias("members"))
-    apart = materialize(_unresolved(opened, groups).join(sizes_of, ["group", "group_band"]), "opened")
-    links = links.union(_decide(rows, _small_group_pairs(nodes, apart.where(F.col("members") <= SMALL), members)))
-    links = links.union(_large_group_links(rows, nodes, apart.where(F.col("members") > SMALL), members))
-    groups = materialize(components(links), "groups")
-    release(nodes, opened)
+    tables = [links]
+    groups = components(links)
+    grouped = materialize(_grouped(nodes, groups), "grouped")
+    release(nodes)
+
+    def with_more(found: DataFrame) -> None:
+        nonlocal links, groups
+        tables.append(found)
+        if not found.isEmpty():
+            release(groups)
+            links = links.union(found)
+            groups = components(links)
+
+    singles, opened = _opened(grouped)
+    members = _members(grouped)
+    with_more(_decide(rows, _bounded(singles.union(_delegate_pairs(opened, members)).distinct(), grouped)))
+    sizes_of = members.groupBy("group", "band").agg(F.count(F.lit(1)).alias("members"))
+    apart = materialize(_unresolved(opened, groups).join(sizes_of, ["group", "band"]), "opened")
+    small, large = apart.where(F.col("members") <= SMALL), apart.where(F.col("members") > SMALL)
+    more = [] if small.isEmpty() else [_decide(rows, _small_group_pairs(grouped, small, members))]
+    if not large.isEmpty():
+        more.append(_large_group_links(rows, grouped, large, members))
+    if more:
+        with_more(more[0] if len(more) == 1 else more[0].union(more[1]))
+    release(grouped, singles, opened, apart, *tables, *more)
 
     named = reps.join(groups, reps["rid"] == groups["node"], "left").select("n", "s1", "s2", F.coalesce("component", "rid").alias("component_id"))
-    out = sizes.join(materialize(named, "named"), ["n", "s1", "s2"], "left")
     own = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    out = sizes.join(named, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    out = materialize(out, "components")
+    release(survey, reps, groups)
+    return out
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

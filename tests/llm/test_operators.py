@@ -175,7 +175,14 @@ def test_components_of_chains(spark):
     assert got == {k: 1 for k in chain} | {100: 100, 101: 100, 102: 100}
 
 
-def test_join_planted(spark):
+@pytest.mark.parametrize("small, delegates, salts", [(64, 4, ngram_join.SALTS), (0, 1, (3,) * 8)])
+def test_join_planted(spark, monkeypatch, small, delegates, salts):
+    """Also with every opened group taken as large, and every shingle dealt in parts."""
+    large = []
+    links = ngram_join._large_group_links
+    monkeypatch.setattr(ngram_join, "_large_group_links", lambda *a: large.append(1) or links(*a))
+    for name, value in (("SMALL", small), ("DELEGATES", delegates), ("SALTS", salts)):
+        monkeypatch.setattr(ngram_join, name, value)
     rng = random.Random(4)
     vocabulary = [f"v{k}" for k in range(3000)]
     make = lambda n: [rng.choice(vocabulary) for _ in range(n)]
@@ -196,11 +203,48 @@ def test_join_planted(spark):
         texts += [(3000 + 2 * i, " ".join(words)), (3001 + 2 * i, " ".join(other) + ("" if i % 3 else " tail words of some length"))]
     texts += [(4000, "a b c"), (4001, "A  b\nC"), (4002, "a b"), (4003, None), (4004, " ")]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs(spark, texts)).collect()}
-    assert got == near_components(texts)
+    assert got == near_components(texts) and (large or small)
     kept = {r["doc_id"] for r in ngram_join.keep_one(docs(spark, texts, extra=True)).collect()}
     assert kept == {c for _, c in got.values()}
 
 
+def test_join_of_texts_around_one_passage(spark):
+    """Texts of many sizes around a passage: it alone links the short ones, and only those."""
+    rng = random.Random(6)
+    passage, texts = [f"p{k}" for k in range(64)], []
+    for i in range(150):
+        own = [f"u{rng.randrange(10**9)}" for _ in range(rng.choice((0, 2, 5, 8, 10, 14, 30, 200)))]
+        cut = rng.randrange(len(own) + 1)
+        texts.append((i, " ".join(own[:cut] + passage + own[cut:])))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs(spark, texts, extra=True)).collect()}
+    want = near_components(texts)
+    assert got == want and 1 < len({c for _, c in want.values()}) < 140
+
+
+def test_scratch_tables_of_the_join_go(spark):
+    import os
+
+    from fairlead.llm.common import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    assert ngram_join.join(docs(spark, [(1, "a b c d e f"), (2, "a b c d e f g"), (3, "z")])).count() == 3
+    assert len(set(os.listdir(folder)) - before) == 1  # the result
+
+
+def test_counters_add_up_in_two_steps():
+    rng = np.random.default_rng(5)
+    some = [rng.integers(0, 70_000, ngram_join.BUCKETS // 64).astype("<u2") for _ in range(5)]
+    batch = lambda blobs: pa.record_batch([pa.array([3] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], names=["slice", "counts"])
+    halves = [next(ngram_join._added(None)(iter([batch([ngram_join._packed(c) for c in part])]))).column(1)[0].as_py() for part in (some[:2], some[2:])]
+    total = sum(c.astype(np.int64) for c in some)
+    assert (ngram_join._unpacked(halves[0]).astype(np.int64) + ngram_join._unpacked(halves[1]).astype(np.int64) == total).all()
+    out = next(ngram_join._added(1000.0)(iter([batch(halves)])))
+    kinds = np.frombuffer(out.column(1)[0].as_py(), np.uint8)
+    kinds = np.stack([kinds >> 4, kinds & 15], 1).ravel()
+    assert (kinds == sum((total > 1000 * 8**k).astype(int) for k in range(7))).all()
+
+
 def test_join_awkward(awkward, empty):
     rows = ngram_join.join(awkward).collect()
     got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in rows if r["doc_id"] != 7 and r["doc_id"] != 8 and r["doc_id"])
