@@ -2,27 +2,36 @@
 
 Native: Spark SQL functions only.  A pattern's matches come from
 ``regexp_extract_all`` and the text between them from ``split`` with the same
-pattern, so one fold over (gap, match) gives code-point positions; only matches
-that pass their validator (octet range, Luhn, mod-97, digit counts) enter the
-fold's result.  Quantifiers are possessive and matches begin at a run's start,
-which changes no match and keeps every scan linear in the text.
-
-Base kinds (email, ip, card, phone) are reported whenever they pass their
-validator; iban needs mod-97; ssn has no checksum and is reported only when a
-context word lifts its score to ``THRESHOLD``.
+pattern, so a running sum over the lengths of gaps and matches gives code-point
+positions; only matches that pass their validator (octet range, Luhn, mod-97,
+digit counts) become spans.  Quantifiers are possessive and matches begin at a
+run's start, which changes no match and keeps every scan linear in the text.
+Sums run over blocks of ``RUN`` matches and then over the blocks, and context is
+put together from the ends of the gaps and matches before a span, so a text's
+cost follows its length and its number of matches.
+
+The ``CONTEXT_WIDTH`` characters before a span move its score: words of its kind
+raise it, words of examples and order numbers lower it.  Base kinds (email, ip,
+card, phone) are reported whenever they pass their validator, whatever their
+score; others only from ``THRESHOLD``: iban, confirmed by mod-97, always reaches
+it, and ssn, which has no checksum, only by its context.
 
 Defined results: a null text is empty and has no spans; repeated rows give
-repeated results; positions count code points, the end is exclusive; extra
-columns are left out.
+repeated results; a very long text is scanned whole by one task; positions count
+code points, the end is exclusive; extra columns are left out, whatever their
+names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Kinds in the order in which equal starts are listed.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+BASE = KINDS[:4]
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: Same matches as the plain patterns: a match can only begin where a run begins, or where the last match ended.
@@ -39,7 +48,7 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "iban": None, "ssn
 CONTEXT_WIDTH = 40
 CONTEXT_GAIN = 0.25
 THRESHOLD = 0.5
-SCORES = {"email": 0.7, "ip": 0.6, "card": 0.7, "phone": 0.5, "iban": 0.7, "ssn": 0.3}
+SCORES = {"email": 0.7, "ip": 0.6, "card": 0.7, "phone": 0.5, "iban": 0.8, "ssn": 0.3}
 CONTEXT = {
     "email": "mail|contact|@",
     "ip": "ip|address|host|server",
@@ -48,6 +57,18 @@ CONTEXT = {
     "iban": "iban|account|bank|konto",
     "ssn": "ssn|social|security",
 }
+AGAINST = {
+    "email": "example|noreply|no-reply",
+    "ip": "version|release|section",
+    "card": "order|tracking|serial|isbn",
+    "phone": "order|tracking|serial",
+    "iban": "example|sample",
+    "ssn": "order|tracking|serial",
+}
+#: The least length of a pattern's match, from which follows how many of them context can reach over.
+SHORTEST = {"email": 5, "ip": 7, "card": 2, "phone": 4, "iban": 5, "ssn": 11}
+#: Matches that a running sum takes at once.
+RUN = 256
 
 
 def _digits(hit: Column) -> Column:
@@ -84,30 +105,65 @@ def _valid(kind: str, hit: Column) -> Column:
     return (area != "000") & (area != "666") & (area < "900") & (F.substring(hit, 5, 2) != "00") & (F.substring(hit, 8, 4) != "0000")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _sums(values: Column, before: Column) -> Column:
+    """Running sums of a short array, after ``before``; each step copies what it has."""
+    start = F.struct(before.alias("sum"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        total = acc["sum"] + x
+        return F.struct(total.alias("sum"), F.concat(acc["out"], F.array(total)).alias("out"))
+
+    return F.aggregate(values, start, step, lambda acc: acc["out"])
+
+
+def running_sums(values: Column) -> Column:
+    """Running sums of an array of int that is not empty: inside runs of ``RUN``, which begin at the sums of whole runs."""
+
+    def cut(v: Column) -> Column:
+        runs = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int"))
+        return F.transform(runs, lambda k: F.slice(v, k * RUN + 1, RUN))
+
+    def summed(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + x))
+        begins = _let(totals, lambda t: F.transform(F.arrays_zip(t.alias("t"), _sums(t, F.lit(0)).alias("s")), lambda z: z["s"] - z["t"]))
+        return F.flatten(F.transform(F.arrays_zip(parts.alias("p"), begins.alias("b")), lambda z: _sums(z["p"], z["b"])))
+
+    return _let(_let(values, cut), summed)
+
+
 def _spans(kind: str, text: Column) -> Column:
     """Validated matches of one kind: array of (start, rank, end, kind, text, score)."""
-    rank = KINDS.index(kind)
-    shape = "array<struct<start:int,rank:int,end:int,kind:string,text:string,score:double>>"
-    none = F.array().cast(shape)
-    pattern = PATTERNS[kind]
-    hits = F.regexp_extract_all(text, F.lit(pattern), 0)
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), hits.alias("hit"))
-    state = F.struct(F.lit(0).alias("at"), none.alias("out"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        gap, hit = pair["gap"], pair["hit"]
-        start = acc["at"] + F.length(gap)
-        end = start + F.coalesce(F.length(hit), F.lit(0))
-        near = F.lower(F.substring(text, F.greatest(start - CONTEXT_WIDTH, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_WIDTH))))
-        score = F.lit(SCORES[kind]) + F.when(near.rlike(CONTEXT[kind]), F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))
-        row = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), hit.alias("text"), score.alias("score"))
-        good = hit.isNotNull() & _valid(kind, hit)
-        if SCORES[kind] < THRESHOLD:
-            good = good & (score >= THRESHOLD)
-        out = F.when(good, F.concat(acc["out"], F.array(row).cast(shape))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
-
-    found = F.aggregate(pairs, state, step, lambda acc: acc["out"])
+    rank, pattern = KINDS.index(kind), PATTERNS[kind]
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,text:string,score:double>>")
+    reach = -(-CONTEXT_WIDTH // SHORTEST[kind])
+    end_of = lambda c: F.right(c, F.lit(CONTEXT_WIDTH))
+
+    def spans(g: Column) -> Column:
+        hits, gaps, ends = g["hits"], g["gaps"], g["ends"]
+
+        def span(i: Column) -> Column:
+            hit, end = F.get(hits, i), F.get(ends, i)
+            earlier = F.sequence(F.greatest(i - reach, F.lit(0)), i)
+            pieces = F.transform(earlier, lambda j: F.concat(end_of(F.get(gaps, j)), F.when(j < i, end_of(F.get(hits, j))).otherwise(F.lit(""))))
+            near = F.lower(end_of(F.array_join(pieces, "")))
+            score = F.lit(SCORES[kind]) + F.when(near.rlike(CONTEXT[kind]), F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0)) - F.when(near.rlike(AGAINST[kind]), F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))
+            return F.struct((end - F.length(hit)).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), hit.alias("text"), score.alias("score"))
+
+        valid = F.filter(F.sequence(F.lit(0), F.size(hits) - 1), lambda i: _valid(kind, F.get(hits, i)))
+        found = F.transform(valid, span)
+        return found if kind in BASE else F.filter(found, lambda s: s["score"] >= THRESHOLD)
+
+    def placed(g: Column) -> Column:
+        lengths = F.transform(g["hits"], lambda h, i: F.length(F.get(g["gaps"], i)) + F.length(h))
+        return _let(F.struct(g["hits"].alias("hits"), g["gaps"].alias("gaps"), running_sums(lengths).alias("ends")), spans)
+
+    matched = F.struct(F.regexp_extract_all(text, F.lit(pattern), 0).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
+    found = _let(matched, lambda g: F.when(F.size(g["hits"]) > 0, placed(g)).otherwise(none))
     wanted = text.rlike("[0-9]") if kind != "email" else F.lit(True)
     if NEEDS[kind]:
         wanted = F.contains(text, F.lit(NEEDS[kind])) & wanted
@@ -130,8 +186,8 @@ def _count(kind: str) -> Column:
 
 
 def digest(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The contract's counts, hash of the base spans and list of all spans."""
-    base = KINDS[:4]
-    counts = [_count(k).alias(f"n_{k}") for k in base]
-    kept = F.filter("spans", lambda s: s["kind"].isin(*base))
-    return found.select(doc_id, *counts, F.sha2(_listed(kept).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+    """The contract's counts, hash of the base spans and list of all spans, and their scores in the same order, in per cent."""
+    counts = [_count(k).alias(f"n_{k}") for k in BASE]
+    kept = F.filter("spans", lambda s: s["kind"].isin(*BASE))
+    scores = F.array_join(F.transform("spans", lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",")
+    return found.select(doc_id, *counts, F.sha2(_listed(kept).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), scores.alias("scores"))

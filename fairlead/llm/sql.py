@@ -41,24 +41,26 @@ phone AS ({_positions("phone", r"\+[0-9][\x20().0-9-]+[0-9]")}),
 iban AS ({_positions("iban", r"[A-Z][A-Z][0-9][0-9][A-Z0-9]+")}),
 ssn AS ({_positions("ssn", r"[0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9][0-9][0-9]")}),
 spans AS (
-  SELECT doc_id, kind, s, e, 1 AS rank FROM email
-  UNION ALL SELECT doc_id, kind, s, e, 2 FROM ip WHERE list_max(list_transform(string_split(m, '.'), lambda p: CAST(p AS HUGEINT))) <= 255
-  UNION ALL SELECT doc_id, kind, s, e, 3 FROM (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS d FROM card) WHERE length(d) BETWEEN 12 AND 19 AND {_LUHN}
-  UNION ALL SELECT doc_id, kind, s, e, 4 FROM phone WHERE length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 9 AND 15
-  UNION ALL SELECT doc_id, kind, s, e, 5 FROM iban WHERE length(m) BETWEEN 15 AND 34 AND {_MOD97}
-  UNION ALL SELECT doc_id, kind, s, e, 6 FROM ssn JOIN docs USING (doc_id)
-    WHERE m[1:3] NOT IN ('000', '666') AND m[1:3] < '900' AND m[5:6] <> '00' AND m[8:11] <> '0000'
-      AND regexp_matches(lower(substr(text, greatest(s - 40, 0) + 1, least(s, 40))), 'ssn|social|security')
+  SELECT doc_id, kind, s, e, 1 AS rank, 70 AS base, 'mail|contact|@' AS good, 'example|noreply|no-reply' AS bad FROM email
+  UNION ALL SELECT doc_id, kind, s, e, 2, 60, 'ip|address|host|server', 'version|release|section' FROM ip WHERE list_max(list_transform(string_split(m, '.'), lambda p: CAST(p AS HUGEINT))) <= 255
+  UNION ALL SELECT doc_id, kind, s, e, 3, 70, 'card|visa|credit|payment', 'order|tracking|serial|isbn' FROM (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS d FROM card) WHERE length(d) BETWEEN 12 AND 19 AND {_LUHN}
+  UNION ALL SELECT doc_id, kind, s, e, 4, 50, 'phone|tel|call|mobile', 'order|tracking|serial' FROM phone WHERE length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 9 AND 15
+  UNION ALL SELECT doc_id, kind, s, e, 5, 80, 'iban|account|bank|konto', 'example|sample' FROM iban WHERE length(m) BETWEEN 15 AND 34 AND {_MOD97}
+  UNION ALL SELECT doc_id, kind, s, e, 6, 30, 'ssn|social|security', 'order|tracking|serial' FROM ssn WHERE m[1:3] NOT IN ('000', '666') AND m[1:3] < '900' AND m[5:6] <> '00' AND m[8:11] <> '0000'
+),
+scored AS (
+  SELECT doc_id, kind, s, e, rank, base + CASE WHEN regexp_matches(near, good) THEN 25 ELSE 0 END - CASE WHEN regexp_matches(near, bad) THEN 25 ELSE 0 END AS score
+  FROM (SELECT spans.*, lower(substr(text, greatest(s - 40, 0) + 1, least(s, 40))) AS near FROM spans JOIN docs USING (doc_id))
 ),
 lists AS (
   SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card,
          count(*) FILTER (kind = 'phone') AS n_phone,
          string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank <= 4) AS base,
-         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans
-  FROM spans GROUP BY doc_id
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans, string_agg(CAST(score AS VARCHAR), ',' ORDER BY s, rank) AS scores
+  FROM scored WHERE rank <= 4 OR score >= 50 GROUP BY doc_id
 )
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
-       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
 FROM docs LEFT JOIN lists USING (doc_id)
 """
 
@@ -148,10 +150,10 @@ FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 ORACLES["op7_url_filter"] = r"""
 WITH raw AS (
   SELECT page_id, CAST(page_id * 37 % 365 AS INTEGER) AS day,
-         regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '\.$', ''), '^www\.', '') AS h
+         regexp_replace(regexp_replace(lower(trim(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[\]]+)(?:[:/?#]|$)', 1))), '\.$', ''), '^www\.', '') AS h
   FROM pages
 ),
-captures AS (SELECT page_id, day, CASE WHEN h <> '' THEN h END AS host FROM raw),
+captures AS (SELECT page_id, day, CASE WHEN h <> '' AND length(h) <= 253 THEN h END AS host FROM raw),
 hosts AS (SELECT DISTINCT host AS name, CAST('0x' || substr(md5(host), 1, 4) AS INTEGER) AS n FROM captures WHERE host IS NOT NULL),
 intervals AS (
   SELECT name, 'hosts' AS list, 'block' AS action, n % 150 AS valid_from, n % 150 + 90 AS valid_to FROM hosts WHERE n % 3 = 0
