@@ -1,7 +1,8 @@
 """URL filters: dated list entries become validity intervals, captures are judged as of their fetch day.
 
 Native: Spark SQL functions only.  Entries are events (name, list, action, day,
-event add/remove).  ``lead`` over a list's events for a name turns them into
+event add/remove).  Names are brought to the form of hosts first; the events of a
+name, list and day become one, and ``lead`` over those days turns them into
 intervals [from, to).  A capture's host asks for its own name and every parent
 domain; that is decided once for each distinct host, whose few intervals are
 kept as one array, and captures meet their host's array by host.  The as-of
@@ -12,12 +13,15 @@ join sides as plain exchanges that Spark splits where one host is very common.
 Of the entries active on the day the most specific name decides; at equal names
 allow goes before block, then the later ``from``, then the list's name.
 
-Defined results: a null or unusable URL has a null host and verdict ``none``; a
-null fetch day likewise; events without name, list or day are left out; a day
-with several events of one list and name counts the removal last; a name listed
-twice without removal is one interval that starts anew; an empty list leaves all
-captures ``none``; repeated captures give repeated rows; extra columns are left
-out.
+Defined results: a null or unusable URL has a null host and verdict ``none``, and
+so has one whose host is over ``LONGEST`` characters, as no domain name is; a
+null fetch day has verdict ``none``; what comes before a host's last ``@`` is a
+user, also with an ``@`` of its own; an address in brackets is a host with them
+and has no parents; events without name, list or day are left out; a day with
+several events of one list and name counts as the removal if there is one, else as
+the last action by name; a name listed twice without removal is one interval that
+starts anew; an empty list leaves all captures ``none``; repeated captures give
+repeated rows; extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,25 +30,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Characters of the longest domain name.
+LONGEST = 253
+
+
+def _plain(name: Column) -> Column:
+    """A name in lower case without ``www.`` and closing dot; null if nothing is left or it is too long."""
+    found = F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), r"\.$", ""), r"^www\.", "")
+    return F.when((found != "") & (F.length(found) <= LONGEST), found)
+
+
 def host(url: Column) -> Column:
     """Lower-case host of a URL without user, port, ``www.`` and closing dot; null if there is none."""
-    found = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1))
-    found = F.regexp_replace(F.regexp_replace(found, r"\.$", ""), r"^www\.", "")
-    return F.when(found != "", found)
+    return _plain(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[\]]+)(?:[:/?#]|$)", 1))
 
 
 def intervals(events: DataFrame) -> DataFrame:
     """name, list, action, valid_from and valid_to (exclusive; null: still listed)."""
-    known = events.where("name is not null and list is not null and day is not null")
-    order = Window.partitionBy("name", "list").orderBy("day", F.when(F.col("event") == "add", 0).otherwise(1), "action")
-    rows = known.withColumn("valid_to", F.lead("day").over(order)).where("event = 'add'")
-    return rows.where("valid_to is null or valid_to > day").select(F.lower("name").alias("name"), "list", "action", F.col("day").alias("valid_from"), "valid_to")
+    known = events.select(_plain(F.col("name")).alias("name"), "list", "action", "day", "event").where("name is not null and list is not null and day is not null")
+    added = F.col("event").eqNullSafe("add")
+    days = known.groupBy("name", "list", "day").agg(F.bool_and(added).alias("listed"), F.max(F.when(added, F.col("action"))).alias("action"))
+    order = Window.partitionBy("name", "list").orderBy("day")
+    return days.withColumn("valid_to", F.lead("day").over(order)).where("listed").select("name", "list", "action", F.col("day").alias("valid_from"), "valid_to")
 
 
 def _names(of: Column) -> Column:
     """A host and its parent domains, the host first."""
     parts = F.split(of, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    every = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    return F.when(F.startswith(of, F.lit("[")), F.array(of)).otherwise(every)
 
 
 def judge(captures: DataFrame, events: DataFrame, url: str = "url", day: str = "day", key: str = "page_id") -> DataFrame:
