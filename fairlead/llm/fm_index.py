@@ -23,31 +23,69 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         step *= 2
 
 
+class Bits:
+    """Packed bits with the count of ones before every 64th, for ranks."""
+
+    def __init__(self, bits: np.ndarray):
+        packed = np.zeros((len(bits) // 64 + 1) * 8, np.uint8)
+        some = np.packbits(bits, bitorder="little")
+        packed[: len(some)] = some
+        self.words = packed.view("<u8")
+        ones = np.bitwise_count(self.words).astype(np.int32)
+        self.before = np.cumsum(ones, dtype=np.int32) - ones
+        self.ones = int(ones.sum())
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each position."""
+        word = at >> 6
+        below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[word] + np.bitwise_count(self.words[word] & below).astype(np.int64)
+
+    def get(self, at: np.ndarray) -> np.ndarray:
+        return (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
 class WaveletMatrix:
-    """Ranks of symbols in a sequence, one bit vector with running counts for each bit of a symbol."""
+    """Ranks of symbols in a sequence, one bit vector for each bit of a symbol."""
 
     def __init__(self, values: np.ndarray, symbols: int):
-        self.bits = max(1, int(symbols - 1).bit_length())
-        self.ones, self.zeros = [], []
-        for level in range(self.bits - 1, -1, -1):
-            bit = (values >> level) & 1
-            self.ones.append(np.concatenate([[0], np.cumsum(bit)]).astype(np.int32))
-            self.zeros.append(len(values) - int(self.ones[-1][-1]))
-            values = np.concatenate([values[bit == 0], values[bit == 1]])
+        self.width = max(1, int(symbols - 1).bit_length())
+        self.levels: list[Bits] = []
+        self.zeros: list[int] = []
+        for level in range(self.width - 1, -1, -1):
+            bit = (values >> level) & 1 == 1
+            self.levels.append(Bits(bit))
+            self.zeros.append(len(values) - self.levels[-1].ones)
+            values = np.concatenate([values[~bit], values[bit]])
 
     def rank(self, symbol: np.ndarray, end: np.ndarray) -> np.ndarray:
         """How often each symbol occurs before each position."""
         first = np.zeros_like(end)
-        for k in range(self.bits):
-            bit = (symbol >> (self.bits - 1 - k)) & 1
-            a, b = self.ones[k][first], self.ones[k][end]
-            first = np.where(bit == 1, self.zeros[k] + a, first - a)
-            end = np.where(bit == 1, self.zeros[k] + b, end - b)
+        for k, bits in enumerate(self.levels):
+            one = (symbol >> (self.width - 1 - k)) & 1 == 1
+            a, b = bits.rank(first), bits.rank(end)
+            first = np.where(one, self.zeros[k] + a, first - a)
+            end = np.where(one, self.zeros[k] + b, end - b)
         return end - first
 
+    def symbol_and_rank(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol at each position, and how often it occurs before."""
+        symbol, first = np.zeros_like(at), np.zeros_like(at)
+        for k, bits in enumerate(self.levels):
+            one = bits.get(at)
+            a, b = bits.rank(first), bits.rank(at)
+            first = np.where(one, self.zeros[k] + a, first - a)
+            at = np.where(one, self.zeros[k] + b, at - b)
+            symbol = symbol << 1 | one
+        return symbol, at - first
+
 
 class FMIndex:
-    """Count and locate patterns in ``text``: symbols from 1 to ``symbols - 1``."""
+    """Count and locate patterns in ``text``: symbols from 1 to ``symbols - 1``.
+
+    It holds the wavelet matrix of the transform, the counts of symbols and every ``SAMPLE``-th position
+    of the text, marked in a bit vector over the rows.
+    """
 
     SAMPLE = 16
 
@@ -55,10 +93,10 @@ class FMIndex:
         text = np.append(text, 0)
         order = suffix_array(text)
         self.n = len(text)
-        self.bwt = text[order - 1]
         self.below = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])
-        self.matrix = WaveletMatrix(self.bwt, symbols)
-        self.sampled = np.where(order % self.SAMPLE == 0, order, -1)
+        self.matrix = WaveletMatrix(text[order - 1], symbols)
+        marked = order % self.SAMPLE == 0
+        self.marked, self.positions = Bits(marked), order[marked].astype(np.int32)
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows [first, last) of each pattern, by backward search; shorter ones have zeros in front."""
@@ -77,12 +115,12 @@ class FMIndex:
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """Text positions of rows: step back to a sampled position."""
         out = np.full(len(rows), -1, np.int64)
-        at, row, steps = np.arange(len(rows)), rows.copy(), 0
+        at, row, steps = np.arange(len(rows)), rows.astype(np.int64), 0
         while len(at):
-            known = self.sampled[row]
-            out[at[known >= 0]] = known[known >= 0] + steps
-            at, row = at[known < 0], row[known < 0]
-            c = self.bwt[row]
-            row = self.below[c] + self.matrix.rank(c, row)
+            known = self.marked.get(row)
+            out[at[known]] = self.positions[self.marked.rank(row[known])] + steps
+            at, row = at[~known], row[~known]
+            symbol, before = self.matrix.symbol_and_rank(row)
+            row = self.below[symbol] + before
             steps += 1
         return out
