@@ -2,27 +2,34 @@
 
 Method.  Documents are tokenised and cut into pieces of at most ``capacity``
 ids; only longer documents are cut, and their first piece takes the remainder.
-Pieces are dealt by hash into blocks of about ``BLOCK`` pieces.  Each block is
-evolved by ``ISLANDS`` populations: a chromosome is a partition of the pieces
-into bins; crossover injects whole well-filled bins of the second parent, drops
-the first parent's bins that hold any injected piece, and best-fits the
-displaced pieces; mutation empties the least-filled bins.  After each epoch an
-island's elite migrates to the next island of its block, through a table in the
-shared folder.  The best island's bins become sequences.
-
-Memory follows ``BLOCK``, not the table.  The search is short: ``EPOCHS`` x
-``GENERATIONS`` rounds with two children for each island.  A block can stop above
-its lower bound of total ids / ``capacity`` bins; README has measured figures.
+Pieces are dealt by hash, of the row's place too, into blocks of about ``BLOCK``
+pieces.  Each block is evolved by several populations: a chromosome is a
+partition of the pieces into bins; crossover injects whole well-filled bins of
+the second parent, drops the first parent's bins that hold any injected piece,
+and best-fits the displaced pieces; mutation empties the least-filled bin and a
+few others that have room and fills them anew, each with the longest piece left
+and those that fill the rest of it most.  After each epoch an island's elite migrates to the
+next island of its block, through a table in the shared folder.  The best
+island's bins become sequences.
+
+Memory follows ``BLOCK``, not the table.  A population stops at the lower bound
+of total ids / ``capacity`` bins, after ``generations``, or after ``patience``
+generations without a better elite; a block can stop above its bound, and README
+has measured figures.
 
 Defined results: a null text is empty and becomes one piece, the end id; null
-and repeated ids are packed like any others; an empty table gives no rows; extra
-columns are left out.
+and repeated ids are packed like any others, and many equal rows are dealt to all
+blocks; other ids are cast to long; a very long text is encoded whole by one
+task; an empty table gives no rows; extra columns are left out, whatever their
+names.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -35,16 +42,27 @@ from fairlead.llm.tokens import END_ID, default_tokenizer, encoder
 
 CAPACITY = 1024
 BLOCK = 8192
-ISLANDS = 2
-EPOCHS = 2
-POPULATION = 4
-GENERATIONS = 4
+#: Tasks of an epoch at most; each then holds several blocks.
+TASKS = 20_000
 WELL_FILLED = 0.97
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, turn long"
 STATE = "block long, island int, lengths binary, elite binary, bins int"
 
 
+@dataclass(frozen=True)
+class Search:
+    """How long a block is evolved."""
+
+    islands: int = 2
+    epochs: int = 2
+    population: int = 6
+    generations: int = 60
+    #: Mutants one after the other, each made of the best so far; every eighth generation's first is a child of two parents.
+    mutants: int = 10
+    patience: int = 12
+
+
 def cut_points(n: int, capacity: int) -> list[int]:
     """Where the pieces of ``n`` ids begin, and ``n``; the first piece takes the remainder."""
     if n <= capacity:
@@ -53,23 +71,25 @@ def cut_points(n: int, capacity: int) -> list[int]:
 
 
 def _pieces(tokenizer: str, capacity: int):
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = encoder(tokenizer)
+        model, turn = encoder(tokenizer), 0
         for batch in batches:
             for part in sized_slices(batch, "text"):
                 ids, edge = model.encode_buffers(*text_buffers(part.column(1)), end=END_ID)
                 raw, rows = ids.view(np.uint8), []
                 for doc, first, last in zip(part.column(0).to_pylist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                     cuts = cut_points(last - first, capacity)
-                    rows += [(doc, k, a, b - a, zlib.crc32(raw[4 * (first + a) : 4 * (first + b)])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
-                yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    turn += 1
+                    rows += [(doc, k, a, b - a, zlib.crc32(raw[4 * (first + a) : 4 * (first + b)]), turn) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+                yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "turn"])
 
     return run
 
 
 def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+    """One row for each piece; ``turn`` counts the rows of a task and tells equal rows apart once the table is written."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(_pieces(tokenizer or default_tokenizer(), capacity), PIECES)
 
@@ -138,37 +158,88 @@ def crossover(lengths: np.ndarray, first: np.ndarray, second: np.ndarray, capaci
     return best_fit(lengths, child, loose[np.argsort(-lengths[loose], kind="stable")], capacity)
 
 
+def refilled(lengths: np.ndarray, bin_of: np.ndarray, loose: np.ndarray, capacity: int) -> np.ndarray:
+    """New bins for the pieces of ``loose``: each begins with the longest left and takes others that fill it most.
+
+    Which sums the others reach is kept as the bits of one number, as it was before each of them.
+    """
+    out, bins = bin_of.copy(), int(bin_of.max(initial=-1)) + 1
+    left = loose[np.argsort(-lengths[loose], kind="stable")].tolist()
+    short = (-lengths[left]).tolist()  # ascending, for bisection
+    while left:
+        head = left.pop(0)
+        room = capacity + short.pop(0)
+        out[head] = bins
+        reached, tried, at = 1, [], bisect_left(short, -room)
+        inside = (2 << room) - 1
+        while at < len(left) and not reached >> room & 1:
+            tried.append(reached)
+            reached |= reached << -short[at] & inside
+            at += 1
+        total = reached.bit_length() - 1
+        for k in range(at - 1, at - 1 - len(tried), -1):
+            if not tried[k - at] >> total & 1:
+                out[left[k]] = bins
+                total += short[k]
+                del left[k], short[k]
+        bins += 1
+    return out
+
+
 def mutate(lengths: np.ndarray, bin_of: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
     fill = np.bincount(bin_of, lengths)
-    weak = np.argsort(fill, kind="stable")[: max(1, len(fill) // 50)]
+    room = np.flatnonzero(fill < capacity)
+    if len(room) < 2:
+        return bin_of
+    some = int(rng.integers(4, 20))
     emptied = np.zeros(len(fill), bool)
-    emptied[weak] = True
-    emptied[rng.integers(len(fill), size=max(1, len(fill) // 50))] = True
-    child = np.where(emptied[bin_of], -1, bin_of)
-    loose = np.flatnonzero(child < 0)
-    return best_fit(lengths, child, loose[np.argsort(-lengths[loose], kind="stable")], capacity)
+    emptied[room[np.argmin(fill[room])]] = True
+    emptied[rng.choice(room, min(some, len(room)), replace=False)] = True
+    if rng.random() < 0.5:
+        emptied[rng.integers(len(fill), size=some // 2 + 1)] = True
+    loose = emptied[bin_of]
+    names = np.cumsum(~emptied) - 1
+    return refilled(lengths, np.where(loose, -1, names[bin_of]), np.flatnonzero(loose), capacity)
 
 
-def evolve(lengths: np.ndarray, migrants: list[np.ndarray], capacity: int, seed: int, generations: int = GENERATIONS) -> np.ndarray:
+def evolve(lengths: np.ndarray, migrants: list[np.ndarray], capacity: int, seed: int, search: Search = Search()) -> np.ndarray:
     """One epoch of one island; returns its elite."""
     rng = np.random.default_rng(seed)
+    least = -(-int(lengths.sum()) // capacity)
     empty = np.full(len(lengths), -1, np.int64)
-    population = list(migrants)
-    while len(population) < POPULATION:
-        noise = 0 if not population else 0.05 * capacity
+    serial = 0
+    scored: list[tuple[tuple[int, float], int, np.ndarray]] = []
+
+    def add(made: np.ndarray) -> None:
+        nonlocal serial, scored
+        scored.append((fitness(lengths, made, capacity), serial, made))  # of equals the newer one leads
+        serial += 1
+
+    for known in migrants:
+        add(known)
+    while len(scored) < search.population:
+        noise = 0 if not scored else 0.05 * capacity
         order = np.argsort(-(lengths + rng.normal(0, 1, len(lengths)) * noise), kind="stable")
-        population.append(best_fit(lengths, empty, order, capacity))
-    scored = sorted(((fitness(lengths, p, capacity), k, p) for k, p in enumerate(population)), key=lambda x: (x[0], -x[1]), reverse=True)
-    least, serial = -(-int(lengths.sum()) // capacity), len(scored)
-    for _ in range(generations):
-        if -scored[0][0][0] <= least:
+        add(best_fit(lengths, empty, order, capacity))
+    scored.sort(key=lambda x: x[:2], reverse=True)
+    still = 0
+    for generation in range(search.generations):
+        if -scored[0][0][0] <= least or still >= search.patience:
             break
-        for k in range(len(scored) // 2):
-            child = crossover(lengths, scored[k][2], scored[int(rng.integers(len(scored)))][2], capacity, rng)
-            child = mutate(lengths, child, capacity, rng)
-            scored.append((fitness(lengths, child, capacity), serial, child))
-            serial += 1
-        scored = sorted(scored, key=lambda x: (x[0], -x[1]), reverse=True)[:POPULATION]
+        best = scored[0][0]
+        made = scored[0] if generation % 4 else scored[int(rng.integers(len(scored)))]
+        if generation % 8 == 7 and len(scored) > 1:
+            one, two = rng.choice(len(scored), 2, replace=False)
+            child = crossover(lengths, scored[one][2], scored[two][2], capacity, rng)
+            made = (fitness(lengths, child, capacity), 0, child)
+        for _ in range(search.mutants):
+            child = mutate(lengths, made[2], capacity, rng)
+            fit = fitness(lengths, child, capacity)
+            if fit >= made[0]:
+                made = (fit, 0, child)
+        add(made[2])
+        scored = sorted(scored, key=lambda x: x[:2], reverse=True)[: search.population]
+        still = 0 if scored[0][0] > best else still + 1
     return scored[0][2]
 
 
@@ -176,14 +247,14 @@ def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
 
 
-def _found(key, rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
+def _found(key, rows: pd.DataFrame, capacity: int, islands: int) -> pd.DataFrame:
     """The lengths of a block's pieces that share bins, one row for each island."""
     lengths = _in_order(rows)["length"].to_numpy(np.int64)
     packed = lengths[lengths < capacity].astype("<u4").tobytes()
-    return pd.DataFrame({"block": key[0], "island": np.arange(ISLANDS, dtype=np.int32), "lengths": packed, "elite": b"", "bins": 0})
+    return pd.DataFrame({"block": key[0], "island": np.arange(islands, dtype=np.int32), "lengths": packed, "elite": b"", "bins": 0})
 
 
-def _epoch(number: int, capacity: int):
+def _epoch(number: int, capacity: int, search: Search):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
@@ -191,7 +262,7 @@ def _epoch(number: int, capacity: int):
                 lengths = np.frombuffer(row.lengths, "<u4").astype(np.int64)
                 if len(lengths):
                     known = [np.frombuffer(x, "<u4").astype(np.int64) for x in (row.elite, row.migrant) if x]
-                    best = evolve(lengths, known, capacity, zlib.crc32(f"{row.block}/{row.island}/{number}".encode()))
+                    best = evolve(lengths, known, capacity, zlib.crc32(f"{row.block}/{row.island}/{number}".encode()), search)
                 else:
                     best = np.zeros(0, np.int64)
                 out.append((row.block, row.island, row.lengths, best.astype("<u4").tobytes(), int(best.max(initial=-1)) + 1))
@@ -220,18 +291,24 @@ def _placed(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
+def pack(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None, capacity: int = CAPACITY, block: int = BLOCK, search: Search = Search()
+) -> DataFrame:
     """One row for each piece with its sequence and its place there."""
     cut = materialize(pieces(docs, text, doc_id, tokenizer, capacity), "pieces")
     blocks = max(1, -(-cut.count() // block))
-    cut_rows = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(blocks)))
-    state = materialize(cut_rows.groupBy("block").applyInPandas(lambda key, rows: _found(key, rows, capacity), STATE), "islands")
-    for number in range(EPOCHS):
-        moved = state.select("block", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("elite").alias("migrant"))
-        ready = state.join(moved, ["block", "island"]).repartition(F.col("block"), F.col("island"))
-        after = materialize(ready.mapInPandas(_epoch(number, capacity), STATE), "islands")
+    cut_rows = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32", "turn"), F.lit(blocks)))
+    state = materialize(cut_rows.groupBy("block").applyInPandas(lambda key, rows: _found(key, rows, capacity, search.islands), STATE), "islands")
+    tasks = min(blocks * search.islands, TASKS)
+    for number in range(search.epochs):
+        moved = state.select("block", ((F.col("island") + 1) % search.islands).alias("island"), F.col("elite").alias("migrant"))
+        # the number of partitions is named: small rows hold long work, and must not be put together by size
+        ready = state.join(moved, ["block", "island"]).repartition(tasks, F.col("block"), F.col("island"))
+        after = materialize(ready.mapInPandas(_epoch(number, capacity, search), STATE), "islands")
         release(state)
         state = after
     best = state.groupBy("block").agg(F.min_by("elite", F.struct("bins", "island")).alias("elite"))
-    schema = f"{PIECES}, sequence_id long, offset long"
-    return cut_rows.groupBy("block").cogroup(best.groupBy("block")).applyInPandas(_placed(capacity), schema)
+    schema = f"{PIECES.removesuffix(', turn long')}, sequence_id long, offset long"
+    placed = materialize(cut_rows.groupBy("block").cogroup(best.groupBy("block")).applyInPandas(_placed(capacity), schema), "placed")
+    release(cut, state)
+    return placed
