@@ -8,9 +8,7 @@ Parquet, so a lost executor costs a task retry and never a result.
 
 from __future__ import annotations
 
-import tempfile
 import threading
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
@@ -20,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fairlead.sources.scratch import scratch_path, shared_dir  # noqa: F401
+
 #: Text bytes that the numpy kernels handle at once; one longer text is one slice.
 SLICE_BYTES = 1 << 20
 
@@ -30,23 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; one of our own only where none is set and all work is on this machine."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.conf.get("fairlead.scratch.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="fairlead-")
-        spark.conf.set("fairlead.scratch.dir", path)
-    return path.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/fairlead-{label}-{uuid.uuid4().hex}"
-
-
 _CLEANING = threading.Lock()
 _cleaners: dict[str, list] = {}  # by session: threads inside, the setting before
 
@@ -83,15 +66,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete materialized tables that nothing reads any more."""
     for df in frames:
         path = getattr(df, "_fairlead_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            conf = df.sparkSession._jsc.hadoopConfiguration()
-            target.getFileSystem(conf).delete(target, True)
+            remove(df.sparkSession, path)
 
 
 def in_fold(doc_id: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairlead.llm import decontaminate, exact_dedup, language_id, ngram_join, packing, pii, quality, secrets, token_store, url_filter
-from fairlead.llm.common import in_fold, scratch_path, table
+from fairlead.llm.common import in_fold, materialize, remove, scratch_path, table
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def list_events(pages: DataFrame) -> DataFrame:
 
     Hosts with ``spam`` are blocked from day 0.  A third of all hosts are blocked on
     a day of their own for 90 days, and again 90 days later.  One parent domain is
-    allowed for part of the year and one is blocked late in it.
+    allowed for part of the year and one is blocked late in it; their names are written in several forms.
     """
     hosts = pages.select(url_filter.host(F.col("url")).alias("name")).where("name is not null").distinct()
     number = F.conv(F.substring(F.md5(F.col("name").cast("binary")), 1, 4), 16, 10).cast("int")
@@ -50,7 +50,7 @@ def list_events(pages: DataFrame) -> DataFrame:
     dated = hosts.withColumn("n", number).where("n % 3 = 0").withColumn("e", F.explode(F.array(add(F.col("n") % 150, "add"), add(F.col("n") % 150 + 90, "remove"), add(F.col("n") % 150 + 180, "add"))))
     rows = dated.select("name", F.lit("hosts").alias("list"), F.lit("block").alias("action"), "e.day", "e.event")
     spam = hosts.where(F.contains("name", F.lit("spam"))).select("name", F.lit("spam").alias("list"), F.lit("block").alias("action"), F.lit(0).alias("day"), F.lit("add").alias("event"))
-    fixed = [("example.org", "domains", "allow", 100, "add"), ("example.org", "domains", "allow", 250, "remove"), ("example.net", "domains", "block", 300, "add")]
+    fixed = [("Example.ORG", "domains", "allow", 100, "add"), ("www.example.org", "domains", "allow", 250, "remove"), ("example.net.", "domains", "block", 300, "add")]
     parents = pages.sparkSession.createDataFrame(fixed, "name string, list string, action string, day int, event string")
     return rows.union(spam).union(parents)
 
@@ -74,7 +74,9 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-ids")
     token_store.write(table(spark, sf_dir, "documents"), path)
-    return token_store.digest(spark, path)
+    found = materialize(token_store.digest(spark, path), "token-digest")
+    remove(spark, path)
+    return found
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -2,12 +2,16 @@
 
 Method.  Documents are range-partitioned by id and sorted, tokenised in that
 order, and written as ORC: integers in run-length encoding v2, a row index, and
-a Bloom filter on the id column.  Readers take stripes in parallel, and
-:func:`lookup` lets stripe statistics and Bloom filters rule stripes out.
+a Bloom filter on the id column.  The number of files follows the bytes of text.
+A row's number before the exchange is the second key, so that rows of one id, or
+without id, are dealt to several files where there are very many.  Readers take
+stripes in parallel, and :func:`lookup` lets stripe statistics and Bloom filters
+rule stripes out.
 
 Defined results: a null text is an empty text and holds the end id alone; null
-ids sort first; rows repeating an id are kept in the order of their texts; an
-empty table writes no rows; extra columns are left out.
+ids sort first; rows repeating an id are next to each other in no fixed order;
+other ids are cast to long; a very long text is one row; an empty table writes no
+rows; extra columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,12 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fairlead.llm.common import sized_slices, text_buffers
 from fairlead.llm.tokens import END_ID, default_tokenizer, encoder
 
+#: Text bytes of a file at most, and at least where there are enough cores for more files.
+MOST_BYTES, LEAST_BYTES = 1 << 30, 4 << 20
 FILE_SCHEMA = "doc_id long, row long, ids array<int>"
 ORC_OPTIONS = {
     "compression": "zstd",
@@ -47,11 +53,18 @@ def _encode(tokenizer: str):
     return run
 
 
+def _files(rows: DataFrame) -> int:
+    """How many files: enough for all cores, none over ``MOST_BYTES`` of text."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-size // MOST_BYTES), min(4 * cores, -(-size // LEAST_BYTES)))
+
+
 def write(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None, partitions: int | None = None) -> None:
     """Write every document's ids, each document ending with ``END_ID``."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = rows.withColumn("turn", F.monotonically_increasing_id())
+    ordered = dealt.repartitionByRange(partitions or _files(rows), "doc_id", "turn").sortWithinPartitions("doc_id", "turn").drop("turn")
     ordered.mapInArrow(_encode(tokenizer or default_tokenizer()), FILE_SCHEMA).write.options(**ORC_OPTIONS).orc(path)
 
 
@@ -73,16 +86,21 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*batch.columns[:3], pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "row", "file", "n_tokens", "ids_crc32"])
 
 
+def _part() -> Column:
+    """A file's number, by which files are in the order of ids."""
+    return F.regexp_extract(F.col("_metadata.file_name"), r"^part-([0-9]+)", 1).cast("long")
+
+
 def digest(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: start (ids of all documents before it), n_tokens, ids_crc32.
 
     The running sum has two levels: inside a file, and over one row for each file.
     """
-    stored = read(spark, path).select("doc_id", "row", F.col("_metadata.file_name").alias("file"), "ids")
-    rows = stored.mapInArrow(_digest, "doc_id long, row long, file string, n_tokens long, ids_crc32 long")
+    stored = read(spark, path).select("doc_id", "row", _part().alias("file"), "ids")
+    rows = stored.mapInArrow(_digest, "doc_id long, row long, file long, n_tokens long, ids_crc32 long")
     before = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    sizes = read(spark, path).select(F.col("_metadata.file_name").alias("file"), F.size("ids").cast("long").alias("n"))
+    sizes = read(spark, path).select(_part().alias("file"), F.size("ids").cast("long").alias("n"))
     sizes = sizes.groupBy("file").agg(F.sum("n").alias("n"))
     earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
