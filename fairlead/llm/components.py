@@ -28,19 +28,21 @@ def _star(links: DataFrame, keep_larger: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
+def _is_stars(links: DataFrame) -> bool:
+    """Whether every link ends at a node that begins none, and every node begins one at most."""
+    least = links.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    if not least.where("n > 1").isEmpty():
+        return False
+    return links.join(least.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links(a, b)``, as a table; the component is its smallest node."""
-    sign = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
     now = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    seen = now.agg(F.count(F.lit(1)), sign).first()
-    while True:
+    while not _is_stars(now):
         after = materialize(_star(_star(now, True), False), "links")
         release(now)
-        now, last = after, seen
-        seen = now.agg(F.count(F.lit(1)), sign).first()
-        if seen == last:
-            break
-    found = now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
-    out = materialize(found.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), "groups")
+        now = after
+    out = materialize(now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), "groups")
     release(now)
     return out

@@ -189,14 +189,14 @@ def shingle_classes(survey: DataFrame, shingles: int, blobs: int) -> np.ndarray:
 
 
 def _prefixes(packed):
-    """The first shingles of each set in the order: key (class, then hash), node, set size and place from 1."""
+    """The first shingles of each set in the order: key (class, then hash), node and place from 1."""
     shift = np.uint64(63 - _CLASS_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = np.stack([packed.value >> 4, packed.value & 15], 1).ravel()
         seen: set[tuple[int, int, int]] = set()
         for _, sets in _sets(batches):
-            keys, signs, sizes = [], [], []
+            keys, signs = [], []
             for tokens in sets:
                 if not len(tokens):
                     continue
@@ -209,12 +209,11 @@ def _prefixes(packed):
                 first = int(prefix_length(len(tokens)))
                 keys.append(np.sort(np.partition(order, first - 1)[:first] if first < len(order) else order))
                 signs.append(sign[0])
-                sizes.append(len(tokens))
             if keys:
                 runs = np.fromiter(map(len, keys), np.int64, len(keys))
                 place = np.arange(1, int(runs.sum()) + 1) - np.repeat(np.cumsum(runs) - runs, runs)
-                columns = [np.concatenate(keys).view(np.int64), np.repeat(np.array(signs, np.int64), runs), np.repeat(np.array(sizes, np.int32), runs), place.astype(np.int32)]
-                yield pa.record_batch([pa.array(c) for c in columns], names=["token", "s1", "n", "place"])
+                columns = [np.concatenate(keys).view(np.int64), np.repeat(np.array(signs, np.int64), runs), place.astype(np.int32)]
+                yield pa.record_batch([pa.array(c) for c in columns], names=["token", "s1", "place"])
 
     return run
 
@@ -245,7 +244,7 @@ def _bitmap(ids: DataFrame, bits: int):
     place = F.shiftrightunsigned(F.xxhash64("id"), 64 - bits)
     cells = ids.select(place.alias("p")).distinct().select(F.shiftright("p", width).alias("slice"), F.col("p").bitwiseAND((1 << width) - 1).cast("int").alias("at"))
     out = np.zeros((1 << (bits - width), 1 << (width - 3)), np.uint8)
-    for row in cells.groupBy("slice").applyInPandas(fill, "slice long, bits binary").toLocalIterator():
+    for row in cells.groupBy("slice").applyInPandas(fill, "slice long, bits binary").collect():  # 2**bits bits, in slices
         out[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
     return out.ravel()
 
@@ -320,11 +319,11 @@ def _nodes(posts: DataFrame, reps: DataFrame) -> DataFrame:
     split = _salts(token) > 1
     shared = spread.where(split | (F.col("lo") != F.col("hi"))).withColumn("df", F.when(split, F.pow(F.lit(8.0), F.shiftright(token, 63 - _CLASS_BITS)) * 32).otherwise(F.col("found")).cast("long"))
     common = F.struct("df", "token")
-    found = shared.groupBy("s1", "n").agg(
+    found = shared.groupBy("s1").agg(
         F.sort_array(F.collect_set(F.struct("token", "place"))).alias("cells"), F.max(common)["token"].alias("most"), F.min(common)["token"].alias("least"), F.sum(F.log1p("df")).alias("sum")
     )
-    able = found.where(F.size("cells") >= _reach(F.col("n"))).withColumn("weight", F.round(F.col("sum") / _length(F.col("n")), 6))
-    return able.join(reps.select("s1", "n", "rid"), ["s1", "n"]).select("rid", "n", F.col("cells.token").alias("tokens"), F.col("cells.place").alias("places"), "most", "least", "weight")
+    able = found.join(reps.select("s1", "n", "rid"), "s1").where(F.size("cells") >= _reach(F.col("n"))).withColumn("weight", F.round(F.col("sum") / _length(F.col("n")), 6))
+    return able.select("rid", "n", F.col("cells.token").alias("tokens"), F.col("cells.place").alias("places"), "most", "least", "weight")
 
 
 def _star_pairs(nodes: DataFrame) -> DataFrame:
@@ -364,6 +363,11 @@ def _band(n: Column | None = None) -> Column:
     return F.floor(F.log(F.col("n") if n is None else n) / F.log(F.lit(1.1))).cast("int")
 
 
+def _wide(band: Column) -> Column:
+    """Three bands in one: all sizes that fit a set lie in two or three of these."""
+    return F.floor(band / 3).cast("int")
+
+
 def _grouped(nodes: DataFrame, groups: DataFrame) -> DataFrame:
     """Nodes with their group, itself where it has no other, and the group's size."""
     sized = groups.join(groups.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component")
@@ -384,12 +388,13 @@ def _met(grouped: DataFrame) -> DataFrame:
     largest = F.least(F.floor(F.col("n") * 100 / PERCENT), F.floor(F.col("tail") * (100 + PERCENT) / PERCENT) - F.col("n"))
     cells = cells.withColumn("smallest", smallest).withColumn("largest", largest).where("smallest <= largest")
     unit = ["token", F.col("group").alias("g"), F.col("size").alias("g_size"), F.col("band").alias("g_band")]
-    matrix = _in_all_parts(cells.groupBy(*unit).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("tail").alias("g_tail")))
-    asked = cells.withColumn("g_band", F.explode(F.sequence(_band(F.col("smallest")), _band(F.col("largest"))))).withColumn("salt", _salt(F.col("token"), F.col("rid")))
+    matrix = _in_all_parts(cells.groupBy(*unit).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("tail").alias("g_tail"))).withColumn("wide", _wide(F.col("g_band")))
+    asked = cells.withColumn("wide", F.explode(F.sequence(_wide(_band(F.col("smallest"))), _wide(_band(F.col("largest")))))).withColumn("salt", _salt(F.col("token"), F.col("rid")))
+    asked = asked.drop("band", "smallest", "largest")  # worked out again behind the exchange
     larger = (F.col("g_size") > F.col("size")) | ((F.col("g_size") == F.col("size")) & (F.col("g") < F.col("group")))
-    first, last = F.greatest("low", "smallest"), F.least("high", "largest")
+    first, last = F.greatest(F.col("low"), smallest), F.least(F.col("high"), largest)
     able = larger & (first <= last) & (_shared(F.col("n"), first) <= F.least("tail", "g_tail"))
-    found = asked.join(matrix, ["token", "salt", "g_band"]).where(able)
+    found = asked.join(matrix, ["token", "salt", "wide"]).where(able)
     return found.select("rid", "n", F.col("g").alias("group"), F.col("g_size").alias("size"), F.col("g_band").alias("band")).distinct()
 
 
@@ -496,7 +501,7 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     shingles, blobs = survey.agg(F.sum("n"), F.count("slice")).first()
     classes = spark.sparkContext.broadcast(shingle_classes(survey, shingles or 0, blobs))
     rows = rows.where("doc_id is not null")
-    nodes = materialize(_nodes(rows.mapInArrow(_prefixes(classes), "token long, s1 long, n int, place int"), reps), "nodes")
+    nodes = materialize(_nodes(rows.mapInArrow(_prefixes(classes), "token long, s1 long, place int"), reps), "nodes")
 
     links = _decide(rows, _star_pairs(nodes))
     tables = [links]
