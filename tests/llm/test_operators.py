@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fairlead.llm import decontaminate, exact_dedup, language_id, ngram_join, packing, pii, quality, secrets, token_store, url_filter
 from fairlead.llm.common import Words, char_class, crc_fold, in_fold, scratch_path, text_buffers
 from fairlead.llm.components import components
-from fairlead.llm.fm_index import FMIndex, suffix_array
+from fairlead.llm.fm_index import Bits, FMIndex, WaveletMatrix, suffix_array
 from fairlead.llm.tokens import Encoder, default_tokenizer
 from support import AWKWARD, LONG, SCHEMA, docs, near_components
 
@@ -86,6 +86,44 @@ def test_pii_spans(spark):
     assert rows[9] == [] and rows[10][0][2] == 3 + 40_000 and [x[3] for x in rows[11]] == ["0001.002.003.255"]
 
 
+def test_pii_scores_follow_context(spark):
+    texts = [
+        (1, "Send mail to a@b.cd or noreply example a@b.cd"),
+        (2, "card 4111 1111 1111 1111" + " x" * 40 + " order 4111 1111 1111 1111" + " y" * 40 + " 4111 1111 1111 1111"),
+        (3, "ssn 123-45-6789 123-45-6789 123-45-6789 123-45-6789 123-45-6789, order ssn 123-45-6789"),
+        (4, "example GB82WEST12345698765432 bank account" + " z" * 30 + "GB82WEST12345698765432"),
+        (5, "phone +45 12 34 56 78, tracking +45 12 34 56 78 host 10.0.0.1" + " q" * 30 + " version 10.0.0.1"),
+    ]
+    got = {r["doc_id"]: [(s["kind"], round(s["score"], 2)) for s in r["spans"]] for r in pii.find(docs(spark, texts)).collect()}
+    assert got[1] == [("email", 0.95), ("email", 0.7)]
+    assert got[2] == [("card", 0.95), ("card", 0.45), ("card", 0.7)]
+    assert got[3] == [("ssn", 0.55)] * 4  # the fifth lies over 40 characters behind the word, the sixth has a word against it
+    assert got[4] == [("iban", 0.55), ("iban", 0.8)]
+    assert [s for k, s in got[5] if k == "phone"] == [0.75, 0.5] and [s for k, s in got[5] if k == "ip"] == [0.85, 0.35]
+    row = pii.digest(pii.find(docs(spark, texts[:1]))).first()
+    assert row["scores"] == "95,70" and row["spans"] == "email:13:19,email:39:45"
+
+
+def test_running_sums(spark):
+    for n in (1, 2, 255, 256, 257, 512, 513, 3000):
+        frame = spark.createDataFrame([([k % 7 for k in range(n)],)], "v array<int>")
+        got = frame.select(pii.running_sums(F.col("v")).alias("s")).first()["s"]
+        assert got == np.cumsum([k % 7 for k in range(n)]).tolist()
+
+
+def test_pii_cost_follows_the_number_of_spans(spark):
+    import time
+
+    def seconds(n):
+        frame = docs(spark, [(1, " ".join(f"user{k}@mail.example.com" for k in range(n)))])
+        began = time.time()
+        assert len(pii.find(frame).first()["spans"]) == n
+        return time.time() - began
+
+    seconds(100)
+    assert seconds(64_000) < 20
+
+
 def test_pii_awkward(awkward, empty):
     assert pii.digest(pii.find(awkward)).count() == len(AWKWARD) and pii.find(empty).count() == 0
 
@@ -130,6 +168,47 @@ def test_suffix_array_and_index_against_search():
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
 
 
+def test_ranks_of_packed_bits():
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 63, 64, 65, 128, 1000):
+        bits = rng.random(n) < 0.3
+        packed = Bits(bits)
+        assert packed.rank(np.arange(n + 1)).tolist() == np.concatenate([[0], np.cumsum(bits)]).tolist()
+        assert packed.get(np.arange(n)).tolist() == bits.tolist()
+    values = rng.integers(0, 9, 500)
+    symbol, rank = WaveletMatrix(values, 9).symbol_and_rank(np.arange(500))
+    assert symbol.tolist() == values.tolist() and rank.tolist() == [int((values[:k] == v).sum()) for k, v in enumerate(values)]
+    index = FMIndex(np.tile([1, 2, 3], 1000), 4)
+    assert len(index.positions) == 188 and index.marked.words.nbytes < 1000
+
+
+def test_phrases_are_small_and_name_their_items():
+    items = [("a", "x y z"), ("b", "x y z"), ("a", " ".join(f"w{k}" for k in range(20)) + " " + " ".join(f"w{k}" for k in range(20))), ("c", "..."), ("d", None)]
+    phrases = decontaminate.Phrases(sorted(items, key=lambda x: (x[0], x[1] or "")))
+    assert len(phrases.start) == 1 + 20 and phrases.shortest == 3 and phrases.items_of(np.flatnonzero(phrases.length == 3)) == {"a", "b"}
+    many = decontaminate.Phrases([(str(i), " ".join(f"t{(i * 97 + k * k) % 50_000}" for k in range(400))) for i in range(1000)])
+    assert sum(v.nbytes for v in vars(many).values() if isinstance(v, np.ndarray)) < 24 * 400_000
+    assert decontaminate.Phrases([]).shortest == 0
+
+
+def test_blocks_of_the_benchmark_give_the_same(spark, monkeypatch):
+    """Several blocks, several held shards, an item in each and texts over many slices."""
+    rng = random.Random(3)
+    words = [f"b{k}" for k in range(400)]
+    items = [(f"i{k}", " ".join(rng.choice(words) for _ in range(rng.choice((3, 12, 13, 40))))) for k in range(60)]
+    benchmark = spark.createDataFrame(items + items[:5], "item_id string, text string")
+    texts = []
+    for i in range(200):
+        parts = [" ".join(rng.choice(words) for _ in range(rng.randrange(30))) for _ in range(3)] + [rng.choice(items)[1] for _ in range(rng.randrange(3))]
+        rng.shuffle(parts)
+        texts.append((i, " ! ".join(parts)))
+    frame = docs(spark, texts)
+    want = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"], r["spans"]) for r in decontaminate.find(frame, benchmark).collect()}
+    monkeypatch.setattr(decontaminate, "HELD", 3)
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"], r["spans"]) for r in decontaminate.find(frame, benchmark, block_bytes=500).collect()} == want
+    assert sum(bool(v[1]) for v in want.values()) > 100
+
+
 def test_decontamination_spans(spark):
     item = " ".join(f"w{k}" for k in range(20))
     benchmark = spark.createDataFrame([("q", item), ("short", "Tiny item"), (None, "x y"), ("none", None), ("blank", "...")], "item_id string, text string")
@@ -310,6 +389,24 @@ def test_url_intervals(spark):
     assert url_filter.kept(frame.limit(0), events).count() == 0
 
 
+def test_url_names_and_hosts_in_any_form(spark):
+    events = spark.createDataFrame(
+        [("Bad.com", "x", "block", 0, "add"), ("bad.com ", "x", "block", 10, "remove"), ("www.Site.com", "x", "block", 0, "add"), ("dot.com.", "x", "block", 0, "add"), ("u.com", "x", "block", 0, "add"), ("[::1]", "x", "block", 0, "add")]
+        + [("same.com", "x", "block", 5, e) for e in ("remove", "add", "add")] + [("turn.com", "x", "block", 1, "add"), ("turn.com", "x", "allow", 1, "add"), ("turn.com", "x", "allow", 3, "add"), ("www.", "x", "block", 0, "add"), (".", "x", "block", 0, "add"), ("odd.com", "x", "block", 0, None)],
+        "name string, list string, action string, day int, event string",
+    )
+    captures = [(1, "http://bad.com/", 5), (2, "http://BAD.com/", 20), (3, "http://site.com", 1), (4, "http://a.dot.com./x", 1), (5, "http://v@w@u.com/", 1), (6, "http://[::1]/", 1), (7, "http://[::1]:80", 1), (8, "http://same.com", 6), (9, "http://turn.com", 2)]
+    captures += [(10, "http://turn.com", 4), (11, "http://" + "a." * 126 + "com", 1), (12, "http://" + "a." * 200_000 + "com/", 1), (13, "http://u.com/" + "x@" * 100_000, 1), (14, "http://odd.com", 1), (15, "http://@/", 1), (16, "http://u.com@", 1)]
+    frame = spark.createDataFrame(captures, "page_id long, url string, day int")
+    for name in ("host", "name", "list", "entries", "entry", "verdict", "matched", "tsoh", "listed_on"):
+        frame = frame.withColumn(name, F.lit("clash"))
+        events = events.withColumn(f"{name}_", F.lit("clash"))
+    events = events.withColumn("valid_to", F.lit("clash")).withColumn("listed", F.lit("clash"))
+    rows = {r["page_id"]: r for r in url_filter.judge(frame, events).collect()}
+    assert {k: r["verdict"] for k, r in rows.items()} == {1: "block", 2: "none", 3: "block", 4: "block", 5: "block", 6: "block", 7: "block", 8: "none", 9: "block", 10: "allow", 11: "none", 12: "none", 13: "block", 14: "none", 15: "none", 16: "none"}
+    assert rows[5]["host"] == "u.com" and rows[6]["host"] == "[::1]" and rows[12]["host"] is None and rows[15]["host"] is None and rows[16]["host"] is None and rows[10]["listed_on"] == 3
+
+
 # --- tokens, packing, files
 
 ODD = ["", " ", "  a  b", "a\n\n b \n c", "it's 'tis I'll’s don't,", "\x1c x\x1cy   z 　 q", "tab\t x", "<|endoftext|> a", "ab,'s x.", " " * 50 + "x", "é" * 200 + " " + "x" * 300 + " y,,,'", "a\nb", "a.\nb", ".\n", "\n", "x ", "y", " z", "a-b_c (d)e", "don't.\nIt", "naïve,\nx", "😀 😀", "1,000.50 $5"]
@@ -353,15 +450,46 @@ def test_cut_points():
     assert packing.cut_points(2500, 1024) == [0, 452, 1476, 2500] and packing.cut_points(1, 1024) == [0, 1]
 
 
-def test_genetic_packing_is_whole_and_no_worse_than_best_fit():
+def planted_lengths(rng, bins, parts):
+    """Pieces that fill ``bins`` bins of 1,024 to the last id."""
+    out = []
+    for _ in range(bins):
+        cuts = np.sort(rng.choice(np.arange(1, 1024), parts - 1, replace=False))
+        out += np.diff(np.concatenate([[0], cuts, [1024]])).tolist()
+    return np.sort(np.array(out))[::-1].copy()
+
+
+def test_genetic_packing_beats_best_fit_on_planted_blocks():
     rng = np.random.default_rng(3)
-    lengths = np.sort(rng.integers(1, 700, 800))[::-1].copy()
-    plain = packing.best_fit(lengths, np.full(800, -1), np.arange(800), 1024)
-    best = packing.evolve(lengths, [], 1024, 5)
-    assert np.bincount(best, lengths).max() <= 1024 and sorted(np.unique(best)) == list(range(best.max() + 1))
-    assert best.max() <= plain.max()
-    child = packing.crossover(lengths, plain, best, 1024, rng)
-    assert (child >= 0).all() and np.bincount(child, lengths).max() <= 1024
+    for bins, parts in ((300, 4), (200, 6), (300, 8)):
+        lengths = planted_lengths(rng, bins, parts)
+        plain = packing.best_fit(lengths, np.full(len(lengths), -1), np.arange(len(lengths)), 1024)
+        best = packing.evolve(lengths, [], 1024, 5)
+        assert np.bincount(best, lengths).max() <= 1024 and sorted(np.unique(best)) == list(range(best.max() + 1)) and len(best) == len(lengths)
+        assert bins <= best.max() + 1 < plain.max() + 1
+        child = packing.crossover(lengths, plain, best, 1024, rng)
+        assert (child >= 0).all() and np.bincount(child, lengths).max() <= 1024
+
+
+def test_migrants_and_patience():
+    rng = np.random.default_rng(4)
+    lengths = planted_lengths(rng, 60, 3)
+    first = packing.evolve(lengths, [], 1024, 1, packing.Search(generations=0))
+    after = packing.evolve(lengths, [first], 1024, 2)
+    assert packing.fitness(lengths, after, 1024) >= packing.fitness(lengths, first, 1024)
+    whole = packing.evolve(np.array([600] * 50), [], 1024, 1)
+    assert whole.max() + 1 == 50 and packing.evolve(np.array([1]), [], 1024, 1).tolist() == [0]
+
+
+def test_refilled_bins_hold_what_fits_best():
+    lengths = np.array([700, 500, 324, 300, 24, 20])
+    out = packing.refilled(lengths, np.full(6, -1), np.arange(6), 1024)
+    assert out[0] == out[2] and np.bincount(out, lengths).tolist() == [1024, 844]
+
+
+def test_equal_rows_are_dealt_to_all_blocks(spark):
+    rows = packing.pack(docs(spark, [(1, "a few words")] * 300), block=50).collect()
+    assert len(rows) == 300 and len({r["sequence_id"] >> 32 for r in rows}) > 3
 
 
 def test_token_files(spark, awkward, empty):
@@ -378,6 +506,16 @@ def test_token_files(spark, awkward, empty):
     assert token_store.digest(spark, void).count() == 0
 
 
+def test_rows_of_one_id_are_dealt_to_several_files(spark):
+    path = scratch_path(spark, "tokens")
+    token_store.write(docs(spark, [(7, f"text {k}") for k in range(400)] + [(None, "x")] * 400 + [(9, "last")]), path, partitions=8)
+    rows = token_store.digest(spark, path).orderBy("start").collect()
+    assert [r["doc_id"] for r in rows] == [None] * 400 + [7] * 400 + [9]
+    assert [r["start"] for r in rows] == [sum(x["n_tokens"] for x in rows[:k]) for k in range(len(rows))]
+    sizes = token_store.read(spark, path).groupBy(F.input_file_name()).count().collect()
+    assert len(sizes) > 5 and max(r["count"] for r in sizes) < 300
+
+
 def test_words_of_texts():
     texts = ["", "Ab c", "x", None, " é,Z9 ", LONG[:100]]
     data, offsets = text_buffers(pa.array(texts, pa.string()))
