@@ -7,6 +7,7 @@ from east.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -63,8 +64,13 @@ def direction_difference(a: Column, b: Column) -> Column:
     return F.least(turn, 360.0 - turn)
 
 
+def _turned(degrees: Column) -> Column:
+    """A difference of longitudes by the shorter way around."""
+    return F.when(F.abs(degrees) <= 180.0, degrees).otherwise(F.pmod(degrees + 180.0, F.lit(360.0)) - 180.0)
+
+
 def local_x(lon: Column, ref_lat: Column, ref_lon: Column) -> Column:
-    return (lon - ref_lon) * METRES * F.cos(F.radians(ref_lat))
+    return _turned(lon - ref_lon) * METRES * F.cos(F.radians(ref_lat))
 
 
 def local_y(lat: Column, ref_lat: Column) -> Column:
@@ -76,7 +82,7 @@ def local_lat(y: Column, ref_lat: Column) -> Column:
 
 
 def local_lon(x: Column, ref_lat: Column, ref_lon: Column) -> Column:
-    return ref_lon + x / (METRES * F.cos(F.radians(ref_lat)))
+    return _turned(ref_lon + x / (METRES * F.cos(F.radians(ref_lat))))
 
 
 def cartesian_distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -145,11 +151,19 @@ def vessel_centre(lat: Column, lon: Column, hdg: Column, stern: Column, bow: Col
     return local_lat(y, lat), local_lon(x, lat, lon)
 
 
+#: Half axes below this many metres, such as those of vessels without dimensions, count as this long.
+LEAST_AXIS = 0.01
+
+
+def _axis(length: Column) -> Column:
+    return F.greatest(length, F.lit(LEAST_AXIS))
+
+
 def _in_frame(e: Column, x: Column, y: Column) -> tuple[Column, Column]:
     """A point in the frame where ``e`` is the unit circle."""
     rad = F.radians(e["theta"])
     dx, dy = x - e["x"], y - e["y"]
-    return (dx * F.cos(rad) + dy * F.sin(rad)) / e["alpha"], (dy * F.cos(rad) - dx * F.sin(rad)) / e["beta"]
+    return (dx * F.cos(rad) + dy * F.sin(rad)) / _axis(e["alpha"]), (dy * F.cos(rad) - dx * F.sin(rad)) / _axis(e["beta"])
 
 
 def contains(e: Column, x: Column, y: Column) -> Column:
@@ -157,16 +171,44 @@ def contains(e: Column, x: Column, y: Column) -> Column:
     return u * u + v * v <= 1.0
 
 
-def intersects(a: Column, b: Column, points: int = 256) -> Column:
-    """Whether two ellipses on one plane meet: a centre inside, or one of ``points`` on b's rim inside a."""
-    angles = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: k * (2 * 3.141592653589793 / points))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
 
-    def rim(t: Column) -> Column:
-        rad = F.radians(b["theta"])
-        u, v = b["alpha"] * F.cos(t), b["beta"] * F.sin(t)
-        return contains(a, b["x"] + u * F.cos(rad) - v * F.sin(rad), b["y"] + u * F.sin(rad) + v * F.cos(rad))
+def intersects(a: Column, b: Column) -> Column:
+    """Whether two ellipses on one plane have a point in common; touching counts.
+
+    Where a is the unit circle, b is w'Bw <= 0 and a is w'Aw <= 0 with A = diag(1, 1, -1) in homogeneous
+    coordinates.  The two are apart exactly if det(kA + B) has two distinct positive roots k, which the
+    discriminant and the signs of the cubic's coefficients show.  Pairs whose bounding circles are apart
+    are not worked out.
+    """
 
-    return contains(b, a["x"], a["y"]) | contains(a, b["x"], b["y"]) | F.exists(angles, rim)
+    def in_frame(at: Column) -> Column:
+        """b's quadratic form p uu + 2 q uv + s vv around (u, v) in a's frame."""
+        u, v = _in_frame(a, b["x"], b["y"])
+        c, d = F.cos(at), F.sin(at)
+        m11, m12 = _axis(a["alpha"]) * c / _axis(b["alpha"]), _axis(a["beta"]) * d / _axis(b["alpha"])
+        m21, m22 = _axis(a["alpha"]) * d / _axis(b["beta"]), _axis(a["beta"]) * c / _axis(b["beta"])
+        return F.struct((m11 * m11 + m21 * m21).alias("p"), (m21 * m22 - m11 * m12).alias("q"), (m12 * m12 + m22 * m22).alias("s"), u.alias("u"), v.alias("v"))
+
+    def cubic(g: Column) -> Column:
+        """Coefficients x, y, z of k^3 + x k^2 + y k + z."""
+        p, q, s, u, v = (g[c] for c in "pqsuv")
+        r, t = p * u + q * v, q * u + s * v
+        w = u * r + v * t - 1.0
+        return F.struct((p + s - w).alias("x"), (p * s - q * q - w * (p + s) + t * t + r * r).alias("y"), (w * q * q - w * p * s + t * t * p - 2.0 * q * t * r + r * r * s).alias("z"))
+
+    def apart(k: Column) -> Column:
+        x, y, z = k["x"], k["y"], k["z"]
+        discriminant = 18.0 * x * y * z - 4.0 * x * x * x * z + x * x * y * y - 4.0 * y * y * y - 27.0 * z * z
+        return (discriminant > 0.0) & ((x <= 0.0) | (y <= 0.0))
+
+    reach = F.greatest(a["alpha"], a["beta"], F.lit(LEAST_AXIS)) + F.greatest(b["alpha"], b["beta"], F.lit(LEAST_AXIS))
+    far = F.pow(b["x"] - a["x"], 2) + F.pow(b["y"] - a["y"], 2) > reach * reach
+    exact = _let(_let(F.radians(a["theta"] - b["theta"]), in_frame), lambda g: _let(cubic(g), lambda k: ~apart(k)))
+    return F.when(far, False).otherwise(exact)
 
 
 def ellipse_position(e: Column, ref_lat: Column, ref_lon: Column) -> Column:

@@ -63,6 +63,14 @@ def fleet_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reports(spark, sf_dir, lat, lon)
 
 
+def polar_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same vessels at 80 degrees north, on both sides of the 180th meridian."""
+    n, u = F.col("n"), F.col("user_id")
+    lat = 80_000_000 + 2500 * (u % 12) + 900 * (u % 5) + 150 * n
+    lon = (179_900_000 + 40_000 * (u * 7 % 9) + 7000 * (u % 3) + 180_000_000) % 360_000_000 - 180_000_000
+    return _reports(spark, sf_dir, lat, lon)
+
+
 def event_store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(events, behaviours, tracking points): one event for each row of the table."""
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id")

@@ -116,3 +116,55 @@ def test_predicates_are_never_null(spark):
 def test_dates_and_percent(spark):
     got = one(spark, a=formats.parse_date(F.lit("05/10/2014")), b=formats.parse_date(F.lit("05/10/2014 16:19")), c=formats.parse_date(F.lit("x")), d=formats.percent(F.lit(1), F.lit(3)), e=formats.percent(F.lit(1), F.lit(0)))
     assert str(got["a"]) == "2014-10-05 00:00:00" and str(got["b"]) == "2014-10-05 16:19:00" and got["c"] is None and got["d"] == 33.33 and got["e"] is None
+
+
+def test_ellipses_meet_as_their_rims_say(spark):
+    """Random and grazing pairs, some inside each other, against a dense rim that is refined around its deepest point."""
+    import math
+    import random
+
+    rng = random.Random(11)
+
+    def level(e, x, y):
+        c, d = math.cos(math.radians(e[4])), math.sin(math.radians(e[4]))
+        dx, dy = x - e[0], y - e[1]
+        return math.hypot((dx * c + dy * d) / e[2], (dy * c - dx * d) / e[3])
+
+    def rim(e, t):
+        c, d = math.cos(math.radians(e[4])), math.sin(math.radians(e[4]))
+        u, v = e[2] * math.cos(t), e[3] * math.sin(t)
+        return e[0] + u * c - v * d, e[1] + u * d + v * c
+
+    def deepest(a, b):
+        at, step = 0.0, 2 * math.pi / 512
+        places = [k * step for k in range(512)]
+        for _ in range(5):
+            at = min(places, key=lambda t: level(a, *rim(b, t)))
+            places = [at + k * step / 32 for k in range(-32, 33)]
+            step /= 32
+        return level(a, *rim(b, at))
+
+    make = lambda far, big: (rng.uniform(-far, far), rng.uniform(-far, far), rng.uniform(1, big), rng.uniform(1, big / 2), rng.uniform(0, 360))
+    pairs = [(make(200, 300), make(200, 300)) for _ in range(300)] + [(make(5, 400), make(5, 3)) for _ in range(20)]
+    for _ in range(300):  # a small one pushed to the rim of a large one, and a little further or back
+        a, b = make(10, 400), make(10, 40)
+        for _ in range(60):
+            near = deepest(a, b)
+            b = (a[0] + (b[0] - a[0]) / near, a[1] + (b[1] - a[1]) / near, *b[2:]) if near < 0.999 or near > 1.001 else b
+        for shift in (1 - 1e-4, 1 + 1e-4):
+            pairs.append((a, (a[0] + (b[0] - a[0]) * shift, a[1] + (b[1] - a[1]) * shift, *b[2:])))
+    pairs += [((0, 0, 10, 5, 0), (20, 0, 10, 5, 0)), ((0, 0, 10, 5, 0), (0, 0, 10, 5, 0)), ((0, 0, 0, 0, 0), (0, 0, 0, 0, 0)), ((0, 0, 5, 0, 90), (4, 0, 0, 3, 10)), ((0, 0, 9, 4, 0), (300, 0, 9, 4, 0))]
+    shape = "struct<x:double,y:double,alpha:double,beta:double,theta:double>"
+    frame = spark.createDataFrame([(k, *(tuple(map(float, e)) for e in pair)) for k, pair in enumerate(pairs)], f"k int, a {shape}, b {shape}")
+    rows = frame.select("k", geo.intersects(F.col("a"), F.col("b")).alias("one"), geo.intersects(F.col("b"), F.col("a")).alias("two")).orderBy("k").collect()
+    assert all(r["one"] == r["two"] for r in rows)
+    got = [r["one"] for r in rows]
+    assert got[-5:] == [True, True, True, False, False]
+    sure = 0
+    for (a, b), met in zip(pairs[:-5], got, strict=False):
+        near = deepest(a, b)
+        want = near <= 1 or level(b, a[0], a[1]) <= 1 or level(a, b[0], b[1]) <= 1
+        if abs(near - 1) > 1e-7:
+            sure += 1
+            assert met == want, (a, b, near)
+    assert sure > 850
