@@ -1,18 +1,22 @@
 """AIS sentences to rows: tag and time lines, multi-part payloads, and the 6-bit message layout.
 
 A file is text; a packet is the run of lines up to the last part of its
-sentence.  Packets are put together inside a file by window functions (a group
-is closed by the sentence line that carries its last part); payloads are decoded
-in Arrow batches.  Lines that make no message are dropped and can be counted.
+sentence.  Lines are read in order inside a block of a file (large plain files
+have many), and packets are put together in one pass over them; what lies before a
+block's first packet end or after its last is kept as a fragment, and a file's few
+fragments are put together afterwards.  Payloads are decoded in Arrow batches.
+Lines that make no message are dropped and can be counted.
 """
 
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,48 +33,139 @@ _KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double"
 _ARROW = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in MESSAGE_SCHEMA.split(", ")])
 
 
+LINES = "file string, block long, value string"
+PACKETS = "file string, seq long, clock string, payload string, stamp string, whole boolean"
+_SENTENCE = re.compile(r"^(?:\\.*\\)?(![A-Z]{2}VD[MO],.*)$")
+
+
 def read_lines(spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = False) -> DataFrame:
-    """(file, line_no, value) of plain, ``.gz`` and ``.zip`` files; a file is read by one task, in order."""
+    """(file, block, value) of plain, ``.gz`` and ``.zip`` files, a block's lines in order.
+
+    A block begins at that byte of its file.  Plain files are split; a ``.gz`` file is one block, read as a
+    stream; a ``.zip`` file is unpacked whole by one task.
+    """
+
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    whole = reader.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+    lines = (reader.option("pathGlobFilter", pattern) if pattern else reader).option("lineSep", "\n").text(path).where(~F.endswith(F.lower("_metadata.file_path"), F.lit(".zip")))
+    plain = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r$", "").alias("value"))
+    zips = "*.zip" if not pattern else pattern if pattern.lower().endswith(".zip") else f"{pattern}.zip" if pattern.endswith("*") else None
+    if zips is None:
+        return plain
+    whole = spark.read.option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", zips).format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gzip
-
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if file.endswith(".gz"):
-                    texts = [gzip.decompress(content)]
-                elif file.endswith(".zip"):
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        texts = [z.read(n) for n in z.namelist()]
-                else:
-                    texts = [content]
-                lines = [x for t in texts for x in t.decode("latin-1").splitlines()]
-                for first in range(0, len(lines), 50_000):
-                    part = lines[first : first + 50_000]
-                    yield pa.record_batch([pa.array([file] * len(part)), pa.array(range(first, first + len(part)), pa.int64()), pa.array(part)], names=["file", "line_no", "value"])
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for name in z.namelist():
+                        with z.open(name) as inner:
+                            part = [x.decode("latin-1").rstrip("\r\n") for x in inner]
+                        yield pa.record_batch([pa.array([f"{file}#{name}"] * len(part), pa.string()), pa.array([0] * len(part), pa.int64()), pa.array(part, pa.string())], names=["file", "block", "value"])
+
+    return plain.union(whole.mapInArrow(unpack, LINES))
+
+
+class _Packets:
+    """Lines in order to packets; what comes before the first end and after the last one is a fragment."""
+
+    def __init__(self, file: str, block: int, begins: bool):
+        self.file, self.block, self.line = file, block, 0
+        self.head = None if begins else []  # lines up to the first end, where the block may begin inside a packet
+        self.clock, self.parts = None, []
+        self.tail: list[str] = []
+
+    def add(self, line: str) -> tuple | None:
+        self.line += 1
+        found = _SENTENCE.match(line)
+        fields = found[1].split(",") if found else None
+        ends = bool(fields) and len(fields) > 2 and fields[1] == fields[2]
+        if self.head is not None:
+            self.head.append(line)
+            if ends:
+                self.tail, self.done, self.head = [], self.head, None
+                return None
+            return None
+        if not (fields or line.startswith("$PGHP")):
+            return None
+        self.tail.append(line)
+        if line.startswith("$PGHP"):
+            self.clock = line
+        if fields and len(fields) >= 7:
+            self.parts.append((fields[2], fields[5], fields[1], fields[7] if len(fields) > 7 else None))
+        if not ends:
+            return None
+        out = None
+        if self.parts:
+            parts = sorted(self.parts, key=lambda p: p[0])
+            whole = parts[0][2].isdigit() and int(parts[0][2]) == len(parts)
+            out = (self.file, self.block + self.line, self.clock, "".join(p[1] for p in parts), parts[-1][3], whole)
+        self.clock, self.parts, self.tail = None, [], []
+        return out
+
+
+def _rows(packets: list[tuple], fragments: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*packets, strict=True)) if packets else [[]] * 6
+    n, m = len(packets), len(fragments)
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_())
+    some = [pa.concat_arrays([pa.array(c, k), pa.nulls(m, k)]) for c, k in zip(columns, kinds, strict=True)]
+    some[0] = pa.array([*columns[0], *[f[0] for f in fragments]], pa.string())
+    extra = [pa.array([None] * n + [f[k] for f in fragments], t) for k, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.list_(pa.string())))]
+    return pa.record_batch([*some, *extra], names=["file", "seq", "clock", "payload", "stamp", "whole", "block", "place", "lines"])
+
+
+def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packets of each run of lines, and its fragments: place 0 before the first end, 1 after the last."""
+    now: _Packets | None = None
+
+    def fragments(p: _Packets) -> list[tuple]:
+        out = []
+        if p.head is not None:
+            out.append((p.file, p.block, 0, p.head))
+        else:
+            if getattr(p, "done", None):
+                out.append((p.file, p.block, 0, p.done))
+            if p.tail:
+                out.append((p.file, p.block, 1, p.tail))
+        return out
 
-    return whole.mapInArrow(unpack, "file string, line_no long, value string")
+    for batch in batches:
+        packets, left = [], []
+        for file, block, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if now is None or (file, block) != (now.file, now.block):
+                if now is not None:
+                    left += fragments(now)
+                now = _Packets(file, block, block == 0)
+            found = now.add(line)
+            if found:
+                packets.append(found)
+        yield _rows(packets, left)
+    if now is not None:
+        yield _rows([], fragments(now))
+
+
+def _over_borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packets of fragments, sorted by file, block and place."""
+    now: _Packets | None = None
+    for batch in batches:
+        packets = []
+        for file, block, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if now is None or file != now.file:
+                now = _Packets(file, block, True)
+            now.block, now.line = block, 0
+            packets += [p for p in map(now.add, lines) if p]
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*packets, strict=True) if packets else [[]] * 6, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()), strict=True)], names=[c.split()[0] for c in PACKETS.split(", ")])
 
 
 def packets(lines: DataFrame) -> DataFrame:
-    """One row for each packet: file, seq (its last line), time line and the payload parts in order."""
-    sentence = F.col("value").rlike(r"^(\\.*\\)?![A-Z]{2}VD[MO],")
-    body = F.regexp_extract("value", r"(![A-Z]{2}VD[MO],.*)$", 1)
-    rows = lines.withColumn("parts", F.when(sentence, F.split(body, ",")))
-    rows = rows.withColumn("last", F.coalesce((F.element_at("parts", 2) == F.element_at("parts", 3)).cast("int"), F.lit(0)))
-    order = Window.partitionBy("file").orderBy("line_no")
-    rows = rows.withColumn("group", F.coalesce(F.sum("last").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    part = F.when(F.col("parts").isNotNull() & (F.size("parts") >= 7), F.struct(F.element_at("parts", 3).alias("k"), F.element_at("parts", 6).alias("payload"), F.element_at("parts", 2).alias("n"), F.try_element_at("parts", F.lit(8)).alias("stamp")))
-    found = rows.groupBy("file", "group").agg(
-        F.max("line_no").alias("seq"),
-        F.max_by(F.when(F.col("value").startswith("$PGHP"), F.col("value")), F.when(F.col("value").startswith("$PGHP"), F.col("line_no"))).alias("clock"),
-        F.sort_array(F.collect_list(part)).alias("parts"),
-    )
-    return found.where(F.size("parts") > 0).select("file", "seq", "clock", F.array_join(F.transform("parts", lambda p: p["payload"]), "").alias("payload"), F.element_at("parts", -1)["stamp"].alias("stamp"), (F.size("parts") == F.element_at("parts", 1)["n"].cast("int")).alias("whole"))
+    """One row for each packet: file, seq (ascending in a file), time line, joined payload, stamp and whether no part is missing.
+
+    Files whose blocks hold no packet end at all are fragments too, so nothing is lost at borders.
+    """
+    found = lines.mapInArrow(_put_together, f"{PACKETS}, block long, place long, lines array<string>")
+    names = [c.split()[0] for c in PACKETS.split(", ")]
+    whole = found.where("lines is null").select(*names)
+    parts = found.where("lines is not null").select("file", "block", "lines", "place").repartition("file").sortWithinPartitions("file", "block", "place")
+    return whole.union(parts.select("file", "block", "lines").mapInArrow(_over_borders, PACKETS))
 
 
 def _bits(payload: str) -> str:
@@ -130,17 +225,89 @@ def packet_time(clock: str | None, stamp: str | None) -> int | None:
     return int(stamp) * 1000 if stamp and stamp.isdigit() else None
 
 
+#: Characters of the longest payload that is looked into.
+_LONGEST = 72
+_ARMOUR = np.full(256, 255, np.uint8)
+_ARMOUR[48:88], _ARMOUR[96:128] = np.arange(40), np.arange(40, 72)
+_ARMOUR[(_ARMOUR > 63) & (_ARMOUR < 255)] = 255
+
+
+class _Payloads:
+    """Many payloads as one matrix of bits."""
+
+    def __init__(self, payloads: pa.Array):
+        texts = payloads.fill_null("").cast(pa.binary())
+        raw = texts.buffers()
+        offsets = np.frombuffer(raw[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = _ARMOUR[np.frombuffer(raw[2], np.uint8)] if raw[2] is not None else np.zeros(0, np.uint8)
+        length = np.diff(offsets)
+        bad = np.concatenate([[0], np.cumsum(data == 255)])
+        self.good = bad[offsets[1:]] == bad[offsets[:-1]]
+        at = offsets[:-1, None] + np.arange(_LONGEST)
+        inside = np.arange(_LONGEST) < length[:, None]
+        values = np.where(inside, data[np.minimum(at, max(len(data) - 1, 0))] if len(data) else 0, 0).astype(np.uint8) & 63
+        self.bits = np.unpackbits(values[:, :, None], axis=2)[:, :, 2:].reshape(len(length), _LONGEST * 6)
+        self.size = np.minimum(length, _LONGEST) * 6
+
+    def unsigned(self, first: int, count: int) -> np.ndarray:
+        return self.bits[:, first : first + count] @ (1 << np.arange(count - 1, -1, -1, dtype=np.int64))
+
+    def signed(self, first: int, count: int) -> np.ndarray:
+        value = self.unsigned(first, count)
+        return value - ((value >> (count - 1)) << count)
+
+    def text(self, first: int, count: int) -> np.ndarray:
+        codes = self.bits[:, first : first + 6 * count].reshape(-1, count, 6) @ (1 << np.arange(5, -1, -1))
+        letters = np.where(codes < 32, codes + 64, codes).astype(np.uint8)
+        return np.array([x.decode("latin-1") for x in np.ascontiguousarray(letters).view(f"V{count}").ravel().tolist()], object)
+
+
+def decode_batch(payloads: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Which payloads are messages, and their fields as :func:`decode` gives them (None or nan where a type has none)."""
+    p = _Payloads(payloads)
+    n = len(p.size)
+    kind = p.unsigned(0, 6)
+    part = p.unsigned(38, 2)
+    moving, class_b, five, named = np.isin(kind, (1, 2, 3)), kind == 18, kind == 5, (kind == 24) & (part == 0)
+    sized = (kind == 24) & (part != 0)
+    need = np.select([moving, class_b, five, named, sized], [137, 133, 270, 160, 162], 38)
+    good = p.good & (p.size >= need)
+    fields: dict[str, np.ndarray] = {"msg_type": kind, "mmsi": p.unsigned(8, 30)}
+    fields["kind"] = np.where(moving | class_b, "position", np.where(five | (kind == 24), "static", "other")).astype(object)
+
+    def either(choices: list[tuple[np.ndarray, object]], none: object) -> np.ndarray:
+        out = np.full(n, none, object if none is None else np.float64)
+        for where, value in choices:
+            out[where] = value[where]
+        return out
+
+    for name, a, b, scale in (("sog", 50, 46, 10), ("cog", 116, 112, 10), ("hdg", 128, 124, 1)):
+        width = {"sog": 10, "cog": 12, "hdg": 9}[name]
+        fields[name] = either([(moving, p.unsigned(a, width) / scale), (class_b, p.unsigned(b, width) / scale)], np.nan)
+    for name, a, b, width, most in (("lat", 89, 85, 27, 90), ("lon", 61, 57, 28, 180)):
+        value = either([(moving, p.signed(a, width) / 600_000), (class_b, p.signed(b, width) / 600_000)], np.nan)
+        fields[name] = np.where(np.abs(value) <= most, value, np.nan)
+    fields["name"] = either([(five, p.text(112, 20)), (named, p.text(40, 20))], None)
+    fields["callsign"] = either([(five, p.text(70, 7)), (sized, p.text(90, 7))], None)
+    fields["imo"] = either([(five, p.unsigned(40, 30))], np.nan)
+    for name, a, b, width in (("ship_type", 232, 40, 8), ("to_bow", 240, 132, 9), ("to_stern", 249, 141, 9), ("to_port", 258, 150, 6), ("to_starboard", 264, 156, 6)):
+        fields[name] = either([(five, p.unsigned(a, width)), (sized, p.unsigned(b, width))], np.nan)
+    return good, fields
+
+
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
+        good, fields = decode_batch(batch.column(4))
+        times = []
+        for k, (clock, stamp) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
             try:
-                fields = decode(r["payload"])
-                ts = packet_time(r["clock"], r["stamp"])
+                times.append(packet_time(clock, stamp))
             except ValueError:
-                continue
-            rows.append({"file": r["file"], "seq": r["seq"], "ts_ms": ts} | fields)
-        yield pa.RecordBatch.from_pylist([{c: r.get(c) for c in _COLUMNS} for r in rows], schema=_ARROW)
+                good[k] = False
+                times.append(None)
+        known = {"file": batch.column(0), "seq": batch.column(1), "ts_ms": pa.array(times, pa.int64())}
+        columns = [known.get(f.name) if f.name in known else pa.array(fields[f.name], from_pandas=True).cast(f.type) for f in _ARROW]
+        yield pa.record_batch(columns, schema=_ARROW).filter(pa.array(good))
 
 
 def messages(found: DataFrame) -> DataFrame:
