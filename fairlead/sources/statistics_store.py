@@ -2,7 +2,9 @@
 
 A version is written beside the others and becomes current by its success mark,
 so readers never see half of one; the version before the current one is kept.
-A version that cannot be read is renamed ``.corrupt`` and the one before is used.
+Readers pass over a version that is proven to be damaged (no Parquet, metadata of
+another format); any other fault is raised.  Writers rename such versions
+``.corrupt`` first; readers change nothing.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "cell_id long, k1 int, k2 int, k3 int, ship_count long, statistic string"
-METADATA = "grid_resolution double, downsampling int, format_version short"
+METADATA = "grid_resolution double, downsampling int, format_version short, stream string, batch long"
 FORMAT_VERSION = 1
 
 
@@ -24,6 +26,8 @@ class Metadata:
     grid_resolution: float
     downsampling: int
     format_version: int = FORMAT_VERSION
+    stream: str | None = None  # the stream that wrote it, and the last of its batches that is counted
+    batch: int | None = None
 
 
 def _files(spark: SparkSession, path: str):
@@ -41,6 +45,29 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     return [n for n in found if fs.exists(make(f"{path}/v{n}/metadata/_SUCCESS"))]
 
 
+def damage(spark: SparkSession, path: str, number: int) -> str | None:
+    """Why a version cannot be used; None for a good one. The footers of all its files are read, no rows."""
+    try:
+        row = spark.read.schema(METADATA).parquet(f"{path}/v{number}/metadata").first()
+        if row is None or row["format_version"] != FORMAT_VERSION:
+            return f"no metadata of format {FORMAT_VERSION}"
+        spark.read.schema(SCHEMA).parquet(f"{path}/v{number}/statistics").count()
+    except (PySparkException, Py4JError) as fault:
+        if "is not a Parquet file" in str(fault):
+            return "not Parquet"
+        raise
+    return None
+
+
+def quarantine(spark: SparkSession, path: str) -> list[int]:
+    """Rename damaged versions; for writers only."""
+    fs, make = _files(spark, path), spark._jvm.org.apache.hadoop.fs.Path
+    bad = [n for n in versions(spark, path) if damage(spark, path, n)]
+    for n in bad:
+        fs.rename(make(f"{path}/v{n}"), make(f"{path}/v{n}.corrupt"))
+    return bad
+
+
 def write(stats: DataFrame, path: str, metadata: Metadata, keep: int = 2) -> int:
     """A new version; its metadata are written last and complete it. Returns its number."""
     spark = stats.sparkSession
@@ -49,29 +76,31 @@ def write(stats: DataFrame, path: str, metadata: Metadata, keep: int = 2) -> int
     # sorted by cell inside each statistic: row groups of a cell range can be skipped
     rows = stats.repartitionByRange("statistic", "cell_id").sortWithinPartitions("statistic", "cell_id", "k1", "k2", "k3")
     rows.write.mode("overwrite").partitionBy("statistic").parquet(f"{path}/v{number}/statistics")
-    row = [(metadata.grid_resolution, metadata.downsampling, metadata.format_version)]
+    row = [(metadata.grid_resolution, metadata.downsampling, metadata.format_version, metadata.stream, metadata.batch)]
     spark.createDataFrame(row, METADATA).coalesce(1).write.mode("overwrite").parquet(f"{path}/v{number}/metadata")
+    quarantine(spark, path)
     fs, make = _files(spark, path), spark._jvm.org.apache.hadoop.fs.Path
-    for old in known[: max(0, len(known) + 1 - keep)]:
+    for old in versions(spark, path)[:-keep]:
         fs.delete(make(f"{path}/v{old}"), True)
     return number
 
 
-def read(spark: SparkSession, path: str) -> tuple[DataFrame, Metadata]:
-    """The newest version that can be read."""
-    fs, make = _files(spark, path), spark._jvm.org.apache.hadoop.fs.Path
+def read_metadata(spark: SparkSession, path: str) -> tuple[int, Metadata]:
+    """Number and metadata of the newest version that can be used."""
     for number in reversed(versions(spark, path)):
-        try:
+        if not damage(spark, path, number):
             m = spark.read.schema(METADATA).parquet(f"{path}/v{number}/metadata").first()
-            if m is None or m["format_version"] != FORMAT_VERSION:
-                raise ValueError(f"version {number} has no metadata of format {FORMAT_VERSION}")
-            stats = spark.read.schema(SCHEMA).parquet(f"{path}/v{number}/statistics")
-            return stats.select("statistic", "cell_id", "k1", "k2", "k3", "ship_count"), Metadata(m["grid_resolution"], m["downsampling"], m["format_version"])
-        except (PySparkException, Py4JError, ValueError):
-            fs.rename(make(f"{path}/v{number}"), make(f"{path}/v{number}.corrupt"))
+            return number, Metadata(**m.asDict())
     raise FileNotFoundError(f"no statistics in {path}")
 
 
+def read(spark: SparkSession, path: str) -> tuple[DataFrame, Metadata]:
+    """The newest version that can be used."""
+    number, metadata = read_metadata(spark, path)
+    stats = spark.read.schema(SCHEMA).parquet(f"{path}/v{number}/statistics")
+    return stats.select("statistic", "cell_id", "k1", "k2", "k3", "ship_count"), metadata
+
+
 def get(stats: DataFrame, statistic: str, cell_id: int) -> DataFrame:
     """One cell of one statistic: the partition and the row groups of that cell are read."""
     return stats.where((F.col("statistic") == statistic) & (F.col("cell_id") == cell_id))

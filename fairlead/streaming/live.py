@@ -10,6 +10,7 @@ leaves out those behind all.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fairlead.config import Statistical
+from fairlead.functions.geo import Grid
 from fairlead.operators import analyses, statistics
 from fairlead.operators.hysteresis import LOWER_AFTER, RAISE_AFTER
 
@@ -70,19 +72,22 @@ def transitions(reports: DataFrame, stats: DataFrame, statistic: str, params: St
     return rows.groupBy("mmsi").applyInPandasWithState(_follow(stale_minutes * 60_000), OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def learn(changes: DataFrame, path: str, checkpoint: str):
-    """Stream of cell changes into the statistics store: each batch adds its counts as a new version."""
+def learn(changes: DataFrame, path: str, checkpoint: str, grid: Grid | None = None, downsampling: int = 0):
+    """Stream of cell changes into the statistics store: each batch adds its counts as a new version.
+
+    The version names the stream and the batch, so a batch that is tried again after its write counts once.
+    """
     from fairlead.sources import statistics_store
 
     def add(batch: DataFrame, number: int) -> None:
         found = statistics.train(batch)
         try:
             stored, metadata = statistics_store.read(batch.sparkSession, path)
+            if metadata.stream == checkpoint and metadata.batch is not None and number <= metadata.batch:
+                return
             found = statistics.merged(stored, found)
         except FileNotFoundError:
-            from fairlead.functions.geo import Grid
-
-            metadata = statistics_store.Metadata(Grid().resolution, 0)
-        statistics_store.write(found, path, metadata)
+            metadata = statistics_store.Metadata((grid or Grid()).resolution, downsampling)
+        statistics_store.write(found, path, replace(metadata, stream=checkpoint, batch=number))
 
     return changes.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
