@@ -87,16 +87,44 @@ def without_vessels(df: DataFrame, mmsis: Iterable[int]) -> DataFrame:
     return df.where(~F.col("mmsi").isin(listed)) if listed else df
 
 
-def _thinned(seconds: int, mmsi: int, at: int):
+def spaced(groups: list[np.ndarray], times: np.ndarray, span: int, before: tuple | None) -> tuple[np.ndarray, tuple]:
+    """Which rows stay if each is ``span`` or more after its group's last one that stayed.
+
+    Rows are sorted by group and time; ``before`` is the group and time of the last row that stayed
+    earlier, and the same of these rows is returned.  Every row names the first row that could follow
+    it, and what is reached from the groups' first rows is found by doubling those steps.
+    """
+    n = len(times)
+    fresh = np.ones(n, bool)
+    fresh[1:] = np.any([g[1:] != g[:-1] for g in groups], axis=0)
+    low = int(times.min())
+    key = (np.cumsum(fresh) - 1) * (int(times.max()) - low + span + 1) + (times - low)
+    step = np.append(np.searchsorted(key, key + span), n)
+    stays = np.append(fresh, False)
+    if before is not None and before[0] == tuple(g[0] for g in groups):
+        stays[0] = False
+        first = int(np.searchsorted(key, before[1] + span - low)) if before[1] + span > low else 0
+        stays[first] = True
+    while True:
+        reached = stays.copy()
+        reached[step[stays]] = True
+        if (reached == stays).all():
+            break
+        stays, step = reached, step[step]
+    stays = stays[:n]
+    last = int(np.flatnonzero(stays)[-1]) if stays.any() else None
+    kept = before if last is None else (tuple(g[last] for g in groups), int(times[last]))
+    return stays, kept
+
+
+def thinned(milliseconds: int, groups: list[int], at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vessel = last = None
+        before = None
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (v, t) in enumerate(zip(batch.column(mmsi).to_pylist(), batch.column(at).to_pylist(), strict=True)):
-                if v != vessel or last is None or t - last >= seconds * 1000:
-                    keep[i] = True
-                    vessel, last = v, t
-            yield batch.filter(pa.array(keep))
+            if batch.num_rows:
+                stays, before = spaced([batch.column(g).to_numpy() for g in groups], batch.column(at).to_numpy(), milliseconds, before)
+                batch = batch.filter(pa.array(stays))
+            yield batch
 
     return run
 
@@ -106,11 +134,12 @@ def down_sample(df: DataFrame, seconds: int) -> DataFrame:
 
     Vessels are dealt by mmsi and sorted by time, and read as a stream that
     carries one pair of numbers, so a long history is never held in memory.
+    Reports without vessel or time are left out.
     """
     if seconds <= 0:
         return df
-    rows = df.repartition("mmsi").sortWithinPartitions("mmsi", "ts_ms", "seq")
-    return rows.mapInArrow(_thinned(seconds, df.columns.index("mmsi"), df.columns.index("ts_ms")), df.schema)
+    rows = df.where("mmsi is not null and ts_ms is not null").repartition("mmsi").sortWithinPartitions("mmsi", "ts_ms", "seq")
+    return rows.mapInArrow(thinned(seconds * 1000, [df.columns.index("mmsi")], df.columns.index("ts_ms")), df.schema)
 
 
 def down_sample_buckets(df: DataFrame, seconds: int) -> DataFrame:
