@@ -113,7 +113,7 @@ def sudden_speed_changes(reports: DataFrame, params: SuddenSpeedChange) -> DataF
     return out.select(
         "mmsi", "epoch", F.col("t1").alias("start_ms"), F.col("stop.ts_ms").alias("end_ms"), "fired_ms",
         F.col("go.lat").alias("lat"), F.col("go.lon").alias("lon"), F.col("go.sog").alias("sog1"), F.col("stop.sog").alias("sog2"),
-        F.col("stop.lat").alias("lat2"), F.col("stop.lon").alias("lon2"), *[c for c in tracks.STATIC if c in reports.columns],
+        F.col("go.cog").alias("cog1"), F.col("go.hdg").alias("hdg1"), F.col("stop.lat").alias("lat2"), F.col("stop.lon").alias("lon2"), F.col("stop.cog").alias("cog2"), F.col("stop.hdg").alias("hdg2"), *[c for c in tracks.STATIC if c in reports.columns],
     )
 
 
@@ -157,7 +157,8 @@ def encounter_runs(reports: DataFrame, params: CloseEncounter) -> DataFrame:
     rows = close_encounters(reports, params)
     zone = geo.ellipse_position(F.col("zone"), F.col("pa_lat"), F.col("pa_lon"))
     extent = geo.ellipse_position(F.col("extent"), F.col("pa_lat"), F.col("pa_lon"))
-    pair = F.struct("near_metres", "b_mmsi", "a_name", "a_ship_type", "b_name", "b_ship_type", "a_ts_ms", zone.alias("zone"), extent.alias("extent"))
+    known = [f"{s}_{c}" for s in ("a", "b") for c in pairs.COLUMNS if f"{s}_{c}" in rows.columns and (s, c) != ("b", "mmsi")]
+    pair = F.struct("near_metres", "b_mmsi", *known, zone.alias("zone"), extent.alias("extent"))
     nearest = F.min(F.when(F.col("meets"), pair))
     return rows.groupBy("run_ms", F.col("a_mmsi").alias("mmsi")).agg(F.max("meets").alias("abnormal"), nearest.alias("with"))
 

@@ -13,7 +13,7 @@ COURSE, SPEED, TYPE_SIZE = "CourseOverGroundEvent", "SpeedOverGroundEvent", "Shi
 DRIFT, SPEED_CHANGE, ENCOUNTER = "DriftEvent", "SuddenSpeedChangeEvent", "CloseEncounterEvent"
 
 
-def _numbered(states: DataFrame) -> DataFrame:
+def numbered(states: DataFrame) -> DataFrame:
     """Rows with the number of their raised interval; the lowering row belongs to the interval it ends."""
     w = Window.partitionBy("mmsi", "epoch").orderBy("ts_ms", "seq")
     return states.withColumn("interval", F.sum(F.when(F.col("transition") == "RAISE", 1).otherwise(0)).over(w))
@@ -24,7 +24,7 @@ def intervals(states: DataFrame, event_type: str) -> DataFrame:
 
     A later epoch of the vessel ends what its earlier ones left open, at their last report.
     """
-    rows = _numbered(states)
+    rows = numbered(states)
     first = F.struct(*[c for c in rows.columns if c not in ("mmsi", "epoch", "interval")])
     spans = rows.where("interval > 0 and (raised or transition = 'LOWER')").groupBy("mmsi", "epoch", "interval").agg(
         F.min(F.when(F.col("transition") == "RAISE", F.col("ts_ms"))).alias("start_ms"),
@@ -59,7 +59,7 @@ def with_ids(events: DataFrame) -> DataFrame:
 
 def points(states: DataFrame, event_type: str) -> DataFrame:
     """Tracking points of every interval, the row that raised it to the last raised one, with their certainty."""
-    rows = _numbered(states).where("interval > 0 and raised")
+    rows = numbered(states).where("interval > 0 and raised")
     return rows.select(F.lit(event_type).alias("event_type"), "mmsi", "epoch", "interval", "ts_ms", "lat", "lon", "sog", "cog", "hdg", "certainty")
 
 
@@ -118,25 +118,35 @@ def described_speed_changes(events: DataFrame) -> DataFrame:
     return events.withColumn("title", F.lit("Sudden speed change")).withColumn("description", text)
 
 
-def encounters(runs: DataFrame) -> DataFrame:
-    """Close encounters from runs: raised by the first run that meets, lowered by the first later one that does not."""
+def encounter_states(runs: DataFrame) -> DataFrame:
+    """Runs as rows with verdicts, one for each vessel and run."""
+    return runs.select("mmsi", F.lit(0).alias("epoch"), F.col("run_ms").alias("ts_ms"), F.lit(0).alias("seq"), "abnormal", "with")
+
+
+def encounters_of(states: DataFrame) -> DataFrame:
+    """Close encounters from rows with their state; ``pair`` is what raised them."""
     from fairlead.functions.categories import ship_type_bucket
-    from fairlead.operators.hysteresis import with_state
 
-    rows = runs.select("mmsi", F.lit(0).alias("epoch"), F.col("run_ms").alias("ts_ms"), F.lit(0).alias("seq"), "abnormal", "with")
-    found = intervals(with_state(rows, 1, 1), ENCOUNTER)
+    found = intervals(states, ENCOUNTER)
     pair = F.col("at.with")
-    kind = lambda c: F.coalesce(label("type", ship_type_bucket(c)), F.lit("?"))
+    kind = lambda c, unknown: F.coalesce(label("type", ship_type_bucket(c)), F.lit(unknown))
     text = F.concat(
-        F.lit("Close encounter between "), vessel.name_or_mmsi(pair["a_name"], F.col("mmsi")), F.lit(" ("), kind(pair["a_ship_type"]), F.lit(") and "), vessel.name_or_mmsi(pair["b_name"], pair["b_mmsi"]),
-        F.lit(" ("), kind(pair["b_ship_type"]), F.lit(") on "), formats.stamp(formats.from_millis(pair["a_ts_ms"])), F.lit("."),
+        F.lit("Close encounter between "), vessel.name_or_mmsi(pair["a_name"], F.col("mmsi")), F.lit(" ("), kind(pair["a_ship_type"], "unknown type"), F.lit(") and "), vessel.name_or_mmsi(pair["b_name"], pair["b_mmsi"]),
+        F.lit(" ("), kind(pair["b_ship_type"], "?"), F.lit(") on "), formats.stamp(formats.from_millis(pair["a_ts_ms"])), F.lit("."),
     )
     return found.select(
-        "event_type", "mmsi", pair["b_mmsi"].alias("other"), "start_ms", "end_ms", "state", "n_points", pair["zone"].alias("safety_zone"), pair["extent"].alias("secondary_extent"),
-        F.lit("Close encounter").alias("title"), text.alias("description"),
+        "event_type", "mmsi", "epoch", "interval", pair["b_mmsi"].alias("other"), "start_ms", "end_ms", "state", "n_points", pair["zone"].alias("safety_zone"), pair["extent"].alias("secondary_extent"),
+        F.lit("Close encounter").alias("title"), text.alias("description"), pair.alias("pair"),
     )
 
 
+def encounters(runs: DataFrame) -> DataFrame:
+    """Close encounters from runs: raised by the first run that meets, lowered by the first later one that does not."""
+    from fairlead.operators.hysteresis import with_state
+
+    return encounters_of(with_state(encounter_states(runs), 1, 1)).drop("epoch", "interval", "pair")
+
+
 def set_suppressed(events: DataFrame, ids: list[int], suppressed: bool = True) -> DataFrame:
     return events.withColumn("suppressed", F.when(F.col("event_id").isin(ids), suppressed).otherwise(F.col("suppressed")))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fairlead.config import Settings
 from fairlead.functions.geo import Grid
-from fairlead.operators import analyses, events, filters, hysteresis, pairs, search, statistics, tracks
+from fairlead.operators import analyses, event_tables, events, filters, hysteresis, pairs, search, statistics, tracks
 from fairlead.operators.statistics import COURSE, SPEED, TYPE_SIZE
 from fairlead.sources import nmea, statistics_store
 
@@ -49,11 +49,11 @@ def add_statistics(reports: DataFrame, path: str, settings: Settings) -> int:
 
 @dataclass
 class Detected:
-    """Raised intervals, sudden speed changes, close encounters and free-flow pairs; a switched-off part is None."""
+    """The event store's tables over all enabled analyses, and free-flow pairs; what is switched off is None."""
 
-    intervals: DataFrame | None
-    speed_changes: DataFrame | None
-    encounters: DataFrame | None
+    events: DataFrame | None
+    behaviours: DataFrame | None
+    points: DataFrame | None
     flow: DataFrame | None
 
 
@@ -76,19 +76,17 @@ def detect(reports: DataFrame, stats: DataFrame, settings: Settings) -> Detected
     dense = filled(reports, settings)
     changes = tracks.cell_changes(dense)
     found = []
-    common = ("event_type", "mmsi", "epoch", "interval", "start_ms", "end_ms", "state", "n_points", "title", "description")
     for statistic, params, kind in ((COURSE, settings.course, events.COURSE), (SPEED, settings.speed, events.SPEED), (TYPE_SIZE, settings.type_size, events.TYPE_SIZE)):
         if params.enabled:
-            states = hysteresis.with_state(analyses.verdicts(changes, stats, statistic, params))
-            found.append(events.described(events.intervals(states, kind)).select(*common))
+            found.append(event_tables.of_states(hysteresis.with_state(analyses.verdicts(changes, stats, statistic, params)), kind))
     if settings.drift.enabled:
-        found.append(events.described(events.intervals(analyses.drift(dense, settings.drift), events.DRIFT)).select(*common))
-    raised = None
-    for rows in found:
-        raised = rows if raised is None else raised.unionByName(rows)
-    return Detected(
-        None if raised is None else events.with_ids(raised),
-        events.described_speed_changes(analyses.sudden_speed_changes(reports, settings.speed_change)) if settings.speed_change.enabled else None,
-        events.encounters(analyses.encounter_runs(reports, settings.encounter)) if settings.encounter.enabled else None,
-        pairs.throttled(analyses.free_flow(reports, settings.free_flow), settings.free_flow.report_minutes * 60_000) if settings.free_flow.enabled else None,
-    )
+        found.append(event_tables.of_states(analyses.drift(dense, settings.drift), events.DRIFT))
+    if settings.speed_change.enabled:
+        found.append(event_tables.of_speed_changes(analyses.sudden_speed_changes(reports, settings.speed_change)))
+    if settings.encounter.enabled:
+        found.append(event_tables.of_encounters(analyses.encounter_runs(reports, settings.encounter), reports))
+    flow = None
+    if settings.free_flow.enabled:
+        flow = pairs.throttled(analyses.free_flow(reports, settings.free_flow), settings.free_flow.report_minutes * 60_000)
+    tables = event_tables.combined(found) if found else None
+    return Detected(tables and tables.events, tables and tables.behaviours, tables and tables.points, flow)
