@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from fairlead.config import CloseEncounter, Drift, FreeFlow, Statistical, SuddenSpeedChange
 from fairlead.functions import categories, formats, geo, vessel
 from fairlead.functions.geo import Grid
-from fairlead.operators import analyses, events, filters, hysteresis, pairs, search, statistics, tracks
+from fairlead.operators import analyses, event_tables, events, filters, hysteresis, pairs, search, statistics, tracks
 from fairlead.operators.statistics import COURSE, SPEED, TYPE_SIZE
-from fairlead.sources import event_files, sample, statistics_store
+from fairlead.sources import event_files, sample, scratch, statistics_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -184,8 +184,7 @@ def asof_static(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def interpolated_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tracks.with_epochs(sample.position_reports(spark, sf_dir).where("seq % 3 = 1"))
-    out = tracks.interpolated(rows, 10)
+    out = tracks.interpolated(tracks.with_epochs(sample.position_reports(spark, sf_dir)), 4)
     return out.select("mmsi", "ts_ms", "interpolated", "last_ais_ms", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
@@ -410,6 +409,31 @@ def ana_sudden_speed_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.described_speed_changes(rows).select("mmsi", "start_ms", "end_ms", "fired_ms", "sog1", "sog2", "title", "description")
 
 
+def detected(spark: SparkSession, sf_dir: str) -> event_tables.Tables:
+    """The event store's tables over three analyses."""
+    rows = reports(spark, sf_dir)
+    speed = event_tables.of_states(states(spark, sf_dir), events.SPEED)
+    drifting = event_tables.of_states(analyses.drift(rows, Drift(period_minutes=5, metres=30.0)), events.DRIFT)
+    sudden = event_tables.of_speed_changes(analyses.sudden_speed_changes(rows, SuddenSpeedChange()))
+    return event_tables.combined([speed, drifting, sudden])
+
+
+def _millis(column: str):
+    return F.unix_millis(F.col(column).cast("timestamp"))
+
+
+@query
+def detect_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detected(spark, sf_dir)
+    rows = found.events.join(found.behaviours.where("is_primary"), "event_id")
+    return rows.select("event_id", "event_type", "state", _millis("start_time").alias("start_ms"), _millis("end_time").alias("end_ms"), "mmsi", "ship_type", "length")
+
+
+@query
+def detect_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detected(spark, sf_dir).points.select("event_id", "mmsi", _millis("ts").alias("ts_ms"), "certainty")
+
+
 # --- geometry and pairs ------------------------------------------------------
 
 
@@ -458,6 +482,12 @@ def nearby_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("run_ms", "a_mmsi", "b_mmsi", "a_ts_ms", "b_ts_ms", F.round("near_metres", 3).alias("near_metres"))
 
 
+@query
+def nearby_polar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Far north and on both sides of the 180th meridian."""
+    return pairs.nearby(sample.polar_reports(spark, sf_dir), 30_000).select("run_ms", "a_mmsi", "b_mmsi", F.round("near_metres", 2).alias("near_metres"))
+
+
 @query
 def encounter_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyses.encounter_candidates(sample.fleet_reports(spark, sf_dir), ENCOUNTER).select("run_ms", "a_mmsi", "b_mmsi")
@@ -576,9 +606,12 @@ def qry_missing_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def qry_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    meta = statistics_store.Metadata(Grid().resolution, 10)
-    row = spark.createDataFrame([(meta.grid_resolution, meta.downsampling, meta.format_version)], statistics_store.METADATA)
-    names = search.statistic_names(stats(spark, sf_dir)).agg(F.array_join(F.sort_array(F.collect_list("statistic")), ",").alias("statistics"))
+    """Metadata and statistics of a store that is written and read back."""
+    path = scratch.scratch_path(spark, "statistics")
+    statistics_store.write(stats(spark, sf_dir), path, statistics_store.Metadata(Grid().resolution, 10))
+    stored, meta = statistics_store.read(spark, path)
+    row = spark.createDataFrame([(meta.grid_resolution, meta.downsampling, meta.format_version)], "grid_resolution double, downsampling int, format_version short")
+    names = search.statistic_names(stored).agg(F.array_join(F.sort_array(F.collect_list("statistic")), ",").alias("statistics"))
     return row.join(F.broadcast(names))  # one row each
 
 
@@ -594,7 +627,7 @@ def qry_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def csv_event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_files.event_rows(*sample.event_store(spark, sf_dir)).select("eventId", "eventType", "startTime", "endTime", "mmsis", "pMmsi", "pLat", "pSog", "pCog", "sMmsi", "sName", "sLon", "filterSuggest")
+    return event_files.event_rows(*sample.event_store(spark, sf_dir))
 
 
 @query

@@ -82,7 +82,7 @@ _STORE = f"""
 stored AS (
   SELECT event_id, {_KINDS}[event_id % 6 + 1] AS event_type, CASE WHEN event_id % 5 = 0 THEN 'ONGOING' ELSE 'PAST' END AS state, ts AS start_time,
          CASE WHEN event_id % 5 = 0 THEN NULL ELSE ts + to_minutes(CAST(event_id % 120 AS INTEGER)) END AS end_time, event_id % 17 = 0 AS suppressed,
-         'Event ' || event_id AS title
+         'Event ' || event_id AS title, 'Event of user ' || user_id AS description
   FROM events
 ),
 parts AS (
@@ -95,7 +95,7 @@ behaviours AS (
 ),
 points AS (
   SELECT event_id, CAST(219000000 + v AS INTEGER) AS mmsi, ts + to_minutes(CAST(k AS INTEGER)) AS ts, CAST(55000000 + 1000 * (event_id % 500) + 100 * k AS DOUBLE) / 1e6 AS lat,
-         CAST(11000000 + 1000 * (v % 300) + 100 * k AS DOUBLE) / 1e6 AS lon, CAST(CAST(100 + event_id % 30 AS DOUBLE) / 1e1 AS FLOAT) AS sog, CAST(event_id % 360 AS FLOAT) AS cog,
+         CAST(11000000 + 1000 * (v % 300) + 100 * k AS DOUBLE) / 1e6 AS lon, CAST(CAST(100 + event_id % 30 AS DOUBLE) / 1e1 AS FLOAT) AS sog, CAST(event_id % 360 AS FLOAT) AS cog, CAST(event_id % 360 AS FLOAT) AS hdg,
          CAST((event_id + k) % 4 AS INTEGER) AS certainty
   FROM (SELECT *, unnest(generate_series(0, event_id % 3)) AS k FROM parts)
 ),
@@ -155,10 +155,10 @@ _add("asof_static", _R + """,
 statics AS (SELECT mmsi, ts_ms - 3000 AS at, 'C' || seq AS callsign, CAST(seq AS INTEGER) AS to_bow, ship_type FROM reports WHERE seq % 6 = 2)""",
      "SELECT r.mmsi, r.ts_ms, s.callsign, s.to_bow, s.ship_type FROM reports r ASOF LEFT JOIN statics s ON r.mmsi = s.mmsi AND r.ts_ms >= s.at")
 _add("interpolated_reports", _R + """,
-third AS (SELECT *, CASE WHEN ts_ms - lag(ts_ms) OVER w > 1800000 THEN 1 ELSE 0 END AS fresh FROM reports WHERE seq % 3 = 1 WINDOW w AS (PARTITION BY mmsi ORDER BY ts_ms)),
-epochs AS (SELECT *, sum(fresh) OVER (PARTITION BY mmsi ORDER BY ts_ms ROWS UNBOUNDED PRECEDING) AS epoch FROM third),
+marked AS (SELECT *, CASE WHEN ts_ms - lag(ts_ms) OVER w > 1800000 THEN 1 ELSE 0 END AS fresh FROM reports WINDOW w AS (PARTITION BY mmsi ORDER BY ts_ms)),
+epochs AS (SELECT *, sum(fresh) OVER (PARTITION BY mmsi ORDER BY ts_ms ROWS UNBOUNDED PRECEDING) AS epoch FROM marked),
 nexts AS (SELECT *, least(lead(ts_ms) OVER (PARTITION BY mmsi, epoch ORDER BY ts_ms) - 1, ts_ms + 1800000) AS stop, lead(ts_ms) OVER (PARTITION BY mmsi, epoch ORDER BY ts_ms) AS nxt FROM epochs),
-steps AS (SELECT *, unnest(generate_series(ts_ms + 10000, stop, 10000)) AS at_ms FROM nexts WHERE nxt IS NOT NULL AND stop >= ts_ms + 10000),
+steps AS (SELECT *, unnest(generate_series(ts_ms + 4000, stop, 4000)) AS at_ms FROM nexts WHERE nxt IS NOT NULL AND stop >= ts_ms + 4000),
 guessed AS (SELECT *, CAST(sog AS DOUBLE) / 1.9438444924406046e0 * (at_ms - ts_ms) / 1e3 AS way, radians(CAST(cog AS DOUBLE)) AS c FROM steps)""", f"""
 SELECT mmsi, ts_ms, false AS interpolated, ts_ms AS last_ais_ms, round(lat, 6) AS lat, round(lon, 6) AS lon FROM nexts
 UNION ALL SELECT mmsi, at_ms, true, ts_ms, round(lat + way * cos(c) / {_M}, 6), round(lon + way * sin(c) / ({_M} * cos(radians(lat))), 6) FROM guessed""")
@@ -390,6 +390,12 @@ near AS (
 
 
 _add("nearby_tracks", _FLEET + _near(30000), "SELECT run_ms, a_mmsi, b_mmsi, a_ts_ms, b_ts_ms, round(near_metres, 3) AS near_metres FROM near")
+_POLAR = _reports("80000000 + 2500 * (user_id % 12) + 900 * (user_id % 5) + 150 * n", "(179900000 + 40000 * (user_id * 7 % 9) + 7000 * (user_id % 3) + 180000000) % 360000000 - 180000000")
+_AROUND = "CASE WHEN b.lon - a.lon > 180 THEN b.lon - a.lon - 360 WHEN b.lon - a.lon < -180 THEN b.lon - a.lon + 360 ELSE b.lon - a.lon END"
+_add("nearby_polar", _POLAR + _near(30000).partition("near AS (")[0].rstrip().rstrip(","), f"""
+SELECT a.run_ms, a.mmsi AS a_mmsi, b.mmsi AS b_mmsi, round(sqrt(power(({_AROUND}) * {_M} * cos(radians(a.lat)), 2) + power((b.lat - a.lat) * {_M}, 2)), 2) AS near_metres
+FROM snaps a JOIN snaps b ON a.run_ms = b.run_ms AND a.mmsi <> b.mmsi AND abs(a.ts_ms - b.ts_ms) < 60000
+WHERE sqrt(power(({_AROUND}) * {_M} * cos(radians(a.lat)), 2) + power((b.lat - a.lat) * {_M}, 2)) < 1852""")
 _A, _B = _TB.format("a_ship_type"), _TB.format("b_ship_type")
 _CANDIDATES = _FLEET + _near(30000) + f""",
 candidates AS (
@@ -399,9 +405,18 @@ candidates AS (
 _add("encounter_candidates", _CANDIDATES, "SELECT run_ms, a_mmsi, b_mmsi FROM candidates")
 
 
-def _inside(e: str, x: str, y: str) -> str:
+def _level(e: str, x: str, y: str) -> str:
     dx, dy = f"({x} - {e}_x)", f"({y} - {e}_y)"
-    return f"power(({dx} * cos({e}_r) + {dy} * sin({e}_r)) / {e}_a, 2) + power(({dy} * cos({e}_r) - {dx} * sin({e}_r)) / {e}_b, 2) <= 1"
+    return f"power(({dx} * cos({e}_r) + {dy} * sin({e}_r)) / {e}_a, 2) + power(({dy} * cos({e}_r) - {dx} * sin({e}_r)) / {e}_b, 2)"
+
+
+def _inside(e: str, x: str, y: str) -> str:
+    return _level(e, x, y) + " <= 1"
+
+
+def _rim(t: str) -> str:
+    """How deep inside the zone a point on the extent's rim lies: the rim is searched in three steps, each 64 times finer."""
+    return _level("z", f"(e_x + e_a * cos({t}) * cos(e_r) - e_b * sin({t}) * sin(e_r))", f"(e_y + e_a * cos({t}) * sin(e_r) + e_b * sin({t}) * cos(e_r))")
 
 
 _WAY = "CAST({0}_sog AS DOUBLE) / 1.9438444924406046e0 * (greatest(a_ts_ms, b_ts_ms) - {0}_ts_ms) / 1e3"
@@ -419,10 +434,16 @@ shapes AS (
   SELECT *, (al * 7.5e-1 - a_to_stern) * cos(z_r) - (a_to_starboard - ab / 2) * sin(z_r) AS z_x, (al * 7.5e-1 - a_to_stern) * sin(z_r) + (a_to_starboard - ab / 2) * cos(z_r) AS z_y, al AS z_a, ab * 1.5e0 AS z_b,
     off_x + (bl * 5e-1 - b_to_stern) * cos(e_r) - (b_to_starboard - bb / 2) * sin(e_r) AS e_x, off_y + (bl * 5e-1 - b_to_stern) * sin(e_r) + (b_to_starboard - bb / 2) * cos(e_r) AS e_y, bl / 2 AS e_a, bb / 2 AS e_b FROM plane
 ),
-met AS (
-  SELECT *, ({_inside('e', 'z_x', 'z_y')}) OR ({_inside('z', 'e_x', 'e_y')}) OR len(list_filter(generate_series(0, 255), lambda k:
-    {_inside('z', '(e_x + e_a * cos(k * 2.454369260617026e-2) * cos(e_r) - e_b * sin(k * 2.454369260617026e-2) * sin(e_r))', '(e_y + e_a * cos(k * 2.454369260617026e-2) * sin(e_r) + e_b * sin(k * 2.454369260617026e-2) * cos(e_r))')})) > 0 AS meets
-  FROM shapes
+rim1 AS (SELECT *, list_transform(generate_series(0, 255), lambda k: {_rim('k * 2.454369260617026e-2')}) AS f FROM shapes),
+rim2 AS (
+  SELECT * EXCLUDE (f), t, list_transform(generate_series(-64, 64), lambda k: {_rim('(t + k * 3.834951969714103e-4)')}) AS f
+  FROM (SELECT *, (list_position(f, list_min(f)) - 1) * 2.454369260617026e-2 AS t FROM rim1)
+),
+rim3 AS (
+  SELECT * EXCLUDE (f, t), list_min(list_transform(generate_series(-64, 64), lambda k: {_rim('(t + k * 5.992112452678286e-6)')})) AS least
+  FROM (SELECT * EXCLUDE (t), t + (list_position(f, list_min(f)) - 65) * 3.834951969714103e-4 AS t FROM rim2)
+),
+met AS (SELECT * EXCLUDE (least), ({_inside('e', 'z_x', 'z_y')}) OR ({_inside('z', 'e_x', 'e_y')}) OR least <= 1 AS meets FROM rim3
 )""", "SELECT run_ms, a_mmsi, bool_or(meets) AS meets, count(*) AS near FROM met GROUP BY run_ms, a_mmsi")
 
 _MET = ORACLES["ana_close_encounter"].removeprefix("WITH ").rpartition("\nSELECT")[0]
@@ -515,13 +536,48 @@ FROM stored s JOIN behaviours b ON b.event_id = s.event_id AND b.is_primary JOIN
 _SUGGEST = """'-start "' || strftime(start_time - to_minutes(10), '%Y-%m-%d-%H:%M') || '" -end "' || strftime(coalesce(end_time + to_minutes(10), start_time + to_minutes(20)), '%Y-%m-%d-%H:%M')
   || '" -exp "m.pos within circle(' || printf('%.4f', l.lat) || ',' || printf('%.4f', l.lon) || ',1000)"'"""
 _ISO = "regexp_replace(regexp_replace(strftime({0}, '%Y-%m-%dT%H:%M:%S.%f'), '000$', ''), '\\.(000)?$', '')"
+
+
+def _side(p: str, b: str, l: str) -> str:
+    """A vessel's columns of the event file; all null where there is none."""
+    number = lambda c, digits: f"CASE WHEN {c} IS NOT NULL THEN printf('%.{digits}f', CAST({c} AS DOUBLE)) END"
+    text = {"Mmsi": f"CAST({b}.mmsi AS VARCHAR)", "Name": f"{b}.name", "Callsign": f"{b}.callsign", "Type": f"CAST({b}.ship_type AS VARCHAR)", "Length": f"CAST({b}.length AS VARCHAR)",
+            "Lat": number(f"{l}.lat", 4), "Lon": number(f"{l}.lon", 4), "Sog": number(f"{l}.sog", 1), "Cog": number(f"{l}.cog", 0), "Hdg": number(f"{l}.hdg", 0)}
+    return ", ".join(f'{value} AS "{p}{name}"' for name, value in text.items())
+
+
 _add("csv_event_rows", _STORE, f"""
 SELECT CAST(s.event_id AS VARCHAR) AS "eventId", s.event_type AS "eventType", {_ISO.format('start_time')} AS "startTime", {_ISO.format('end_time')} AS "endTime",
-  '[' || p.mmsi || CASE WHEN q.mmsi IS NULL THEN '' ELSE ', ' || q.mmsi END || ']' AS mmsis, CAST(p.mmsi AS VARCHAR) AS "pMmsi", printf('%.4f', l.lat) AS "pLat", printf('%.1f', CAST(l.sog AS DOUBLE)) AS "pSog",
-  printf('%.0f', CAST(l.cog AS DOUBLE)) AS "pCog", CAST(q.mmsi AS VARCHAR) AS "sMmsi", q.name AS "sName", printf('%.4f', m.lon) AS "sLon", {_SUGGEST} AS "filterSuggest"
+  title, description, '[' || p.mmsi || CASE WHEN q.mmsi IS NULL THEN '' ELSE ', ' || q.mmsi END || ']' AS mmsis, {_side('p', 'p', 'l')}, {_side('s', 'q', 'm')}, {_SUGGEST} AS "filterSuggest"
 FROM stored s JOIN behaviours p ON p.event_id = s.event_id AND p.is_primary JOIN lasts l ON l.event_id = s.event_id AND l.mmsi = p.mmsi
 LEFT JOIN behaviours q ON q.event_id = s.event_id AND NOT q.is_primary LEFT JOIN lasts m ON m.event_id = s.event_id AND m.mmsi = q.mmsi WHERE s.state = 'PAST'""")
 _add("filter_suggestion", _STORE, f"SELECT s.event_id, {_SUGGEST} AS suggestion FROM stored s JOIN behaviours p ON p.event_id = s.event_id AND p.is_primary JOIN lasts l ON l.event_id = s.event_id AND l.mmsi = p.mmsi")
 ORACLES["date_parameters"] = "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN date_trunc('day', ts) WHEN event_id % 3 = 1 THEN date_trunc('minute', ts) END AS parsed FROM events"
 _add("sentences", _STORE, """SELECT count(*) AS n, event_type, CASE event_type WHEN 'CloseEncounterEvent' THEN 'Close encounter event' WHEN 'CourseOverGroundEvent' THEN 'Course over ground event' WHEN 'DriftEvent' THEN 'Drift event'
   WHEN 'ShipSizeOrTypeEvent' THEN 'Ship size or type event' WHEN 'SpeedOverGroundEvent' THEN 'Speed over ground event' ELSE 'Sudden speed change event' END AS words FROM stored GROUP BY event_type""")
+
+_DRIFT_ROWS = f"""
+drift AS (SELECT *, sum(CASE WHEN transition = 'RAISE' THEN 1 ELSE 0 END) OVER (PARTITION BY mmsi, epoch ORDER BY ts_ms ROWS UNBOUNDED PRECEDING) AS k FROM ({ORACLES['ana_drift']})),
+drift_spans AS (
+  SELECT mmsi, epoch, k, min(ts_ms) FILTER (transition = 'RAISE') AS start_ms, min(ts_ms) FILTER (transition = 'LOWER') AS lowered, max(ts_ms) AS last_ms
+  FROM drift WHERE k > 0 AND (raised OR transition = 'LOWER') GROUP BY mmsi, epoch, k
+),
+drift_events AS (SELECT *, coalesce(lowered, CASE WHEN epoch < max(epoch) OVER (PARTITION BY mmsi) THEN last_ms END) AS end_ms FROM drift_spans),
+speed_events AS (SELECT mmsi, epoch, start_ms, end_ms FROM ({ORACLES['event_intervals']})),
+found AS (
+  SELECT 'DriftEvent' AS event_type, mmsi, start_ms, end_ms FROM drift_events UNION ALL SELECT 'SpeedOverGroundEvent', mmsi, start_ms, end_ms FROM speed_events
+  UNION ALL SELECT 'SuddenSpeedChangeEvent', mmsi, start_ms, end_ms FROM ({ORACLES['ana_sudden_speed_change']})
+),
+numbered AS (SELECT row_number() OVER (ORDER BY start_ms, event_type, mmsi) AS event_id, * FROM found)"""
+ORACLES["detect_events"] = f"""WITH {_DRIFT_ROWS}
+SELECT event_id, event_type, CASE WHEN end_ms IS NULL THEN 'ONGOING' ELSE 'PAST' END AS state, start_ms, end_ms, mmsi,
+  CAST({_TYPES}[(mmsi - 219000000) % 12 + 1] AS INTEGER) AS ship_type, CAST(10 + (mmsi - 219000000) * 37 % 150 + (mmsi - 219000000) * 53 % 120 AS INTEGER) AS length FROM numbered"""
+ORACLES["detect_points"] = f"""WITH {_DRIFT_ROWS},
+decided AS (SELECT s.mmsi, s.epoch, s.ts_ms, s.raised, c.certainty FROM ({ORACLES['hysteresis_state']}) s JOIN ({ORACLES['event_certainty']}) c USING (mmsi, epoch, ts_ms)),
+placed AS (
+  SELECT 'SpeedOverGroundEvent' AS event_type, d.mmsi, e.start_ms, d.ts_ms, d.certainty FROM decided d ASOF JOIN speed_events e ON d.mmsi = e.mmsi AND d.epoch = e.epoch AND d.ts_ms >= e.start_ms WHERE d.raised
+  UNION ALL SELECT 'SpeedOverGroundEvent', e.mmsi, e.start_ms, d.ts_ms, d.certainty FROM speed_events e JOIN decided d ON d.mmsi = e.mmsi AND d.epoch = e.epoch AND d.ts_ms < e.start_ms AND d.ts_ms >= e.start_ms - 1800000
+  UNION ALL SELECT 'DriftEvent', d.mmsi, e.start_ms, d.ts_ms, CASE WHEN d.transition = 'RAISE' THEN 3 ELSE 0 END FROM drift d JOIN drift_events e USING (mmsi, epoch, k) WHERE d.transition IN ('RAISE', 'MAINTAIN')
+  UNION ALL SELECT event_type, mmsi, start_ms, unnest([start_ms, end_ms]), 3 FROM numbered WHERE event_type = 'SuddenSpeedChangeEvent'
+)
+SELECT n.event_id, p.mmsi, p.ts_ms, CAST(p.certainty AS INTEGER) AS certainty FROM placed p JOIN numbered n ON n.event_type = p.event_type AND n.mmsi = p.mmsi AND n.start_ms = p.start_ms"""
