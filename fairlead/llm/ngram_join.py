@@ -376,24 +376,32 @@ def _grouped(nodes: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _met(grouped: DataFrame) -> DataFrame:
-    """Query nodes and larger groups (by name if equal) that share a shingle early enough for a link.
+    """Query nodes and larger groups that share a shingle early enough for a link.
 
     Behind its place a shingle leaves ``tail`` shingles of a set, itself included.  The first shared one of
-    two linked sets has a tail of at least ``_shared`` in both, so it is looked up for the sizes that this
-    allows and no others.
+    two linked sets has a tail of at least ``_shared`` in both.  So a cell is stored for the sizes of query
+    that its tail allows and no others, by wide bands of the query's size.  Of two single nodes the larger
+    set (by name if equal) asks, which leaves the smaller one's cells with few sizes; of two groups of
+    several the smaller group's nodes ask (by name if equal), and single nodes ask all of these.
     """
     cells = grouped.select("rid", "n", "band", "group", "size", F.explode(F.arrays_zip("tokens", "places")).alias("c"))
     cells = cells.select("rid", "n", "band", "group", "size", F.col("c.tokens").alias("token"), (F.col("n") - F.col("c.places") + 1).alias("tail"))
-    smallest = F.ceil(F.col("n") * PERCENT / 100)
-    largest = F.least(F.floor(F.col("n") * 100 / PERCENT), F.floor(F.col("tail") * (100 + PERCENT) / PERCENT) - F.col("n"))
-    cells = cells.withColumn("smallest", smallest).withColumn("largest", largest).where("smallest <= largest")
-    unit = ["token", F.col("group").alias("g"), F.col("size").alias("g_size"), F.col("band").alias("g_band")]
-    matrix = _in_all_parts(cells.groupBy(*unit).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("tail").alias("g_tail"))).withColumn("wide", _wide(F.col("g_band")))
-    asked = cells.withColumn("wide", F.explode(F.sequence(_wide(_band(F.col("smallest"))), _wide(_band(F.col("largest")))))).withColumn("salt", _salt(F.col("token"), F.col("rid")))
-    asked = asked.drop("band", "smallest", "largest")  # worked out again behind the exchange
-    larger = (F.col("g_size") > F.col("size")) | ((F.col("g_size") == F.col("size")) & (F.col("g") < F.col("group")))
-    first, last = F.greatest(F.col("low"), smallest), F.least(F.col("high"), largest)
-    able = larger & (first <= last) & (_shared(F.col("n"), first) <= F.least("tail", "g_tail"))
+    n = F.col("n")
+    smallest = F.ceil(n * PERCENT / 100)
+    largest = F.least(F.floor(n * 100 / PERCENT), F.floor(F.col("tail") * (100 + PERCENT) / PERCENT) - n)
+    cells = cells.where(smallest <= largest)
+    group = [F.col("group").alias("g"), F.col("size").alias("g_size"), F.col("band").alias("g_band")]
+    single = cells.where((F.col("size") == 1) & (n <= largest)).select("token", *group, n.alias("low"), n.alias("high"), F.col("tail").alias("g_tail"), n.alias("first"), largest.alias("last"))
+    several = cells.where("size > 1").groupBy("token", *group).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("tail").alias("g_tail"), F.min(smallest).alias("first"), F.max(largest).alias("last"))
+    matrix = single.union(several).withColumn("wide", F.explode(F.sequence(_wide(_band(F.col("first"))), _wide(_band(F.col("last")))))).drop("first", "last")
+    # few parts here: the side that is repeated to all of them can be as large as the other
+    parts = F.ceil(F.sqrt(_salts(F.col("token")))).cast("int")
+    matrix = matrix.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    asked = cells.select("rid", "n", "group", "size", "token", "tail", _wide(F.col("band")).alias("wide"), F.pmod(F.xxhash64("rid"), parts).cast("int").alias("salt"))
+    named = F.col("g") < F.col("group")
+    larger = (F.col("g_size") > F.col("size")) | ((F.col("g_size") == F.col("size")) & F.when(F.col("size") > 1, named).otherwise((F.col("low") < n) | ((F.col("low") == n) & named)))
+    first, last = F.greatest(F.col("low"), smallest), F.least(F.col("high"), F.floor(n * 100 / PERCENT))
+    able = larger & (first <= last) & (_shared(n, first) <= F.least("tail", "g_tail"))
     found = asked.join(matrix, ["token", "salt", "wide"]).where(able)
     return found.select("rid", "n", F.col("g").alias("group"), F.col("g_size").alias("size"), F.col("g_band").alias("band")).distinct()
 
