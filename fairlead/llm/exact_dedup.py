@@ -12,8 +12,8 @@ of different texts agreeing on both would show as a second row, never merge.
 Defined results: a null text is an empty text; null ids come last, and a group
 with only null ids keeps the null id; rows repeating the kept id are all marked
 kept by :func:`mark` while :func:`dedup` leaves one row of them; extra columns
-stay untouched (names starting with ``__fl_`` are reserved); an empty table
-gives an empty table.
+stay untouched, whatever their names and types; a very long text is one row; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -63,11 +63,14 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hash_fn:
     """One whole row of each group of equal texts, the one with the smallest id.
 
     One shuffle: rows travel inside the aggregate, reduced in each map task.
-    Ties on the id are broken by the other columns, so the result is stable.
+    Ties on the id are broken by hashes of the text and of the other columns as
+    JSON, so any type of column can be beside the text and the result is stable.
     """
     norm = normalized(F.col(text))
-    rest = [c for c in docs.columns if c != doc_id]
-    whole = F.struct(F.col(doc_id).isNull().alias("__fl_null"), F.col(doc_id), *[F.col(c) for c in rest])
-    rows = docs.select(norm.alias("__fl_norm"), whole.alias("__fl_row")).withColumn("__fl_hash", hash_fn(F.col("__fl_norm")))
-    best = rows.groupBy("__fl_hash", "__fl_norm").agg(F.min("__fl_row").alias("__fl_row"))
+    rest = [c for c in docs.columns if c not in (doc_id, text)]
+    others = F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in rest]))) if rest else F.lit(0).cast("long")
+    order = F.struct(F.col(doc_id).isNull().alias("a"), F.col(doc_id).alias("b"), F.xxhash64(F.col(text)).alias("c"), others.alias("d"))
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    rows = docs.select(norm.alias("__fl_norm"), whole.alias("__fl_row"), order.alias("__fl_order")).withColumn("__fl_hash", hash_fn(F.col("__fl_norm")))
+    best = rows.groupBy("__fl_hash", "__fl_norm").agg(F.min_by("__fl_row", "__fl_order").alias("__fl_row"))
     return best.select(*[F.col("__fl_row")[c].alias(c) for c in docs.columns])
