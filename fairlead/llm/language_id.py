@@ -14,7 +14,10 @@ hash of the id from rows of the learning fold with a language.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, as
 is every text where no language is known; rows without language are not learned
-from; repeated rows give repeated results; extra columns are left out.
+from, and a language whose texts of the fold are all over ``LONGEST`` is never
+predicted; repeated rows give repeated results and are learned once; a very long
+text is counted whole by one task; ids are cast to long; extra columns are left
+out, whatever their names.
 """
 
 from __future__ import annotations
@@ -107,7 +110,8 @@ def learn(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str
     # a hash threshold for each language lets through about 1.5 times what is kept
     rates = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, 1.5 * most / n + 30 / n))])
     short = known.where(F.length("text").between(1, LONGEST)).withColumn("order", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)))
-    rows = short.where(F.col("order") < rates[F.col("lang")] * (1 << 30)).select("lang", "order", "text").collect()
+    chosen = short.where(F.col("order") < rates[F.col("lang")] * (1 << 30)).groupBy("lang", "order").agg(F.min("text").alias("text"))  # equal rows are one
+    rows = chosen.collect()
     out = {}
     for name in counts:
         texts = [t for _, t in sorted((r["order"], r["text"]) for r in rows if r["lang"] == name)[:most]]

@@ -12,7 +12,10 @@ regression, with the labels' shares in the whole table as prior.
 Defined results: a text without bytes, or null, scores ``EMPTY_SCORE``; without
 rows of both labels every other text scores the share of label 1 (0.5 with no
 labels); labels that are null are not learned from; repeated rows give repeated
-results; extra columns stay untouched in :func:`keep_good`.
+results; a very long text is compressed whole, block by block, by one task, and is
+never learned from; ids of labels and rows that repeat are learned once; extra
+columns stay untouched in :func:`keep_good` and are left out elsewhere, whatever
+their names; ids are cast to long.
 """
 
 from __future__ import annotations
@@ -103,10 +106,11 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     prior = (share.get(1, 0) + 0.5) / (sum(share.values()) + 1)
     chosen = None
     for value in (0, 1):  # the joined side is 2 * sample rows at most
-        some = known.where(F.col("__fl_label") == value).orderBy(F.xxhash64("__fl_id"), "__fl_id").limit(sample)
+        some = known.where(F.col("__fl_label") == value).distinct().orderBy(F.xxhash64("__fl_id"), "__fl_id").limit(sample)
         chosen = some if chosen is None else chosen.union(some)
     texts = docs.select(F.col(doc_id).alias("__fl_id"), F.col(text).alias("__fl_text")).where(F.length("__fl_text").between(1, LONGEST))
-    rows = sorted({(r["__fl_id"], r["__fl_label"], r["__fl_text"]) for r in texts.join(F.broadcast(chosen), "__fl_id").collect()}, key=lambda r: (hash_order(r[0]), r))
+    once = texts.join(F.broadcast(chosen), "__fl_id").groupBy("__fl_id", "__fl_label").agg(F.min("__fl_text").alias("__fl_text"))  # ids that repeat are one row
+    rows = sorted({(r["__fl_id"], r["__fl_label"], r["__fl_text"]) for r in once.collect()}, key=lambda r: (hash_order(r[0]), r))
     by = {v: [r[2].encode() for r in rows if r[1] == v] for v in (0, 1)}
     if min(len(by[0]), len(by[1])) < 2:
         return Model(b"", b"", True, [float(np.log(prior / (1 - prior)))], [], [])

@@ -13,7 +13,8 @@ All work is inside one text, so nothing is shuffled and memory follows the text.
 
 Defined results: a null text is empty and has no spans; repeated rows give
 repeated results; positions count code points, the end is exclusive; extra
-columns are left out.
+columns are left out, whatever their names; a very long text is scanned whole by
+one task; ids are cast to long.
 """
 
 from __future__ import annotations

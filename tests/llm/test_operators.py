@@ -53,6 +53,23 @@ def test_equal_hashes_do_not_merge_different_texts(spark):
     assert {r["doc_id"] for r in exact_dedup.dedup(frame, hash_fn=same_hash).collect()} == {1, 2, 4}
 
 
+def test_dedup_carries_any_column(spark):
+    frame = docs(spark, [(1, "a"), (1, "a"), (2, "a"), (None, "b")]).withColumn("m", F.create_map(F.lit("k"), F.col("n_chars"))).withColumn("__fl_norm", F.lit("clash")).withColumn("__fl_row", F.lit(1))
+    kept = exact_dedup.dedup(frame)
+    assert kept.dtypes == frame.dtypes and sorted((r["doc_id"] or 0, r["m"]["k"]) for r in kept.collect()) == [(0, 1), (1, 1)]
+
+
+def test_repeated_rows_are_learned_once(spark):
+    base = [(k, f"good words number {k} of many" if k % 2 else "zz" * (5 + k)) for k in range(60)]
+    labels = [(k, k % 2) for k in range(60)]
+    schema = "doc_id long, quality int"
+    one = quality.learn(docs(spark, base), spark.createDataFrame(labels, schema))
+    many = quality.learn(docs(spark, base + base[:5] * 50), spark.createDataFrame(labels + labels[:3] * 40, schema))
+    assert (one.good, one.bad) == (many.good, many.bad)
+    learned = [language_id.learn(docs(spark, rows)) for rows in ([(k, f"the cat {k}") for k in range(8)], [(k, f"the cat {k}") for k in range(8)] * 3)]
+    assert all(np.allclose(learned[0][k], learned[1][k]) for k in learned[0])
+
+
 def test_repeated_rows_leave_one(spark):
     frame = docs(spark, [(1, "a")] * 5 + [(None, "q"), (None, "q")])
     assert sorted((r["doc_id"] or 0) for r in exact_dedup.dedup(frame).collect()) == [0, 1]

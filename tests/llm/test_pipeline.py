@@ -32,7 +32,7 @@ def test_rows_against_plain_stages(spark, sf_dir):
 
 @pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
 def test_stage_on_awkward_rows(name, stage, spark, sf_dir):
-    frame = docs(spark, AWKWARD)
+    frame = docs(spark, AWKWARD, extra=True)
     out = stage(spark, frame, sf_dir)
     assert name == "pack" or out.columns == frame.columns
     out.collect()
