@@ -64,6 +64,7 @@ SMALL = 64
 #: Into how many parts a shingle of each class is dealt.
 SALTS = (1, 1, 4, 32, 256, 2048, 16384, 131072)
 _CLASS_BITS = 3
+_PLACE_BITS = 12
 _SLICES = 64
 #: Packed counters that one task adds up; more are added in two steps.
 _FAN_IN = 512
@@ -181,15 +182,20 @@ def shingle_classes(survey: DataFrame, shingles: int, blobs: int) -> np.ndarray:
     fan = -(-blobs // (_SLICES * _FAN_IN))
     if fan > 1:
         parts = parts.repartition(_SLICES * fan, F.col("slice"), F.pmod(F.xxhash64("counts"), F.lit(fan))).mapInArrow(_added(None), "slice int, counts binary")
-    found = parts.repartition(_SLICES, F.col("slice")).mapInArrow(_added(level), "slice int, counts binary")
+    found = materialize(parts.repartition(_SLICES, F.col("slice")).mapInArrow(_added(level), "slice int, counts binary"), "classes")
     out = np.zeros((_SLICES, BUCKETS // _SLICES // 2), np.uint8)
     for row in found.collect():  # one row for each of the 64 slices
         out[row["slice"]] = np.frombuffer(row["counts"], np.uint8)
+    release(found)
     return out.ravel()
 
 
 def _prefixes(packed):
-    """The first shingles of each set in the order: key (class, then hash), node and place from 1."""
+    """The first shingles of each set in the order: key (class, then hash), and the node's mark with the place from 1.
+
+    The mark is the upper part of the signature, the place the lower ``_PLACE_BITS``.  Places beyond these bits
+    count as the last of them, and nodes of one mark share their postings: either only leaves more to compare.
+    """
     shift = np.uint64(63 - _CLASS_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,8 +218,9 @@ def _prefixes(packed):
             if keys:
                 runs = np.fromiter(map(len, keys), np.int64, len(keys))
                 place = np.arange(1, int(runs.sum()) + 1) - np.repeat(np.cumsum(runs) - runs, runs)
-                columns = [np.concatenate(keys).view(np.int64), np.repeat(np.array(signs, np.int64), runs), place.astype(np.int32)]
-                yield pa.record_batch([pa.array(c) for c in columns], names=["token", "s1", "place"])
+                most = (1 << _PLACE_BITS) - 1
+                mark = np.repeat(np.array(signs, np.int64) >> _PLACE_BITS << _PLACE_BITS, runs)
+                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(mark | np.minimum(place, most))], names=["token", "at"])
 
     return run
 
@@ -312,18 +319,24 @@ def _nodes(posts: DataFrame, reps: DataFrame) -> DataFrame:
     node whose whole prefix is shared, such as the text that many near copies were made from.  A shingle
     dealt in parts counts as shared, and as common as its class says.
     """
-    token = F.col("token")
-    part = Window.partitionBy("token", "salt")
-    dealt = posts.withColumn("salt", _salt(token, F.col("s1")))
-    spread = dealt.select("*", F.min("s1").over(part).alias("lo"), F.max("s1").over(part).alias("hi"), F.count(F.lit(1)).over(part).alias("found"))
-    split = _salts(token) > 1
-    shared = spread.where(split | (F.col("lo") != F.col("hi"))).withColumn("df", F.when(split, F.pow(F.lit(8.0), F.shiftright(token, 63 - _CLASS_BITS)) * 32).otherwise(F.col("found")).cast("long"))
-    common = F.struct("df", "token")
-    found = shared.groupBy("s1").agg(
-        F.sort_array(F.collect_set(F.struct("token", "place"))).alias("cells"), F.max(common)["token"].alias("most"), F.min(common)["token"].alias("least"), F.sum(F.log1p("df")).alias("sum")
-    )
-    able = found.join(reps.select("s1", "n", "rid"), "s1").where(F.size("cells") >= _reach(F.col("n"))).withColumn("weight", F.round(F.col("sum") / _length(F.col("n")), 6))
-    return able.select("rid", "n", F.col("cells.token").alias("tokens"), F.col("cells.place").alias("places"), "most", "least", "weight")
+    mark = F.shiftright("at", _PLACE_BITS)
+    # the part is folded into the lower bits of the shingle's key, and out again
+    key = F.col("key")
+    dealt = posts.select(F.col("token").bitwiseXOR(_salt(F.col("token"), mark).cast("long")).alias("key"), "at")
+    part = Window.partitionBy("key")
+    spread = dealt.select("*", F.min(mark).over(part).alias("lo"), F.max(mark).over(part).alias("hi"), F.count(F.lit(1)).over(part).alias("found"))
+    split = _salts(key) > 1
+    df = F.when(split, F.pow(F.lit(8.0), F.shiftright(key, 63 - _CLASS_BITS)) * 32).otherwise(F.col("found")).cast("long")
+    cell = F.struct(key.bitwiseXOR(_salt(key, mark).cast("long")).alias("token"), F.col("at").bitwiseAND((1 << _PLACE_BITS) - 1).cast("int").alias("place"), df.alias("df"))
+    shared = spread.where(split | (F.col("lo") != F.col("hi"))).select(mark.alias("mark"), cell.alias("cell"))
+    found = shared.groupBy("mark").agg(F.sort_array(F.collect_set("cell")).alias("cells"))
+    able = found.join(reps.select(F.shiftright("s1", _PLACE_BITS).alias("mark"), "n", "rid"), "mark").where(F.size("cells") >= _reach(F.col("n")))
+    common = F.transform("cells", lambda c: F.struct(c["df"], c["token"]))
+    weight = F.aggregate("cells", F.lit(0.0), lambda total, c: total + F.log1p(c["df"]))
+    return able.select(
+        "rid", "n", F.col("cells.token").alias("tokens"), F.col("cells.place").alias("places"), F.array_max(common)["token"].alias("most"), F.array_min(common)["token"].alias("least"),
+        F.round(weight / _length(F.col("n")), 6).alias("weight"),
+    )
 
 
 def _star_pairs(nodes: DataFrame) -> DataFrame:
@@ -504,12 +517,13 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     survey = materialize(rows.mapInArrow(_survey, _SURVEY), "survey")
-    sizes = survey.where("slice is null").select("doc_id", "n", "s1", "s2")
+    sizes = materialize(survey.where("slice is null").select("doc_id", "n", "s1", "s2"), "sizes")
     reps = materialize(sizes.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rid")), "sets")
     shingles, blobs = survey.agg(F.sum("n"), F.count("slice")).first()
     classes = spark.sparkContext.broadcast(shingle_classes(survey, shingles or 0, blobs))
+    release(survey)
     rows = rows.where("doc_id is not null")
-    nodes = materialize(_nodes(rows.mapInArrow(_prefixes(classes), "token long, s1 long, place int"), reps), "nodes")
+    nodes = materialize(_nodes(rows.mapInArrow(_prefixes(classes), "token long, at long"), reps), "nodes")
 
     links = _decide(rows, _star_pairs(nodes))
     tables = [links]
@@ -542,7 +556,7 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     own = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
     out = sizes.join(named, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
     out = materialize(out, "components")
-    release(survey, reps, groups)
+    release(sizes, reps, groups)
     return out
 
 
