@@ -64,16 +64,21 @@ def verdicts(changes: DataFrame, stats: DataFrame, statistic: str, params: Stati
     return judged(changes, stats, statistic, params).where("analysed").drop("analysed")
 
 
+def drift_guard(reports: DataFrame, params: Drift) -> Column:
+    """Which reports the analysis looks at."""
+    t = F.col("ship_type")
+    known = vessel.sog_available(F.col("sog")) & vessel.cog_available(F.col("cog")) & vessel.heading_available(F.col("hdg"))
+    large = vessel.is_very_long(_length()) | vessel.is_cargo(t) | vessel.is_tanker(t) | vessel.is_passenger(t)
+    return ~F.coalesce(_length() < params.least_length, F.lit(False)) & known & _ordinary(reports, params.prediction_minutes) & large
+
+
 def drift(reports: DataFrame, params: Drift) -> DataFrame:
     """Analysed reports with the parts of a drift, ``sustained`` and ``transition``.
 
     Length below the minimum is left out while an unknown one passes that guard and falls to the next.
     """
     rows = tracks.with_drift(reports, params.period_minutes, params.metres, low=params.least_sog, high=params.most_sog, angle=params.angle)
-    t = F.col("ship_type")
-    known = vessel.sog_available(F.col("sog")) & vessel.cog_available(F.col("cog")) & vessel.heading_available(F.col("hdg"))
-    large = vessel.is_very_long(_length()) | vessel.is_cargo(t) | vessel.is_tanker(t) | vessel.is_passenger(t)
-    rows = rows.where(~F.coalesce(_length() < params.least_length, F.lit(False)) & known & _ordinary(reports, params.prediction_minutes) & large)
+    rows = rows.where(drift_guard(reports, params))
     w = tracks.track_window()
     # an event lasts from the first sustained row of a drifting run to the first row that drifts no more
     rows = rows.withColumn("_run", F.sum((~F.col("drifting")).cast("int")).over(w))
@@ -85,6 +90,13 @@ def drift(reports: DataFrame, params: Drift) -> DataFrame:
     return rows.withColumn("transition", step).drop("_run", "_before")
 
 
+def speed_change_guard(reports: DataFrame, params: SuddenSpeedChange) -> Column:
+    """Which reports the analysis looks at."""
+    t = F.col("ship_type")
+    keep = ~F.coalesce(_length() < params.least_length, F.lit(False)) & vessel.sog_available(F.col("sog")) & _ordinary(reports, params.prediction_minutes)
+    return keep & ~vessel.is_fishing(t) & ~vessel.is_engaged_in_fishing(t)
+
+
 def sudden_speed_changes(reports: DataFrame, params: SuddenSpeedChange) -> DataFrame:
     """One row for each event: mmsi, epoch, and the reports at its two ends.
 
@@ -92,11 +104,8 @@ def sudden_speed_changes(reports: DataFrame, params: SuddenSpeedChange) -> DataF
     the low mark; the event fires at the first later low report with sustained low speed.
     """
     rows = tracks.with_speed_drops(reports, params.high, params.low, params.decay_seconds, params.sustain_seconds)
-    t = F.col("ship_type")
-    keep = ~F.coalesce(_length() < params.least_length, F.lit(False)) & vessel.sog_available(F.col("sog")) & _ordinary(reports, params.prediction_minutes)
-    keep = keep & ~vessel.is_fishing(t) & ~vessel.is_engaged_in_fishing(t)
     w = tracks.track_window()
-    rows = rows.where(keep).withColumn("_island", F.sum((~F.col("is_low")).cast("int")).over(w))
+    rows = rows.where(speed_change_guard(reports, params)).withColumn("_island", F.sum((~F.col("is_low")).cast("int")).over(w))
     run = Window.partitionBy("mmsi", "epoch", "_island", "is_low").orderBy("ts_ms", "seq")
     seen = F.min(F.when(F.col("sudden"), F.col("ts_ms"))).over(run.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("_observed", seen)
@@ -177,15 +186,19 @@ def reason_counters(changes: DataFrame, statistic: str, params: Statistical) ->
     return rows.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def free_flow(reports: DataFrame, params: FreeFlow) -> DataFrame:
-    """Pairs of large tankers and cargo vessels that sail the same way, the second in the first's ellipse, before throttling."""
+def free_flow_guard(params: FreeFlow) -> Column:
+    """Which reports the analysis looks at; none without a box."""
+    if params.box is None:
+        return F.lit(False)
     t = F.col("ship_type")
-    box = params.box
-    if box is None:
-        return pairs.nearby(reports, params.run_seconds * 1000).where(F.lit(False))
-    north, east, south, west = box
+    north, east, south, west = params.box
     keep = vessel.is_very_long(_length()) & (vessel.is_tanker(t) | vessel.is_cargo(t)) & F.col("lat").between(south, north) & F.col("lon").between(west, east) & F.coalesce(F.col("sog") >= 1.0, F.lit(True))
-    near = pairs.nearby(reports.where(keep & F.col("cog").isNotNull() & F.col("hdg").isNotNull()), params.run_seconds * 1000)
+    return keep & F.col("cog").isNotNull() & F.col("hdg").isNotNull()
+
+
+def free_flow(reports: DataFrame, params: FreeFlow) -> DataFrame:
+    """Pairs of large tankers and cargo vessels that sail the same way, the second in the first's ellipse, before throttling."""
+    near = pairs.nearby(reports.where(free_flow_guard(params)), params.run_seconds * 1000)
     rows = near.where(geo.direction_difference(F.col("a_cog"), F.col("b_cog")) < params.course_degrees)
     centre = lambda s: geo.vessel_centre(F.col(f"{s}_lat"), F.col(f"{s}_lon"), F.col(f"{s}_hdg"), *[F.col(f"{s}_to_{d}") for d in ("stern", "bow", "port", "starboard")])
     (a_lat, a_lon), (b_lat, b_lon) = centre("a"), centre("b")

@@ -62,6 +62,20 @@ def check_parameters(recent: int | None = None, area: tuple | None = None, **oth
         raise ValueError("a number of recent events excludes other parameters")
 
 
+def worth_searching(vessel: str | None = None, begin: str | None = None, end: str | None = None) -> bool:
+    """Whether a form is filled in enough to be sent: a vessel, or both dates in full."""
+    return bool(vessel and vessel.strip()) or all(len((x or "").strip()) >= 10 for x in (begin, end))
+
+
+def as_json(events: DataFrame, behaviours: DataFrame, points: DataFrame) -> DataFrame:
+    """One JSON document for each event: its fields, its vessels and each vessel's points in the order of time."""
+    tracked = points.groupBy("event_id", "mmsi").agg(F.sort_array(F.collect_list(F.struct("ts", *[c for c in points.columns if c not in ("event_id", "mmsi", "ts")]))).alias("points"))
+    sides = behaviours.join(tracked, ["event_id", "mmsi"], "left")
+    sides = sides.groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct(F.expr("not is_primary").alias("secondary"), "mmsi", *[c for c in sides.columns if c not in ("event_id", "mmsi", "is_primary")]))).alias("behaviours"))
+    rows = events.join(sides, "event_id", "left")
+    return rows.select("event_id", F.to_json(F.struct(*events.columns, "behaviours"), {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS"}).alias("json"))
+
+
 def events_between(events: DataFrame, begin: datetime | str, end: datetime | str) -> DataFrame:
     """Events that start or end in the span, by start; one that spans it all is not among them."""
     span = F.col("start_time").between(_at(begin), _at(end)) | F.coalesce(F.col("end_time").between(_at(begin), _at(end)), F.lit(False))

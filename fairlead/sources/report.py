@@ -24,5 +24,7 @@ def html(events: DataFrame, behaviours: DataFrame, points: DataFrame, begin: dat
     groups: dict[str, list[str]] = {}
     for row in lines.toLocalIterator():
         groups.setdefault(row["event_type"], []).append(row["line"])
-    body = "".join(f"{kind} ({len(found)})\n\n{HEADINGS}\n{'-' * 118}\n" + "\n".join(map(escape, found)) + f"\n{'=' * 118}\n\n" for kind, found in groups.items())
-    return f"<html><h2>Abnormal events</h2><h4>Detected between {begin} and {end}</h4><br/><pre>{body}</pre></html>"
+    totals = "".join(f"<tr><td>{escape(kind)}</td><td>{len(found)}</td></tr>" for kind, found in groups.items())
+    parts = "".join(f"<section><h2>{escape(kind)}</h2><pre>" + "\n".join([HEADINGS, *map(escape, found)]) + "</pre></section>" for kind, found in groups.items())
+    title = f"Events from {begin:%Y-%m-%d %H:%M} to {end:%Y-%m-%d %H:%M}"
+    return f"<!doctype html><html><head><title>{title}</title></head><body><h1>{title}</h1><table>{totals}</table>{parts}</body></html>"

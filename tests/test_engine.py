@@ -291,6 +291,17 @@ def test_search_rules():
         search.check_parameters(recent=5, vessel="x")
 
 
+def test_search_guard_and_json(spark, sf_dir):
+    import json
+
+    assert search.worth_searching("x") and search.worth_searching(begin="01/01/2024", end="02/01/2024 10:00") and not search.worth_searching(" ", "01/01/2024", "1/1")
+    stored = sample.event_store(spark, sf_dir)
+    rows = {r["event_id"]: json.loads(r["json"]) for r in search.as_json(*[f.where("event_id in (5, 6)") for f in stored]).collect()}
+    assert rows[6]["event_type"] and [b["secondary"] for b in rows[6]["behaviours"]] == [False, True] and len(rows[5]["behaviours"]) == 1
+    times = [p["ts"] for p in rows[5]["behaviours"][0]["points"]]
+    assert len(times) == 3 and times == sorted(times)
+
+
 def test_pair_limits(spark):
     from fairlead.operators import pairs
 
@@ -382,3 +393,54 @@ def test_relational_store_upserts_and_reads_back(spark, sf_dir):
     assert search.search(back.events, back.behaviours, back.points, event_type="DriftEvent").count() == search.search(stored.events, stored.behaviours, stored.points, event_type="DriftEvent").count() > 0
     values = {"events.repository.type": " PGSQL", **{f"events.pgsql.{k}": k for k in ("host", "port", "name", "username", "password")}}
     assert relational.url_of(values)[0] == "jdbc:postgresql://host:port/name" and relational.url_of({"events.repository.type": "csv"}) is None
+
+
+def _streamed(spark, rows, tmp_path, batches=3):
+    """The rows as a stream of several files, in the order of time."""
+    for k in range(batches):
+        low, high = (rows.selectExpr(f"percentile_approx(ts_ms, {x}) as t").first()["t"] for x in (k / batches, (k + 1) / batches))
+        part = rows.where((F.col("ts_ms") > low) | F.lit(k == 0)).where((F.col("ts_ms") <= high) | F.lit(k == batches - 1))
+        part.coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+
+
+def _collected(spark, stream, name, tmp_path):
+    query = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    assert query.exception() is None
+    return spark.table(name).collect()
+
+
+def test_live_kinematics_equal_batch(spark, tmp_path):
+    from fairlead.streaming import kinematic
+
+    reports = catalog.reports(spark, "/root/testdata/sf0.01")
+    stream = _streamed(spark, reports.drop("epoch"), tmp_path)
+    params = Drift(period_minutes=5, metres=30.0)
+    got = {(r["mmsi"], r["ts_ms"], r["sustained_drift"], r["raised"], r["transition"]) for r in _collected(spark, kinematic.drift(stream, params), "live_drift", tmp_path)}
+    want = {(r["mmsi"], r["ts_ms"], r["sustained_drift"], r["raised"], r["transition"]) for r in analyses.drift(reports, params).collect()}
+    assert got == want and any(w[4] == "RAISE" for w in want)
+    fields = ("mmsi", "start_ms", "end_ms", "fired_ms", "sog1", "sog2")
+    got = {tuple(r[c] for c in fields) for r in _collected(spark, kinematic.sudden_speed_changes(stream, SuddenSpeedChange()), "live_speed", tmp_path)}
+    want = {tuple(r[c] for c in fields) for r in analyses.sudden_speed_changes(reports, SuddenSpeedChange()).collect()}
+    assert got == want and want
+
+
+def test_live_pairs_equal_batch(spark, tmp_path):
+    from fairlead.streaming import live_pairs
+
+    fleet = sample.fleet_reports(spark, "/root/testdata/sf0.01")
+    stream = _streamed(spark, fleet, tmp_path)
+    for name, begin, batch, params in (
+        ("encounters", live_pairs.encounter_runs, analyses.encounter_runs, catalog.ENCOUNTER),
+        ("flow", live_pairs.free_flow, analyses.free_flow, catalog.FLOW),
+    ):
+        query = begin(stream, params, f"{tmp_path}/{name}", f"{tmp_path}/{name}-cp", late_minutes=1)
+        query.awaitTermination(240)
+        assert query.exception() is None
+        found = spark.read.parquet(f"{tmp_path}/{name}").drop("batch")
+        last = found.agg(F.max("run_ms")).first()[0]
+        want = batch(fleet, params).where(F.col("run_ms") <= last)
+        columns = [c for c in ("run_ms", "mmsi", "abnormal", "a_mmsi", "b_mmsi", "a_ts_ms", "distance") if c in want.columns]
+        rows = lambda frame: sorted(map(tuple, frame.select(columns).collect()))
+        assert rows(found) == rows(want) and found.count() > 10

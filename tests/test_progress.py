@@ -26,4 +26,4 @@ def test_report(spark, sf_dir):
     first, last = report.span(datetime(2024, 1, 6), None)
     assert last - first == timedelta(hours=24)
     text = report.html(*stored, first, last)
-    assert text.count("BEGIN") == 6 and "VESSEL" in text and "DriftEvent (" in text
+    assert text.count("BEGIN") == 6 and "VESSEL" in text and "<h2>DriftEvent</h2>" in text
