@@ -79,6 +79,11 @@ def release(*frames: DataFrame) -> None:
             remove(df.sparkSession, path)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Bytes of what a plan reads, from the statistics of its files; nothing is read for it."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def in_fold(doc_id: Column) -> Column:
     """True for rows that may be learned from: crc32 of the id as text, mod 4, is not 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2, F.lit(True))

@@ -169,3 +169,33 @@ found AS (
 SELECT c.page_id, c.host, c.day, coalesce(f.action, 'none') AS verdict, f.name AS matched, f.list, CAST(f.valid_from AS INTEGER) AS listed_on
 FROM captures c LEFT JOIN found f ON f.page_id = c.page_id AND f.r = 1
 """
+
+ORACLES["op11_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), lists AS (
+  SELECT lang, w, len(w) AS m FROM (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces) WHERE len(w) > 0
+), grams AS (
+  SELECT lang, d, array_to_string(w[i:i + d - 1], ' ') AS phrase
+  FROM (SELECT lang, w, d, unnest(generate_series(1, m - d + 1)) AS i FROM lists, (VALUES (1), (2), (3)) AS depth(d) WHERE m >= d)
+), found AS MATERIALIZED (SELECT lang, d, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f) AS n FROM found WHERE d = 1 GROUP BY lang),
+candidates AS (SELECT lang, d, phrase, string_split(phrase, ' ') AS w, f AS a FROM found WHERE d > 1 AND f >= 10),
+sides AS MATERIALIZED (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(generate_series(1, d - 1)) AS k FROM candidates)
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, c.k, l.f AS l, r.f AS r, CAST(1000000 AS HUGEINT) * c.a * c.a // (CAST(l.f AS HUGEINT) * r.f) AS score
+  FROM sides c JOIN found l ON l.lang = c.lang AND l.phrase = c.head JOIN found r ON r.lang = c.lang AND r.phrase = c.rest
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), longer AS (
+  SELECT lang, phrase, max(a) AS f FROM (
+    SELECT lang, array_to_string(w[1:d - 1], ' ') AS phrase, a FROM candidates WHERE d > 2
+    UNION ALL SELECT lang, array_to_string(w[2:d], ' '), a FROM candidates WHERE d > 2) GROUP BY ALL
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM (SELECT k.*, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, encode(k.phrase)) AS rank
+      FROM lowest k LEFT JOIN longer o USING (lang, phrase) WHERE o.f IS NULL OR 100 * o.f < 50 * a)
+JOIN totals USING (lang) WHERE rank <= 2000
+"""
