@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlead.llm import collocations, decontaminate, exact_dedup, language_id, ngram_join, packing, pii, quality, secrets, token_store, url_filter
+from fairlead.llm import collocations, decontaminate, exact_dedup, language_id, ngram_join, packing, pii, quality, secrets, spelling, token_store, url_filter
 from fairlead.llm.common import in_fold, materialize, remove, scratch_path, table
 
 
@@ -83,6 +83,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_pii": op2_pii,
@@ -95,4 +99,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_token_ids": op10_token_ids,
     "op11_collocations": op11_collocations,
+    "op12_spelling_variants": op12_spelling_variants,
 }

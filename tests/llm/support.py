@@ -77,3 +77,35 @@ def near_components(rows):
         for token in s:
             index[token].append(k)
     return {i: (len(s), find(i)) for i, s in sets.items()}
+
+
+def spelling_variants(rows):
+    """{word: (n, n_near, form, form_n, root)} by looking up every word's edits."""
+    import zlib
+
+    n = defaultdict(int)
+    for i, text in rows:
+        for run in re.findall("[A-Za-z\u00C0-\u00FF]+", (text or "").translate(LOWER)):
+            h = zlib.crc32(f"{i}:{run}".encode())
+            n[run if h % 31 else run[: h % len(run)] + run[h % len(run) + 1 :]] += 1
+    n = {w: k for w, k in n.items() if len(w) >= 7 and k >= 2}
+    gaps = defaultdict(set)
+    for w in n:
+        for k in range(len(w)):
+            gaps[w[:k] + w[k + 1 :]].add((w, k))
+    out = {}
+    for w, k in n.items():
+        near = {v for v, _ in gaps[w]}
+        for i in range(len(w)):
+            short = w[:i] + w[i + 1 :]
+            near |= {v for v, at in gaps[short] if at == i and v != w} | ({short} & n.keys())
+        best = min(near, key=lambda v: (-n[v], v), default=None)
+        form = best if best is not None and n[best] >= 10 * k else None
+        out[w] = (k, len(near), form, n[form] if form else None)
+    roots = {}
+    for w in out:
+        end = w
+        while out[end][2]:
+            end = out[end][2]
+        roots[w] = end
+    return {w: (*v, roots[w]) for w, v in out.items()}

@@ -9,7 +9,7 @@ from comparison import connection, same
 from fairlead.llm.common import crc_fold
 from fairlead.llm.queries import QUERIES
 from fairlead.llm.sql import ORACLES
-from support import near_components
+from support import near_components, spelling_variants
 
 
 @pytest.fixture(scope="module")
@@ -96,3 +96,11 @@ def test_op10_round_trip(spark, sf_dir, encoded):
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), crc(ids))
         start += len(ids)
     assert len(rows) == len(encoded)
+
+
+def test_op12_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet'").fetchall()
+    got = {r["word"]: (r["n"], r["n_near"], r["form"], r["form_n"], r["root"]) for r in QUERIES["op12_spelling_variants"](spark, sf).collect()}
+    assert got == spelling_variants(rows)
+    assert any(v[2] for v in got.values())
