@@ -42,7 +42,9 @@ LEAST = 10
 TOP = 2000
 #: A phrase goes if a longer candidate has this share (of 100) of its count.
 SUBSUMED = 50
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
+#: Phrases of a shard whose texts are made at once.
+CHUNK = 1 << 17
 #: Bytes of stored input for a bucket of phrases, and buckets at least.
 BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 64
 #: Level-one partitions of a language in the ranking.
@@ -170,9 +172,9 @@ def _counted(buckets: int, depth: int, shard_bytes: int):
         packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for name in pc.unique(batch.column(0)).to_pylist():
-                own = batch.filter(pc.equal(batch.column(0), name))
+                rows = batch.filter(pc.equal(batch.column(0), name))
                 seed = np.uint64(zlib.crc32(name.encode()))
-                for part in sized_slices(own, "text", shard_bytes):
+                for part in sized_slices(rows, "text", shard_bytes):
                     pieces = Pieces(*text_buffers(part.column(1)))
                     if not len(pieces.ids):
                         continue
@@ -183,14 +185,18 @@ def _counted(buckets: int, depth: int, shard_bytes: int):
                         code[longer] = mix64(code[longer] * np.uint64(0x100000001B3) + pieces.codes[pieces.ids[end[longer] - d]] + np.uint64(1))
                     bucket = (code % np.uint64(buckets)).astype(np.int64)
                     order = np.argsort(bucket, kind="stable")
-                    text, length = pieces.phrases(end[order], words[order])
-                    edge = np.concatenate([[0], np.cumsum(length)])
-                    count = count[order].astype("<u4")
                     used, first = np.unique(bucket[order], return_index=True)
+                    step = max(1, len(used) * CHUNK // len(order))
                     last = np.append(first[1:], len(order))
-                    packed = [packer.compress(text[edge[a] : edge[b]]) for a, b in zip(first, last, strict=True)]
-                    counts = [packer.compress(count[a:b]) for a, b in zip(first, last, strict=True)]
-                    yield pa.record_batch([pa.array([name] * len(used)), pa.array(used), pa.array(packed, pa.binary()), pa.array(counts, pa.binary())], names=["lang", "bucket", "phrases", "counts"])
+                    for k in range(0, len(used), step):  # some buckets at a time, since the phrases overlap and their texts are much longer
+                        names, a, b = used[k : k + step], first[k : k + step], last[k : k + step]
+                        own = order[a[0] : b[-1]]
+                        text, length = pieces.phrases(end[own], words[own])
+                        edge, a, b = np.concatenate([[0], np.cumsum(length)]), a - a[0], b - a[0]
+                        times = count[own].astype("<u4")
+                        packed = [packer.compress(text[edge[i] : edge[j]]) for i, j in zip(a, b, strict=True)]
+                        counts = [packer.compress(times[i:j]) for i, j in zip(a, b, strict=True)]
+                        yield pa.record_batch([pa.array([name] * len(names)), pa.array(names), pa.array(packed, pa.binary()), pa.array(counts, pa.binary())], names=["lang", "bucket", "phrases", "counts"])
 
     return run
 
