@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairlead.llm import collocations, decontaminate, exact_dedup, language_id, ngram_join, packing, pii, quality, secrets, spelling, token_store, url_filter
+from fairlead.llm import collocations, decontaminate, exact_dedup, language_id, ngram_join, packing, pii, quality, secrets, spelling, token_store, toxicity, url_filter
 from fairlead.llm.common import in_fold, materialize, remove, scratch_path, table
 
 
@@ -87,6 +87,12 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group(table(spark, sf_dir, "documents"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (~in_fold(F.col("doc_id"))).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_pii": op2_pii,
@@ -100,4 +106,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_ids": op10_token_ids,
     "op11_collocations": op11_collocations,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_toxicity": op13_toxicity,
 }

@@ -29,7 +29,6 @@ def encoded(texts):
     from fairlead.llm.tokens import default_tokenizer
 
     model = Tokenizer.from_file(default_tokenizer())
-    model.encode_special_tokens = True
     return {i: [*e.ids, 2] for (i, _, _), e in zip(texts, model.encode_batch([t or "" for _, t, _ in texts], add_special_tokens=False), strict=True)}
 
 
@@ -104,3 +103,14 @@ def test_op12_against_brute_force(spark):
     got = {r["word"]: (r["n"], r["n_near"], r["form"], r["form_n"], r["root"]) for r in QUERIES["op12_spelling_variants"](spark, sf).collect()}
     assert got == spelling_variants(rows)
     assert any(v[2] for v in got.values())
+
+
+def test_op13_separates_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = {r["doc_id"]: r for r in QUERIES["op13_toxicity"](spark, sf).collect()}
+    labels = dict(duckdb.sql(f"SELECT doc_id, toxic FROM '{sf}/labels.parquet'").fetchall())
+    assert len(rows) == duckdb.sql(f"SELECT count(*) FROM '{sf}/documents.parquet'").fetchone()[0]
+    assert all(r["held_out"] == (not crc_fold(i)) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for i, r in rows.items())
+    bad = [rows[i]["predicted"] for i, t in labels.items() if rows[i]["held_out"] and t == 1]
+    fine = [rows[i]["predicted"] for i, t in labels.items() if rows[i]["held_out"] and t == 0]
+    assert sum(bad) / len(bad) > 0.7 and sum(fine) / len(fine) < 0.05

@@ -1,18 +1,20 @@
 """Operators on awkward rows, planted cases and parts of their methods."""
 
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fairlead.llm import decontaminate, exact_dedup, language_id, ngram_join, packing, pii, quality, secrets, token_store, url_filter
+from fairlead.llm import collocations, decontaminate, exact_dedup, language_id, ngram_join, packing, pii, quality, secrets, spelling, token_store, toxicity, url_filter
 from fairlead.llm.common import Words, char_class, crc_fold, in_fold, scratch_path, text_buffers
 from fairlead.llm.components import components
 from fairlead.llm.fm_index import Bits, FMIndex, WaveletMatrix, suffix_array
 from fairlead.llm.tokens import Encoder, default_tokenizer
-from support import AWKWARD, LONG, SCHEMA, docs, near_components
+from support import AWKWARD, LONG, LOWER, SCHEMA, docs, near_components, spelling_variants
 
 
 @pytest.fixture(scope="module")
@@ -540,3 +542,150 @@ def test_words_of_texts():
     assert np.diff(words.offsets).tolist()[:5] == [0, 2, 1, 0, 2]
     raw = data.tobytes()
     assert raw[words.start[0] : words.end[0]] == b"Ab" and Words(*text_buffers(pa.array(["aB"])), char_class("alnum")).hash[0] == words.hash[0]
+
+
+# --- collocations
+
+
+def _phrases(texts, depth=3):
+    found = Counter()
+    for text in texts:
+        for piece in re.split("[.,;:!?\x0a-\x0d]", (text or "").translate(LOWER)):
+            words = re.findall("[^\x20\x09]+", piece)
+            for d in range(1, depth + 1):
+                found.update(" ".join(words[i : i + d]) for i in range(len(words) - d + 1))
+    return found
+
+
+def test_automaton_has_the_phrases_and_links_of_its_pieces():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["a ", "b ", "C ", "a\t ", "é ", ". ", "rare%d " % rng.randint(0, 99), "", "\n", "ab "]) for _ in range(rng.randint(0, 40))) for _ in range(150)]
+    pieces = collocations.Pieces(*text_buffers(pa.array([*texts, None, ""])))
+    states = collocations.Automaton(pieces.ids, pieces.before)
+    end, words, count = states.phrases()
+    text, length = pieces.phrases(end, words)
+    assert Counter(dict(zip(bytes(text).decode().split("\n")[:-1], count.tolist(), strict=True))) == _phrases(texts)
+    linked = states.link >= 0
+    assert len(states.end) < len(end) and (states.shortest[~linked] == 1).all()
+    assert (states.count[states.link[linked]] > states.count[linked]).all() and (states.longest[states.link[linked]] + 1 == states.shortest[linked]).all()
+    # a state's phrases end where its link's do
+    for k in np.flatnonzero(linked)[:200]:
+        up = states.link[k]
+        at, n = states.end[k], states.longest[up]
+        assert (pieces.ids[at - n + 1 : at + 1] == pieces.ids[states.end[up] - n + 1 : states.end[up] + 1]).all()
+
+
+def test_collocations_do_not_depend_on_shards(spark):
+    texts = [(k, "new york city is in new york. new york city hall, " * (1 + k % 3)) for k in range(12)]
+    frame = docs(spark, texts).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en"))
+    small = collocations.counts(frame, shard_bytes=100, least=3)
+    whole = collocations.counts(frame, least=3)
+    rows = lambda f: Counter((r["lang"], r["words"], r["phrase"], r["f"]) for r in f.where("words > 0").collect())
+    assert rows(small) == rows(whole) and whole.where("lang = 'und'").count() > 0
+    want = _phrases([t for k, t in texts if k % 2 == 0])
+    got = {r["phrase"]: r["f"] for r in whole.where("lang = 'en' and words > 0").collect()}
+    assert got == {p: n for p, n in want.items() if n >= 3}
+
+
+def test_scores_are_exact_beyond_64_bits(spark):
+    cases = [(10, 10, 10), (3 * 10**12, 4 * 10**12 + 7, 5 * 10**12 + 11), (9 * 10**14 + 1, 9 * 10**14 + 2, 9 * 10**14 + 3), (10, 10**9, 10**9)]
+    frame = spark.createDataFrame(cases, "a long, l long, r long")
+    got = [r[0] for r in frame.select(collocations.score(F.col("a"), F.col("l"), F.col("r"))).collect()]
+    assert got == [1_000_000 * a * a // (left * right) for a, left, right in cases]
+
+
+def test_collocations_drop_what_longer_ones_hold(spark):
+    frame = docs(spark, [(k, "aa bb cc. " + ("aa bb. " if k < 3 else "") + "dd ee. " * (k % 2) + "dd ee ff. " * (k % 4 == 0)) for k in range(40)]).withColumn("lang", F.lit("xx"))
+    rows = {r["phrase"]: r for r in collocations.mine(frame).collect()}
+    assert {p: r["a"] for p, r in rows.items()} == {"aa bb cc": 40, "dd ee ff": 10, "dd ee": 30}
+    assert rows["dd ee"]["score"] == 1_000_000 and rows["aa bb cc"]["l"] == 43 and rows["aa bb cc"]["r"] == 40
+    assert sorted(r["rank"] for r in rows.values()) == [1, 2, 3]
+
+
+def test_collocations_awkward(awkward, empty):
+    assert collocations.mine(awkward, least=2).count() > 0
+    assert collocations.mine(empty).count() == 0
+
+
+# --- spelling variants
+
+
+def _edit(x, y):
+    x, y = sorted((x, y), key=len)
+    if len(x) == len(y):
+        return sum(a != b for a, b in zip(x, y, strict=True)) == 1
+    return len(y) == len(x) + 1 and any(y[:i] + y[i + 1 :] == x for i in range(len(y)))
+
+
+@pytest.mark.parametrize("largest", [4096, 3])
+def test_near_words_against_all_pairs(spark, largest):
+    rng = random.Random(largest)
+    words = sorted({"".join(rng.choice("abcé") for _ in range(rng.randint(1, 8))) for _ in range(250)} | {"x" * 300, "x" * 301, "x" * 299 + "y"})
+    frame = spark.createDataFrame([(w, 2) for w in words], "word string, n long")
+    got = [tuple(sorted(r)) for r in spelling.near_words(frame, largest=largest).collect()]
+    want = {tuple(sorted((a, b))) for i, a in enumerate(words) for b in words[:i] if _edit(a, b)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_forms_are_followed_to_the_root(spark):
+    counts = {"mississippi": 3000, "mississipp": 200, "missisipp": 15, "alphabet": 5, "alphabets": 50, "alphabeta": 50, "lonesome": 2}
+    frame = docs(spark, [(k, (w + " ") * n) for k, (w, n) in enumerate(counts.items(), 1)])
+    rows = {r["word"]: r for r in spelling.group(frame).collect()}
+    want = spelling_variants([(k, (w + " ") * n) for k, (w, n) in enumerate(counts.items(), 1)])
+    assert {w: (r["n"], r["n_near"], r["form"], r["form_n"], r["root"]) for w, r in rows.items()} == want
+    assert rows["missisipp"]["form"] == "mississipp" and rows["missisipp"]["root"] == "mississippi"
+    assert rows["alphabet"]["form"] == "alphabeta" and rows["lonesome"]["root"] == "lonesome" and rows["lonesome"]["n_near"] == 0
+
+
+def test_spelling_awkward(awkward, empty):
+    got = {r["word"]: (r["n"], r["n_near"], r["form"], r["form_n"], r["root"]) for r in spelling.group(awkward).collect()}
+    assert got == spelling_variants(AWKWARD)
+    assert spelling.group(empty).count() == 0
+
+
+# --- toxicity
+
+
+def test_subwords_of_words():
+    rows, first = toxicity.subwords(["ab", "abc", "ab", "é"])
+    parts = [rows[a:b].tolist() for a, b in zip(first, [*first[1:], len(rows)], strict=True)]
+    assert parts[0] == parts[2] and [len(p) for p in parts] == [3, 6, 3, 1]
+    assert set(parts[0]) & set(parts[1])
+
+
+def test_windows_cover_all_words():
+    counts = np.array([0, 1, 15, 16, 17, 24, 25, 100])
+    begin, end, text = toxicity._windows(counts)
+    base = np.cumsum(counts) - counts
+    for k, n in enumerate(counts):
+        own = text == k
+        assert set(x for a, b in zip(begin[own], end[own], strict=True) for x in range(a, b)) == set(range(base[k], base[k] + n))
+        assert ((end - begin)[own] <= toxicity.WINDOW).all()
+
+
+def test_toxicity_finds_unseen_misspellings_in_long_texts():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(["ta", "ri", "no", "bel", "um", "sha"]) for _ in range(rng.randint(1, 4)))
+    prose = lambda n: [word() for _ in range(n)]
+    foul = ["dreckwurm", "dreckwurmer", "grobzak", "grobzaks"]
+    texts, labels = [], []
+    for k in range(1000):
+        words = prose(rng.randint(20, 120))
+        if k % 4 == 0:
+            words.insert(rng.randint(0, len(words)), rng.choice(foul))
+        texts.append(" ".join(words))
+        labels.append(int(k % 4 == 0))
+    scorer = toxicity.fit(texts, np.array(labels), 0.25).scorer()
+    fresh = [" ".join(prose(300)) for _ in range(40)]
+    bad = [t + " drekwurm " + t for t in fresh[:10]] + [t + " GROBZAKK, " + t for t in fresh[10:20]]
+    score = lambda some: scorer.score(*text_buffers(pa.array(some)))
+    assert (score(bad) >= toxicity.THRESHOLD).mean() >= 0.9 and (score(fresh) >= toxicity.THRESHOLD).mean() <= 0.1
+
+
+def test_toxicity_awkward(spark, awkward, empty):
+    labels = spark.createDataFrame([(4, 1), (5, 0), (5, 0), (7, None), (None, 1), (9, 0)], "doc_id long, toxic int")
+    for known in (labels, labels.limit(0)):
+        rows = toxicity.score(awkward, toxicity.learn(awkward, known)).collect()
+        assert len(rows) == len(AWKWARD) and all(0 <= r["score"] <= 1 for r in rows)
+        assert len({r["score"] for r in rows if r["doc_id"] in (1, 2, 3)}) == 1
+    assert toxicity.score(empty, toxicity.learn(empty, labels)).count() == 0
