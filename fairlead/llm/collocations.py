@@ -46,7 +46,9 @@ SHARD_BYTES = 4 << 20
 #: Phrases of a shard whose texts are made at once.
 CHUNK = 1 << 17
 #: Bytes of stored input for a bucket of phrases, and buckets at least.
-BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 64
+BUCKET_BYTES, LEAST_BUCKETS = 2 << 20, 64
+#: Phrases that a merge holds before it adds up what repeats.
+MERGED_ROWS = 500_000
 #: Level-one partitions of a language in the ranking.
 SPREAD = 64
 
@@ -213,7 +215,7 @@ def _merged(least: int):
             edge = np.concatenate([[0], np.flatnonzero(data == 0x0A) + 1]).astype(np.int64)
             more = pa.table({"phrase": pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(edge), pa.py_buffer(data)]), "f": n})
             sums = more if sums is None else pa.concat_tables([sums, more])
-            if sums.num_rows > 2_000_000:
+            if sums.num_rows > MERGED_ROWS:
                 sums = _summed(sums)
         sums = _summed(sums)
         spaces = pc.count_substring(sums.column("phrase"), " ")
