@@ -1,7 +1,9 @@
 """The event store's three tables (events, behaviours, tracking points) from what the analyses found.
 
-Every part is keyed by (event_type, primary, start_ms), which one event has alone;
-ids are given over all types at the end.  A point's certainty is that of its
+Every part is keyed by (event_type, primary, start_ms), which one event has alone and
+from which its id is made, so tables need no ranking and no join for ids.  The few
+rows of an analysis that events are made of are written once, and the three tables
+are derived from them: an analysis runs once.  A point's certainty is that of its
 verdict for statistical events; for the others it is RAISED where the event
 began, and UNDEFINED later and before.
 """
@@ -10,12 +12,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairlead.functions import formats, vessel
 from fairlead.operators import events
 from fairlead.operators.hysteresis import with_state
+from fairlead.sources.scratch import written
 
 KEY = ("event_type", "primary", "start_ms")
 EVENTS = (*KEY, "end_ms", "state", "title", "description")
@@ -58,11 +61,24 @@ def _behaviours(found: DataFrame) -> DataFrame:
     )
 
 
+def eventful(states: DataFrame) -> DataFrame:
+    """The rows that events are made of: raised ones, those that lower, and those shortly before a statistical event."""
+    keep = F.col("raised") | F.coalesce(F.col("transition") == "LOWER", F.lit(False))
+    if "certainty" not in states.columns:
+        return states.where(keep)
+    # the next raising row of the track, seen from its end
+    later = Window.partitionBy("mmsi", "epoch").orderBy(F.desc("ts_ms"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.last(F.when(F.col("transition") == "RAISE", F.col("ts_ms")), ignorenulls=True).over(later)
+    rows = states.withColumn("_ahead", ahead)
+    return rows.where(keep | F.coalesce(F.col("_ahead") - F.col("ts_ms") <= HISTORY_MS, F.lit(False))).drop("_ahead")
+
+
 def of_states(states: DataFrame, event_type: str) -> Tables:
     """Events of the statistical analyses and of drifting, from rows with their state.
 
     Undecided reports before a statistical event are its history; drifting, which has no certainty, has none.
     """
+    states = written(eventful(states), event_type)
     found = events.described(events.intervals(states, event_type)).withColumn("primary", F.col("mmsi"))
     rows = events.numbered(states)
     certain = "certainty" in states.columns
@@ -78,6 +94,8 @@ def of_states(states: DataFrame, event_type: str) -> Tables:
 
 def of_speed_changes(found: DataFrame) -> Tables:
     """Sudden speed changes: past events with the two reports between which the speed dropped."""
+    first = F.min_by(F.struct(*found.columns), F.struct("fired_ms", "end_ms")).alias("first")  # what slowed down from one report is one event
+    found = written(found.groupBy("mmsi", "start_ms").agg(first).select("first.*"), events.SPEED_CHANGE)
     rows = events.described_speed_changes(found).withColumn("event_type", F.lit(events.SPEED_CHANGE)).withColumn("primary", F.col("mmsi")).withColumn("state", F.lit("PAST"))
     behaviours = rows.select(*KEY, "mmsi", F.lit(True).alias("is_primary"), "imo", vessel.name_or_mmsi(F.col("name"), F.col("mmsi")).alias("name"), "callsign", "ship_type", vessel.vessel_length(F.col("to_bow"), F.col("to_stern")).alias("length"))
     end = lambda ms, k: F.struct(F.col(ms).alias("ts_ms"), *[F.col(f"{c}{k}").alias(c) for c in ("lat", "lon", "sog", "cog", "hdg")])
@@ -88,7 +106,7 @@ def of_speed_changes(found: DataFrame) -> Tables:
 
 def of_encounters(runs: DataFrame, reports: DataFrame) -> Tables:
     """Close encounters: two vessels, their reports when it was raised, the first one's later ones, and both histories."""
-    states = with_state(events.encounter_states(runs), 1, 1)
+    states = written(with_state(events.encounter_states(runs), 1, 1).where("transition is not null"), events.ENCOUNTER)
     found = events.encounters_of(states).withColumn("primary", F.col("mmsi"))
     sides = F.array(*[F.struct(F.lit(s == "a").alias("is_primary"), *[F.col(f"pair.{s}_{c}").alias(c) for c in SIDE]) for s in ("a", "b")])
     parts = found.select(*KEY, F.explode(sides).alias("s")).select(*KEY, "s.*")
@@ -118,12 +136,11 @@ def combined(parts: list[Tables]) -> Tables:
             out = out.unionByName(frame, allowMissingColumns=True)
         return out
 
-    rows = all_of([p.events for p in parts]).withColumnRenamed("primary", "mmsi")
-    rows = events.with_ids(rows).withColumnRenamed("mmsi", "primary")
-    ids = rows.select("event_id", *KEY)
+    number = events.event_id(F.col("event_type"), F.col("primary"), F.col("start_ms")).alias("event_id")
     time = lambda ms: formats.from_millis(F.col(ms))
+    rows = all_of([p.events for p in parts])
     zones = [c for c in ("safety_zone", "secondary_extent") if c in rows.columns]
-    table = rows.select("event_id", "event_type", "state", time("start_ms").alias("start_time"), time("end_ms").alias("end_time"), F.lit(False).alias("suppressed"), "title", "description", *zones)
-    behaviours = all_of([p.behaviours for p in parts]).join(ids, list(KEY)).select("event_id", *BEHAVIOURS[3:])
-    points = all_of([p.points for p in parts]).join(ids, list(KEY)).select("event_id", "mmsi", time("ts_ms").alias("ts"), *POINTS[5:])
+    table = rows.select(number, "event_type", "state", time("start_ms").alias("start_time"), time("end_ms").alias("end_time"), F.lit(False).alias("suppressed"), "title", "description", *zones)
+    behaviours = all_of([p.behaviours for p in parts]).select(number, *BEHAVIOURS[3:])
+    points = all_of([p.points for p in parts]).select(number, "mmsi", time("ts_ms").alias("ts"), *POINTS[5:])
     return Tables(table, behaviours, points)

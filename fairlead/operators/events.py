@@ -43,18 +43,22 @@ def intervals(states: DataFrame, event_type: str) -> DataFrame:
     )
 
 
+def event_id(event_type: Column, mmsi: Column, start_ms: Column) -> Column:
+    """The number that an event keeps in every run: 63 bits of a digest of its type, primary vessel and start."""
+    key = F.concat_ws(":", event_type, mmsi.cast("string"), start_ms.cast("string"))
+    high = F.conv(F.substring(F.md5(key.cast("binary")), 1, 16), 16, 10).cast("decimal(20,0)")
+    return (high % F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("long")
+
+
 def with_ids(events: DataFrame) -> DataFrame:
-    """event_id by start, type and vessel: the same events get the same ids again.
+    """event_id by content: no ranking, and the same event has the same id whatever else a run finds."""
+    return events.select(event_id(F.col("event_type"), F.col("mmsi"), F.col("start_ms")).alias("event_id"), *events.columns)
 
-    Events are ranked inside days, and days by their counts, so no single task sorts them all.
-    """
-    day = F.floor(F.col("start_ms") / 86_400_000)
-    rows = events.withColumn("_day", day)
-    inside = F.row_number().over(Window.partitionBy("_day").orderBy("start_ms", "event_type", "mmsi"))
-    days = rows.groupBy("_day").agg(F.count(F.lit(1)).alias("_n"))
-    base = F.sum("_n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1))
-    days = days.select("_day", F.coalesce(base, F.lit(0)).alias("_base"))
-    return rows.withColumn("_k", inside).join(days, "_day").select((F.col("_base") + F.col("_k")).cast("long").alias("event_id"), *events.columns)
+
+def collisions(events: DataFrame) -> DataFrame:
+    """Ids that stand for more than one event; none is to be expected below some hundred million events."""
+    kinds = events.groupBy("event_id").agg(F.count_distinct("event_type", "start_time").alias("n"), F.count(F.lit(1)).alias("rows"))
+    return kinds.where("n > 1").select("event_id", "n")
 
 
 def points(states: DataFrame, event_type: str) -> DataFrame:

@@ -410,12 +410,17 @@ def ana_sudden_speed_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detected(spark: SparkSession, sf_dir: str) -> event_tables.Tables:
-    """The event store's tables over three analyses."""
-    rows = reports(spark, sf_dir)
-    speed = event_tables.of_states(states(spark, sf_dir), events.SPEED)
-    drifting = event_tables.of_states(analyses.drift(rows, Drift(period_minutes=5, metres=30.0)), events.DRIFT)
-    sudden = event_tables.of_speed_changes(analyses.sudden_speed_changes(rows, SuddenSpeedChange()))
-    return event_tables.combined([speed, drifting, sudden])
+    """The event store's tables over all six types of event."""
+    rows, fleet = reports(spark, sf_dir), sample.fleet_reports(spark, sf_dir)
+    moved, learned = changes(spark, sf_dir), stats(spark, sf_dir)
+    parts = [
+        event_tables.of_states(hysteresis.with_state(analyses.verdicts(moved, learned, statistic, LEARNED)), kind)
+        for statistic, kind in ((SPEED, events.SPEED), (COURSE, events.COURSE), (TYPE_SIZE, events.TYPE_SIZE))
+    ]
+    parts.append(event_tables.of_states(analyses.drift(rows, Drift(period_minutes=5, metres=30.0)), events.DRIFT))
+    parts.append(event_tables.of_speed_changes(analyses.sudden_speed_changes(rows, SuddenSpeedChange())))
+    parts.append(event_tables.of_encounters(analyses.encounter_runs(fleet, ENCOUNTER), fleet))
+    return event_tables.combined(parts)
 
 
 def _millis(column: str):

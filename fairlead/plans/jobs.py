@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from fairlead.config import Settings
 from fairlead.functions.geo import Grid
 from fairlead.operators import analyses, event_tables, events, filters, hysteresis, pairs, search, statistics, tracks
 from fairlead.operators.statistics import COURSE, SPEED, TYPE_SIZE
-from fairlead.sources import nmea, statistics_store
+from fairlead.sources import event_files, nmea, relational, statistics_store
 
 
 def tracked(positions: DataFrame, statics: DataFrame, settings: Settings) -> DataFrame:
@@ -90,3 +91,18 @@ def detect(reports: DataFrame, stats: DataFrame, settings: Settings) -> Detected
         flow = pairs.throttled(analyses.free_flow(reports, settings.free_flow), settings.free_flow.report_minutes * 60_000)
     tables = event_tables.combined(found) if found else None
     return Detected(tables and tables.events, tables and tables.behaviours, tables and tables.points, flow)
+
+
+def store(found: Detected, values: Mapping[str, str], merge: bool = False) -> None:
+    """Put what a run detected where its settings file says: events in the relational store or as CSV, pairs as CSV.
+
+    The CSV file gets past events only, as its format has no others, and every run's below a folder of its own rows.
+    """
+    if found.events is not None:
+        address = relational.url_of(values)
+        if address is None:
+            event_files.write_csv(event_files.event_rows(found.events, found.behaviours, found.points), values["events.csv.file"])
+        else:
+            relational.save(event_tables.Tables(found.events, found.behaviours, found.points), *address, merge=merge)
+    if found.flow is not None:
+        event_files.write_csv(event_files.free_flow_rows(found.flow), values["analysis.freeflow.csvfile"])

@@ -212,7 +212,7 @@ verdicts AS (SELECT *, coalesce(total > 4 AND CAST(own AS FLOAT) / CAST(total AS
 for _name, _which, _over in (("ana_type_size", _T, False), ("ana_course", _C, False), ("ana_course_aggregated", _C, True), ("ana_speed", _S, False), ("ana_speed_aggregated", _S, True)):
     _add(_name, _STATS + _verdicts(_which, _over), "SELECT mmsi, ts_ms, cell_id, total, own, abnormal FROM verdicts")
 
-_STATES = _STATS + _verdicts(_S) + """,
+_STATE_STEPS = """,
 turns AS (SELECT *, CASE WHEN abnormal <> lag(abnormal) OVER (PARTITION BY mmsi, epoch ORDER BY ts_ms, seq) THEN 1 ELSE 0 END AS turn FROM verdicts),
 islands AS (SELECT *, sum(turn) OVER (PARTITION BY mmsi, epoch ORDER BY ts_ms, seq ROWS UNBOUNDED PRECEDING) AS island FROM turns),
 runs AS (SELECT *, CAST(row_number() OVER (PARTITION BY mmsi, epoch, island ORDER BY ts_ms, seq) AS INTEGER) AS run FROM islands),
@@ -231,11 +231,19 @@ spans AS (
 intervals AS (
   SELECT *, coalesce(lowered, CASE WHEN epoch < max(epoch) OVER (PARTITION BY mmsi) THEN last_ms END) AS end_ms FROM spans
 )"""
+_STATES = _STATS + _verdicts(_S) + _STATE_STEPS
+
+
+def _id(event_type: str) -> str:
+    """SQL for an event's number, by its digest."""
+    return f"CAST(CAST('0x' || substr(md5({event_type} || ':' || mmsi || ':' || start_ms), 1, 16) AS UBIGINT) % 9223372036854775808 AS BIGINT)"
+
+
 _add("hysteresis_state", _STATES, "SELECT mmsi, epoch, ts_ms, abnormal, run, raised FROM states")
 _add("hysteresis_transitions", _STATES, "SELECT mmsi, epoch, ts_ms, transition FROM states WHERE transition IS NOT NULL")
 _add("event_certainty", _STATES, "SELECT mmsi, epoch, ts_ms, certainty, ['UNDEFINED', 'LOWERED', 'UNCERTAIN', 'RAISED'][certainty + 1] AS label FROM states")
-_add("event_intervals", _STATES, """
-SELECT row_number() OVER (ORDER BY start_ms, mmsi) AS event_id, 'SpeedOverGroundEvent' AS event_type, mmsi, epoch, start_ms, end_ms,
+_add("event_intervals", _STATES, f"""
+SELECT {_id("'SpeedOverGroundEvent'")} AS event_id, 'SpeedOverGroundEvent' AS event_type, mmsi, epoch, start_ms, end_ms,
   CASE WHEN end_ms IS NULL THEN 'ONGOING' ELSE 'PAST' END AS state, n_points FROM intervals""")
 _add("event_points", _STATES, "SELECT 'SpeedOverGroundEvent' AS event_type, mmsi, epoch, interval, ts_ms, lat, lon, certainty FROM numbered WHERE interval > 0 AND raised")
 _add("event_previous_points", _STATES, """
@@ -556,28 +564,56 @@ ORACLES["date_parameters"] = "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN d
 _add("sentences", _STORE, """SELECT count(*) AS n, event_type, CASE event_type WHEN 'CloseEncounterEvent' THEN 'Close encounter event' WHEN 'CourseOverGroundEvent' THEN 'Course over ground event' WHEN 'DriftEvent' THEN 'Drift event'
   WHEN 'ShipSizeOrTypeEvent' THEN 'Ship size or type event' WHEN 'SpeedOverGroundEvent' THEN 'Speed over ground event' ELSE 'Sudden speed change event' END AS words FROM stored GROUP BY event_type""")
 
-_DRIFT_ROWS = f"""
-drift AS (SELECT *, sum(CASE WHEN transition = 'RAISE' THEN 1 ELSE 0 END) OVER (PARTITION BY mmsi, epoch ORDER BY ts_ms ROWS UNBOUNDED PRECEDING) AS k FROM ({ORACLES['ana_drift']})),
-drift_spans AS (
-  SELECT mmsi, epoch, k, min(ts_ms) FILTER (transition = 'RAISE') AS start_ms, min(ts_ms) FILTER (transition = 'LOWER') AS lowered, max(ts_ms) AS last_ms
-  FROM drift WHERE k > 0 AND (raised OR transition = 'LOWER') GROUP BY mmsi, epoch, k
+_SPAN = """min(ts_ms) FILTER (transition = 'RAISE') AS start_ms, min(ts_ms) FILTER (transition = 'LOWER') AS lowered, max(ts_ms) AS last_ms"""
+
+
+def _statistical(which: str, event_type: str, name: str) -> str:
+    """Rows of a statistical analysis with their state, and its events."""
+    query = f"WITH {(_STATS + _verdicts(which) + _STATE_STEPS).lstrip().lstrip(',')}\nSELECT mmsi, epoch, interval, ts_ms, raised, transition, certainty FROM numbered"
+    return f"""
+{name}_rows AS MATERIALIZED ({query}),
+{name}_spans AS (SELECT mmsi, epoch, interval, {_SPAN} FROM {name}_rows WHERE interval > 0 AND (raised OR transition = 'LOWER') GROUP BY ALL),
+{name}_events AS (SELECT *, '{event_type}' AS event_type, coalesce(lowered, CASE WHEN epoch < max(epoch) OVER (PARTITION BY mmsi) THEN last_ms END) AS end_ms FROM {name}_spans),
+{name}_points AS (
+  SELECT e.event_type, e.mmsi AS "primary", e.start_ms, r.mmsi, r.ts_ms, r.certainty FROM {name}_rows r JOIN {name}_events e USING (mmsi, epoch, interval) WHERE r.raised
+  UNION ALL SELECT e.event_type, e.mmsi, e.start_ms, r.mmsi, r.ts_ms, r.certainty FROM {name}_events e JOIN {name}_rows r ON r.mmsi = e.mmsi AND r.epoch = e.epoch AND r.ts_ms < e.start_ms AND r.ts_ms >= e.start_ms - 1800000
+)"""
+
+
+_LEARNED_KINDS = {"speed": (_S, "SpeedOverGroundEvent"), "course": (_C, "CourseOverGroundEvent"), "size": (_T, "ShipSizeOrTypeEvent")}
+_VESSEL = f"CAST({_TYPES}[(mmsi - 219000000) % 12 + 1] AS INTEGER) AS ship_type, CAST(10 + (mmsi - 219000000) * 37 % 150 + (mmsi - 219000000) * 53 % 120 AS INTEGER) AS length"
+_MEETINGS = f"""
+met AS MATERIALIZED (WITH {_MET.lstrip().lstrip(',')} SELECT run_ms, a_mmsi, b_mmsi, meets, near_metres, a_ts_ms, b_ts_ms, a_ship_type, a_to_bow + a_to_stern AS a_length FROM met),
+met_runs AS (SELECT run_ms, a_mmsi AS mmsi, bool_or(meets) AS abnormal, min((near_metres, b_mmsi)) FILTER (meets) AS w, max(a_ts_ms) AS a_ts_ms FROM met GROUP BY run_ms, a_mmsi),
+met_was AS (SELECT *, coalesce(lag(abnormal) OVER (PARTITION BY mmsi ORDER BY run_ms), false) AS before FROM met_runs),
+met_rows AS (SELECT *, sum(CASE WHEN abnormal AND NOT before THEN 1 ELSE 0 END) OVER (PARTITION BY mmsi ORDER BY run_ms ROWS UNBOUNDED PRECEDING) AS k FROM met_was),
+met_spans AS (
+  SELECT mmsi, k, min(run_ms) FILTER (abnormal) AS start_ms, min(run_ms) FILTER (before AND NOT abnormal) AS end_ms, arg_min(w, run_ms) FILTER (abnormal) AS w FROM met_rows WHERE k > 0 AND (abnormal OR before) GROUP BY mmsi, k
 ),
-drift_events AS (SELECT *, coalesce(lowered, CASE WHEN epoch < max(epoch) OVER (PARTITION BY mmsi) THEN last_ms END) AS end_ms FROM drift_spans),
-speed_events AS (SELECT mmsi, epoch, start_ms, end_ms FROM ({ORACLES['event_intervals']})),
-found AS (
-  SELECT 'DriftEvent' AS event_type, mmsi, start_ms, end_ms FROM drift_events UNION ALL SELECT 'SpeedOverGroundEvent', mmsi, start_ms, end_ms FROM speed_events
-  UNION ALL SELECT 'SuddenSpeedChangeEvent', mmsi, start_ms, end_ms FROM ({ORACLES['ana_sudden_speed_change']})
+met_events AS (
+  SELECT 'CloseEncounterEvent' AS event_type, f.mmsi, f.k, f.start_ms, f.end_ms, m.b_mmsi, m.a_ts_ms, m.b_ts_ms, m.a_ship_type AS ship_type, m.a_length AS length
+  FROM met_spans f JOIN met m ON m.run_ms = f.start_ms AND m.a_mmsi = f.mmsi AND m.b_mmsi = f.w[2]
 ),
-numbered AS (SELECT row_number() OVER (ORDER BY start_ms, event_type, mmsi) AS event_id, * FROM found)"""
-ORACLES["detect_events"] = f"""WITH {_DRIFT_ROWS}
-SELECT event_id, event_type, CASE WHEN end_ms IS NULL THEN 'ONGOING' ELSE 'PAST' END AS state, start_ms, end_ms, mmsi,
-  CAST({_TYPES}[(mmsi - 219000000) % 12 + 1] AS INTEGER) AS ship_type, CAST(10 + (mmsi - 219000000) * 37 % 150 + (mmsi - 219000000) * 53 % 120 AS INTEGER) AS length FROM numbered"""
-ORACLES["detect_points"] = f"""WITH {_DRIFT_ROWS},
-decided AS (SELECT s.mmsi, s.epoch, s.ts_ms, s.raised, c.certainty FROM ({ORACLES['hysteresis_state']}) s JOIN ({ORACLES['event_certainty']}) c USING (mmsi, epoch, ts_ms)),
-placed AS (
-  SELECT 'SpeedOverGroundEvent' AS event_type, d.mmsi, e.start_ms, d.ts_ms, d.certainty FROM decided d ASOF JOIN speed_events e ON d.mmsi = e.mmsi AND d.epoch = e.epoch AND d.ts_ms >= e.start_ms WHERE d.raised
-  UNION ALL SELECT 'SpeedOverGroundEvent', e.mmsi, e.start_ms, d.ts_ms, d.certainty FROM speed_events e JOIN decided d ON d.mmsi = e.mmsi AND d.epoch = e.epoch AND d.ts_ms < e.start_ms AND d.ts_ms >= e.start_ms - 1800000
-  UNION ALL SELECT 'DriftEvent', d.mmsi, e.start_ms, d.ts_ms, CASE WHEN d.transition = 'RAISE' THEN 3 ELSE 0 END FROM drift d JOIN drift_events e USING (mmsi, epoch, k) WHERE d.transition IN ('RAISE', 'MAINTAIN')
-  UNION ALL SELECT event_type, mmsi, start_ms, unnest([start_ms, end_ms]), 3 FROM numbered WHERE event_type = 'SuddenSpeedChangeEvent'
-)
-SELECT n.event_id, p.mmsi, p.ts_ms, CAST(p.certainty AS INTEGER) AS certainty FROM placed p JOIN numbered n ON n.event_type = p.event_type AND n.mmsi = p.mmsi AND n.start_ms = p.start_ms"""
+met_sides AS (SELECT event_type, mmsi AS "primary", start_ms, mmsi, a_ts_ms AS ts_ms FROM met_events UNION ALL SELECT event_type, mmsi, start_ms, b_mmsi, b_ts_ms FROM met_events),
+fleet AS (WITH {_FLEET.lstrip().lstrip(',')} SELECT mmsi, ts_ms FROM reports),
+met_points AS (
+  SELECT event_type, "primary", start_ms, mmsi, ts_ms, max(certainty) AS certainty FROM (
+    SELECT *, 3 AS certainty FROM met_sides
+    UNION ALL SELECT e.event_type, e.mmsi, e.start_ms, r.mmsi, r.a_ts_ms, 0 FROM met_rows r JOIN met_events e USING (mmsi, k) WHERE r.abnormal AND r.before
+    UNION ALL SELECT s.event_type, s."primary", s.start_ms, f.mmsi, f.ts_ms, 0 FROM met_sides s JOIN fleet f ON f.mmsi = s.mmsi AND f.ts_ms < s.ts_ms AND f.ts_ms >= s.ts_ms - 1800000
+  ) GROUP BY ALL
+)"""
+_DETECTED = ",".join(_statistical(which, kind, name) for name, (which, kind) in _LEARNED_KINDS.items()) + f""",
+drift AS MATERIALIZED (SELECT *, sum(CASE WHEN transition = 'RAISE' THEN 1 ELSE 0 END) OVER (PARTITION BY mmsi, epoch ORDER BY ts_ms ROWS UNBOUNDED PRECEDING) AS k FROM ({ORACLES['ana_drift']})),
+drift_spans AS (SELECT mmsi, epoch, k, {_SPAN} FROM drift WHERE k > 0 AND (raised OR transition = 'LOWER') GROUP BY mmsi, epoch, k),
+drift_events AS (SELECT *, 'DriftEvent' AS event_type, coalesce(lowered, CASE WHEN epoch < max(epoch) OVER (PARTITION BY mmsi) THEN last_ms END) AS end_ms FROM drift_spans),
+drift_points AS (SELECT e.event_type, e.mmsi AS "primary", e.start_ms, d.mmsi, d.ts_ms, CASE WHEN d.transition = 'RAISE' THEN 3 ELSE 0 END AS certainty FROM drift d JOIN drift_events e USING (mmsi, epoch, k) WHERE d.transition IN ('RAISE', 'MAINTAIN')),
+sudden_events AS (SELECT 'SuddenSpeedChangeEvent' AS event_type, * FROM ({ORACLES['ana_sudden_speed_change']}) QUALIFY row_number() OVER (PARTITION BY mmsi, start_ms ORDER BY fired_ms, end_ms) = 1),
+sudden_points AS (SELECT event_type, mmsi AS "primary", start_ms, mmsi, unnest([start_ms, end_ms]) AS ts_ms, 3 AS certainty FROM sudden_events),""" + _MEETINGS
+ORACLES["detect_events"] = f"""WITH {_DETECTED}
+SELECT {_id('event_type')} AS event_id, event_type, CASE WHEN end_ms IS NULL THEN 'ONGOING' ELSE 'PAST' END AS state, start_ms, end_ms, mmsi, ship_type, length FROM (
+""" + " UNION ALL ".join(f"SELECT event_type, mmsi, start_ms, end_ms, {_VESSEL} FROM {name}_events" for name in (*_LEARNED_KINDS, "drift", "sudden")) + """
+UNION ALL SELECT event_type, mmsi, start_ms, end_ms, CAST(ship_type AS INTEGER), CAST(length AS INTEGER) FROM met_events)"""
+ORACLES["detect_points"] = f"""WITH {_DETECTED}
+SELECT {_id('event_type').replace('mmsi', '"primary"')} AS event_id, mmsi, ts_ms, CAST(certainty AS INTEGER) AS certainty FROM (
+""" + " UNION ALL ".join(f"SELECT * FROM {name}_points" for name in (*_LEARNED_KINDS, "drift", "sudden", "met")) + ")"

@@ -1,4 +1,4 @@
-"""Event sinks: past events as CSV rows, free-flow pairs as CSV rows, tables over JDBC or Parquet."""
+"""Event sinks: past events as CSV rows and free-flow pairs as CSV rows."""
 
 from __future__ import annotations
 
@@ -70,8 +70,3 @@ def free_flow_rows(pairs: DataFrame) -> DataFrame:
 def write_csv(rows: DataFrame, path: str, mode: str = "append") -> None:
     """Quoted where needed, quotes doubled."""
     rows.write.mode(mode).option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
-
-
-def write_jdbc(table: DataFrame, url: str, name: str, properties: dict[str, str], mode: str = "append") -> None:
-    """A table of the relational event store; the driver jar is the session's."""
-    table.write.jdbc(url, name, mode=mode, properties=properties)

@@ -2,7 +2,10 @@
 
 Rows travel from the executors into staging tables; one transaction of the
 database then replaces what has the same event id, so a failed job leaves the
-store as it was.  The driver jar is the session's.
+store as it was.  An event's id is made of its type, primary vessel and start, so
+runs over different times stand side by side and a run that is repeated changes
+nothing; an id that would stand for two events is refused.  The driver jar is the
+session's.
 """
 
 from __future__ import annotations
@@ -70,6 +73,15 @@ class _Session:
         finally:
             made.close()
 
+    def count(self, query: str) -> int:
+        made = self._open.createStatement()
+        try:
+            found = made.executeQuery(query)
+            found.next()
+            return int(found.getLong(1))
+        finally:
+            made.close()
+
     def has(self, table: str) -> bool:
         found = self._open.getMetaData().getTables(None, None, "%", None)
         names = set()
@@ -91,8 +103,16 @@ def _plain(rows: DataFrame, table: str) -> DataFrame:
     return rows.select(*[F.col(c).cast("timestamp") if t == "timestamp_ntz" else F.col(c) for c, t in rows.select(*columns(table)).dtypes])
 
 
-def save(tables: Tables, url: str, properties: Mapping[str, str]) -> None:
-    """Write events with their behaviours and points; what the store has of the same events is replaced."""
+#: What makes a row of each table one of its own.
+_KEYS = {"event": ("event_id",), "behaviour": ("event_id", "mmsi"), "tracking_point": ("event_id", "mmsi", "ts")}
+
+
+def save(tables: Tables, url: str, properties: Mapping[str, str], merge: bool = False) -> None:
+    """Write events with their behaviours and points; what the store has of the same events is replaced.
+
+    With ``merge``, behaviours and points of these events that are not written again stay: a run that goes on
+    with an event brings only its later points.
+    """
     spark = tables.events.sparkSession
     create(spark, url, properties)
     rows = {"event": tables.events, "behaviour": tables.behaviours, "tracking_point": tables.points}
@@ -103,9 +123,14 @@ def save(tables: Tables, url: str, properties: Mapping[str, str]) -> None:
                 session.run(f"CREATE TABLE staged_{table}_{run} ({SCHEMA[table].replace(' PRIMARY KEY', '')})")
             _plain(frame, table).write.jdbc(url, f"staged_{table}_{run}", mode="append", properties=dict(properties))
         with _Session(spark, url, properties) as session:
+            other = "s.event_type <> e.event_type OR s.start_time <> e.start_time"
+            inside = session.count(f"SELECT COUNT(*) FROM staged_event_{run} s, staged_event_{run} e WHERE s.event_id = e.event_id AND ({other})")
+            if inside or session.count(f"SELECT COUNT(*) FROM staged_event_{run} s, event e WHERE s.event_id = e.event_id AND ({other})"):
+                raise ValueError("one event id stands for different events; nothing was stored")
             for table in rows:
                 names = ", ".join(columns(table))
-                session.run(f"DELETE FROM {table} WHERE event_id IN (SELECT event_id FROM staged_event_{run})")
+                same = " AND ".join(f"s.{c} = {table}.{c}" for c in _KEYS[table]) if merge else f"s.event_id = {table}.event_id"
+                session.run(f"DELETE FROM {table} WHERE EXISTS (SELECT 1 FROM staged_{table if merge else 'event'}_{run} s WHERE {same})")
                 session.run(f"INSERT INTO {table} ({names}) SELECT {names} FROM staged_{table}_{run}")
     finally:
         with _Session(spark, url, properties) as session:

@@ -334,7 +334,9 @@ def test_pairs_at_all_latitudes(spark, metres):
 def test_store_event_ids_are_stable(spark, sf_dir):
     rows = events.intervals(catalog.states(spark, "/root/testdata/sf0.01"), events.SPEED)
     one, two = (events.with_ids(rows).select("event_id", "mmsi", "start_ms").orderBy("event_id").collect() for _ in range(2))
-    assert one == two and [r["event_id"] for r in one] == list(range(1, len(one) + 1))
+    assert one == two and len({r["event_id"] for r in one}) == len(one) and all(0 <= r["event_id"] < 1 << 63 for r in one)
+    later = events.with_ids(rows.where("start_ms > 1704500000000")).select("event_id", "mmsi", "start_ms").collect()  # a run that finds other events beside
+    assert set(later) <= set(one)
     assert sample.event_store(spark, sf_dir)[0].count() == 1000
 
 
@@ -395,6 +397,45 @@ def test_relational_store_upserts_and_reads_back(spark, sf_dir):
     assert relational.url_of(values)[0] == "jdbc:postgresql://host:port/name" and relational.url_of({"events.repository.type": "csv"}) is None
 
 
+def test_relational_store_keeps_all_runs(spark, sf_dir, monkeypatch):
+    from dataclasses import replace
+
+    from fairlead.operators.event_tables import Tables
+    from fairlead.sources import relational
+
+    address = "jdbc:derby:memory:months;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    monkeypatch.setattr(relational, "url_of", lambda values: address)
+    settings = config.Settings(course=Statistical(False), speed=Statistical(True, 4, 0.25), type_size=Statistical(False), drift=Drift(enabled=True, period_minutes=5, metres=30.0))
+    settings = replace(settings, encounter=replace(settings.encounter, enabled=False), free_flow=replace(settings.free_flow, enabled=False))
+    reports, stats = catalog.reports(spark, "/root/testdata/sf0.01"), catalog.stats(spark, "/root/testdata/sf0.01")
+    middle = reports.selectExpr("percentile_approx(ts_ms, 0.5) AS t").first()["t"]
+    runs = [jobs.detect(part, stats, settings) for part in (reports.where(F.col("ts_ms") < middle), reports.where(F.col("ts_ms") >= middle))]
+    seen = set()
+    for run in (*runs, runs[1], runs[0]):  # the same run twice counts once
+        jobs.store(run, {})
+        seen |= {r["event_id"] for r in run.events.collect()}
+        back = relational.load(spark, *address)
+        assert sorted(r["event_id"] for r in back.events.select("event_id").collect()) == sorted(seen)
+    assert all({r["event_id"] for r in run.events.collect()} & seen for run in runs) and back.behaviours.count() == len(seen)
+    assert back.points.count() == sum(run.points.count() for run in runs)
+    # a run that goes on with an event adds to its points
+    some = runs[0].events.limit(1).collect()[0]["event_id"]
+    only = Tables(*[f.where(F.col("event_id") == some) for f in (runs[0].events, runs[0].behaviours, runs[0].points)])
+    relational.save(Tables(only.events, only.behaviours, only.points.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY"))), *address, merge=True)
+    assert relational.load(spark, *address).points.where(F.col("event_id") == some).count() == 2 * only.points.count()
+    wrong = Tables(only.events.withColumn("event_type", F.lit("other")), only.behaviours, only.points)
+    with pytest.raises(ValueError, match="different events"):
+        relational.save(wrong, *address)
+
+
+def test_csv_store_gets_past_events(spark, sf_dir, tmp_path):
+    found = catalog.detected(spark, sf_dir)
+    values = {"events.repository.type": "csv", "events.csv.file": f"file://{tmp_path}/events"}
+    jobs.store(jobs.Detected(found.events, found.behaviours, found.points, None), values)
+    rows = spark.read.option("header", True).option("escape", '"').csv(values["events.csv.file"])
+    assert rows.count() == found.events.where("state = 'PAST'").count() > 0
+
+
 def _streamed(spark, rows, tmp_path, batches=3):
     """The rows as a stream of several files, in the order of time."""
     for k in range(batches):
