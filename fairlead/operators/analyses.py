@@ -72,24 +72,32 @@ def drift_guard(reports: DataFrame, params: Drift) -> Column:
     return ~F.coalesce(_length() < params.least_length, F.lit(False)) & known & _ordinary(reports, params.prediction_minutes) & large
 
 
-def drift(reports: DataFrame, params: Drift) -> DataFrame:
-    """Analysed reports with the parts of a drift, ``sustained`` and ``transition``.
+def drift_rows(reports: DataFrame, params: Drift) -> DataFrame:
+    """All reports with ``kept`` (the analysis looks at them), the parts of a drift, ``raised`` and ``transition``.
 
     Length below the minimum is left out while an unknown one passes that guard and falls to the next.
+    Reports that are not kept have windows of their own, which say nothing.
     """
     rows = tracks.with_drift(reports, params.period_minutes, params.metres, low=params.least_sog, high=params.most_sog, angle=params.angle)
-    rows = rows.where(drift_guard(reports, params))
-    w = tracks.track_window()
+    rows = rows.withColumn("kept", F.coalesce(drift_guard(reports, params), F.lit(False)))
+    held = (lambda c, other: F.coalesce(F.col("held")[c], other)) if "held" in reports.columns else (lambda c, other: other)
+    w = Window.partitionBy("mmsi", "epoch", "kept").orderBy("ts_ms", "seq")
     # an event lasts from the first sustained row of a drifting run to the first row that drifts no more
     rows = rows.withColumn("_run", F.sum((~F.col("drifting")).cast("int")).over(w))
-    run = Window.partitionBy("mmsi", "epoch", "_run").orderBy("ts_ms", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("raised", F.col("drifting") & F.max("sustained_drift").over(run))
-    before = F.coalesce(F.lag("raised").over(w), F.lit(False))
-    rows = rows.withColumn("_before", before)
+    run = Window.partitionBy("mmsi", "epoch", "kept", "_run").orderBy("ts_ms", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("raised", held("raised", F.col("drifting") & F.max(held("raised", F.col("sustained_drift"))).over(run)))
+    rows = rows.withColumn("_before", F.coalesce(F.lag("raised").over(w), F.lit(False)))
     step = F.when(F.col("raised") & ~F.col("_before"), "RAISE").when(F.col("raised") & F.col("sustained_drift"), "MAINTAIN").when(~F.col("raised") & F.col("_before"), "LOWER")
+    if "carried" in reports.columns:
+        step = F.when(F.col("carried"), F.col("held.transition")).otherwise(step)
     return rows.withColumn("transition", step).drop("_run", "_before")
 
 
+def drift(reports: DataFrame, params: Drift) -> DataFrame:
+    """Analysed reports with the parts of a drift, ``sustained_drift``, ``raised`` and ``transition``."""
+    return drift_rows(reports, params).where("kept").drop("kept")
+
+
 def speed_change_guard(reports: DataFrame, params: SuddenSpeedChange) -> Column:
     """Which reports the analysis looks at."""
     t = F.col("ship_type")
@@ -97,32 +105,33 @@ def speed_change_guard(reports: DataFrame, params: SuddenSpeedChange) -> Column:
     return keep & ~vessel.is_fishing(t) & ~vessel.is_engaged_in_fishing(t)
 
 
-def sudden_speed_changes(reports: DataFrame, params: SuddenSpeedChange) -> DataFrame:
-    """One row for each event: mmsi, epoch, and the reports at its two ends.
+def speed_change_rows(reports: DataFrame, params: SuddenSpeedChange) -> DataFrame:
+    """All reports with ``kept`` and, for those, what is known of the slow run that they are in.
 
     An observation starts at a vessel's first low report that is sudden after its last report above
     the low mark; the event fires at the first later low report with sustained low speed.
     """
     rows = tracks.with_speed_drops(reports, params.high, params.low, params.decay_seconds, params.sustain_seconds)
-    w = tracks.track_window()
-    rows = rows.where(speed_change_guard(reports, params)).withColumn("_island", F.sum((~F.col("is_low")).cast("int")).over(w))
-    run = Window.partitionBy("mmsi", "epoch", "_island", "is_low").orderBy("ts_ms", "seq")
-    seen = F.min(F.when(F.col("sudden"), F.col("ts_ms"))).over(run.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_observed", seen)
-    fires = F.col("is_low") & (F.col("_observed") < F.col("ts_ms")) & F.col("low_reported") & F.col("low_calculated")
-    low = rows.where("is_low").withColumn("_fires", F.coalesce(fires, F.lit(False)))
-    first_low = F.struct("ts_ms", "lat", "lon", "sog", "cog", "hdg")
-    ends = low.groupBy("mmsi", "epoch", "_island").agg(
-        F.min(F.when(F.col("_fires"), F.col("ts_ms"))).alias("fired_ms"), F.min_by(first_low, F.struct("ts_ms", "seq")).alias("stop"), F.max("last_high_ms").alias("t1")
-    )
-    ends = ends.where("fired_ms is not null")
-    high = reports.select("mmsi", F.col("ts_ms").alias("t1"), F.struct("lat", "lon", "sog", "cog", "hdg").alias("go"), *[c for c in tracks.STATIC if c in reports.columns])
-    high = high.dropDuplicates(["mmsi", "t1"])
-    out = ends.join(high, ["mmsi", "t1"])
-    return out.select(
-        "mmsi", "epoch", F.col("t1").alias("start_ms"), F.col("stop.ts_ms").alias("end_ms"), "fired_ms",
+    rows = rows.withColumn("kept", F.coalesce(speed_change_guard(reports, params), F.lit(False)))
+    held = (lambda c, other: F.coalesce(F.col("held")[c], other)) if "held" in reports.columns else (lambda c, other: other)
+    w = Window.partitionBy("mmsi", "epoch", "kept").orderBy("ts_ms", "seq")
+    rows = rows.withColumn("island", F.sum((~F.col("is_low")).cast("int")).over(w))
+    run = Window.partitionBy("mmsi", "epoch", "kept", "island", "is_low").orderBy("ts_ms", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("observed", F.min(held("observed", F.when(F.col("sudden"), F.col("ts_ms")))).over(run))
+    rows = rows.withColumn("stop", F.first(held("stop", F.struct("ts_ms", "lat", "lon", "sog", "cog", "hdg"))).over(run))
+    fires = F.col("is_low") & (F.col("observed") < F.col("ts_ms")) & F.col("low_reported") & F.col("low_calculated")
+    fires = fires & ~F.col("carried") if "carried" in reports.columns else fires
+    return rows.withColumn("fired_ms", F.min(held("fired_ms", F.when(fires, F.col("ts_ms")))).over(run))
+
+
+def sudden_speed_changes(reports: DataFrame, params: SuddenSpeedChange) -> DataFrame:
+    """One row for each event: mmsi, epoch, and the reports at its two ends."""
+    low = speed_change_rows(reports, params).where("kept and is_low and fired_ms is not null")
+    ends = low.groupBy("mmsi", "epoch", "island").agg(F.min("fired_ms").alias("fired_ms"), F.min("stop").alias("stop"), F.max("high").alias("go"))
+    return ends.select(
+        "mmsi", "epoch", F.col("go.ts_ms").alias("start_ms"), F.col("stop.ts_ms").alias("end_ms"), "fired_ms",
         F.col("go.lat").alias("lat"), F.col("go.lon").alias("lon"), F.col("go.sog").alias("sog1"), F.col("stop.sog").alias("sog2"),
-        F.col("go.cog").alias("cog1"), F.col("go.hdg").alias("hdg1"), F.col("stop.lat").alias("lat2"), F.col("stop.lon").alias("lon2"), F.col("stop.cog").alias("cog2"), F.col("stop.hdg").alias("hdg2"), *[c for c in tracks.STATIC if c in reports.columns],
+        F.col("go.cog").alias("cog1"), F.col("go.hdg").alias("hdg1"), F.col("stop.lat").alias("lat2"), F.col("stop.lon").alias("lon2"), F.col("stop.cog").alias("cog2"), F.col("stop.hdg").alias("hdg2"), *[F.col("go")[c].alias(c) for c in tracks.STATIC if c in reports.columns],
     )
 
 

@@ -61,9 +61,10 @@ def _behaviours(found: DataFrame) -> DataFrame:
     )
 
 
-def eventful(states: DataFrame) -> DataFrame:
+def eventful(states: DataFrame, also: Column | None = None) -> DataFrame:
     """The rows that events are made of: raised ones, those that lower, and those shortly before a statistical event."""
     keep = F.col("raised") | F.coalesce(F.col("transition") == "LOWER", F.lit(False))
+    keep = keep if also is None else keep | also
     if "certainty" not in states.columns:
         return states.where(keep)
     # the next raising row of the track, seen from its end
@@ -106,7 +107,12 @@ def of_speed_changes(found: DataFrame) -> Tables:
 
 def of_encounters(runs: DataFrame, reports: DataFrame) -> Tables:
     """Close encounters: two vessels, their reports when it was raised, the first one's later ones, and both histories."""
-    states = written(with_state(events.encounter_states(runs), 1, 1).where("transition is not null"), events.ENCOUNTER)
+    return of_encounter_states(with_state(events.encounter_states(runs), 1, 1), reports)
+
+
+def of_encounter_states(states: DataFrame, reports: DataFrame) -> Tables:
+    """The same from runs with their state."""
+    states = written(states.where("transition is not null"), events.ENCOUNTER)
     found = events.encounters_of(states).withColumn("primary", F.col("mmsi"))
     sides = F.array(*[F.struct(F.lit(s == "a").alias("is_primary"), *[F.col(f"pair.{s}_{c}").alias(c) for c in SIDE]) for s in ("a", "b")])
     parts = found.select(*KEY, F.explode(sides).alias("s")).select(*KEY, "s.*")

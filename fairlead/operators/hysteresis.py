@@ -16,13 +16,18 @@ CERTAINTY = ("UNDEFINED", "LOWERED", "UNCERTAIN", "RAISED")
 
 
 def with_state(verdicts: DataFrame, raise_after: int = RAISE_AFTER, lower_after: int = LOWER_AFTER) -> DataFrame:
-    """Adds raised, transition (RAISE, MAINTAIN, LOWER or null), run and certainty to rows with ``abnormal``."""
+    """Adds raised, transition (RAISE, MAINTAIN, LOWER or null), run and certainty to rows with ``abnormal``.
+
+    A track that goes on from an earlier run begins with its last row there, with ``held_run`` and ``held_raised``.
+    """
     track = Window.partitionBy("mmsi", "epoch").orderBy("ts_ms", "seq")
     change = F.coalesce((F.col("abnormal") != F.lag("abnormal").over(track)).cast("int"), F.lit(0))
     rows = verdicts.withColumn("_change", change).withColumn("_island", F.sum("_change").over(track))
-    rows = rows.withColumn("run", F.row_number().over(Window.partitionBy("mmsi", "epoch", "_island").orderBy("ts_ms", "seq")))
+    island = Window.partitionBy("mmsi", "epoch", "_island").orderBy("ts_ms", "seq")
+    before = F.coalesce(F.first("held_run").over(island) - 1, F.lit(0)) if "held_run" in verdicts.columns else F.lit(0)
+    rows = rows.withColumn("run", (F.row_number().over(island) + before).cast("int"))
     trigger = F.when(F.col("abnormal") & (F.col("run") >= raise_after), True).when(~F.col("abnormal") & (F.col("run") >= lower_after), False)
-    rows = rows.withColumn("_trigger", trigger)
+    rows = rows.withColumn("_trigger", F.coalesce("held_raised", trigger) if "held_raised" in verdicts.columns else trigger)
     rows = rows.withColumn("raised", F.coalesce(F.last("_trigger", ignorenulls=True).over(track.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False)))
     before = F.coalesce(F.lag("raised").over(track), F.lit(False))
     rows = rows.withColumn("_before", before)

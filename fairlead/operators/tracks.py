@@ -80,25 +80,34 @@ def is_drifting(low: float = 1.0, high: float = 5.0, angle: float = 45.0) -> Col
 
 
 def with_drift(reports: DataFrame, period_minutes: int = 10, metres: float = 500, history_minutes: int = 30, **limits: float) -> DataFrame:
-    """drifting, and the three parts of a sustained drift: period, tracked long enough, distance of the run."""
+    """drifting, and the three parts of a sustained drift: period, tracked long enough, distance of the run.
+
+    Rows of an earlier run have ``held`` with what was found there; ``from_lat``, ``from_lon`` are where a run began.
+    """
+    held = (lambda c, other: F.coalesce(F.col("held")[c], other)) if "held" in reports.columns else (lambda c, other: other)
     period = period_minutes * 60_000
     rows = reports.withColumn("drifting", is_drifting(**limits))
     rows = rows.withColumn("drift_period", F.min("drifting").over(trailing(period)))
     rows = rows.withColumn("tracked_long", F.col("ts_ms") - F.min("ts_ms").over(trailing(max(history_minutes * 60_000, period + 1))) > period)
     rows = rows.withColumn("_island", F.sum((~F.col("drifting")).cast("int")).over(track_window()))
     run = Window.partitionBy("mmsi", "epoch", "_island", "drifting").orderBy(*ORDER)
-    rows = rows.withColumn("_lat0", F.first("lat").over(run)).withColumn("_lon0", F.first("lon").over(run))
-    far = F.when(F.col("drifting"), geo.rhumb_distance(F.col("_lat0"), F.col("_lon0"), F.col("lat"), F.col("lon")))
+    rows = rows.withColumn("from_lat", F.first(held("lat", F.col("lat"))).over(run)).withColumn("from_lon", F.first(held("lon", F.col("lon"))).over(run))
+    far = F.when(F.col("drifting"), geo.rhumb_distance(F.col("from_lat"), F.col("from_lon"), F.col("lat"), F.col("lon")))
     rows = rows.withColumn("drift_metres", far).withColumn("drift_far", F.coalesce(F.col("drift_metres") > metres, F.lit(False)))
-    return rows.withColumn("sustained_drift", F.col("drift_period") & F.col("tracked_long") & F.col("drift_far")).drop("_island", "_lat0", "_lon0")
+    return rows.withColumn("sustained_drift", held("sustained", F.col("drift_period") & F.col("tracked_long") & F.col("drift_far"))).drop("_island")
 
 
 def with_speed_drops(reports: DataFrame, high: float = 7.0, low: float = 1.0, decay_seconds: int = 30, sustain_seconds: int = 60) -> DataFrame:
-    """sudden (low now, high at most ``decay_seconds`` ago), and sustained low speed, reported and calculated."""
+    """sudden (low now, high at most ``decay_seconds`` ago), and sustained low speed, reported and calculated.
+
+    ``high`` is the last report at high speed; rows of an earlier run have theirs in ``held``.
+    """
     top = F.lit(102.2).cast("float")
     rows = reports.withColumn("is_low", F.coalesce(F.col("sog") <= low, F.lit(False)))
-    was_high = F.when(F.col("sog").between(high, top), F.col("ts_ms"))
-    rows = rows.withColumn("last_high_ms", F.max(was_high).over(track_window().rowsBetween(Window.unboundedPreceding, 0)))
+    now = F.struct("ts_ms", "lat", "lon", "sog", "cog", "hdg", *[c for c in STATIC if c in reports.columns])
+    was_high = F.when(F.col("sog").between(high, top), now)
+    was_high = F.coalesce(F.col("held.high"), was_high) if "held" in reports.columns else was_high
+    rows = rows.withColumn("high", F.last(was_high, ignorenulls=True).over(track_window().rowsBetween(Window.unboundedPreceding, 0))).withColumn("last_high_ms", F.col("high.ts_ms"))
     rows = rows.withColumn("sudden", F.coalesce(F.col("is_low") & (F.col("ts_ms") - F.col("last_high_ms") <= decay_seconds * 1000), F.lit(False)))
     span = sustain_seconds * 1000
     rows = rows.withColumn("low_reported", F.coalesce(F.max("sog").over(trailing(span)) <= low, F.lit(True)))

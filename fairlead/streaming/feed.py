@@ -62,3 +62,12 @@ def messages(lines: DataFrame) -> DataFrame:
 def from_tcp(spark: SparkSession, url: str) -> DataFrame:
     """Messages of ``tcp://host:port``."""
     return messages(nmea.source(spark, url).select(F.lit(url).alias("source"), "value"))
+
+
+def from_folder(spark: SparkSession, folder: str, files_at_once: int = 8, newest_first: bool = False) -> DataFrame:
+    """Messages of the AIS files of a folder and of those that come later, so many files in a micro-batch.
+
+    A file is read whole in one batch, in the order of its lines, and once, whatever fails in between.
+    """
+    reader = spark.readStream.format("text").option("maxFilesPerTrigger", files_at_once).option("latestFirst", newest_first)
+    return messages(reader.load(folder).select(F.input_file_name().alias("source"), "value"))
