@@ -43,9 +43,8 @@ def build_statistics(reports: DataFrame, path: str, settings: Settings) -> int:
 
 def add_statistics(reports: DataFrame, path: str, settings: Settings) -> int:
     """Learn from new reports and add them to the stored counts."""
-    stored, metadata = statistics_store.read(reports.sparkSession, path)
-    learned = statistics.train(tracks.cell_changes(reports))
-    return statistics_store.write(statistics.merged(stored, learned), path, metadata)
+    _, metadata = statistics_store.read_metadata(reports.sparkSession, path)
+    return statistics_store.append(statistics.train(tracks.cell_changes(reports)), path, metadata)
 
 
 @dataclass

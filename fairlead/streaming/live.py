@@ -9,7 +9,7 @@ leaves out those behind all.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import replace
 
 import pandas as pd
@@ -72,22 +72,21 @@ def transitions(reports: DataFrame, stats: DataFrame, statistic: str, params: St
     return rows.groupBy("mmsi").applyInPandasWithState(_follow(stale_minutes * 60_000), OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def learn(changes: DataFrame, path: str, checkpoint: str, grid: Grid | None = None, downsampling: int = 0):
-    """Stream of cell changes into the statistics store: each batch adds its counts as a new version.
+def learn(changes: DataFrame, path: str, checkpoint: str, grid: Grid | None = None, downsampling: int = 0, trigger: Mapping[str, object] | None = None):
+    """Stream of cell changes into the statistics store: each batch adds a part with its own counts.
 
     The version names the stream and the batch, so a batch that is tried again after its write counts once.
+    ``trigger`` is Spark's (default: all that is there).
     """
     from fairlead.sources import statistics_store
 
     def add(batch: DataFrame, number: int) -> None:
-        found = statistics.train(batch)
         try:
-            stored, metadata = statistics_store.read(batch.sparkSession, path)
+            _, metadata = statistics_store.read_metadata(batch.sparkSession, path, content=False)
             if metadata.stream == checkpoint and metadata.batch is not None and number <= metadata.batch:
                 return
-            found = statistics.merged(stored, found)
         except FileNotFoundError:
             metadata = statistics_store.Metadata((grid or Grid()).resolution, downsampling)
-        statistics_store.write(found, path, replace(metadata, stream=checkpoint, batch=number))
+        statistics_store.append(statistics.train(batch), path, replace(metadata, stream=checkpoint, batch=number))
 
-    return changes.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return changes.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**dict(trigger or {"availableNow": True})).start()

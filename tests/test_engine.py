@@ -179,6 +179,53 @@ def test_store_versions(spark, tmp_path):
     assert statistics_store.read_metadata(spark, path)[0] == 2
 
 
+def test_store_is_proven_by_its_manifest(spark, tmp_path):
+    path, folder = f"file://{tmp_path}/store", tmp_path / "store"
+    meta = statistics_store.Metadata(0.0018, 60)
+    one, two = (_stats(spark, cell, {(1, 2, 3): 5, (1, 2, 4): 6}, COURSE) for cell in (7, 8))
+
+    def file(version):
+        found = next(folder.glob(f"v{version}/statistics/*/*.parquet"))
+        (found.parent / f".{found.name}.crc").unlink(missing_ok=True)
+        return found
+
+    for number, harm in enumerate(("cut", "flip", "lose"), 1):
+        statistics_store.write(one, path, meta)
+        last = statistics_store.write(two, path, meta)
+        victim = file(last)
+        raw = victim.read_bytes()
+        if harm == "cut":
+            victim.write_bytes(raw[: len(raw) // 2])
+        elif harm == "flip":
+            victim.write_bytes(raw[:10] + bytes([raw[10] ^ 1]) + raw[11:])
+        else:
+            victim.unlink()
+        assert statistics_store.read_metadata(spark, path)[0] == last - 1, harm
+        stats, _ = statistics_store.read(spark, path)
+        assert {r["cell_id"] for r in stats.collect()} == {7}
+        assert (statistics_store.read_metadata(spark, path, content=False)[0] == last) == (harm == "flip")
+
+
+def test_store_grows_by_what_is_new(spark, tmp_path):
+    path, folder = f"file://{tmp_path}/log", tmp_path / "log"
+    meta = statistics_store.Metadata(0.0018, 60)
+    size = lambda v: sum(f.stat().st_size for f in (folder / f"v{v}").glob("statistics/**/*.parquet"))
+    many = spark.range(200_000).selectExpr("id AS cell_id", "1 AS k1", "CAST(id % 8 AS INT) AS k2", "0 AS k3", "1L AS ship_count", f"'{COURSE}' AS statistic")
+    base = statistics_store.append(many, path, meta)
+    written = []
+    for k in range(9):
+        number = statistics_store.append(many.where(f"cell_id < {20 * (k + 1)}"), path, meta)
+        written.append(size(number))
+        stats, found = statistics_store.read(spark, path)
+        assert statistics_store._metadata(spark, path, number).parts[0] == base and found.parts == ()
+        assert stats.agg(F.sum("ship_count")).first()[0] == 200_000 + sum(20 * (j + 1) for j in range(k + 1))
+    assert max(written) < size(base) / 20 and len(statistics_store._metadata(spark, path, number).parts) <= 5
+    assert stats.where("cell_id < 20").select("ship_count").distinct().collect() == [(10,)]
+    assert len(statistics_store.versions(spark, path)) < 9  # parts that nothing counts are gone
+    (victim := next((folder / f"v{base}").glob("statistics/*/*.parquet"))).write_bytes(b"")
+    assert victim.exists() and "part 1" in statistics_store.damage(spark, path, number)
+
+
 def test_jobs(spark, sf_dir, tmp_path):
     reports = catalog.reports(spark, sf_dir)
     path = f"file://{tmp_path}/stats"
