@@ -31,7 +31,7 @@ def tracked(positions: DataFrame, statics: DataFrame, settings: Settings) -> Dat
 
 
 def from_files(spark: SparkSession, url: str, settings: Settings) -> DataFrame:
-    positions, statics = nmea.reports(nmea.messages(nmea.packets(nmea.source(spark, url))))
+    positions, statics = nmea.reports(nmea.distinct_messages(nmea.messages(nmea.packets(nmea.source(spark, url)))))
     return tracked(positions, statics, settings)
 
 

@@ -18,7 +18,7 @@ from datetime import UTC, datetime
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 POSITION_TYPES = (1, 2, 3, 18)
@@ -321,11 +321,27 @@ def counters(found: DataFrame, decoded: DataFrame) -> DataFrame:
     return found.agg(F.count(F.lit(1)).alias("n")).select(F.lit("packets").alias("counter"), "n").union(kinds)
 
 
+#: The same message within this time is one that several receivers passed on.
+REPEAT_MS = 10_000
+
+
+def same_message() -> Column:
+    """What two copies of one message have in common, as a number."""
+    return F.xxhash64(*[c for c in _COLUMNS if c not in ("file", "seq", "ts_ms")])
+
+
 def distinct_messages(decoded: DataFrame) -> DataFrame:
-    """Without repeats of a message that several receivers passed on: the first in order stays."""
-    same = [c for c in _COLUMNS if c not in ("file", "seq", "ts_ms")]
-    rows = decoded.withColumn("_same", F.xxhash64(*same))
-    return rows.where("ts_ms is not null").withColumn("_n", F.row_number().over(Window.partitionBy("mmsi", "_same", F.floor(F.col("ts_ms") / 10_000)).orderBy("ts_ms", "file", "seq"))).where("_n = 1").drop("_n", "_same")
+    """Without repeats of a message that several receivers passed on.
+
+    In the order of time, a message stays if the last equal one that stayed is ``REPEAT_MS`` or more before it,
+    wherever borders of time lie; messages without time or vessel are left out.
+    """
+    from fairlead.operators.filters import thinned
+
+    rows = decoded.where("ts_ms is not null and mmsi is not null").withColumn("_same", same_message())
+    dealt = rows.repartition("mmsi", "_same").sortWithinPartitions("mmsi", "_same", "ts_ms", "file", "seq")
+    at = rows.columns.index
+    return dealt.mapInArrow(thinned(REPEAT_MS, [at("mmsi"), at("_same")], at("ts_ms")), rows.schema).drop("_same")
 
 
 def reports(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -336,9 +352,13 @@ def reports(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
     return positions, statics
 
 
-def read_socket(spark: SparkSession, host: str, port: int) -> DataFrame:
-    """A stream of lines from ``tcp://host:port``."""
-    return spark.readStream.format("socket").option("host", host).option("port", port).load()
+def read_socket(spark: SparkSession, host: str, port: int, spool: str | None = None) -> DataFrame:
+    """A stream of lines (source, value) from ``tcp://host:port``; ``spool`` keeps what is not yet processed, over restarts."""
+    from fairlead.sources import tcp
+    from fairlead.sources.scratch import scratch_path
+
+    spark.dataSource.register(tcp.Lines)
+    return spark.readStream.format(tcp.NAME).option("host", host).option("port", port).option("spool", spool or scratch_path(spark, "spool")).load()
 
 
 def source(spark: SparkSession, url: str) -> DataFrame:

@@ -59,9 +59,38 @@ def messages(lines: DataFrame) -> DataFrame:
     return keyed.groupBy("file").applyInPandasWithState(_assembled, nmea.MESSAGE_SCHEMA, "count long, held string", "append", GroupStateTimeout.NoTimeout)
 
 
-def from_tcp(spark: SparkSession, url: str) -> DataFrame:
-    """Messages of ``tcp://host:port``."""
-    return messages(nmea.source(spark, url).select(F.lit(url).alias("source"), "value"))
+def from_tcp(spark: SparkSession, url: str, spool: str | None = None) -> DataFrame:
+    """Messages of ``tcp://host:port``; give a ``spool`` that outlives the session with the stream's checkpoint."""
+    host, _, port = url.removeprefix("tcp://").partition(":")
+    return messages(nmea.read_socket(spark, host, int(port), spool))
+
+
+def _first_of_repeats(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    last = state.get[0] if state.exists else None
+    if state.hasTimedOut:
+        state.remove()
+        return
+    rows = pd.concat(list(frames), ignore_index=True).sort_values(["ts_ms", "file", "seq"], kind="stable")
+    stays = []
+    for now in rows["ts_ms"]:
+        stays.append(last is None or now - last >= nmea.REPEAT_MS)
+        last = int(now) if stays[-1] else last
+    state.update((last,))
+    if state.getCurrentWatermarkMs() < last + nmea.REPEAT_MS:
+        state.setTimeoutTimestamp(last + nmea.REPEAT_MS)
+    found = rows[stays]
+    if len(found):
+        yield found[_NAMES].astype(object).where(found[_NAMES].notna(), None)
+
+
+def distinct(decoded: DataFrame) -> DataFrame:
+    """A stream of messages without those that several receivers passed on, by the rule of the batch filter.
+
+    The state is the time of the last one that stayed, for each message of the last ``REPEAT_MS``.
+    """
+    rows = decoded.where("ts_ms is not null and mmsi is not null").withColumn("_same", nmea.same_message()).withColumn("_at", F.timestamp_millis("ts_ms"))
+    timed = rows.withWatermark("_at", f"{nmea.REPEAT_MS} milliseconds")
+    return timed.groupBy("mmsi", "_same").applyInPandasWithState(_first_of_repeats, nmea.MESSAGE_SCHEMA, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def from_folder(spark: SparkSession, folder: str, files_at_once: int = 8, newest_first: bool = False) -> DataFrame:
