@@ -77,6 +77,25 @@ class _Cover:
         return k > 0 and self._reach[k - 1] > start
 
 
+class _Nearest:
+    """The nearest of some sorted spans, whatever their lengths: the earliest of those at the least distance."""
+
+    def __init__(self, spans: list[Span]):
+        self._spans, self._starts = spans, [s for s, _, _ in spans]
+        self._reach, top = [], 0
+        for _, e, _ in spans:
+            top = max(top, e)
+            self._reach.append(top)
+
+    def of(self, part: Span) -> tuple[int, Span]:
+        """Its distance from ``part`` and the span."""
+        k = bisect_right(self._starts, part[1])  # so many begin before the part ends
+        gap = max(part[0] - self._reach[k - 1], 0) if k else None
+        if gap is None or k < len(self._spans) and self._starts[k] - part[1] < gap:
+            return self._starts[k] - part[1], self._spans[k]
+        return gap, self._spans[bisect_left(self._reach, min(self._reach[k - 1], part[0]))]
+
+
 def _proposed(text: str, strong: list[Span]) -> list[Span]:
     cover = _Cover(strong)
     out = [(m.start(), m.end(), "id") for m in _ID.finditer(text) if len(m[2]) >= 4 and not cover.hit(m.start(), m.end())]
@@ -103,21 +122,14 @@ def scan(text: str) -> tuple[list[Span], list[tuple[Span, Span]]]:
     by_role: dict[tuple[str, int], list[Span]] = {}
     for part in sorted(strong + weak):
         by_role.setdefault((ROLE[part[2]], scope(part[0])), []).append(part)
-    starts = {k: [p[0] for p in v] for k, v in by_role.items()}
-    longest = {k: max(p[1] - p[0] for p in v) for k, v in by_role.items()}
+    near_by = {k: _Nearest(v) for k, v in by_role.items()}
     links = []
     for part in weak:
         near = None
         for role in COMPLEMENT[part[2]]:
-            parts = by_role.get(key := (role, scope(part[0])), [])
-            first = bisect_left(starts.get(key, []), part[0] - WINDOW - longest.get(key, 0))
-            last = bisect_right(starts.get(key, []), part[1] + WINDOW)
-            for other in parts[first:last]:
-                gap = max(other[0] - part[1], part[0] - other[1], 0)
-                if gap <= WINDOW and other != part and (near is None or gap < near[0]):
-                    near = (gap, other)
-                    if not gap:
-                        break
+            found = (role, scope(part[0])) in near_by and near_by[role, scope(part[0])].of(part)
+            if found and found[0] <= WINDOW and (near is None or found[0] < near[0]):
+                near = found
         if near:
             links.append((part, near[1]))
     found = strong + [part for part, _ in links]

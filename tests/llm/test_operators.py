@@ -165,6 +165,25 @@ def test_secrets_link_parts():
     assert secrets.scan("paſſword=abcdefghijklmnop")[0] == [] and secrets.scan("token:secret=short")[0] == [(0, 18, "assign")]
 
 
+def test_nearest_parts_against_all_parts():
+    rng = random.Random(4)
+    for _ in range(300):
+        spans = sorted((s, s + rng.choice([1, 3, 60]), "x") for s in (rng.randint(0, 200) for _ in range(rng.randint(1, 12))))
+        part = (s := rng.randint(0, 220), s + rng.randint(1, 9), "y")
+        gap = lambda o: max(o[0] - part[1], part[0] - o[1], 0)
+        least = min(map(gap, spans))
+        assert secrets._Nearest(spans).of(part) == (least, next(o for o in spans if gap(o) == least))
+
+
+def test_secrets_cost_follows_the_number_of_parts():
+    import time
+
+    text = lambda n: "token=" + "A1" * 20 * n + " " + " ".join(f"login=abcd{k} {k:016x}" for k in range(n))
+    began = time.process_time()
+    spans, links = secrets.scan(text(32_000))
+    assert time.process_time() - began < 30 and len(links) == 32_000 and len(spans) == 64_001
+
+
 def test_secrets_awkward(awkward, empty):
     assert secrets.digest(secrets.find(awkward)).count() == len(AWKWARD) and secrets.find(empty).count() == 0
 
