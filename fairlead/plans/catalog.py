@@ -63,11 +63,15 @@ QUERIES["categorize_speed"] = _bucket("speed", lambda: categories.speed_bucket(F
 
 @query
 def category_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
+    """The dictionary's labels of the categories that the reports hold, with the reports of each."""
+    rows = statistics.with_buckets(sample.position_reports(spark, sf_dir))
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}_bucket").alias("bucket")) for k in categories.LABELS])).alias("c")
+    held = rows.select(kinds).select("c.*").groupBy("kind", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    names = None
     for kind in categories.LABELS:
-        rows = categories.dictionary(spark, kind).select(F.lit(kind).alias("kind"), "bucket", "label")
-        out = rows if out is None else out.union(rows)
-    return out
+        own = categories.dictionary(spark, kind).select(F.lit(kind).alias("kind"), "bucket", "label")
+        names = own if names is None else names.union(own)
+    return held.join(names, ["kind", "bucket"])
 
 
 @query

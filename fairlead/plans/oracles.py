@@ -116,7 +116,8 @@ for _name, _kind, _expr in (
 ):
     _add(_name, _R, f"SELECT mmsi, ts_ms, bucket, {_label(_kind, 'bucket')} AS label FROM (SELECT mmsi, ts_ms, {_expr} AS bucket FROM reports)")
 
-ORACLES["category_labels"] = " UNION ALL ".join(f"SELECT '{k}' AS kind, CAST({i} AS INTEGER) AS bucket, '{x}' AS label" for k, names in LABELS.items() for i, x in enumerate(names, 1))
+_add("category_labels", _R + f", bucketed AS (SELECT {_BUCKETS} FROM reports)", " UNION ALL ".join(
+    f"SELECT '{k}' AS kind, {k}_bucket AS bucket, {_label(k, k + '_bucket')} AS label, count(*) AS n FROM bucketed WHERE {k}_bucket BETWEEN 1 AND {len(names)} GROUP BY ALL" for k, names in LABELS.items()))
 
 _add("vessel_names", _R, """
 SELECT mmsi, ts_ms, t AS trimmed, CASE WHEN t = '' THEN 'MMSI ' || mmsi ELSE t END AS shown, CASE WHEN t = '' THEN 'MMSI ' || mmsi ELSE t || ' (' || mmsi || ')' END AS "full"
