@@ -43,7 +43,7 @@ LONGEST = 20_000
 GRAMS = (3, 4, 5, 6)
 ROWS = 1 << 17
 DIMENSIONS = 8
-WINDOW = 16
+WINDOW = 8
 WARM, ROUNDS = 20, 120
 RATE = 1.0
 THRESHOLD = 0.3
