@@ -105,7 +105,7 @@ KEYS: tuple[str, ...] = (
 )
 
 _POSITIVE = ("application.stats.dump.period", "application.grid.resolution.default", "analysis.closeencounter.run.period", "analysis.freeflow.run.period", "analysis.drift.period")
-STORES = ("h2", "pgsql", "csv")
+STORES = ("h2", "pgsql", "csv", "parquet")
 
 
 def parse_properties(text: str) -> dict[str, str]:
@@ -149,6 +149,8 @@ def problems(values: Mapping[str, str]) -> list[str]:
     store = values.get("events.repository.type", "").lower().strip()
     if store not in STORES:
         out.append(f"events.repository.type must be one of {', '.join(STORES)}")
+    if store == "parquet" and not values.get("events.parquet.path", "").strip():
+        out.append("events.parquet.path is blank")
     if store == "pgsql":
         out += [f"{k} is blank" for k in KEYS if k.startswith("events.pgsql.") and not values.get(k, "").strip()]
     box = values.get("analysis.freeflow.bbox", "")

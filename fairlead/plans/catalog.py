@@ -12,7 +12,7 @@ from fairlead.functions import categories, formats, geo, vessel
 from fairlead.functions.geo import Grid
 from fairlead.operators import analyses, event_tables, events, filters, hysteresis, pairs, search, statistics, tracks
 from fairlead.operators.statistics import COURSE, SPEED, TYPE_SIZE
-from fairlead.sources import event_files, sample, scratch, statistics_store
+from fairlead.sources import event_files, event_store, sample, scratch, statistics_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -583,6 +583,32 @@ def qry_ongoing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ongoing_event(stored, behaviours, 219000008, "CloseEncounterEvent").select("event_id", "start_time")
 
 
+def _saved(spark: SparkSession, sf_dir: str) -> str:
+    """The event table in a store by day and cell, after two runs: all events as if still open, then as they ended."""
+    tables = event_tables.Tables(*sample.event_store(spark, sf_dir))
+    path = scratch.scratch_path(spark, "event-store")
+    early = tables.events.withColumns({"end_time": F.lit(None).cast("timestamp_ntz"), "state": F.lit("ONGOING")})
+    event_store.save(event_tables.Tables(early, tables.behaviours, tables.points.where("certainty < 2")), path)
+    event_store.save(tables, path, merge=True)
+    return path
+
+
+@query
+def qry_store_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_store.search(spark, _saved(spark, sf_dir), begin=SPAN[0], end=SPAN[1], area=AREA).select("event_id", "event_type", "start_time", "end_time")
+
+
+@query
+def qry_store_ongoing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_store.ongoing(spark, _saved(spark, sf_dir), 219000008, "CloseEncounterEvent").select("event_id", "start_time")
+
+
+@query
+def qry_store_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = event_store.read(spark, _saved(spark, sf_dir))
+    return stored.points.join(stored.events.where("not suppressed").select("event_id", "state"), "event_id").select("event_id", "state", "mmsi", "ts", "lat", "lon", "certainty")
+
+
 @query
 def qry_cells_in_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.cells_in_area(stats(spark, sf_dir), Grid(), 55.01, 11.004, 55.002, 11.0)

@@ -11,7 +11,7 @@ from fairlead.config import Settings
 from fairlead.functions.geo import Grid
 from fairlead.operators import analyses, event_tables, events, filters, hysteresis, pairs, search, statistics, tracks
 from fairlead.operators.statistics import COURSE, SPEED, TYPE_SIZE
-from fairlead.sources import event_files, nmea, relational, statistics_store
+from fairlead.sources import event_files, event_store, nmea, relational, statistics_store
 
 
 def tracked(positions: DataFrame, statics: DataFrame, settings: Settings) -> DataFrame:
@@ -93,11 +93,13 @@ def detect(reports: DataFrame, stats: DataFrame, settings: Settings) -> Detected
 
 
 def store(found: Detected, values: Mapping[str, str], merge: bool = False) -> None:
-    """Put what a run detected where its settings file says: events in the relational store or as CSV, pairs as CSV.
+    """Put what a run detected where its settings file says: events in the relational store, the file store or as CSV, pairs as CSV.
 
     The CSV file gets past events only, as its format has no others, and every run's below a folder of its own rows.
     """
-    if found.events is not None:
+    if found.events is not None and values["events.repository.type"].strip().lower() == "parquet":
+        event_store.save(event_tables.Tables(found.events, found.behaviours, found.points), values["events.parquet.path"], merge=merge)
+    elif found.events is not None:
         address = relational.url_of(values)
         if address is None:
             event_files.write_csv(event_files.event_rows(found.events, found.behaviours, found.points), values["events.csv.file"])

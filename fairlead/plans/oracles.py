@@ -528,6 +528,9 @@ _add("qry_between", _STORE, f"SELECT event_id, start_time, end_time FROM stored
 _add("qry_recent", _STORE, "SELECT event_id, start_time FROM stored WHERE NOT suppressed ORDER BY start_time DESC, event_id DESC LIMIT 5")
 _add("qry_ongoing", _STORE, """SELECT event_id, start_time FROM stored WHERE state = 'ONGOING' AND event_type = 'CloseEncounterEvent'
   AND event_id IN (SELECT event_id FROM behaviours WHERE mmsi = 219000008) ORDER BY start_time, event_id LIMIT 1""")
+_add("qry_store_search", _STORE, f"{_LIVE} AND {_WITHIN} AND event_id IN (SELECT event_id FROM points WHERE lat > 5.51e1 AND lat < 5.52e1 AND lon > 1.102e1 AND lon < 1.11e1)")
+ORACLES["qry_store_ongoing"] = ORACLES["qry_ongoing"]
+_add("qry_store_points", _STORE, "SELECT event_id, state, mmsi, points.ts, lat, lon, certainty FROM points JOIN stored USING (event_id) WHERE NOT suppressed")
 _ROW, _COL = "(cell_id // 200375)", "(cell_id % 200375)"
 _add("qry_cells_in_area", _STATS, f"""SELECT * FROM stats WHERE {_ROW} BETWEEN floor(5.5002e1 / {_RES}) AND floor(5.501e1 / {_RES}) AND {_COL} BETWEEN floor(1.1e1 / {_RES}) AND floor(1.1004e1 / {_RES})""")
 _add("qry_cell_ids", _STATS, f"SELECT DISTINCT cell_id FROM stats WHERE statistic = '{_C}'")
