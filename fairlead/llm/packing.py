@@ -4,17 +4,19 @@ Method.  Documents are tokenised and cut into pieces of at most ``capacity``
 ids; only longer documents are cut, and their first piece takes the remainder.
 Pieces are dealt by hash, of the row's place too, into blocks of about ``BLOCK``
 pieces.  Each block is evolved by several populations: a chromosome is a
-partition of the pieces into bins; crossover injects whole well-filled bins of
-the second parent, drops the first parent's bins that hold any injected piece,
-and best-fits the displaced pieces; mutation empties the least-filled bin and a
-few others that have room and fills them anew, each with the longest piece left
-and those that fill the rest of it most.  After each epoch an island's elite migrates to the
-next island of its block, through a table in the shared folder.  The best
-island's bins become sequences.
+partition of the pieces into bins; every child is made by crossover, which injects
+whole well-filled bins of the second parent that are fuller than what they break
+(and a few others), drops the first parent's bins that hold any injected piece, and
+best-fits the displaced pieces.  So a child joins the full bins of both parents.
+One mutation of each child empties the least-filled bin and a few others that have
+room and fills them anew, each with the longest piece left and those that fill the
+rest of it most; it stays if the child is no worse.  After each epoch an island's
+elite migrates to the next island of its block, through a table in the shared
+folder.  The best island's bins become sequences.
 
 Memory follows ``BLOCK``, not the table.  A population stops at the lower bound
 of total ids / ``capacity`` bins, after ``generations``, or after ``patience``
-generations without a better elite; a block can stop above its bound, and README
+generations in which no bin was saved; a block can stop above its bound, and README
 has measured figures.
 
 Defined results: a null text is empty and becomes one piece, the end id; null
@@ -45,6 +47,8 @@ BLOCK = 8192
 #: Tasks of an epoch at most; each then holds several blocks.
 TASKS = 20_000
 WELL_FILLED = 0.97
+#: Share of well-filled bins that are injected whatever they break.
+BOLD = 0.1
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, turn long"
 STATE = "block long, island int, lengths binary, elite binary, bins int"
@@ -58,9 +62,8 @@ class Search:
     epochs: int = 2
     population: int = 6
     generations: int = 60
-    #: Mutants one after the other, each made of the best so far; every eighth generation's first is a child of two parents.
-    mutants: int = 10
-    patience: int = 12
+    children: int = 8
+    patience: int = 20
 
 
 def cut_points(n: int, capacity: int) -> list[int]:
@@ -148,7 +151,9 @@ def fitness(lengths: np.ndarray, bin_of: np.ndarray, capacity: int) -> tuple[int
 
 def crossover(lengths: np.ndarray, first: np.ndarray, second: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
     fill = np.bincount(second, lengths)
-    chosen = (fill >= WELL_FILLED * capacity) & (rng.random(len(fill)) < 0.5)
+    fullest_broken = np.zeros(len(fill))
+    np.maximum.at(fullest_broken, second, np.bincount(first, lengths)[first])
+    chosen = (fill >= WELL_FILLED * capacity) & ((fill > fullest_broken) | (rng.random(len(fill)) < BOLD))
     injected = chosen[second]
     broken = np.zeros(int(first.max()) + 1, bool)
     broken[first[injected]] = True
@@ -211,35 +216,34 @@ def evolve(lengths: np.ndarray, migrants: list[np.ndarray], capacity: int, seed:
     scored: list[tuple[tuple[int, float], int, np.ndarray]] = []
 
     def add(made: np.ndarray) -> None:
-        nonlocal serial, scored
+        nonlocal serial
         scored.append((fitness(lengths, made, capacity), serial, made))  # of equals the newer one leads
         serial += 1
 
+    def fittest() -> list[tuple[tuple[int, float], int, np.ndarray]]:
+        """The population, one of each fitness: equals would only be crossed with themselves."""
+        ranked = sorted(scored, key=lambda x: x[:2], reverse=True)
+        return [x for k, x in enumerate(ranked) if not k or x[0] != ranked[k - 1][0]][: search.population]
+
     for known in migrants:
         add(known)
     while len(scored) < search.population:
         noise = 0 if not scored else 0.05 * capacity
         order = np.argsort(-(lengths + rng.normal(0, 1, len(lengths)) * noise), kind="stable")
         add(best_fit(lengths, empty, order, capacity))
-    scored.sort(key=lambda x: x[:2], reverse=True)
+    scored = fittest()
     still = 0
-    for generation in range(search.generations):
+    for _ in range(search.generations):
         if -scored[0][0][0] <= least or still >= search.patience:
             break
-        best = scored[0][0]
-        made = scored[0] if generation % 4 else scored[int(rng.integers(len(scored)))]
-        if generation % 8 == 7 and len(scored) > 1:
-            one, two = rng.choice(len(scored), 2, replace=False)
-            child = crossover(lengths, scored[one][2], scored[two][2], capacity, rng)
-            made = (fitness(lengths, child, capacity), 0, child)
-        for _ in range(search.mutants):
-            child = mutate(lengths, made[2], capacity, rng)
-            fit = fitness(lengths, child, capacity)
-            if fit >= made[0]:
-                made = (fit, 0, child)
-        add(made[2])
-        scored = sorted(scored, key=lambda x: x[:2], reverse=True)[: search.population]
-        still = 0 if scored[0][0] > best else still + 1
+        bins, parents = scored[0][0][0], [x[2] for x in scored]
+        for _ in range(search.children):
+            one, two = rng.choice(len(parents), 2, replace=len(parents) < 2)
+            child = crossover(lengths, parents[one], parents[two], capacity, rng)
+            mutant = mutate(lengths, child, capacity, rng)
+            add(max(child, mutant, key=lambda x: (fitness(lengths, x, capacity), x is mutant)))
+        scored = fittest()
+        still = 0 if scored[0][0][0] > bins else still + 1
     return scored[0][2]
 
 

@@ -509,6 +509,32 @@ def test_genetic_packing_beats_best_fit_on_planted_blocks():
         assert (child >= 0).all() and np.bincount(child, lengths).max() <= 1024
 
 
+def triplets(rng, bins):
+    """Pieces of which only exact triples fill bins: best fit wastes a sixth."""
+    a = rng.integers(390, 500, bins)
+    b = rng.integers(256, (1024 - a) // 2 + 1)
+    return np.sort(np.concatenate([a, b, 1024 - a - b]))[::-1].copy()
+
+
+def test_crossover_decides_the_packing(monkeypatch):
+    bins = lambda: [int(packing.evolve(lengths, [], 1024, 5).max()) + 1 for lengths in blocks]
+    rng = np.random.default_rng(3)
+    planted = ((300, 4), (200, 6), (300, 8), (200, 5), (200, 3))
+    blocks = [triplets(np.random.default_rng(seed), 600) for seed in (1, 2)] + [planted_lengths(rng, n, parts) for n, parts in planted]
+    with_it = bins()
+    monkeypatch.setattr(packing, "crossover", lambda lengths, first, second, capacity, rng: first)
+    without = bins()
+    assert all(a < b for a, b in zip(with_it[:2], without[:2], strict=True)) and max(with_it[:2]) <= 610
+    assert sum(with_it[2:]) < sum(without[2:]) and all(a <= n + 1 for a, (n, _) in zip(with_it[2:], planted, strict=True))
+
+
+def test_children_keep_the_full_bins_of_both_parents():
+    lengths = np.array([600, 424, 700, 324, 500, 524, 10, 20])
+    first, second = np.array([0, 0, 1, 2, 2, 3, 1, 2]), np.array([0, 1, 2, 2, 3, 3, 0, 1])
+    child = packing.crossover(lengths, first, second, 1024, np.random.default_rng(1))
+    assert child[0] == child[1] and child[2] == child[3] and child[4] == child[5] and np.bincount(child, lengths).max() <= 1024
+
+
 def test_migrants_and_patience():
     rng = np.random.default_rng(4)
     lengths = planted_lengths(rng, 60, 3)
