@@ -1,9 +1,9 @@
 """Language identification with hyperdimensional profiles.
 
-Method.  Each of 64 symbols (white space and all that is no letter, a-z, and 37
-more that other letters share by code point) has a random +1/-1 vector of
-``DIMENSIONS``.  A trigram's vector is the product of its letters' vectors, each
-rotated by its place; a text is the sum of its trigrams' vectors, and a language
+Method.  Each letter of any script, in lower case, and what is no letter has a
+random +1/-1 vector of ``DIMENSIONS``, drawn from its code point as seed, so workers
+make the same ones without a table.  A trigram's vector is the product of its
+letters' vectors, each rotated by its place; a text is the sum of its trigrams' vectors, and a language
 is the sum of its sample texts, each of length one.  A text's language is the
 prototype of greatest cosine; the score is the softmax of ``SHARPNESS`` times the
 cosines.
@@ -34,36 +34,45 @@ from pyspark.sql import functions as F
 from fairlead.llm.common import in_fold, sized_slices
 
 DIMENSIONS = 1024
-SYMBOLS = 64
 SAMPLE = 400
 SAMPLE_ROWS = 8000
 LONGEST = 20_000
 SHARPNESS = 20.0
 SEED = 7
 _BLOCK = 256
+#: Trigrams whose vectors are made at once.
+_GRAMS = 8192
 
 
 @lru_cache(1)
 def symbol_table() -> np.ndarray:
-    """A symbol for each code point: 0 for what is no letter."""
-    table = np.zeros(0x110000, np.uint8)
+    """A symbol for each code point: the letter's in lower case, 0 for what is no letter."""
+    table = np.zeros(0x110000, np.uint32)
     for point in range(0x110000):
         c = chr(point)
         if c.isalpha():
-            low = ord(c.lower()[0])
-            table[point] = low - 96 if 97 <= low <= 122 else 27 + low % (SYMBOLS - 27)
+            table[point] = ord(c.lower()[0])
     return table
 
 
-@lru_cache(1)
-def letter_vectors() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The symbols' vectors, rotated for the first, second and third place of a trigram."""
-    base = np.random.default_rng(SEED).choice(np.array([-1, 1], np.float32), (SYMBOLS, DIMENSIONS))
+@lru_cache(None)
+def _signs(symbol: int) -> bytes:
+    """A symbol's vector as bits; all letters together are some 18 MB."""
+    return np.random.default_rng([SEED, symbol]).bytes(DIMENSIONS // 8)
+
+
+def letter_vectors(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols' vectors of +1/-1, rotated for the first, second and third place of a trigram."""
+    bits = np.frombuffer(b"".join(map(_signs, symbols.tolist())), np.uint8).reshape(len(symbols), DIMENSIONS // 8)
+    base = (np.unpackbits(bits, axis=1).astype(np.int8) * 2 - 1).astype(np.int8)
     return np.roll(base, 2, 1), np.roll(base, 1, 1), base
 
 
-def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, trigram, count) of all texts, and which texts have a letter."""
+def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, trigram, count) of all texts, which texts have a letter, and the symbols.
+
+    A trigram is a number of three digits to the base of how many symbols there are.
+    """
     texts = [t if t.isascii() else unicodedata.normalize("NFC", t) for t in texts]
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     points = np.frombuffer((" " + " ".join(texts) + " ").encode("utf-32-le", "surrogatepass"), "<u4")
@@ -73,27 +82,42 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     kept[1:] = (symbols[1:] > 0) | (symbols[:-1] > 0)
     letters = np.zeros(len(texts), bool)
     letters[np.unique(of[symbols > 0])] = True
-    symbols, of = symbols[kept].astype(np.int64), of[kept]
-    code = (symbols[:-2] << 12) | (symbols[1:-1] << 6) | symbols[2:]
+    symbols, of = symbols[kept], of[kept]
+    present = np.zeros(0x110000, bool)
+    present[symbols] = True
+    alphabet = np.flatnonzero(present)
+    place = np.zeros(0x110000, np.int64)
+    place[alphabet] = np.arange(len(alphabet))
+    digits, base = place[symbols], len(alphabet)
+    code = (digits[:-2] * base + digits[1:-1]) * base + digits[2:]
     inside = (symbols[1:-1] > 0) | (of[:-2] == of[2:])
-    key, count = np.unique((of[1:-1][inside] << 18) | code[inside], return_counts=True)
-    return key >> 18, key & ((1 << 18) - 1), count, letters
+    code, of = code[inside], of[1:-1][inside]
+    if len(texts) * base**3 < 1 << 62:
+        key, count = np.unique(of * base**3 + code, return_counts=True)
+        return key // base**3, key % base**3, count, letters, alphabet
+    names, rank = np.unique(code, return_inverse=True)
+    key, count = np.unique(of * len(names) + rank, return_counts=True)
+    return key // len(names), names[key % len(names)], count, letters, alphabet
 
 
 def profiles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Each text's vector of length one (zero without letters), and which texts have a letter."""
-    text, code, count, letters = trigrams(texts)
+    text, code, count, letters, alphabet = trigrams(texts)
     out = np.zeros((len(texts), DIMENSIONS), np.float32)
-    one, two, three = letter_vectors()
+    one, two, three = letter_vectors(alphabet)
+    base = len(alphabet)
     for first in range(0, len(texts), _BLOCK):
         a, b = np.searchsorted(text, [first, first + _BLOCK])
         used, column = np.unique(code[a:b], return_inverse=True)
-        counts = np.zeros((min(_BLOCK, len(texts) - first), len(used)), np.float32)
-        counts[text[a:b] - first, column] = count[a:b]
-        grams = one[used >> 12]
-        grams *= two[(used >> 6) & 63]
-        grams *= three[used & 63]
-        out[first : first + _BLOCK] = counts @ grams
+        order = np.argsort(column, kind="stable")
+        column, row, times = column[order], text[a:b][order] - first, count[a:b][order]
+        for low in range(0, len(used), _GRAMS):
+            some = used[low : low + _GRAMS]
+            x, y = np.searchsorted(column, [low, low + _GRAMS])
+            counts = np.zeros((min(_BLOCK, len(texts) - first), len(some)), np.float32)
+            counts[row[x:y], column[x:y] - low] = times[x:y]
+            grams = one[some // (base * base)] * two[some // base % base] * three[some % base]
+            out[first : first + _BLOCK] += counts @ grams.astype(np.float32)
     length = np.sqrt((out.astype(np.float64) ** 2).sum(1))
     out /= np.maximum(length, 1e-12)[:, None].astype(np.float32)
     out[~letters] = 0

@@ -2,6 +2,8 @@
 
 import random
 import re
+import unicodedata
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -393,21 +395,71 @@ def test_language_awkward(spark, awkward, empty):
     assert language_id.learn(empty) == {} and {r["lang_pred"] for r in language_id.predict(awkward, {}).collect()} == {"und"}
 
 
-def test_profiles_match_their_definition():
-    texts = ["Ab, c", "", "xyz " * 3]
-    one, two, three = language_id.letter_vectors()
-    table = language_id.symbol_table()
-    got, letters = language_id.profiles(texts)
-    assert letters.tolist() == [True, False, True]
-    for text, vector in zip(texts, got, strict=True):
-        symbols, out = [0], np.zeros(language_id.DIMENSIONS)
-        for s in [int(table[ord(c)]) for c in text] + [0]:
-            if s or symbols[-1]:
-                symbols.append(s)
-        for a, b, c in zip(symbols, symbols[1:], symbols[2:], strict=False):
-            out += one[a] * two[b] * three[c]
-        length = np.linalg.norm(out)
-        assert np.allclose(vector, out / length if length else out, atol=1e-5)
+def plain_profile(text):
+    """A text's vector from its definition, letter by letter."""
+    vectors = {}
+    symbols, out = [0], np.zeros(language_id.DIMENSIONS)
+    for c in unicodedata.normalize("NFC", text) + " ":
+        s = ord(c.lower()[0]) if c.isalpha() else 0
+        if s or symbols[-1]:
+            symbols.append(s)
+    for s in set(symbols):
+        bits = np.unpackbits(np.frombuffer(np.random.default_rng([language_id.SEED, s]).bytes(language_id.DIMENSIONS // 8), np.uint8))
+        vectors[s] = bits.astype(float) * 2 - 1
+    for a, b, c in zip(symbols, symbols[1:], symbols[2:], strict=False):
+        out += np.roll(vectors[a], 2) * np.roll(vectors[b], 1) * vectors[c]
+    length = np.linalg.norm(out)
+    return out / length if length else out
+
+
+def test_profiles_match_their_definition(monkeypatch):
+    texts = ["Ab, c", "", "xyz " * 3, "\u0416\u0443\u043a \u00e9t\u00e9 e\u0301", "\ud55c\uad6d\uc5b4", "12 3", "\u4e2d\u6587" * 50]
+    for grams in (language_id._GRAMS, 3):
+        monkeypatch.setattr(language_id, "_GRAMS", grams)
+        got, letters = language_id.profiles(texts)
+        assert letters.tolist() == [True, False, True, True, True, False, True]
+        for text, vector in zip(texts, got, strict=True):
+            assert np.allclose(vector, plain_profile(text), atol=1e-5)
+
+
+def test_languages_of_all_scripts_are_told_apart(spark):
+    """Two languages of each script, by texts of made-up words from letters that both have and a few of their own."""
+    rng, rows = np.random.default_rng(11), []
+    scripts = {"cyrillic": range(0x430, 0x450), "greek": range(0x3B1, 0x3C2), "hangul": range(0xAC00, 0xAC40), "kana": range(0x3041, 0x3080), "han": range(0x4E00, 0x4E80), "arabic": range(0x627, 0x63B), "latin": range(0xE0, 0xF7)}
+    words = {}
+    for script, points in scripts.items():
+        for k in "ab":  # the same letters, other words
+            words[f"{script}-{k}"] = ["".join(chr(x) for x in rng.choice(list(points), rng.integers(3, 8))) for _ in range(60)]
+    for i in range(1400):
+        lang = sorted(words)[i % len(words)]
+        rows.append((i, " ".join(rng.choice(words[lang], 25)), lang))
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = language_id.learn(table)
+    found = language_id.predict(table, learned).join(table, "doc_id").where("pmod(crc32(cast(doc_id as string)), 4) = 2").collect()
+    assert set(learned) == set(words) and len(found) > 250 and all(r["lang_pred"] == r["lang"] for r in found)
+
+
+def test_predictions_match_their_definition(spark):
+    """Prototypes and predictions of a table by plain sums over texts."""
+    rng = np.random.default_rng(5)
+    words = {"x": ["ola", "meu", "não", "isto"], "y": ["the", "and", "over", "dog"], "z": ["το", "και", "ναι", "δεν"]}
+    rows = [(i, " ".join(rng.choice(words[k], 12)), k) for i, k in enumerate(list("xyz") * 40)] + [(900, None, "x"), (901, "12 34", "y"), (902, "and", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    prototypes = {}
+    for k in "xyz":  # equal texts are learned once for each id, as their order holds the id
+        total = sum(plain_profile(t) for i, t, lang in rows if lang == k and t and zlib.crc32(str(i).encode()) % 4 != 2)
+        prototypes[k] = total / np.linalg.norm(total)
+    learned = language_id.learn(table)
+    assert sorted(learned) == ["x", "y", "z"] and all(np.allclose(learned[k], prototypes[k], atol=1e-5) for k in learned)
+    for r in language_id.predict(table, learned).collect():
+        vector = plain_profile({i: t for i, t, _ in rows}[r["doc_id"]] or "")
+        cosine = {k: float(v @ vector) for k, v in prototypes.items()}
+        best = max(cosine, key=cosine.get)
+        if not vector.any():
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        share = 1 / sum(np.exp(language_id.SHARPNESS * (v - cosine[best])) for v in cosine.values())
+        assert r["lang_pred"] == best and abs(r["score"] - share) < 1e-4 and abs(r["cosine"] - cosine[best]) < 1e-5
 
 
 # --- URL lists
