@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fairlead.config import CloseEncounter, Drift, FreeFlow, Statistical, SuddenSpeedChange
 from fairlead.functions import geo, vessel
-from fairlead.operators import pairs, statistics, tracks
+from fairlead.operators import meetings, pairs, statistics, tracks
 from fairlead.operators.statistics import COURSE, SPEED, TYPE_SIZE
 
 
@@ -135,18 +135,20 @@ def sudden_speed_changes(reports: DataFrame, params: SuddenSpeedChange) -> DataF
     )
 
 
-def encounter_candidates(reports: DataFrame, params: CloseEncounter) -> DataFrame:
+def _encountering(params: CloseEncounter) -> tuple[Column, Column, Column]:
+    """Which reports may be the first and the second of a close encounter, and the bits of what no two may have in common."""
+    t, sog, length = F.col("ship_type"), F.col("sog"), _length()
+    either = ~vessel.is_support(t) & ~vessel.is_engaged_in_towing(t)
+    first = either & ~vessel.is_speed_invalid(sog) & F.coalesce(sog > params.least_sog, F.lit(True))
+    second = either & ~vessel.is_slow(sog) & F.coalesce(sog >= params.least_sog, F.lit(False))
+    bits = [vessel.is_small(length), vessel.is_fishing(t), vessel.is_engaged_in_fishing(t), vessel.is_undefined(t)]
+    return first, second, sum((bit.cast("int") * (1 << k) for k, bit in enumerate(bits)), F.lit(0))
+
+
+def encounter_candidates(reports: DataFrame, params: CloseEncounter, columns: tuple[str, ...] = pairs.COLUMNS) -> DataFrame:
     """Ordered pairs of near vessels in each run that may be in a close encounter."""
-    near = pairs.nearby(reports, params.run_seconds * 1000)
-    a, b = (lambda c, s=s: F.col(f"{s}_{c}") for s in ("a", "b"))
-    length = lambda v: vessel.vessel_length(v("to_bow"), v("to_stern"))
-    first = ~vessel.is_support(a("ship_type")) & ~vessel.is_engaged_in_towing(a("ship_type")) & ~vessel.is_speed_invalid(a("sog")) & F.coalesce(a("sog") > params.least_sog, F.lit(True))
-    second = ~vessel.is_support(b("ship_type")) & ~vessel.is_engaged_in_towing(b("ship_type")) & ~vessel.is_slow(b("sog")) & F.coalesce(b("sog") >= params.least_sog, F.lit(False))
-    both = [vessel.is_fishing, vessel.is_engaged_in_fishing, vessel.is_undefined]
-    alike = vessel.is_small(length(a)) & vessel.is_small(length(b))
-    for is_kind in both:
-        alike = alike | (is_kind(a("ship_type")) & is_kind(b("ship_type")))
-    return near.where(first & second & ~alike)
+    first, second, kinds = _encountering(params)
+    return pairs.nearby(reports, params.run_seconds * 1000, first=first, second=second, kinds=kinds, columns=columns)
 
 
 def close_encounters(reports: DataFrame, params: CloseEncounter) -> DataFrame:
@@ -159,26 +161,61 @@ def close_encounters(reports: DataFrame, params: CloseEncounter) -> DataFrame:
     known = F.col("a_cog").isNotNull() & ~F.isnan("a_cog") & F.col("b_hdg").isNotNull() & ~F.isnan("b_hdg") & F.col("a_sog").isNotNull() & F.col("b_cog").isNotNull()
     for part in parts:
         known = known & part
+    rows = ovals(rows.where(known), params)
+    return rows.withColumn("meets", geo.intersects(F.col("zone"), F.col("extent")))
+
+
+def ovals(rows: DataFrame, params: CloseEncounter) -> DataFrame:
+    """Pairs with the first's ``zone`` and the second's ``extent``, and where both are at the later of their reports."""
     now = F.greatest("a_ts_ms", "b_ts_ms")
     a_lat, a_lon = geo.predicted(F.col("a_lat"), F.col("a_lon"), F.col("a_sog"), F.col("a_cog"), now - F.col("a_ts_ms"))
     b_lat, b_lon = geo.predicted(F.col("b_lat"), F.col("b_lon"), F.col("b_sog"), F.col("b_cog"), now - F.col("b_ts_ms"))
-    rows = rows.where(known).select("*", a_lat.alias("pa_lat"), a_lon.alias("pa_lon"), b_lat.alias("pb_lat"), b_lon.alias("pb_lon"))
+    rows = rows.select("*", a_lat.alias("pa_lat"), a_lon.alias("pa_lon"), b_lat.alias("pb_lat"), b_lon.alias("pb_lon"))
     size = lambda s: (F.col(f"{s}_to_bow") + F.col(f"{s}_to_stern"), F.col(f"{s}_to_port") + F.col(f"{s}_to_starboard"), F.col(f"{s}_to_stern"), F.col(f"{s}_to_starboard"))
     zone = geo.safety_zone(F.col("a_cog"), *size("a"), length=params.length, breadth=params.breadth, behind=params.behind)
     x, y = geo.local_x(F.col("pb_lon"), F.col("pa_lat"), F.col("pa_lon")), geo.local_y(F.col("pb_lat"), F.col("pa_lat"))
-    rows = rows.select("*", zone.alias("zone"), geo.vessel_extent(F.col("b_hdg"), *size("b"), x=x, y=y).alias("extent"))
-    return rows.withColumn("meets", geo.intersects(F.col("zone"), F.col("extent")))
+    return rows.select("*", zone.alias("zone"), geo.vessel_extent(F.col("b_hdg"), *size("b"), x=x, y=y).alias("extent"))
+
+
+_OVAL = ("to_bow", "to_stern", "to_port", "to_starboard", "sog", "cog")
+
+
+def _known(*also: str) -> Column:
+    known = F.lit(True)
+    for c in (*_OVAL, *also):
+        known = known & F.col(c).isNotNull()
+    return known
+
+
+def encounter_verdicts(reports: DataFrame, params: CloseEncounter) -> DataFrame:
+    """Each vessel and run with a candidate: ``meets``, the candidates (``near``), and the nearest that meets it with its distance.
+
+    The same as groups of ``close_encounters``, from blocks of vessels at one place in place of their pairs.
+    """
+    snaps = reports if "run_ms" in reports.columns else pairs.snapshots(reports, params.run_seconds * 1000)
+    first, second, kinds = _encountering(params)
+    by = (*pairs.PLACE, "kinds")
+    side = lambda keep, *also: pairs.blocked(snaps.where(keep).withColumn("kinds", kinds).select(*by, "mmsi", *_OVAL, *also), by)
+    blocks = pairs.near_blocks(side(first & _known() & ~F.isnan("cog")), side(second & _known("hdg") & ~F.isnan("hdg"), "hdg"))
+    blocks = blocks.where(F.col("a_kinds").bitwiseAND(F.col("b_kinds")) == 0).select("run_ms", "near_metres", *[f"{s}_{c}" for s in "ab" for c in ("ts_ms", "lat", "lon", "members")])
+    nearest = F.min(F.when(F.col("b_mmsi").isNotNull(), F.struct("near_metres", "b_mmsi"))).alias("nearest")
+    found = blocks.mapInArrow(meetings.met(params), meetings.SCHEMA).groupBy("run_ms", "a_mmsi").agg(F.sum("near").alias("near"), nearest)
+    return found.select("run_ms", "a_mmsi", F.col("nearest").isNotNull().alias("meets"), "near", "nearest.near_metres", "nearest.b_mmsi")
 
 
 def encounter_runs(reports: DataFrame, params: CloseEncounter) -> DataFrame:
     """Each vessel and run with a candidate: whether any neighbour meets its zone, and of those that do the nearest."""
-    rows = close_encounters(reports, params)
+    snaps = reports if "run_ms" in reports.columns else pairs.snapshots(reports, params.run_seconds * 1000)
+    found = encounter_verdicts(snaps, params)
+    kept = [c for c in pairs.COLUMNS if c in snaps.columns]
+    named = lambda s: snaps.select("run_ms", *[F.col(c).alias(f"{s}_{c}") for c in kept])
+    rows = found.where("meets").join(named("a"), ["run_ms", "a_mmsi"]).join(named("b"), ["run_ms", "b_mmsi"])
+    rows = ovals(rows, params)
     zone = geo.ellipse_position(F.col("zone"), F.col("pa_lat"), F.col("pa_lon"))
     extent = geo.ellipse_position(F.col("extent"), F.col("pa_lat"), F.col("pa_lon"))
-    known = [f"{s}_{c}" for s in ("a", "b") for c in pairs.COLUMNS if f"{s}_{c}" in rows.columns and (s, c) != ("b", "mmsi")]
-    pair = F.struct("near_metres", "b_mmsi", *known, zone.alias("zone"), extent.alias("extent"))
-    nearest = F.min(F.when(F.col("meets"), pair))
-    return rows.groupBy("run_ms", F.col("a_mmsi").alias("mmsi")).agg(F.max("meets").alias("abnormal"), nearest.alias("with"))
+    known = [f"{s}_{c}" for s in ("a", "b") for c in kept if (s, c) != ("b", "mmsi")]
+    met = rows.select("run_ms", F.col("a_mmsi").alias("mmsi"), F.lit(True).alias("abnormal"), F.struct("near_metres", "b_mmsi", *known, zone.alias("zone"), extent.alias("extent")).alias("with"))
+    return met.unionByName(found.where("not meets").select("run_ms", F.col("a_mmsi").alias("mmsi"), F.lit(False).alias("abnormal"), F.lit(None).cast(met.schema["with"].dataType).alias("with")))
 
 
 def reason_counters(changes: DataFrame, statistic: str, params: Statistical) -> DataFrame:
