@@ -44,8 +44,25 @@ def position(lat: Column, lon: Column) -> Column:
     return F.concat(F.lit("("), part(lat, "N", "S", 2), F.lit(", "), part(lon, "E", "W", 3), F.lit(")"))
 
 
+def _printable(x: Column, digits: int) -> Column:
+    """The double with ``digits`` decimals that is nearest to ``x`` as it is stored, and not to its shortest decimal text.
+
+    What the product with 10**digits loses is worked out in halves of ``x``, and decides where the product is a tie.
+    """
+    scale = float(10**digits)
+    split = x * 134217729.0
+    high = split - (split - x)
+    product = x * scale
+    lost = (high * scale - product) + (x - high) * scale
+    tie = product - F.floor(product) == 0.5
+    whole = F.when(tie & (lost > 0), F.rint(product + 0.25)).when(tie & (lost < 0), F.rint(product - 0.25)).otherwise(F.rint(product))
+    return F.when(F.abs(x) < 1e9, whole / scale).otherwise(x)
+
+
 def fixed(x: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", x.cast("double"))
+    """``x`` with so many decimals; with any, the stored binary value is rounded as C's printf does."""
+    x = x.cast("double")
+    return F.format_string(f"%.{digits}f", _printable(x, digits) if digits else x)
 
 
 def parse_date(text: Column) -> Column:

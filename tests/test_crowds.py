@@ -69,3 +69,14 @@ def test_ovals_touch_in_numpy_as_in_spark(spark):
     shape = lambda s: F.struct(*[F.col(f"{s}{k}").alias(k) for k in a])
     want = [r["t"] for r in rows.select(geo.intersects(shape("a"), shape("b")).alias("t")).collect()]
     assert meetings.touching(a, b).tolist() == want and 400 < sum(want) < 3600
+
+
+def test_decimals_are_those_of_the_stored_value(spark):
+    import random
+
+    from fairlead.functions import formats
+
+    rng = random.Random(4)
+    values = [55.00705, 55.08445, 11.00005, -55.00705, -0.00001, 0.0, 0.03125, 0.09375, 1e12 + 0.5, 54.99995] + [rng.randrange(-18_000_000, 18_000_000) / 1e5 + rng.choice([0, 5e-5, 1e-9]) for _ in range(3000)]
+    rows = spark.createDataFrame([(x,) for x in values], "x double").select("x", formats.fixed(F.col("x"), 4).alias("t"), formats.fixed(F.col("x"), 1).alias("u")).collect()
+    assert [(r["t"], r["u"]) for r in rows] == [(f"{r['x']:.4f}", f"{r['x']:.1f}") for r in rows]
