@@ -242,19 +242,27 @@ def free_flow_guard(params: FreeFlow) -> Column:
     return keep & F.col("cog").isNotNull() & F.col("hdg").isNotNull()
 
 
-def free_flow(reports: DataFrame, params: FreeFlow) -> DataFrame:
-    """Pairs of large tankers and cargo vessels that sail the same way, the second in the first's ellipse, before throttling."""
-    near = pairs.nearby(reports.where(free_flow_guard(params)), params.run_seconds * 1000)
+def free_flow(reports: DataFrame, params: FreeFlow, columns: tuple[str, ...] = pairs.COLUMNS) -> DataFrame:
+    """Pairs of large tankers and cargo vessels that sail the same way, the second in the first's ellipse, before throttling.
+
+    What depends on one vessel alone (its centre, its ellipse) is worked out before it meets others; ``columns`` are kept of each.
+    """
+    seen = reports if "run_ms" in reports.columns else pairs.snapshots(reports.where(free_flow_guard(params)), params.run_seconds * 1000)
+    seen = seen.where(free_flow_guard(params))
+    beam = F.col("to_port") + F.col("to_starboard")
+    shape = geo.ellipse(F.col("cog"), F.col("to_bow") + F.col("to_stern"), beam, F.col("to_stern"), F.col("to_starboard"), params.along, params.across, 1.0)
+    lat, lon = geo.vessel_centre(F.col("lat"), F.col("lon"), F.col("hdg"), *[F.col(f"to_{d}") for d in ("stern", "bow", "port", "starboard")])
+    seen = seen.withColumns({"_lat": lat, "_lon": lon, "_shape": shape})
+    seen = seen.withColumns({"_shrink": F.cos(F.radians("_lat")), "_cos": F.cos(F.radians("_shape.theta")), "_sin": F.sin(F.radians("_shape.theta"))})
+    kept = tuple(dict.fromkeys(("mmsi", "cog", *columns)))
+    own = ("_lat", "_lon", "_shape", "_shrink", "_cos", "_sin")
+    near = pairs.nearby(seen, params.run_seconds * 1000, columns=(*kept, *own))
     rows = near.where(geo.direction_difference(F.col("a_cog"), F.col("b_cog")) < params.course_degrees)
-    centre = lambda s: geo.vessel_centre(F.col(f"{s}_lat"), F.col(f"{s}_lon"), F.col(f"{s}_hdg"), *[F.col(f"{s}_to_{d}") for d in ("stern", "bow", "port", "starboard")])
-    (a_lat, a_lon), (b_lat, b_lon) = centre("a"), centre("b")
-    rows = rows.select("*", a_lat.alias("ca_lat"), a_lon.alias("ca_lon"), b_lat.alias("cb_lat"), b_lon.alias("cb_lon"))
-    beam = F.col("a_to_port") + F.col("a_to_starboard")
-    shape = geo.ellipse(F.col("a_cog"), F.col("a_to_bow") + F.col("a_to_stern"), beam, F.col("a_to_stern"), F.col("a_to_starboard"), params.along, params.across, 1.0)
-    x, y = geo.local_x(F.col("cb_lon"), F.col("ca_lat"), F.col("ca_lon")), geo.local_y(F.col("cb_lat"), F.col("ca_lat"))
-    rows = rows.withColumn("shape", shape).where(geo.contains(F.col("shape"), x, y)).drop("shape")
+    x, y = geo.local_x(F.col("b__lon"), F.col("a__lat"), F.col("a__lon"), F.col("a__shrink")), geo.local_y(F.col("b__lat"), F.col("a__lat"))
+    rows = rows.where(geo.contains(F.col("a__shape"), x, y, (F.col("a__cos"), F.col("a__sin"))))
+    rows = rows.withColumnsRenamed({f"{s}__{c}": f"c{s}_{c}" for s in "ab" for c in ("lat", "lon")}).drop(*[f"{s}_{c}" for s in "ab" for c in own[2:]])
     return rows.select(
-        "*",
+        *[c for c in rows.columns if c not in ("ca_lat", "ca_lon", "cb_lat", "cb_lon")], "ca_lat", "ca_lon", "cb_lat", "cb_lon",
         geo.rhumb_bearing(F.col("ca_lat"), F.col("ca_lon"), F.col("cb_lat"), F.col("cb_lon")).alias("bearing"),
         geo.cartesian_distance(F.col("ca_lat"), F.col("ca_lon"), F.col("cb_lat"), F.col("cb_lon")).alias("distance"),
-    )
+    )

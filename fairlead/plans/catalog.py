@@ -525,13 +525,14 @@ def ana_reason_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def free_flow_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = analyses.free_flow(sample.fleet_reports(spark, sf_dir), FLOW)
-    return rows.select("run_ms", "a_mmsi", "b_mmsi", F.round("distance", 3).alias("distance"), F.round("bearing", 3).alias("bearing"))
+    rows = analyses.free_flow(sample.fleet_reports(spark, sf_dir), FLOW, ("mmsi",))
+    return rows.select("run_ms", "a_mmsi", "b_mmsi", geo.rounded(F.col("distance"), 3).alias("distance"), geo.rounded(F.col("bearing"), 3).alias("bearing"))
 
 
 @query
 def ana_free_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pairs.throttled(analyses.free_flow(sample.fleet_reports(spark, sf_dir), FLOW), 5 * 60_000)
+    flow = analyses.free_flow(sample.fleet_reports(spark, sf_dir), FLOW, ("mmsi",)).select("run_ms", "a_mmsi", "b_mmsi", "a_ts_ms")
+    rows = pairs.throttled(flow, 5 * 60_000)
     return rows.select("run_ms", "a_mmsi", "b_mmsi")
 
 

@@ -80,3 +80,14 @@ def test_decimals_are_those_of_the_stored_value(spark):
     values = [55.00705, 55.08445, 11.00005, -55.00705, -0.00001, 0.0, 0.03125, 0.09375, 1e12 + 0.5, 54.99995] + [rng.randrange(-18_000_000, 18_000_000) / 1e5 + rng.choice([0, 5e-5, 1e-9]) for _ in range(3000)]
     rows = spark.createDataFrame([(x,) for x in values], "x double").select("x", formats.fixed(F.col("x"), 4).alias("t"), formats.fixed(F.col("x"), 1).alias("u")).collect()
     assert [(r["t"], r["u"]) for r in rows] == [(f"{r['x']:.4f}", f"{r['x']:.1f}") for r in rows]
+
+
+def test_narrow_free_flow_is_that_of_all_columns(spark, sf_dir):
+    from fairlead.plans.catalog import FLOW
+    from fairlead.sources import sample
+
+    fleet = sample.fleet_reports(spark, sf_dir)
+    key = ["run_ms", "a_mmsi", "b_mmsi", "a_ts_ms", "distance", "bearing"]
+    wide, narrow = analyses.free_flow(fleet, FLOW), analyses.free_flow(fleet, FLOW, ("mmsi",))
+    assert set(wide.columns) - set(narrow.columns) >= {"a_name", "b_to_bow"}
+    assert sorted(map(tuple, wide.select(key).collect())) == sorted(map(tuple, narrow.select(key).collect()))
