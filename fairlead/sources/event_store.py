@@ -159,7 +159,7 @@ def save(tables: Tables, path: str, merge: bool = False) -> None:
     _check(new, stored.events)
     if not changed:
         return
-    own_day = new.select("event_id", day).distinct()
+    own_day = new.groupBy("event_id").agg(F.min(F.to_date("start_time")).alias("day"))  # an id has one start; what is grouped by it need not be dealt again to be joined
     rows = {
         "events": (new.withColumn("day", day), stored.events),
         "behaviours": (tables.behaviours.select(*_names(BEHAVIOURS)).join(own_day, "event_id"), stored.behaviours),
@@ -168,7 +168,7 @@ def save(tables: Tables, path: str, merge: bool = False) -> None:
     for table, (found, before) in rows.items():
         schema, folders, own = TABLES[table]
         replaced = found.select("event_id", *own) if merge and own else own_day.select("event_id")
-        kept = before.select(*_names(schema), "day").join(replaced.distinct(), ["event_id", *(own if merge else ())], "left_anti")
+        kept = before.select(*_names(schema), "day").join(replaced, ["event_id", *(own if merge else ())], "left_anti")
         all_ = kept.select(*_names(schema), "day").unionByName(found.select(*_names(schema), "day")).withColumn("version", F.lit(version))
         if table == "events":
             all_ = all_.withColumn("open", F.col("end_time").isNull()).withColumn("last", F.to_date(F.coalesce("end_time", "start_time")))
