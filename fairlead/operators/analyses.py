@@ -9,6 +9,7 @@ from fairlead.config import CloseEncounter, Drift, FreeFlow, Statistical, Sudden
 from fairlead.functions import geo, vessel
 from fairlead.operators import meetings, pairs, statistics, tracks
 from fairlead.operators.statistics import COURSE, SPEED, TYPE_SIZE
+from fairlead.sources.scratch import written
 
 
 def _length() -> Column:
@@ -78,19 +79,21 @@ def drift_rows(reports: DataFrame, params: Drift) -> DataFrame:
     Length below the minimum is left out while an unknown one passes that guard and falls to the next.
     Reports that are not kept have windows of their own, which say nothing.
     """
-    rows = tracks.with_drift(reports, params.period_minutes, params.metres, low=params.least_sog, high=params.most_sog, angle=params.angle)
-    rows = rows.withColumn("kept", F.coalesce(drift_guard(reports, params), F.lit(False)))
+    # the guard is a column before the windows: beside the distances it would make code too long to be compiled by the JVM
+    rows = reports.withColumn("kept", F.coalesce(drift_guard(reports, params), F.lit(False)))
+    rows = tracks.with_drift(rows, params.period_minutes, params.metres, low=params.least_sog, high=params.most_sog, angle=params.angle)
     held = (lambda c, other: F.coalesce(F.col("held")[c], other)) if "held" in reports.columns else (lambda c, other: other)
     w = Window.partitionBy("mmsi", "epoch", "kept").orderBy("ts_ms", "seq")
     # an event lasts from the first sustained row of a drifting run to the first row that drifts no more
-    rows = rows.withColumn("_run", F.sum((~F.col("drifting")).cast("int")).over(w))
-    run = Window.partitionBy("mmsi", "epoch", "kept", "_run").orderBy("ts_ms", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("raised", held("raised", F.col("drifting") & F.max(held("raised", F.col("sustained_drift"))).over(run)))
+    rows = rows.withColumn("_k", F.row_number().over(w))
+    latest = lambda which: F.coalesce(F.max(F.when(which, F.col("_k"))).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    rows = rows.withColumn("_ends", latest(~F.col("drifting"))).withColumn("_sustained", latest(held("raised", F.col("sustained_drift"))))
+    rows = rows.withColumn("raised", held("raised", F.col("drifting") & (F.col("_sustained") > 0) & (F.col("_sustained") >= F.col("_ends"))))
     rows = rows.withColumn("_before", F.coalesce(F.lag("raised").over(w), F.lit(False)))
     step = F.when(F.col("raised") & ~F.col("_before"), "RAISE").when(F.col("raised") & F.col("sustained_drift"), "MAINTAIN").when(~F.col("raised") & F.col("_before"), "LOWER")
     if "carried" in reports.columns:
         step = F.when(F.col("carried"), F.col("held.transition")).otherwise(step)
-    return rows.withColumn("transition", step).drop("_run", "_before")
+    return rows.withColumn("transition", step).drop("_k", "_ends", "_sustained", "_before")
 
 
 def drift(reports: DataFrame, params: Drift) -> DataFrame:
@@ -111,8 +114,8 @@ def speed_change_rows(reports: DataFrame, params: SuddenSpeedChange) -> DataFram
     An observation starts at a vessel's first low report that is sudden after its last report above
     the low mark; the event fires at the first later low report with sustained low speed.
     """
-    rows = tracks.with_speed_drops(reports, params.high, params.low, params.decay_seconds, params.sustain_seconds)
-    rows = rows.withColumn("kept", F.coalesce(speed_change_guard(reports, params), F.lit(False)))
+    rows = reports.withColumn("kept", F.coalesce(speed_change_guard(reports, params), F.lit(False)))
+    rows = tracks.with_speed_drops(rows, params.high, params.low, params.decay_seconds, params.sustain_seconds)
     held = (lambda c, other: F.coalesce(F.col("held")[c], other)) if "held" in reports.columns else (lambda c, other: other)
     w = Window.partitionBy("mmsi", "epoch", "kept").orderBy("ts_ms", "seq")
     rows = rows.withColumn("island", F.sum((~F.col("is_low")).cast("int")).over(w))
@@ -204,10 +207,14 @@ def encounter_verdicts(reports: DataFrame, params: CloseEncounter) -> DataFrame:
 
 
 def encounter_runs(reports: DataFrame, params: CloseEncounter) -> DataFrame:
-    """Each vessel and run with a candidate: whether any neighbour meets its zone, and of those that do the nearest."""
+    """Each vessel and run with a candidate: whether any neighbour meets its zone, and of those that do the nearest.
+
+    Snapshots (read as first, as second and for the columns of both) and verdicts (read for meetings and for none) are written once.
+    """
     snaps = reports if "run_ms" in reports.columns else pairs.snapshots(reports, params.run_seconds * 1000)
-    found = encounter_verdicts(snaps, params)
     kept = [c for c in pairs.COLUMNS if c in snaps.columns]
+    snaps = written(snaps.select("run_ms", *kept), "snapshots")
+    found = written(encounter_verdicts(snaps, params), "verdicts")
     named = lambda s: snaps.select("run_ms", *[F.col(c).alias(f"{s}_{c}") for c in kept])
     rows = found.where("meets").join(named("a"), ["run_ms", "a_mmsi"]).join(named("b"), ["run_ms", "b_mmsi"])
     rows = ovals(rows, params)

@@ -15,10 +15,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fairlead.config import Statistical
 from fairlead.functions import formats, vessel
-from fairlead.operators import events
+from fairlead.operators import analyses, events
 from fairlead.operators.hysteresis import with_state
-from fairlead.sources.scratch import written
+from fairlead.sources.scratch import at_once, written
 
 KEY = ("event_type", "primary", "start_ms")
 EVENTS = (*KEY, "end_ms", "state", "title", "description")
@@ -93,6 +94,12 @@ def of_states(states: DataFrame, event_type: str) -> Tables:
     return Tables(found.select(*EVENTS), _behaviours(found), points)
 
 
+def of_statistics(changes: DataFrame, stats: DataFrame, which: dict[str, tuple[Statistical, str]]) -> list[Tables]:
+    """Events of the statistical analyses of ``which`` (statistic: parameters and event type), side by side."""
+    part = lambda statistic, params, kind: lambda: of_states(with_state(analyses.verdicts(changes, stats, statistic, params)), kind)
+    return at_once(*[part(statistic, *how) for statistic, how in which.items()])
+
+
 def of_speed_changes(found: DataFrame) -> Tables:
     """Sudden speed changes: past events with the two reports between which the speed dropped."""
     first = F.min_by(F.struct(*found.columns), F.struct("fired_ms", "end_ms")).alias("first")  # what slowed down from one report is one event

@@ -21,19 +21,21 @@ def with_state(verdicts: DataFrame, raise_after: int = RAISE_AFTER, lower_after:
     A track that goes on from an earlier run begins with its last row there, with ``held_run`` and ``held_raised``.
     """
     track = Window.partitionBy("mmsi", "epoch").orderBy("ts_ms", "seq")
-    change = F.coalesce((F.col("abnormal") != F.lag("abnormal").over(track)).cast("int"), F.lit(0))
-    rows = verdicts.withColumn("_change", change).withColumn("_island", F.sum("_change").over(track))
-    island = Window.partitionBy("mmsi", "epoch", "_island").orderBy("ts_ms", "seq")
-    before = F.coalesce(F.first("held_run").over(island) - 1, F.lit(0)) if "held_run" in verdicts.columns else F.lit(0)
-    rows = rows.withColumn("run", (F.row_number().over(island) + before).cast("int"))
+    so_far = track.rowsBetween(Window.unboundedPreceding, 0)
+    change = F.coalesce(F.col("abnormal") != F.lag("abnormal").over(track), F.lit(False))
+    rows = verdicts.withColumn("_change", change).withColumn("_k", F.row_number().over(track))
+    # the number before a run's first, less what an earlier run counted: runs are counted in the track's own order
+    before = F.coalesce(F.col("held_run") - 1, F.lit(0)) if "held_run" in verdicts.columns else F.lit(0)
+    start = F.when(F.col("_change") | (F.col("_k") == 1), F.col("_k") - 1 - before)
+    rows = rows.withColumn("_start", start).withColumn("run", (F.col("_k") - F.last("_start", ignorenulls=True).over(so_far)).cast("int"))
     trigger = F.when(F.col("abnormal") & (F.col("run") >= raise_after), True).when(~F.col("abnormal") & (F.col("run") >= lower_after), False)
     rows = rows.withColumn("_trigger", F.coalesce("held_raised", trigger) if "held_raised" in verdicts.columns else trigger)
-    rows = rows.withColumn("raised", F.coalesce(F.last("_trigger", ignorenulls=True).over(track.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False)))
+    rows = rows.withColumn("raised", F.coalesce(F.last("_trigger", ignorenulls=True).over(so_far), F.lit(False)))
     before = F.coalesce(F.lag("raised").over(track), F.lit(False))
     rows = rows.withColumn("_before", before)
     step = F.when(F.col("raised") & ~F.col("_before"), "RAISE").when(F.col("raised"), "MAINTAIN").when(F.col("_before"), "LOWER")
     sure = F.when(F.col("raised") & F.col("abnormal"), 3).when(F.col("raised") | F.col("abnormal"), 2).otherwise(1)
-    return rows.withColumn("transition", step).withColumn("certainty", sure.cast("int")).drop("_change", "_island", "_trigger", "_before")
+    return rows.withColumn("transition", step).withColumn("certainty", sure.cast("int")).drop("_change", "_k", "_start", "_trigger", "_before")
 
 
 def transitions(states: DataFrame) -> DataFrame:

@@ -72,6 +72,11 @@ def trailing(milliseconds: int) -> WindowSpec:
     return Window.partitionBy("mmsi", "epoch").orderBy("ts_ms").rangeBetween(-milliseconds, 0)
 
 
+def until(milliseconds: int) -> WindowSpec:
+    """All of a track's rows that are at least so old: a frame that only grows, where a trailing one is gone through anew for each row."""
+    return Window.partitionBy("mmsi", "epoch").orderBy("ts_ms").rangeBetween(Window.unboundedPreceding, -milliseconds)
+
+
 def is_drifting(low: float = 1.0, high: float = 5.0, angle: float = 45.0) -> Column:
     """Slow, and moving neither ahead nor astern; false where a component is missing."""
     cog, hdg = F.col("cog"), F.col("hdg")
@@ -87,14 +92,19 @@ def with_drift(reports: DataFrame, period_minutes: int = 10, metres: float = 500
     held = (lambda c, other: F.coalesce(F.col("held")[c], other)) if "held" in reports.columns else (lambda c, other: other)
     period = period_minutes * 60_000
     rows = reports.withColumn("drifting", is_drifting(**limits))
-    rows = rows.withColumn("drift_period", F.min("drifting").over(trailing(period)))
-    rows = rows.withColumn("tracked_long", F.col("ts_ms") - F.min("ts_ms").over(trailing(max(history_minutes * 60_000, period + 1))) > period)
-    rows = rows.withColumn("_island", F.sum((~F.col("drifting")).cast("int")).over(track_window()))
-    run = Window.partitionBy("mmsi", "epoch", "_island", "drifting").orderBy(*ORDER)
-    rows = rows.withColumn("from_lat", F.first(held("lat", F.col("lat"))).over(run)).withColumn("from_lon", F.first(held("lon", F.col("lon"))).over(run))
+    # a run of drifting reports begins where the report before does not drift; any other report is a run of its own
+    begins = ~F.col("drifting") | ~F.coalesce(F.lag("drifting").over(track_window()), F.lit(False))
+    place = F.when(F.col("_begins"), F.struct(held("lat", F.col("lat")).alias("lat"), held("lon", F.col("lon")).alias("lon")))
+    rows = rows.withColumn("_begins", begins).withColumn("_from", F.last(place, ignorenulls=True).over(track_window().rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("from_lat", F.col("_from.lat")).withColumn("from_lon", F.col("_from.lon"))
+    # the latest report that does not drift is older than the period, and one older than the period is in the history
+    other = F.max(F.when(~F.col("drifting"), F.col("ts_ms"))).over(until(0))
+    rows = rows.withColumn("drift_period", F.coalesce(other < F.col("ts_ms") - period, F.lit(True)))
+    past = F.max("ts_ms").over(until(period + 1))
+    rows = rows.withColumn("tracked_long", F.coalesce(past >= F.col("ts_ms") - max(history_minutes * 60_000, period + 1), F.lit(False)))
     far = F.when(F.col("drifting"), geo.rhumb_distance(F.col("from_lat"), F.col("from_lon"), F.col("lat"), F.col("lon")))
     rows = rows.withColumn("drift_metres", far).withColumn("drift_far", F.coalesce(F.col("drift_metres") > metres, F.lit(False)))
-    return rows.withColumn("sustained_drift", held("sustained", F.col("drift_period") & F.col("tracked_long") & F.col("drift_far"))).drop("_island")
+    return rows.withColumn("sustained_drift", held("sustained", F.col("drift_period") & F.col("tracked_long") & F.col("drift_far"))).drop("_begins", "_from")
 
 
 def with_speed_drops(reports: DataFrame, high: float = 7.0, low: float = 1.0, decay_seconds: int = 30, sustain_seconds: int = 60) -> DataFrame:
@@ -110,12 +120,14 @@ def with_speed_drops(reports: DataFrame, high: float = 7.0, low: float = 1.0, de
     rows = rows.withColumn("high", F.last(was_high, ignorenulls=True).over(track_window().rowsBetween(Window.unboundedPreceding, 0))).withColumn("last_high_ms", F.col("high.ts_ms"))
     rows = rows.withColumn("sudden", F.coalesce(F.col("is_low") & (F.col("ts_ms") - F.col("last_high_ms") <= decay_seconds * 1000), F.lit(False)))
     span = sustain_seconds * 1000
-    rows = rows.withColumn("low_reported", F.coalesce(F.max("sog").over(trailing(span)) <= low, F.lit(True)))
     w = track_window()
     way = geo.rhumb_distance(F.col("lat"), F.col("lon"), F.lead("lat").over(w), F.lead("lon").over(w))
     time = F.lead("ts_ms").over(w) - F.col("ts_ms")
     knots = F.when(time == 0, F.when(way > 0, F.lit(float("inf")))).otherwise(way / (time / 1000.0) * geo.KNOTS)
     rows = rows.withColumn("_next_knots", knots)
+    # no report since then was faster
+    faster = F.max(F.when(F.col("sog") > low, F.col("ts_ms"))).over(until(0))
+    rows = rows.withColumn("low_reported", F.coalesce(faster < F.col("ts_ms") - span, F.lit(True)))
     inside = Window.partitionBy("mmsi", "epoch").orderBy("ts_ms").rangeBetween(-span, -1)
     rows = rows.withColumn("calculated_knots", F.max("_next_knots").over(inside))
     return rows.withColumn("low_calculated", F.coalesce(F.col("calculated_knots") <= low, F.lit(True))).drop("_next_knots")

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fairlead.config import Settings
 from fairlead.functions.geo import Grid
-from fairlead.operators import analyses, event_tables, events, filters, hysteresis, pairs, search, statistics, tracks
+from fairlead.operators import analyses, event_tables, events, filters, pairs, search, statistics, tracks
 from fairlead.operators.statistics import COURSE, SPEED, TYPE_SIZE
-from fairlead.sources import event_files, event_store, nmea, relational, statistics_store
+from fairlead.sources import event_files, event_store, nmea, relational, scratch, statistics_store
 
 
 def tracked(positions: DataFrame, statics: DataFrame, settings: Settings) -> DataFrame:
@@ -74,17 +74,18 @@ def detect(reports: DataFrame, stats: DataFrame, settings: Settings) -> Detected
     if search.missing_statistics(stats).take(1):
         raise ValueError(f"the statistics lack {TYPE_SIZE}")
     dense = filled(reports, settings)
-    changes = tracks.cell_changes(dense)
-    found = []
-    for statistic, params, kind in ((COURSE, settings.course, events.COURSE), (SPEED, settings.speed, events.SPEED), (TYPE_SIZE, settings.type_size, events.TYPE_SIZE)):
-        if params.enabled:
-            found.append(event_tables.of_states(hysteresis.with_state(analyses.verdicts(changes, stats, statistic, params)), kind))
+    which = {COURSE: (settings.course, events.COURSE), SPEED: (settings.speed, events.SPEED), TYPE_SIZE: (settings.type_size, events.TYPE_SIZE)}
+    which = {statistic: how for statistic, how in which.items() if how[0].enabled}
+    parts = []
+    if which:
+        parts.append(lambda: event_tables.of_statistics(scratch.written(tracks.cell_changes(dense), "changes"), stats, which))
     if settings.drift.enabled:
-        found.append(event_tables.of_states(analyses.drift(dense, settings.drift), events.DRIFT))
+        parts.append(lambda: [event_tables.of_states(analyses.drift(dense, settings.drift), events.DRIFT)])
     if settings.speed_change.enabled:
-        found.append(event_tables.of_speed_changes(analyses.sudden_speed_changes(reports, settings.speed_change)))
+        parts.append(lambda: [event_tables.of_speed_changes(analyses.sudden_speed_changes(reports, settings.speed_change))])
     if settings.encounter.enabled:
-        found.append(event_tables.of_encounters(analyses.encounter_runs(reports, settings.encounter), reports))
+        parts.append(lambda: [event_tables.of_encounters(analyses.encounter_runs(reports, settings.encounter), reports)])
+    found = [tables for part in scratch.at_once(*parts) for tables in part]
     flow = None
     if settings.free_flow.enabled:
         flow = pairs.throttled(analyses.free_flow(reports, settings.free_flow), settings.free_flow.report_minutes * 60_000)
@@ -97,7 +98,7 @@ def store(found: Detected, values: Mapping[str, str], merge: bool = False) -> No
 
     The CSV file gets past events only, as its format has no others, and every run's below a folder of its own rows.
     """
-    if found.events is not None and values["events.repository.type"].strip().lower() == "parquet":
+    if found.events is not None and values.get("events.repository.type", "").strip().lower() == "parquet":
         event_store.save(event_tables.Tables(found.events, found.behaviours, found.points), values["events.parquet.path"], merge=merge)
     elif found.events is not None:
         address = relational.url_of(values)

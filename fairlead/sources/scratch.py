@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,3 +33,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def at_once[T](*parts: Callable[[], T]) -> list[T]:
+    """What ``parts``, which write tables of their own, give: planned and run side by side, so that none waits for the last tasks of another."""
+    with ThreadPoolExecutor(max(len(parts), 1)) as pool:
+        return [job.result() for job in [pool.submit(inheritable_thread_target(part)) for part in parts]]
