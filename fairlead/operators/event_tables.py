@@ -2,8 +2,8 @@
 
 Every part is keyed by (event_type, primary, start_ms), which one event has alone and
 from which its id is made, so tables need no ranking and no join for ids.  The few
-rows of an analysis that events are made of are written once, and the three tables
-are derived from them: an analysis runs once.  A point's certainty is that of its
+rows of an analysis that events are made of are written once, and so are the events
+made of them; the three tables are derived from these: an analysis runs once.  A point's certainty is that of its
 verdict for statistical events; for the others it is RAISED where the event
 began, and UNDEFINED later and before.
 """
@@ -81,7 +81,7 @@ def of_states(states: DataFrame, event_type: str) -> Tables:
     Undecided reports before a statistical event are its history; drifting, which has no certainty, has none.
     """
     states = written(eventful(states), event_type)
-    found = events.described(events.intervals(states, event_type)).withColumn("primary", F.col("mmsi"))
+    found = written(events.described(events.intervals(states, event_type)).withColumn("primary", F.col("mmsi")), f"{event_type}-found")
     rows = events.numbered(states)
     certain = "certainty" in states.columns
     sure = F.col("certainty") if certain else F.when(F.col("transition") == "RAISE", RAISED).otherwise(UNDEFINED)
@@ -120,7 +120,7 @@ def of_encounters(runs: DataFrame, reports: DataFrame) -> Tables:
 def of_encounter_states(states: DataFrame, reports: DataFrame) -> Tables:
     """The same from runs with their state."""
     states = written(states.where("transition is not null"), events.ENCOUNTER)
-    found = events.encounters_of(states).withColumn("primary", F.col("mmsi"))
+    found = written(events.encounters_of(states).withColumn("primary", F.col("mmsi")), f"{events.ENCOUNTER}-found")
     sides = F.array(*[F.struct(F.lit(s == "a").alias("is_primary"), *[F.col(f"pair.{s}_{c}").alias(c) for c in SIDE]) for s in ("a", "b")])
     parts = found.select(*KEY, F.explode(sides).alias("s")).select(*KEY, "s.*")
     behaviours = parts.select(*KEY, "mmsi", "is_primary", "imo", vessel.name_or_mmsi(F.col("name"), F.col("mmsi")).alias("name"), "callsign", "ship_type", vessel.vessel_length(F.col("to_bow"), F.col("to_stern")).alias("length"))

@@ -91,3 +91,12 @@ def test_parts_run_side_by_side_and_in_order(spark):
     meet = threading.Barrier(3)  # broken unless all three run at once
     assert scratch.at_once(*[lambda k=k: meet.wait(60) * 0 + spark.range(k).count() for k in (3, 1, 2)]) == [3, 1, 2]
     assert scratch.at_once() == []
+
+
+def test_tables_of_events_are_read_from_what_was_written(spark):
+    """Points, behaviours and events do not number and describe intervals anew: their plans have no window for events."""
+    from fairlead.operators import event_tables, events
+
+    tables = event_tables.of_states(analyses.drift(catalog.reports(spark, "/root/testdata/sf0.01"), Drift(period_minutes=5, metres=30.0)), events.DRIFT)
+    assert "Window" not in plan(tables.events) and "Window" not in plan(tables.behaviours) and plan(tables.points).count("Window [") == 1
+    assert tables.events.count() == tables.behaviours.count() > 0
