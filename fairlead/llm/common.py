@@ -8,9 +8,10 @@ Parquet, so a lost executor costs a task retry and never a result.
 
 from __future__ import annotations
 
+import ctypes
 import threading
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, nullcontext
 from functools import lru_cache
 
 import numpy as np
@@ -23,43 +24,47 @@ from fairlead.sources.scratch import scratch_path, shared_dir  # noqa: F401
 #: Text bytes that the numpy kernels handle at once; one longer text is one slice.
 SLICE_BYTES = 1 << 20
 
+#: Bytes of an Arrow batch for operators that cut batches into slices anyway: executor and worker each hold a batch whole, and more while it grows.
+BATCH_BYTES = 4 << 20
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_CLEANING = threading.Lock()
-_cleaners: dict[str, list] = {}  # by session: threads inside, the setting before
+_SETTING = threading.Lock()
+_settings: dict[tuple[str, str], list] = {}  # by session and key: threads inside, the setting before
 
 
 @contextmanager
-def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files go with the query that wrote them; the setting returns when the last thread inside leaves."""
-    session = str(spark._jsparkSession.hashCode())
-    with _CLEANING:
-        held = _cleaners.setdefault(session, [0, spark.conf.get(CLEANUP, None)])
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session's setting for a while; it returns when the last thread inside leaves."""
+    name = str(spark._jsparkSession.hashCode()), key
+    with _SETTING:
+        held = _settings.setdefault(name, [0, spark.conf.get(key, None)])
         held[0] += 1
-        spark.conf.set(CLEANUP, "true")
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        with _CLEANING:
+        with _SETTING:
             held[0] -= 1
             if not held[0]:
-                del _cleaners[session]
-                spark.conf.unset(CLEANUP) if held[1] is None else spark.conf.set(CLEANUP, held[1])
+                del _settings[name]
+                spark.conf.unset(key) if held[1] is None else spark.conf.set(key, held[1])
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, batch_bytes: int | None = None) -> DataFrame:
     """Write ``df`` below the shared folder and read it back, which cuts its lineage.
 
-    The write's shuffle files go when it ends: nothing reads them again.
+    The write's shuffle files go when it ends: nothing reads them again.  ``batch_bytes`` bounds the Arrow batches.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    with _shuffles_removed(spark):
+    with _setting(spark, CLEANUP, "true"), _setting(spark, BATCHES, str(batch_bytes)) if batch_bytes else nullcontext():
         df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._fairlead_path = path
@@ -79,6 +84,39 @@ def release(*frames: DataFrame) -> None:
             remove(df.sparkSession, path)
 
 
+#: What this worker keeps for later tasks of the same kind, such as tokenizers with their memory.
+KEPT: dict[str, object] = {}
+
+
+@lru_cache(1)
+def _trim() -> Callable[[int], int]:
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def give_back() -> None:
+    """Return free pages of Arrow and of the C library to the system: an idle worker counts against its executor."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def forget() -> None:
+    """Drop what is kept; a function of this module, since a task's own code would have a copy of ``KEPT``."""
+    KEPT.clear()
+    give_back()
+
+
+def lean(run: Callable, keep: bool = False) -> Callable:
+    """``run`` for mapInArrow, in a worker that gives back what tasks of other kinds left there and what this task has freed."""
+
+    def leaner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep:
+            forget()
+        yield from run(batches)
+        give_back()
+
+    return leaner
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Bytes of what a plan reads, from the statistics of its files; nothing is read for it."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairlead.llm.common import Words, char_class, mix64, sized_slices, text_buffers
+from fairlead.llm.common import Words, char_class, lean, mix64, sized_slices, text_buffers
 from fairlead.llm.fm_index import FMIndex
 
 WINDOW = 13
@@ -242,7 +242,7 @@ def _sent(benchmark: DataFrame, block_bytes: int) -> list:
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, the items (as text, sorted) with occurring windows, and spans to remove."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_search(_sent(benchmark, block_bytes)), SCHEMA)
+    return rows.mapInArrow(lean(_search(_sent(benchmark, block_bytes))), SCHEMA)
 
 
 def contaminated():
@@ -259,7 +259,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_bytes
 
     No join, since the verdict is made on the row: ids may be null or repeat.
     """
-    return docs.mapInArrow(_kept(_sent(benchmark, block_bytes), text), docs.schema)
+    return docs.mapInArrow(lean(_kept(_sent(benchmark, block_bytes), text)), docs.schema)
 
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:

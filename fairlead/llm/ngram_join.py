@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairlead.llm.common import Words, char_class, materialize, mix64, release, sized_slices, text_buffers
+from fairlead.llm.common import BATCH_BYTES, Words, char_class, lean, materialize, mix64, release, sized_slices, text_buffers
 from fairlead.llm.components import components
 
 K = 5
@@ -123,8 +123,8 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush():
         nonlocal counts, waiting, held
-        add = np.bincount(np.concatenate(waiting), minlength=BUCKETS).astype(np.uint32)
-        counts = add if counts is None else counts + add
+        add = np.bincount(np.concatenate(waiting), minlength=BUCKETS)
+        counts = add.astype(np.uint32) if counts is None else np.add(counts, add, out=counts, casting="unsafe")
         waiting, held = [], 0
 
     for part, sets in _sets(batches):
@@ -181,8 +181,8 @@ def shingle_classes(survey: DataFrame, shingles: int, blobs: int) -> np.ndarray:
     parts = survey.where("slice is not null").select("slice", "counts")
     fan = -(-blobs // (_SLICES * _FAN_IN))
     if fan > 1:
-        parts = parts.repartition(_SLICES * fan, F.col("slice"), F.pmod(F.xxhash64("counts"), F.lit(fan))).mapInArrow(_added(None), "slice int, counts binary")
-    found = materialize(parts.repartition(_SLICES, F.col("slice")).mapInArrow(_added(level), "slice int, counts binary"), "classes")
+        parts = parts.repartition(_SLICES * fan, F.col("slice"), F.pmod(F.xxhash64("counts"), F.lit(fan))).mapInArrow(lean(_added(None)), "slice int, counts binary")
+    found = materialize(parts.repartition(_SLICES, F.col("slice")).mapInArrow(lean(_added(level)), "slice int, counts binary"), "classes", BATCH_BYTES)
     out = np.zeros((_SLICES, BUCKETS // _SLICES // 2), np.uint8)
     for row in found.collect():  # one row for each of the 64 slices
         out[row["slice"]] = np.frombuffer(row["counts"], np.uint8)
@@ -493,7 +493,7 @@ def _sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     bits = min(28, max(20, (16 * wanted.count() - 1).bit_length()))
     marked = rows.sparkSession.sparkContext.broadcast(_bitmap(wanted, bits))
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - bits).alias("at")
-    sets = materialize(rows.select("doc_id", "text", place).mapInArrow(_whole_sets(marked), "rid long, tokens array<long>"), "tokens")
+    sets = materialize(rows.select("doc_id", "text", place).mapInArrow(lean(_whole_sets(marked)), "rid long, tokens array<long>"), "tokens", BATCH_BYTES)
     release(wanted)
     return sets
 
@@ -516,14 +516,14 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    survey = materialize(rows.mapInArrow(_survey, _SURVEY), "survey")
+    survey = materialize(rows.mapInArrow(lean(_survey), _SURVEY), "survey", BATCH_BYTES)
     sizes = materialize(survey.where("slice is null").select("doc_id", "n", "s1", "s2"), "sizes")
     reps = materialize(sizes.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rid")), "sets")
     shingles, blobs = survey.agg(F.sum("n"), F.count("slice")).first()
     classes = spark.sparkContext.broadcast(shingle_classes(survey, shingles or 0, blobs))
     release(survey)
     rows = rows.where("doc_id is not null")
-    nodes = materialize(_nodes(rows.mapInArrow(_prefixes(classes), "token long, at long"), reps), "nodes")
+    nodes = materialize(_nodes(rows.mapInArrow(lean(_prefixes(classes)), "token long, at long"), reps), "nodes", BATCH_BYTES)
 
     links = _decide(rows, _star_pairs(nodes))
     tables = [links]

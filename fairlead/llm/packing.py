@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairlead.llm.common import materialize, release, sized_slices, text_buffers
+from fairlead.llm.common import BATCH_BYTES, lean, materialize, release, sized_slices, text_buffers
 from fairlead.llm.tokens import END_ID, default_tokenizer, encoder
 
 CAPACITY = 1024
@@ -94,7 +94,7 @@ def _pieces(tokenizer: str, capacity: int):
 def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row for each piece; ``turn`` counts the rows of a task and tells equal rows apart once the table is written."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_pieces(tokenizer or default_tokenizer(), capacity), PIECES)
+    return rows.mapInArrow(lean(_pieces(tokenizer or default_tokenizer(), capacity), keep=True), PIECES)
 
 
 class _Bins:
@@ -299,7 +299,7 @@ def pack(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None, capacity: int = CAPACITY, block: int = BLOCK, search: Search = Search()
 ) -> DataFrame:
     """One row for each piece with its sequence and its place there."""
-    cut = materialize(pieces(docs, text, doc_id, tokenizer, capacity), "pieces")
+    cut = materialize(pieces(docs, text, doc_id, tokenizer, capacity), "pieces", BATCH_BYTES)
     blocks = max(1, -(-cut.count() // block))
     cut_rows = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32", "turn"), F.lit(blocks)))
     state = materialize(cut_rows.groupBy("block").applyInPandas(lambda key, rows: _found(key, rows, capacity, search.islands), STATE), "islands")

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairlead.llm.common import in_fold, sized_slices, text_buffers
+from fairlead.llm.common import in_fold, lean, sized_slices, text_buffers
 
 SAMPLE = 2000
 LONGEST = 20_000
@@ -147,7 +147,7 @@ def _scored(model: Model):
 def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, score and predicted (1 if the score reaches ``ACCEPT``)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__fl_text"))
-    out = rows.mapInArrow(_scored(model), "doc_id long, score double")
+    out = rows.mapInArrow(lean(_scored(model)), "doc_id long, score double")
     return out.select("doc_id", "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
 
 
@@ -166,4 +166,4 @@ def _kept(model: Model, column: str):
 
 def keep_good(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows that the classifier accepts, whole; no join, since the verdict is made on the row."""
-    return docs.mapInArrow(_kept(model, text), docs.schema)
+    return docs.mapInArrow(lean(_kept(model, text)), docs.schema)

@@ -21,7 +21,7 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 
-from fairlead.llm.common import _byte_codes, _powers, mix64, text_buffers
+from fairlead.llm.common import KEPT, _byte_codes, _powers, mix64, text_buffers
 
 END_ID = 2
 MEMORY = 700_000
@@ -222,11 +222,8 @@ class Encoder:
         return [ids[a:b].tolist() for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """This worker's encoder; it outlives a task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """This worker's encoder; it outlives a task, until one that needs none clears ``KEPT``."""
+    if path not in KEPT:
+        KEPT[path] = Encoder(path)
+    return KEPT[path]
