@@ -245,23 +245,25 @@ def free_flow_guard(params: FreeFlow) -> Column:
         return F.lit(False)
     t = F.col("ship_type")
     north, east, south, west = params.box
-    keep = vessel.is_very_long(_length()) & (vessel.is_tanker(t) | vessel.is_cargo(t)) & F.col("lat").between(south, north) & F.col("lon").between(west, east) & F.coalesce(F.col("sog") >= 1.0, F.lit(True))
+    keep = vessel.is_very_long(_length()) & vessel.is_tanker_or_cargo(t) & F.col("lat").between(south, north) & F.col("lon").between(west, east) & F.coalesce(F.col("sog") >= 1.0, F.lit(True))
     return keep & F.col("cog").isNotNull() & F.col("hdg").isNotNull()
 
 
-def free_flow(reports: DataFrame, params: FreeFlow, columns: tuple[str, ...] = pairs.COLUMNS) -> DataFrame:
+def free_flow(reports: DataFrame, params: FreeFlow, columns: tuple[str, ...] = pairs.COLUMNS, said: dict[str, Column] | None = None) -> DataFrame:
     """Pairs of large tankers and cargo vessels that sail the same way, the second in the first's ellipse, before throttling.
 
-    What depends on one vessel alone (its centre, its ellipse) is worked out before it meets others; ``columns`` are kept of each.
+    What depends on one vessel alone (its centre, its ellipse, and ``said``, of its report and its centre ``_lat``, ``_lon``)
+    is worked out before it meets others; ``columns`` and what is said are kept of each.
     """
-    seen = reports if "run_ms" in reports.columns else pairs.snapshots(reports.where(free_flow_guard(params)), params.run_seconds * 1000)
-    seen = seen.where(free_flow_guard(params))
+    seen = reports.where(free_flow_guard(params))
+    seen = seen if "run_ms" in reports.columns else pairs.snapshots(seen, params.run_seconds * 1000)
     beam = F.col("to_port") + F.col("to_starboard")
     shape = geo.ellipse(F.col("cog"), F.col("to_bow") + F.col("to_stern"), beam, F.col("to_stern"), F.col("to_starboard"), params.along, params.across, 1.0)
     lat, lon = geo.vessel_centre(F.col("lat"), F.col("lon"), F.col("hdg"), *[F.col(f"to_{d}") for d in ("stern", "bow", "port", "starboard")])
     seen = seen.withColumns({"_lat": lat, "_lon": lon, "_shape": shape})
     seen = seen.withColumns({"_shrink": F.cos(F.radians("_lat")), "_cos": F.cos(F.radians("_shape.theta")), "_sin": F.sin(F.radians("_shape.theta"))})
-    kept = tuple(dict.fromkeys(("mmsi", "cog", *columns)))
+    seen = seen.withColumns(said or {})
+    kept = tuple(dict.fromkeys(("mmsi", "cog", *columns, *(said or {}))))
     own = ("_lat", "_lon", "_shape", "_shrink", "_cos", "_sin")
     near = pairs.nearby(seen, params.run_seconds * 1000, columns=(*kept, *own))
     rows = near.where(geo.direction_difference(F.col("a_cog"), F.col("b_cog")) < params.course_degrees)

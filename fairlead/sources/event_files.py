@@ -50,21 +50,28 @@ def event_rows(events: DataFrame, behaviours: DataFrame, points: DataFrame) -> D
     )
 
 
+def free_flow_texts(s: str = "", lat: str = "_lat", lon: str = "_lon") -> dict[str, Column]:
+    """What the free-flow file says of one vessel alone: columns are prefixed ``s``, its centre is ``lat``, ``lon``."""
+    c = lambda x: F.col(f"{s}{x}")
+    whole = lambda x: x.cast("string")
+    return {
+        "text_mmsi": whole(c("mmsi")), "text_name": F.translate(trim_name(c("name")), ",", " "), "text_tp": whole(c("ship_type")), "text_loa": whole(c("to_bow") + c("to_stern")),
+        "text_bm": whole(c("to_port") + c("to_starboard")), "text_cog": formats.fixed(c("cog"), 0), "text_hdg": formats.fixed(c("hdg"), 0), "text_sog": formats.fixed(c("sog"), 0),
+        "text_lat": formats.fixed(F.col(lat), 4), "text_lon": formats.fixed(F.col(lon), 4), "text_stamp": F.date_format(formats.from_millis(c("ts_ms")), "yyyy-MM-dd HH:mm:ss"),
+    }
+
+
 def free_flow_rows(pairs: DataFrame) -> DataFrame:
-    """Rows of the free-flow file, all columns as text."""
+    """Rows of the free-flow file, all columns as text; texts that the pairs have already are taken as they are."""
 
     def side(s: str, n: int) -> list[Column]:
-        c = lambda x: F.col(f"{s}_{x}")
-        whole = lambda x: x.cast("string")
-        return [
-            whole(c("mmsi")).alias(f"MMSI{n}"), F.translate(trim_name(c("name")), ",", " ").alias(f"NAME{n}"), whole(c("ship_type")).alias(f"TP{n}"), whole(c("to_bow") + c("to_stern")).alias(f"LOA{n}"),
-            whole(c("to_port") + c("to_starboard")).alias(f"BM{n}"), formats.fixed(c("cog"), 0).alias(f"COG{n}"), formats.fixed(c("hdg"), 0).alias(f"HDG{n}"), formats.fixed(c("sog"), 0).alias(f"SOG{n}"),
-            formats.fixed(F.col(f"c{s}_lat"), 4).alias(f"LAT{n}"), formats.fixed(F.col(f"c{s}_lon"), 4).alias(f"LON{n}"),
-        ]
-
-    stamp = F.date_format(formats.from_millis(F.col("a_ts_ms")), "yyyy-MM-dd HH:mm:ss").alias("TIMESTAMP (GMT)")
+        texts = free_flow_texts(f"{s}_", f"c{s}_lat", f"c{s}_lon")
+        texts = {t: F.col(f"{s}_{t}") if f"{s}_{t}" in pairs.columns else made for t, made in texts.items()}
+        stamp = texts.pop("text_stamp").alias("TIMESTAMP (GMT)")
+        return [*([stamp] if n == 1 else []), *[made.alias(f"{t.removeprefix('text_').upper()}{n}") for t, made in texts.items()]]
+
     tail = [F.floor("bearing").cast("string").alias("BRG"), F.floor("distance").cast("string").alias("DST")]
-    return pairs.select(stamp, *side("a", 1), *side("b", 2), *tail)
+    return pairs.select(*side("a", 1), *side("b", 2), *tail)
 
 
 def write_csv(rows: DataFrame, path: str, mode: str = "append") -> None:

@@ -91,3 +91,28 @@ def test_narrow_free_flow_is_that_of_all_columns(spark, sf_dir):
     wide, narrow = analyses.free_flow(fleet, FLOW), analyses.free_flow(fleet, FLOW, ("mmsi",))
     assert set(wide.columns) - set(narrow.columns) >= {"a_name", "b_to_bow"}
     assert sorted(map(tuple, wide.select(key).collect())) == sorted(map(tuple, narrow.select(key).collect()))
+
+
+def test_free_flow_texts_are_made_before_vessels_meet(spark, sf_dir):
+    from fairlead.plans.catalog import FLOW, QUERIES
+    from fairlead.sources import event_files
+
+    plan = QUERIES["free_flow_rows"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    of_pairs, alone = plan.split("Generate explode(b_members")
+    assert "format_string" in alone and "format_string" not in of_pairs and "date_format" not in of_pairs
+    fleet = crowd(spark, 300)
+    text = lambda df: sorted(map(str, df.collect()))
+    plain = event_files.free_flow_rows(analyses.free_flow(fleet, FLOW))
+    made = event_files.free_flow_rows(analyses.free_flow(fleet, FLOW, ("mmsi",), event_files.free_flow_texts()))
+    assert made.columns == list(event_files.FREE_FLOW_COLUMNS) == plain.columns
+    assert text(made) == text(plain) != []
+
+
+def test_courses_differ_as_by_remainders(spark):
+    from fairlead.functions import geo
+
+    values = [0.0, 0.1, 24.9, 90.0, 180.0, 359.9, 360.0, 361.5, -0.1, -180.0, -359.9999, -720.25, 1080.0, float("nan"), None]
+    rows = spark.createDataFrame([(a, b) for a in values for b in values], "a double, b double")
+    turn = F.pmod(F.col("a") - F.col("b"), F.lit(360.0))
+    found = rows.select(geo.direction_difference(F.col("a"), F.col("b")).alias("got"), F.least(turn, 360.0 - turn).alias("want")).collect()
+    assert [str(r["got"]) for r in found] == [str(r["want"]) for r in found]
