@@ -116,3 +116,26 @@ def test_courses_differ_as_by_remainders(spark):
     turn = F.pmod(F.col("a") - F.col("b"), F.lit(360.0))
     found = rows.select(geo.direction_difference(F.col("a"), F.col("b")).alias("got"), F.least(turn, 360.0 - turn).alias("want")).collect()
     assert [str(r["got"]) for r in found] == [str(r["want"]) for r in found]
+
+
+def test_members_of_which_only_the_number_is_kept_are_numbers(spark, sf_dir):
+    from fairlead.plans.catalog import QUERIES
+
+    rows = pairs.snapshots(crowd(spark), 60_000).select("run_ms", "ts_ms", "lat", "lon", "mmsi")
+    blocks = pairs.blocked(rows, pairs.PLACE)
+    assert blocks.schema["members"].dataType.simpleString() == "array<int>"
+    numbers = [r["members"] for r in blocks.collect()]
+    assert all(n == sorted(n) for n in numbers) and sorted(sum(numbers, [])) == sorted(r["mmsi"] for r in rows.collect())
+    for name in ("nearby_polar", "nearby_tracks", "encounter_candidates"):
+        assert "struct(mmsi" not in QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lists_of_pairs_come_from_small_blocks(spark, monkeypatch):
+    seen, meet = [], pairs.near_blocks
+    monkeypatch.setattr(pairs, "near_blocks", lambda first, second, *a: seen.extend([first, second]) or meet(first, second, *a))
+    rows = crowd(spark, 2700)
+    found = pairs.nearby(rows, 60_000, columns=("mmsi",)).where(F.col("run_ms") == RUN)
+    assert found.where("near_metres = 0").count() == 3 * 900 * 899
+    analyses.encounter_candidates(rows, CloseEncounter(run_seconds=60), ("mmsi",))
+    sizes = [max(r["n"] for r in side.select(F.size("members").alias("n")).collect()) for side in seen]
+    assert len(sizes) == 4 and 10 < min(sizes) and max(sizes) <= 2 * pairs.LISTED
