@@ -139,3 +139,9 @@ def test_lists_of_pairs_come_from_small_blocks(spark, monkeypatch):
     analyses.encounter_candidates(rows, CloseEncounter(run_seconds=60), ("mmsi",))
     sizes = [max(r["n"] for r in side.select(F.size("members").alias("n")).collect()) for side in seen]
     assert len(sizes) == 4 and 10 < min(sizes) and max(sizes) <= 2 * pairs.LISTED
+
+
+def test_blocks_meet_in_many_tasks(spark):
+    blocks = pairs.blocked(pairs.snapshots(crowd(spark), 60_000).select("run_ms", "ts_ms", "lat", "lon", "mmsi"), pairs.PLACE)
+    plan = pairs.near_blocks(blocks, blocks)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(f", {8 * spark.sparkContext.defaultParallelism}") == 2  # no task gets much more than its share of the crowds
