@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fairlead.config import CloseEncounter, Drift, FreeFlow, Statistical, SuddenSpeedChange
 from fairlead.functions import geo, vessel
-from fairlead.operators import meetings, pairs, statistics, tracks
+from fairlead.operators import flows, meetings, pairs, statistics, tracks
 from fairlead.operators.statistics import COURSE, SPEED, TYPE_SIZE
 from fairlead.sources.scratch import written
 
@@ -249,19 +249,24 @@ def free_flow_guard(params: FreeFlow) -> Column:
     return keep & F.col("cog").isNotNull() & F.col("hdg").isNotNull()
 
 
-def free_flow(reports: DataFrame, params: FreeFlow, columns: tuple[str, ...] = pairs.COLUMNS, said: dict[str, Column] | None = None) -> DataFrame:
-    """Pairs of large tankers and cargo vessels that sail the same way, the second in the first's ellipse, before throttling.
-
-    What depends on one vessel alone (its centre, its ellipse, and ``said``, of its report and its centre ``_lat``, ``_lon``)
-    is worked out before it meets others; ``columns`` and what is said are kept of each.
-    """
+def _flowing(reports: DataFrame, params: FreeFlow) -> DataFrame:
+    """Snapshots of the vessels that the analysis looks at, with what depends on one vessel alone: its centre and its ellipse."""
     seen = reports.where(free_flow_guard(params))
     seen = seen if "run_ms" in reports.columns else pairs.snapshots(seen, params.run_seconds * 1000)
     beam = F.col("to_port") + F.col("to_starboard")
     shape = geo.ellipse(F.col("cog"), F.col("to_bow") + F.col("to_stern"), beam, F.col("to_stern"), F.col("to_starboard"), params.along, params.across, 1.0)
     lat, lon = geo.vessel_centre(F.col("lat"), F.col("lon"), F.col("hdg"), *[F.col(f"to_{d}") for d in ("stern", "bow", "port", "starboard")])
     seen = seen.withColumns({"_lat": lat, "_lon": lon, "_shape": shape})
-    seen = seen.withColumns({"_shrink": F.cos(F.radians("_lat")), "_cos": F.cos(F.radians("_shape.theta")), "_sin": F.sin(F.radians("_shape.theta"))})
+    return seen.withColumns({"_shrink": F.cos(F.radians("_lat")), "_cos": F.cos(F.radians("_shape.theta")), "_sin": F.sin(F.radians("_shape.theta"))})
+
+
+def free_flow(reports: DataFrame, params: FreeFlow, columns: tuple[str, ...] = pairs.COLUMNS, said: dict[str, Column] | None = None) -> DataFrame:
+    """Pairs of large tankers and cargo vessels that sail the same way, the second in the first's ellipse, before throttling.
+
+    What depends on one vessel alone (its centre, its ellipse, and ``said``, of its report and its centre ``_lat``, ``_lon``)
+    is worked out before it meets others; ``columns`` and what is said are kept of each.
+    """
+    seen = _flowing(reports, params)
     seen = seen.withColumns(said or {})
     kept = tuple(dict.fromkeys(("mmsi", "cog", *columns, *(said or {}))))
     own = ("_lat", "_lon", "_shape", "_shrink", "_cos", "_sin")
@@ -275,3 +280,18 @@ def free_flow(reports: DataFrame, params: FreeFlow, columns: tuple[str, ...] = p
         geo.rhumb_bearing(F.col("ca_lat"), F.col("ca_lon"), F.col("cb_lat"), F.col("cb_lon")).alias("bearing"),
         geo.cartesian_distance(F.col("ca_lat"), F.col("ca_lon"), F.col("cb_lat"), F.col("cb_lon")).alias("distance"),
     )
+
+
+def free_flow_reports(reports: DataFrame, params: FreeFlow, period_ms: int) -> DataFrame:
+    """Pairs of ``free_flow`` (run, numbers and the first's time), reported again ``period_ms`` later only, as by ``pairs.throttled``.
+
+    No pair crosses a shuffle or is a row before that: blocks of vessels give lists of numbers for each first vessel.
+    """
+    seen = _flowing(reports, params).where("mmsi is not null")
+    own = {"lat": "_lat", "lon": "_lon", "shrink": "_shrink", "cos": "_cos", "sin": "_sin"} | {c: f"_shape.{c}" for c in ("x", "y", "alpha", "beta")}
+    at = [F.col(c).alias(f"at_{c}") for c in ("lat", "lon")]
+    seen = seen.select("run_ms", "ts_ms", *at, "mmsi", "cog", *[F.col(column).alias(c) for c, column in own.items()])
+    side = lambda *also: pairs.blocked(seen.select("run_ms", "ts_ms", "at_lat", "at_lon", "mmsi", "cog", "lat", "lon", *also), ("run_ms", "ts_ms", "at_lat", "at_lon")).withColumnsRenamed({"at_lat": "lat", "at_lon": "lon"})
+    blocks = pairs.near_blocks(side(*flows.OWN), side())
+    lists = blocks.select("run_ms", "a_ts_ms", "a_members", "b_members").mapInArrow(flows.sailing(params), flows.LISTS)
+    return pairs.throttled_lists(lists, period_ms)

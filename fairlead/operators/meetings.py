@@ -22,14 +22,19 @@ AT_ONCE, WIDEST = 1 << 18, 64
 Arrays = dict[str, np.ndarray]
 
 
-def _turned(degrees: np.ndarray) -> np.ndarray:
-    return np.where(np.abs(degrees) <= 180.0, degrees, np.mod(degrees + 180.0, 360.0) - 180.0)
+def turned(degrees: np.ndarray) -> np.ndarray:
+    """A difference of longitudes by the shorter way around; the remainder of doubles is slow, and seldom needed."""
+    wide = ~(np.abs(degrees) <= 180.0)
+    if wide.any():
+        degrees = degrees.copy()
+        degrees[wide] = np.mod(degrees[wide] + 180.0, 360.0) - 180.0
+    return degrees
 
 
 def _predicted(v: Arrays, lat: np.ndarray, lon: np.ndarray, millis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """As :func:`fairlead.functions.geo.predicted`."""
     way, rad = v["sog"] / KNOTS * millis / 1000.0, np.radians(v["cog"])
-    return lat + way * np.cos(rad) / METRES, _turned(lon + way * np.sin(rad) / (METRES * np.cos(np.radians(lat))))
+    return lat + way * np.cos(rad) / METRES, turned(lon + way * np.sin(rad) / (METRES * np.cos(np.radians(lat))))
 
 
 def _oval(v: Arrays, direction: str, l1: float, b1: float, xc: float) -> Arrays:
@@ -60,7 +65,7 @@ def touching(a: Arrays, b: Arrays) -> np.ndarray:
     return out
 
 
-def _members(column: pa.ListArray) -> tuple[np.ndarray, Arrays]:
+def members(column: pa.ListArray) -> tuple[np.ndarray, Arrays]:
     """How many members each row has, and their columns one after the other."""
     many, every = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), column.flatten()
     found = {f.name: every.field(k).to_numpy(zero_copy_only=False) for k, f in enumerate(every.type)}
@@ -79,7 +84,7 @@ def _asked(a: Arrays, b: Arrays, entries: np.ndarray, low: np.ndarray, high: np.
             second = np.arange(int(many.sum())) - np.repeat(start - at[part], many)
             first = np.repeat(entries[part], many)
             zone, extent = {k: a[k][first] for k in ("x", "y", "alpha", "beta", "theta")}, {k: b[k][second] for k in ("alpha", "beta", "theta")}
-            extent["x"] = _turned(b["lon"][second] - a["lon"][first]) * METRES * a["cos"][first] + b["x"][second]
+            extent["x"] = turned(b["lon"][second] - a["lon"][first]) * METRES * a["cos"][first] + b["x"][second]
             extent["y"] = (b["lat"][second] - a["lat"][first]) * METRES + b["y"][second]
             meets = touching(zone, extent) & (a["mmsi"][first] != b["mmsi"][second])
             least = np.minimum.reduceat(np.where(meets, second, np.iinfo(np.int64).max), start)
@@ -100,7 +105,7 @@ def met(params: CloseEncounter) -> Callable[[Iterator[pa.RecordBatch]], Iterator
             if not batch.num_rows:
                 continue
             row = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if not c.endswith("members")}
-            (many_a, a), (many_b, b) = _members(batch.column("a_members")), _members(batch.column("b_members"))
+            (many_a, a), (many_b, b) = members(batch.column("a_members")), members(batch.column("b_members"))
             of_a, of_b = np.repeat(np.arange(len(many_a)), many_a), np.repeat(np.arange(len(many_b)), many_b)
             now = np.maximum(row["a_ts_ms"], row["b_ts_ms"])
             for v, s, of in ((a, "a", of_a), (b, "b", of_b)):
@@ -115,9 +120,9 @@ def met(params: CloseEncounter) -> Callable[[Iterator[pa.RecordBatch]], Iterator
             near = many_b[of_a] - own
             # how far the block's extents reach from the place of its first member, as seen from the first vessel
             away = lambda k: np.abs(b[k] - b[k][low][of_b])
-            wide = np.maximum(np.maximum(b["alpha"], b["beta"]), LEAST_AXIS) + np.hypot(b["x"], b["y"]) + np.hypot(_turned(away("lon")), away("lat")) * METRES
+            wide = np.maximum(np.maximum(b["alpha"], b["beta"]), LEAST_AXIS) + np.hypot(b["x"], b["y"]) + np.hypot(turned(away("lon")), away("lat")) * METRES
             wide = np.maximum.reduceat(wide, low)
-            x = _turned(b["lon"][low][of_a] - a["lon"]) * METRES * a["cos"] - a["x"]
+            x = turned(b["lon"][low][of_a] - a["lon"]) * METRES * a["cos"] - a["x"]
             y = (b["lat"][low][of_a] - a["lat"]) * METRES - a["y"]
             far = np.hypot(x, y) > np.maximum(np.maximum(a["alpha"], a["beta"]), LEAST_AXIS) + wide[of_a] + 1.0
             # the nearest block of each vessel in each run first; those farther than one that it meets are not asked

@@ -145,3 +145,58 @@ def test_blocks_meet_in_many_tasks(spark):
     blocks = pairs.blocked(pairs.snapshots(crowd(spark), 60_000).select("run_ms", "ts_ms", "lat", "lon", "mmsi"), pairs.PLACE)
     plan = pairs.near_blocks(blocks, blocks)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(f", {8 * spark.sparkContext.defaultParallelism}") == 2  # no task gets much more than its share of the crowds
+
+
+def sailing(spark, vessels, minutes, seed=3):
+    """Large cargo vessels and others at a few places, most of them on like courses, with a report about each minute."""
+    u, k = F.col("id") % vessels, F.floor(F.col("id") / vessels)
+    chance = lambda n: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n))
+    turned = F.when(u % 5 == 0, 3590).otherwise(100) + chance(250)
+    return spark.range(vessels * minutes).where(chance(11) != 0).select(
+        (1000 + u * 70_001).cast("int").alias("mmsi"), (F.lit(RUN) + k * 60_000 - chance(50) * 1000).alias("ts_ms"), k.alias("seq"), F.lit("V").alias("name"), F.lit("C").alias("callsign"), u.cast("int").alias("imo"),
+        F.when(u % 13 == 0, 30).otherwise(70 + u % 20).cast("int").alias("ship_type"), (60 + u % 90).cast("int").alias("to_bow"), F.lit(40).alias("to_stern"), F.when(u % 17 != 0, 5 + u % 11).cast("int").alias("to_port"),
+        (3 + u % 7).cast("int").alias("to_starboard"), (55.0 + u % 3 * 0.004 + k * 0.0005).alias("lat"), F.when(u % 2 == 0, 11.0).otherwise(11.001).alias("lon"), F.lit(12.0).cast("float").alias("sog"), (turned % 3600 / 10.0).cast("float").alias("cog"), (u % 360).cast("float").alias("hdg"),
+    )
+
+
+def test_reports_of_free_flow_are_the_thinned_pairs(spark):
+    from fairlead.operators import flows
+    from fairlead.plans.catalog import FLOW
+
+    rows = sailing(spark, 400, 24)
+    rows = rows.withColumn("ts_ms", F.col("ts_ms") + F.when(F.col("seq") > 15, 3 * 60_000).otherwise(0))
+    key = ["run_ms", "a_mmsi", "b_mmsi", "a_ts_ms"]
+    every = analyses.free_flow(rows, FLOW, ("mmsi",)).select(key)
+    for period in (60_000, 5 * 60_000, 9 * 60_000 + 1):
+        want = sorted(map(tuple, pairs.throttled(every, period).collect()))
+        assert sorted(map(tuple, analyses.free_flow_reports(rows, FLOW, period).select(key).collect())) == want
+        assert 20_000 < len(want) < every.count()
+    # no pair is a row in a shuffle, and what crosses it is some two bytes a pair
+    plan = analyses.free_flow_reports(rows, FLOW, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [a_mmsi" in plan and "b_mmsi" not in plan.split("RepartitionByExpression [a_mmsi")[1]
+    assert flows.LISTS.count("binary") == 1
+
+
+def test_lists_are_thinned_alike_in_parts_of_any_size(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from fairlead.operators import flows
+
+    rng = np.random.default_rng(8)
+    numbers = np.unique(np.concatenate([rng.integers(-(2**31), 2**31, 40), rng.integers(0, 300_000, 60)]))
+    rows = [(a, at, at // 60_000 * 60_000 + 60_000, np.sort(rng.choice(numbers, rng.integers(1, 60), replace=False))) for a in (-7, 0, 5, 2**31 - 1) for at in sorted(rng.integers(0, 3_000_000, 40).tolist())]
+    steps, wide = flows._lists(np.concatenate([r[3] for r in rows]), np.array([len(r[3]) for r in rows]))
+    many, back = flows._numbers(steps, wide)
+    assert many.tolist() == [len(r[3]) for r in rows] and back.tolist() == np.concatenate([r[3] for r in rows]).tolist()
+    want, last = [], {}
+    for a, at, run, seconds in rows:
+        for b in seconds.tolist():
+            if (a, b) not in last or at >= last[a, b] + 300_000:
+                last[a, b] = at
+                want.append((run, a, b, at))
+    whole = pa.RecordBatch.from_arrays([pa.array([r[2] for r in rows]), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), steps, wide], ["run_ms", "a_mmsi", "a_ts_ms", "steps", "wide"])
+    for most, size in ((1, 160), (100, 7), (1 << 18, 50), (1 << 18, 160)):
+        monkeypatch.setattr(flows, "THINNED", most)
+        found = [tuple(r.values()) for part in flows.reported(300_000)(whole.slice(k, size) for k in range(0, len(rows), size)) for r in part.to_pylist()]
+        assert sorted(found) == sorted(want) and len(want) < sum(many)
